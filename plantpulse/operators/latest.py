@@ -41,10 +41,15 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def total_of_listed(listed: DataFrame, value: Column, into: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of an already limited result."""
+    return listed.withColumn(into, F.sum(value).over(Window.partitionBy(F.lit(0))))
+
+
 def head_with_rest(df: DataFrame, order: Sequence[Column], n: int = 10, rest: str = "rows_not_shown") -> DataFrame:
     """The first ``n`` rows, each carrying how many rows follow them."""
-    total = df.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias(rest))
-    return top_rows(df, order, n).join(total)
+    following = df.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0))).scalar()
+    return top_rows(df, order, n).withColumn(rest, following)
 
 
 def arg_max(df: DataFrame, keys: Sequence[str], measure: str, id_column: str, columns: Sequence[str]) -> DataFrame:

@@ -49,4 +49,4 @@ def against_prior_mean(daily: DataFrame, day: str, measure: str, rows: int = 7)
         F.count(F.lit(1)).alias("__have"))
     total = F.aggregate("__before", F.lit(0.0), lambda acc, x: acc + x["v"])
     prior = F.when(F.col("__have") >= rows + 1, total / F.lit(float(rows))).otherwise(F.col("current"))
-    return picked.select("current", prior.alias("prior_mean"))
+    return picked.select("current", prior.alias("prior_mean"), F.col("__have").alias("observations"))

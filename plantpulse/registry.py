@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantpulse.bindings import OPERATIONS_TODAY, TELEMETRY_NOW, TELEMETRY_TODAY, bind_sample
+from plantpulse.bindings import OPERATIONS_TODAY, ROTATING_CLASS, TELEMETRY_NOW, TELEMETRY_TODAY, bind_sample
+from plantpulse.plans import assets, health
 from plantpulse.plans import production as prod
 from plantpulse.warehouse import Warehouse
 
@@ -37,7 +38,55 @@ PRODUCTION: dict[str, Callable[[Warehouse], DataFrame]] = {
     "line_revenue": prod.line_revenue,
 }
 
-GROUPS = (PRODUCTION,)
+HEALTH: dict[str, Callable[[Warehouse], DataFrame]] = {
+    "latest_health": health.latest_health_report,
+    "health_daily": lambda wh: health.health_daily(wh, TELEMETRY_NOW),
+    "kpi_health_delta": lambda wh: health.kpi_health_delta(wh, TELEMETRY_NOW),
+    "asset_risk_latest": health.asset_risk_latest,
+    "production_at_risk": health.production_at_risk,
+    "risk_by_class": health.risk_by_class,
+    "risk_matrix": lambda wh: health.risk_matrix(wh, ROTATING_CLASS),
+    "highest_risk_asset": health.highest_risk_asset,
+    "asset_hierarchy": health.asset_hierarchy,
+    "asset_details": health.asset_details,
+    "asset_health_snapshot": health.asset_health,
+    "asset_health_hourly": lambda wh: health.asset_health(wh, snapshot=False),
+    "failure_prediction_hourly": lambda wh: health.failure_prediction(wh, 30, 0.5, snapshot=False),
+    "failure_prediction_snapshot": lambda wh: health.failure_prediction(wh, 30, 0.1),
+    "downtime_risk_hourly": lambda wh: health.downtime_risk(wh, snapshot=False),
+    "downtime_risk_snapshot": health.downtime_risk,
+    "triage": lambda wh: health.triage(wh, ["MACHINERY", "BUILDING", "FURNITURE"], 85),
+    "work_order_candidates": lambda wh: health.work_order_candidates(wh, TELEMETRY_TODAY),
+    "pm_schedule": lambda wh: health.pm_schedule(wh, wh["fct_service_log"].filter("wo_type_id = 1"), "2024-02-01"),
+    "alerts": lambda wh: health.maintenance_alerts(wh, below=85),
+}
+
+ASSETS: dict[str, Callable[[Warehouse], DataFrame]] = {
+    "plants": assets.plants,
+    "lines": lambda wh: assets.lines(wh, "ASIA"),
+    "line_assets": lambda wh: assets.line_assets(wh, "NATION_7"),
+    "telemetry_pivot": assets.telemetry_pivot,
+    "latest_telemetry": assets.latest_telemetry,
+    "latest_prediction": assets.latest_prediction,
+    "sensor_status": assets.sensor_status,
+    "asset_status": assets.asset_status,
+    "anomaly_flags": lambda wh: assets.anomaly_flags(wh, ROTATING_CLASS),
+    "sensor_readings": lambda wh: assets.sensor_readings(wh, 7, "2024-01-10", "2024-01-25"),
+    "sensor_readings_by_metric": lambda wh: assets.sensor_readings_by_metric(wh, "2024-01-10", "2024-01-25"),
+    "latest_reading_per_sensor": assets.latest_reading_per_sensor,
+    "out_of_range": lambda wh: assets.out_of_range(wh, TELEMETRY_NOW),
+    "hot_sensors": lambda wh: assets.hot_sensors(wh, TELEMETRY_NOW),
+    "hot_sensors_approx": lambda wh: assets.hot_sensors_approx(wh, TELEMETRY_NOW),
+    "anomaly_sessions": assets.anomaly_sessions,
+    "scd2_point_in_time": assets.scd2_point_in_time,
+    "flow_edges": assets.flow_edges,
+    "process_edges": assets.process_edges,
+    "path_levels": assets.path_levels,
+    "factory_tree": assets.factory_tree,
+    "tree_counts": assets.tree_counts,
+}
+
+GROUPS = (PRODUCTION, HEALTH, ASSETS)
 
 
 def queries() -> dict[str, Query]:
