@@ -1 +1,98 @@
-SQL: dict[str, str] = {}
+"""Gold tables in the literal form: range joins per feature."""
+
+from __future__ import annotations
+
+from oracle.prelude import r
+
+_SK = "CAST(strftime({d}, '%Y%m%d') AS INTEGER)"
+_OBS = f""", obs AS (SELECT DISTINCT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS observation_date_sk, asset_id, d FROM telemetry)"""
+_TEMP = f"""SELECT o.observation_date_sk, o.asset_id,
+    {r("CAST(sum(t.temperature_c) AS DOUBLE) / nullif(count(t.temperature_c), 0)")} AS avg_temp_last_24h
+    FROM obs o JOIN telemetry t ON o.asset_id = t.asset_id AND t.recorded_at >= CAST(o.d AS TIMESTAMP) - INTERVAL 24 HOUR
+      AND t.recorded_at < CAST(o.d AS TIMESTAMP) + INTERVAL 1 DAY GROUP BY 1, 2"""
+_VIB = f"""SELECT o.observation_date_sk, o.asset_id, {r("stddev_samp(t.vibration_mm_s)")} AS vibration_stddev_7d
+    FROM obs o JOIN telemetry t ON o.asset_id = t.asset_id AND t.recorded_at >= CAST(o.d AS TIMESTAMP) - INTERVAL 7 DAY
+      AND t.recorded_at < CAST(o.d AS TIMESTAMP) + INTERVAL 1 DAY GROUP BY 1, 2"""
+_PSI = f"""SELECT o.observation_date_sk, o.asset_id,
+    {r("CAST(max(t.pressure_psi) - min(t.pressure_psi) AS DOUBLE) / nullif(count(t.pressure_psi), 0)")} AS pressure_trend_7d
+    FROM obs o LEFT JOIN telemetry t ON o.asset_id = t.asset_id AND t.recorded_at >= CAST(o.d AS TIMESTAMP) - INTERVAL 7 DAY
+      AND t.recorded_at < CAST(o.d AS TIMESTAMP) + INTERVAL 1 DAY AND t.pressure_psi IS NOT NULL GROUP BY 1, 2"""
+_SINCE = """SELECT o.observation_date_sk, o.asset_id,
+    CAST(coalesce(date_diff('day', max(CASE WHEN s.wo_type_id = 3 THEN s.completed_date END), o.d), 999) AS INTEGER) AS days_since_last_pm,
+    CAST(coalesce(date_diff('day', max(CASE WHEN s.failure_flag THEN s.completed_date END), o.d), 999) AS INTEGER) AS days_since_last_failure
+    FROM obs o LEFT JOIN service s ON o.asset_id = s.asset_id AND s.completed_date < o.d GROUP BY o.observation_date_sk, o.asset_id, o.d"""
+_LABEL = """SELECT o.observation_date_sk, o.asset_id,
+    bool_or(coalesce(s.failure_flag AND s.completed_date > o.d AND s.completed_date <= o.d + 7, false)) AS failed_in_next_7_days
+    FROM obs o LEFT JOIN service s ON o.asset_id = s.asset_id GROUP BY 1, 2"""
+_RATE = f""", seen AS (SELECT DISTINCT asset_id, d FROM telemetry), bad AS (SELECT DISTINCT asset_id, completed_date AS d FROM service WHERE failure_flag),
+  days AS (SELECT oem_name, d FROM seen JOIN asset USING (asset_id) UNION SELECT oem_name, d FROM bad JOIN asset USING (asset_id)),
+  rate AS (SELECT q.oem_name, q.d, {r('''CAST((SELECT count(*) FROM bad b JOIN asset a USING (asset_id) WHERE a.oem_name = q.oem_name AND b.d < q.d) AS DOUBLE)
+    / nullif((SELECT count(*) FROM seen b JOIN asset a USING (asset_id) WHERE a.oem_name = q.oem_name AND b.d < q.d), 0)''', 4)} AS oem_failure_rate_est
+    FROM days q)"""
+_STORE = f"""{_OBS}, tf AS ({_TEMP}), vf AS ({_VIB}), pf AS ({_PSI}), mf AS ({_SINCE}), ff AS ({_LABEL}){_RATE},
+  dh AS (SELECT asset_id, d, max(health_score) AS h FROM telemetry GROUP BY 1, 2),
+  store AS (SELECT o.observation_date_sk, o.asset_id, avg_temp_last_24h, vibration_stddev_7d, pressure_trend_7d,
+    greatest(0, days_since_last_pm * 24 * 50) AS cycles_since_last_pm, days_since_last_failure, oem_failure_rate_est,
+    {r("(100 - coalesce(h, 95)) * downtime_impact_per_hour")} AS downtime_impact_risk, failed_in_next_7_days
+    FROM obs o LEFT JOIN tf USING (observation_date_sk, asset_id) LEFT JOIN vf USING (observation_date_sk, asset_id)
+    LEFT JOIN pf USING (observation_date_sk, asset_id) LEFT JOIN mf USING (observation_date_sk, asset_id)
+    LEFT JOIN ff USING (observation_date_sk, asset_id) LEFT JOIN asset a ON a.asset_id = o.asset_id
+    LEFT JOIN dh ON dh.asset_id = o.asset_id AND dh.d = o.d LEFT JOIN rate ON rate.oem_name = a.oem_name AND rate.d = o.d)"""
+STORE = _STORE
+OBS = _OBS
+LABEL = _LABEL
+_REASON = """CASE WHEN event_id % 97 = 5 THEN 'not json' WHEN event_id % 83 = 9 THEN 'missing deviceId'
+    WHEN event_id % 89 = 7 THEN 'wrong type value' END"""
+
+SQL: dict[str, str] = {
+    "hourly_health": """SELECT hour_timestamp, asset_id, avg_temperature_c, max_vibration_mm_s, stddev_pressure_psi,
+      CAST(latest_health_score AS DOUBLE) AS latest_health_score, CAST(avg_failure_probability AS DOUBLE) AS avg_failure_probability,
+      min_rul_days FROM hourly""",
+    "hourly_latest_by_time": """SELECT asset_id, date_trunc('hour', recorded_at) AS hour_timestamp, recorded_at,
+      CAST(health_score AS DOUBLE) AS health_score FROM telemetry
+      QUALIFY row_number() OVER (PARTITION BY asset_id, date_trunc('hour', recorded_at) ORDER BY recorded_at DESC, telemetry_id DESC) = 1""",
+    "daily_observations": f"{_OBS} SELECT observation_date_sk, asset_id, d AS observation_date FROM obs",
+    "feature_temp_24h": f"{_OBS} {_TEMP}",
+    "feature_vibration_7d": f"{_OBS} {_VIB}",
+    "feature_pressure_trend": f"{_OBS} {_PSI}",
+    "feature_days_since": f"{_OBS} {_SINCE}",
+    "label_next_7d": f"{_OBS} {_LABEL}",
+    "feature_store": f"{_STORE} SELECT * FROM store",
+    "bronze_parse": f"""SELECT event_id, ts AS source_timestamp, 'eq_' || user_id AS device_id, event_type AS metric, value,
+      'x' AS unit FROM events WHERE {_REASON} IS NULL""",
+    "bronze_rejects": f"SELECT event_id, {_REASON} AS reject_reason FROM events WHERE {_REASON} IS NOT NULL",
+    "bronze_maintenance": """SELECT 'WO-' || log_id AS work_order_id, 'eq_' || asset_id AS asset_nk, wo_type_code, technician_notes AS notes,
+      CAST(downtime_hours AS DOUBLE) AS downtime_hours, CAST(labor_cost AS DOUBLE) AS labor_cost, CAST(parts_cost AS DOUBLE) AS parts_cost,
+      failure_flag, completed_date FROM maintenance JOIN wo_type USING (wo_type_id)""",
+    "bronze_equipment": """SELECT asset_nk AS serial_number, model, oem_name, 'Machine' AS asset_type, 'Site' AS plant_name,
+      installation_date FROM asset""",
+    "bronze_to_wide": f""", x AS (SELECT 'eq_' || user_id AS device_id, date_trunc('hour', ts) AS hour_timestamp, event_type, value
+        FROM events WHERE {_REASON} IS NULL)
+      SELECT device_id, hour_timestamp, round(avg(value) FILTER (event_type = 'view'), 4) AS temperature_c,
+        round(avg(value) FILTER (event_type = 'click'), 4) AS vibration_mm_s, round(avg(value) FILTER (event_type = 'signup'), 4) AS pressure_psi
+      FROM x WHERE event_type IN ('view', 'click', 'signup') GROUP BY 1, 2""",
+    "date_dimension": """, s AS (SELECT unnest(generate_series(min(completed_date), max(completed_date), INTERVAL 1 DAY)) AS t FROM maintenance)
+      SELECT CAST(strftime(t, '%Y%m%d') AS INTEGER) AS date_sk, CAST(t AS DATE) AS full_date, dayname(t) AS day_of_week,
+        monthname(t) AS month_name, CAST(quarter(t) AS INTEGER) AS quarter, CAST(year(t) AS INTEGER) AS year FROM s""",
+    "spine_gaps": """, b AS (SELECT asset_id, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS t FROM telemetry GROUP BY 1)
+      SELECT asset_id, CAST(t AS DATE) AS day FROM b WHERE NOT EXISTS (SELECT 1 FROM telemetry x WHERE x.asset_id = b.asset_id AND x.d = CAST(t AS DATE))""",
+    "hour_gaps": """, h AS (SELECT DISTINCT asset_id, date_trunc('hour', recorded_at) AS t FROM telemetry),
+      c AS (SELECT asset_id, date_diff('hour', min(t), max(t)) + 1 - count(*) AS missing_hours FROM h GROUP BY 1)
+      SELECT * FROM c WHERE missing_hours > 0""",
+    "dq_keys": "SELECT log_id, material_id, count(*) AS copies FROM parts GROUP BY 1, 2 HAVING count(*) > 1",
+    "dq_orphans": """SELECT log_id AS orphan_key, count(*) AS child_rows, 'parts to order' AS reference FROM parts
+        WHERE log_id NOT IN (SELECT log_id FROM maintenance) GROUP BY 1
+      UNION ALL SELECT log_id, count(*), 'order to parts' FROM maintenance WHERE log_id NOT IN (SELECT log_id FROM parts) GROUP BY 1""",
+    "dq_ranges": """SELECT count(*) AS rows_checked, 'health within 0 and 100' AS rule, count(*) FILTER (health_score < 0 OR health_score > 100) AS violations FROM telemetry
+      UNION ALL SELECT count(*), 'probability within 0 and 1', count(*) FILTER (failure_probability < 0 OR failure_probability > 1) FROM telemetry
+      UNION ALL SELECT count(*), 'health of 80 or more', count(*) FILTER (health_score < 80) FROM telemetry
+      UNION ALL SELECT count(*), 'life of a day or more', count(*) FILTER (rul_days < 1) FROM telemetry
+      UNION ALL SELECT count(*), 'runtime not negative', count(*) FILTER (actual < 0) FROM production
+      UNION ALL SELECT count(*), 'runtime within plan', count(*) FILTER (actual > planned) FROM production
+      UNION ALL SELECT count(*), 'scrap within output', count(*) FILTER (scrapped > produced) FROM production""",
+    "dq_failure_codes": """SELECT count(*) AS rows_checked, 'code only on failures' AS rule, count(*) FILTER (failure_code_id IS NOT NULL AND NOT failure_flag) AS violations FROM maintenance
+      UNION ALL SELECT count(*), 'every failure has a code', count(*) FILTER (failure_code_id IS NULL AND failure_flag) FROM maintenance
+      UNION ALL SELECT count(*), 'known order type', count(*) FILTER (wo_type_id NOT IN (1, 2, 3, 4)) FROM maintenance""",
+    "dq_parts_cost": """SELECT supplier_name, count(*) AS parts_rows, count(*) FILTER (total_cost <> quantity_used * unit_cost) AS mismatched_rows
+      FROM parts JOIN material USING (material_id) GROUP BY 1""",
+}

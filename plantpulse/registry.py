@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plantpulse.bindings import OPERATIONS_TODAY, ROTATING_CLASS, TELEMETRY_NOW, TELEMETRY_TODAY, bind_sample
-from plantpulse.plans import assets, health
+from plantpulse.bindings import (METRIC_EVENTS, OPERATIONS_TODAY, ROTATING_CLASS, TELEMETRY_NOW, TELEMETRY_TODAY,
+                                 bind_sample)
+from plantpulse.plans import assets, gold, health, ingest
+from plantpulse.plans import maintenance as mnt
 from plantpulse.plans import production as prod
+from plantpulse.plans import questions as ask
 from plantpulse.warehouse import Warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +90,115 @@ ASSETS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "tree_counts": assets.tree_counts,
 }
 
-GROUPS = (PRODUCTION, HEALTH, ASSETS)
+TELEMETRY, SERVICE = "fct_asset_telemetry", "fct_service_log"
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Decimals as doubles, for results that are compared by value."""
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal" else f.name
+                       for f in df.schema])
+
+
+GOLD: dict[str, Callable[[Warehouse], DataFrame]] = {
+    "hourly_health": lambda wh: _plain(wh["agg_asset_hourly_health"]),
+    "hourly_latest_by_time": lambda wh: _plain(gold.hourly_latest_by_time(wh[TELEMETRY])),
+    "daily_observations": lambda wh: gold.daily_observations(wh[TELEMETRY]),
+    "feature_temp_24h": lambda wh: gold.feature_temp_24h(wh[TELEMETRY]),
+    "feature_vibration_7d": lambda wh: gold.feature_vibration_7d(wh[TELEMETRY]),
+    "feature_pressure_trend": lambda wh: gold.feature_pressure_trend(wh[TELEMETRY]),
+    "feature_days_since": lambda wh: gold.feature_days_since(wh[TELEMETRY], wh[SERVICE]),
+    "label_next_7d": lambda wh: gold.label_next_days(wh[TELEMETRY], wh[SERVICE]),
+    "feature_store": gold.feature_store,
+    "bronze_parse": ingest.bronze_telemetry,
+    "bronze_rejects": ingest.bronze_rejects,
+    "bronze_maintenance": ingest.bronze_maintenance,
+    "bronze_equipment": ingest.bronze_equipment,
+    "bronze_to_wide": lambda wh: ingest.bronze_to_wide(wh, METRIC_EVENTS),
+    "date_dimension": ingest.date_dimension,
+    "spine_gaps": ingest.spine_gaps,
+    "hour_gaps": ingest.hour_gaps,
+    "dq_keys": ingest.dq_keys,
+    "dq_orphans": ingest.dq_orphans,
+    "dq_ranges": ingest.dq_ranges,
+    "dq_failure_codes": ingest.dq_failure_codes,
+    "dq_parts_cost": ingest.dq_parts_cost,
+}
+
+MAINTENANCE: dict[str, Callable[[Warehouse], DataFrame]] = {
+    "maintenance_cost_by_type": mnt.maintenance_cost_by_type,
+    "maintenance_history": lambda wh: mnt.maintenance_history(wh, OPERATIONS_TODAY),
+    "maintenance_history_asset": lambda wh: mnt.maintenance_history_asset(wh, 7, "1996-01-01", "2000-12-31"),
+    "maintenance_summary": lambda wh: mnt.maintenance_summary(wh, "2000-01-01", "2000-12-31"),
+    "maintenance_roi": mnt.maintenance_roi,
+    "technician_workload": mnt.technician_workload,
+    "technician_units": lambda wh: mnt.technician_units(wh, 2000),
+    "top_technician": lambda wh: mnt.top_technician(wh, 2000),
+    "labor_by_craft": mnt.labor_by_craft,
+    "activities_by_shift": mnt.activities_by_shift,
+    "evening_shift_orders": lambda wh: mnt.evening_shift_orders(wh, OPERATIONS_TODAY),
+    "technician_type_matrix": mnt.technician_type_matrix,
+    "prevention_ratio": mnt.prevention_ratio,
+    "emergency_orders": lambda wh: mnt.emergency_orders(wh, OPERATIONS_TODAY),
+    "downtime_by_type": mnt.downtime_by_type,
+    "planned_unplanned_downtime": mnt.planned_unplanned_downtime,
+    "planned_unplanned_ratio": mnt.planned_unplanned_ratio,
+    "failures_vs_preventive": mnt.failures_vs_preventive,
+    "downtime_by_line": lambda wh: mnt.downtime_by_line(wh, OPERATIONS_TODAY),
+    "downtime_in_month": lambda wh: mnt.downtime_in_month(wh, "2000-09-01", "2000-09-30"),
+    "top_failure_codes": lambda wh: mnt.top_failure_codes(wh, 2000),
+    "failure_hierarchy": mnt.failure_hierarchy,
+    "failure_rate_by_process": mnt.failure_rate_by_process,
+    "cost_by_process": lambda wh: mnt.cost_by_process(wh, "2001-04-01", "2001-06-30"),
+    "downtime_impact_by_plant": mnt.downtime_impact_by_plant,
+    "orders_by_asset_class": mnt.orders_by_asset_class,
+    "emergency_mom": mnt.emergency_mom,
+    "cost_by_quarter": mnt.cost_by_quarter,
+    "costliest_quarter": mnt.costliest_quarter,
+    "top_parts": mnt.top_parts,
+    "parts_cost_by_type": lambda wh: mnt.parts_cost_by_type(wh, "2000-01-01", "2000-12-31"),
+    "parts_per_event": mnt.parts_per_event,
+    "supplier_max_cost": mnt.supplier_max_cost,
+    "spend_on_kind": lambda wh: mnt.spend_on_kind(wh, "PROMO-"),
+    "usage_rate": mnt.usage_rate,
+    "bill_of_parts": lambda wh: mnt.bill_of_parts(wh, mnt.parts_rules(wh.spark)),
+    "budget_total": lambda wh: mnt.budget_total(wh, "OpEx Maintenance", 2000, 3),
+    "budget_share": lambda wh: mnt.budget_share(wh, 2000, "OpEx Maintenance"),
+    "budget_type_share": lambda wh: mnt.budget_type_share(wh, 2000),
+    "budget_yoy": lambda wh: mnt.budget_yoy(wh, "OpEx Maintenance"),
+    "budget_spent": lambda wh: mnt.budget_spent(wh, OPERATIONS_TODAY),
+    "maintenance_calendar": lambda wh: mnt.maintenance_calendar(wh, "2024-02-01", "2024-03-02"),
+    "actual_runtime": mnt.actual_runtime,
+    "scrap_from_failures": mnt.scrap_from_failures,
+    "volume_vs_maintenance": mnt.volume_vs_maintenance,
+    "overdue_preventive": lambda wh: mnt.overdue_preventive(wh, 10),
+    "recent_by_asset": mnt.recent_by_asset,
+}
+
+QUESTIONS: dict[str, Callable[[Warehouse], DataFrame]] = {
+    "health_by_oem": lambda wh: ask.health_by_oem(wh, TELEMETRY_NOW),
+    "weak_assets": ask.weak_assets,
+    "health_trend_plant": lambda wh: ask.health_trend_plant(wh, TELEMETRY_NOW, "AMERICA"),
+    "health_by_plant": ask.health_by_plant,
+    "health_by_line": ask.health_by_line,
+    "flagged_assets": ask.flagged_assets,
+    "lowest_life": ask.lowest_life,
+    "metric_summary": lambda wh: ask.metric_summary(wh, TELEMETRY_NOW),
+    "age_health_correlation": lambda wh: ask.age_health_correlation(wh, TELEMETRY_TODAY),
+    "vibration_trend": lambda wh: ask.vibration_trend(wh, TELEMETRY_NOW, 7),
+    "vibration_spread_of_class": lambda wh: ask.vibration_spread_of_class(wh, ROTATING_CLASS),
+    "risk_trend_slope": lambda wh: ask.risk_trend_slope(wh, TELEMETRY_NOW),
+    "probability_change": lambda wh: ask.probability_change(
+        wh, ("2024-01-01", "2024-01-15"), ("2024-01-16", "2024-01-30")),
+    "predicted_failures": ask.predicted_failures,
+    "impact_below_health": ask.impact_below_health,
+    "cycles_of_failed": ask.cycles_of_failed,
+    "impact_risk_by_plant": ask.impact_risk_by_plant,
+    "vibration_outliers": ask.vibration_outliers,
+    "star_join_maintenance": ask.star_join_maintenance,
+    "result_top10": ask.result_top10,
+}
+
+GROUPS = (PRODUCTION, HEALTH, ASSETS, GOLD, MAINTENANCE, QUESTIONS)
 
 
 def queries() -> dict[str, Query]:
