@@ -1 +1,52 @@
-SQL: dict[str, str] = {}
+"""Conversations, feedback, streaming twins."""
+
+from __future__ import annotations
+
+from oracle.prelude import div, r
+
+_MSG = """, msg AS (SELECT conv_id AS conversation_id, turn, role, text AS content,
+    TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id % 100000 AS INTEGER)) + to_seconds(turn * 37) AS ts,
+    CASE WHEN role = 'assistant' THEN length(text) % 5 * 100 END AS rt,
+    CASE WHEN role = 'assistant' THEN CASE WHEN length(text) % 2 = 0 THEN 'agent' ELSE 'analyst' END END AS backend FROM conversations)"""
+
+
+def _type(text: str) -> str:
+    def any_of(*words: str) -> str:
+        return "(" + " OR ".join(f"contains(lower({text}), '{w}')" for w in words) + ")"
+    return (f"CASE WHEN {any_of('error', 'failed', 'unable to')} THEN 'error' "
+            f"WHEN {any_of('created', 'scheduled', 'completed', 'work order')} THEN 'action' "
+            f"WHEN {any_of('query results')} OR contains({text}, chr(128202)) THEN 'data' ELSE 'assistant' END")
+
+
+_WINDOW = """, n AS (SELECT conversation_id, count(*) AS n, sum(length(content)) / 4.0 AS tokens FROM msg GROUP BY 1),
+  m AS (SELECT msg.*, n.n, (n.n > 4 AND tokens >= 200) AS cut, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS i
+    FROM msg JOIN n USING (conversation_id)),
+  p AS (SELECT *, CASE WHEN NOT cut THEN 'whole' WHEN i = 1 THEN 'first' WHEN i > n - 3 THEN 'recent' ELSE 'middle' END AS part FROM m),
+  s AS (SELECT conversation_id, count(*) FILTER (role = 'user') AS q, string_agg(content, '; ' ORDER BY turn) FILTER (role = 'user') AS t
+    FROM p WHERE part = 'middle' GROUP BY 1)
+  SELECT conversation_id, part, turn, role, content FROM p WHERE part <> 'middle'
+  UNION ALL SELECT conversation_id, 'summary', NULL, 'system', '[Previous conversation summary: ' ||
+    CASE WHEN q = 0 THEN 'No significant conversation history' WHEN q <= 3 THEN 'Previous questions: ' || t
+    ELSE 'User asked ' || q || ' questions about asset health, maintenance, and OEE metrics' END || ']' FROM s"""
+
+SQL: dict[str, str] = {
+    "conv_analytics": f"""{_MSG} SELECT conversation_id, count(*) AS total_messages, count(*) FILTER (role = 'user') AS user_queries,
+      count(*) FILTER (role = 'assistant') AS assistant_responses,
+      {r(div("coalesce(sum(rt) FILTER (rt > 0), 0)", "count(*) FILTER (rt > 0)"), 4)} AS avg_response_time_ms,
+      CASE WHEN count(*) < 2 THEN 0e0 ELSE {r("date_diff('microsecond', min(ts), max(ts)) / 60000000e0", 2)} END AS duration_minutes
+      FROM msg GROUP BY 1""",
+    "conv_backends": f"""{_MSG} SELECT conversation_id, backend, count(*) AS responses FROM msg WHERE role = 'assistant' GROUP BY 1, 2""",
+    "conv_alternating": f"""{_MSG}, u AS (SELECT * FROM msg WHERE role = 'user' OR (role = 'assistant' AND turn % 3 <> 1)),
+      l AS (SELECT *, lead(role) OVER (PARTITION BY conversation_id ORDER BY turn) AS nx FROM u),
+      k AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS i FROM l WHERE nx IS NULL OR nx <> role)
+      SELECT conversation_id, turn, role, content FROM k WHERE NOT (i = 1 AND role <> 'user')""",
+    "conv_context": f"{_MSG}{_WINDOW}",
+    "response_type": f"{_MSG} SELECT conversation_id, turn, {_type('content')} AS response_type FROM msg WHERE role = 'assistant'",
+    "response_type_documents": f"SELECT lang, {_type('text')} AS response_type, count(*) AS texts FROM documents GROUP BY 1, 2",
+    "feedback_summary": """SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'positive' ELSE 'negative' END AS rating, lang, source, count(*) AS ratings
+      FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2, 3""",
+    "conv_export_rows": f"""{_MSG} SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS message_no, role, content FROM msg""",
+    "last_user_message": f"{_MSG} SELECT conversation_id, arg_max(content, turn) AS content, max(turn) AS turn FROM msg WHERE role = 'user' GROUP BY 1",
+    "last_messages": f"""{_MSG} SELECT conversation_id, turn, role, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS from_end
+      FROM msg QUALIFY from_end <= 2""",
+}

@@ -41,7 +41,7 @@ SQL: dict[str, str] = {
         CAST(sum(avg_failure_probability) FILTER (hour_timestamp >= TIMESTAMP '2024-01-16') AS DOUBLE)
           / count(*) FILTER (hour_timestamp >= TIMESTAMP '2024-01-16') AS b FROM hourly)
       SELECT {r("a", 6)} AS first_mean, {r("b", 6)} AS second_mean, {r("b - a", 6)} AS change FROM x""",
-    "predicted_failures": f"""{OBS}, l AS ({LABEL}), z AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY observation_date_sk DESC) = 1)
+    "predicted_failures": f"""{OBS}, l AS ({LABEL}), z AS (SELECT * FROM l WHERE observation_date_sk <= 20240120 QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY observation_date_sk DESC) = 1)
       SELECT asset_id, observation_date_sk FROM z WHERE failed_in_next_7_days""",
     "impact_below_health": """SELECT count(*) AS assets, CAST(sum(downtime_impact_per_hour) AS DOUBLE) AS impact_per_hour
       FROM latest JOIN asset USING (asset_id) WHERE latest_health_score < 80""",

@@ -204,7 +204,20 @@ def calendar_of(wh: Warehouse, fact: str, day: str) -> DataFrame:
 
 
 def messages(conversations: DataFrame) -> DataFrame:
-    return conversations.selectExpr("conv_id AS conversation_id", "turn", "role", "text AS content")
+    """Messages with a clock and a backend worked out from the conversation number and the text length."""
+    n = "length(text)"
+    return conversations.selectExpr(
+        "conv_id AS conversation_id", "turn", "concat(conv_id, '-', turn) AS message_id",
+        "timestampadd(SECOND, cast(turn * 37 AS int), timestampadd(HOUR, cast(conv_id % 100000 AS int), "
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00')) AS timestamp", "role", "text AS content",
+        f"CASE WHEN role = 'assistant' THEN CASE WHEN {n} % 2 = 0 THEN 'agent' ELSE 'analyst' END END AS backend_used",
+        f"CASE WHEN role = 'assistant' THEN cast({n} % 5 * 100 AS bigint) END AS response_time_ms")
+
+
+def feedback(labels: DataFrame) -> DataFrame:
+    """Quality labels as ratings of the documents."""
+    return labels.selectExpr("doc_id AS message_id",
+                             "CASE WHEN quality = 1 AND toxic = 0 THEN 'positive' ELSE 'negative' END AS rating")
 
 
 def bind_sample(spark: SparkSession, sf_dir: str) -> Warehouse:
@@ -236,6 +249,7 @@ def bind_sample(spark: SparkSession, sf_dir: str) -> Warehouse:
         "agg_asset_hourly_health": lambda wh: hourly_health(wh["fct_asset_telemetry"]),
         "conversation_history": of("conversations", messages),
         "documents": of("documents", lambda df: df),
+        "feedback": of("labels", feedback),
     }
     time_columns = {
         **TIME_COLUMNS,

@@ -11,8 +11,11 @@ from plantpulse.schemas import RELATIONSHIPS, Relationship
 from plantpulse.warehouse import Warehouse
 
 
-def join_path(fact: str, dimension: str) -> list[Relationship]:
-    """Shortest chain of relationships from a fact to a dimension."""
+def join_path(fact: str, dimension: str, fact_columns: Sequence[str] | None = None) -> list[Relationship]:
+    """Shortest chain of relationships from a fact to a dimension.
+
+    With ``fact_columns`` given, only edges whose key the fact rows really have count.
+    """
     frontier: list[tuple[str, list[Relationship]]] = [(fact, [])]
     seen = {fact}
     while frontier:
@@ -20,6 +23,8 @@ def join_path(fact: str, dimension: str) -> list[Relationship]:
         if table == dimension:
             return path
         for edge in RELATIONSHIPS:
+            if table == fact and fact_columns is not None and edge.child_key not in fact_columns:
+                continue
             if edge.child == table and edge.parent not in seen:
                 seen.add(edge.parent)
                 frontier.append((edge.parent, [*path, edge]))
@@ -39,7 +44,7 @@ def star_join(wh: Warehouse, fact: str, columns: dict[str, Sequence[str]], rows:
     reached: set[str] = {fact}
     edges: list[Relationship] = []
     for table in columns:
-        for edge in join_path(fact, table):
+        for edge in join_path(fact, table, df.columns):
             if edge.parent not in reached:
                 reached.add(edge.parent)
                 edges.append(edge)

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantpulse.functions.dates import date_sk
 from plantpulse.functions.numeric import half_up, ratio_or_null, stddev_from_moments
 from plantpulse.operators.joins import place_assets, star_join
 from plantpulse.operators.latest import head_with_rest, top_rows
@@ -140,9 +141,10 @@ def probability_change(wh: Warehouse, first: tuple[Day, Day], second: tuple[Day,
                        half_up(two - one, 6).alias("change"))
 
 
-def predicted_failures(wh: Warehouse) -> DataFrame:
-    """Assets whose last observation day carries the failure label."""
-    labels = label_next_days(wh[TELEMETRY], wh["fct_service_log"])
+def predicted_failures(wh: Warehouse, on_day: Day) -> DataFrame:
+    """Assets whose last observation up to a day carries the failure label."""
+    labels = label_next_days(wh[TELEMETRY], wh["fct_service_log"]).filter(
+        F.col("observation_date_sk") <= date_sk(F.lit(str(on_day)).cast("date")))
     last = labels.groupBy("asset_id").agg(F.max("observation_date_sk").alias("observation_date_sk"),
                                           F.max_by("failed_in_next_7_days", "observation_date_sk").alias("flag"))
     return last.filter("flag").select("asset_id", "observation_date_sk")

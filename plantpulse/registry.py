@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plantpulse.bindings import (METRIC_EVENTS, OPERATIONS_TODAY, ROTATING_CLASS, TELEMETRY_NOW, TELEMETRY_TODAY,
                                  bind_sample)
 from plantpulse.plans import assets, gold, health, ingest
+from plantpulse.plans import conversations as conv
 from plantpulse.plans import maintenance as mnt
 from plantpulse.plans import production as prod
 from plantpulse.plans import questions as ask
@@ -189,7 +190,7 @@ QUESTIONS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "risk_trend_slope": lambda wh: ask.risk_trend_slope(wh, TELEMETRY_NOW),
     "probability_change": lambda wh: ask.probability_change(
         wh, ("2024-01-01", "2024-01-15"), ("2024-01-16", "2024-01-30")),
-    "predicted_failures": ask.predicted_failures,
+    "predicted_failures": lambda wh: ask.predicted_failures(wh, "2024-01-20"),
     "impact_below_health": ask.impact_below_health,
     "cycles_of_failed": ask.cycles_of_failed,
     "impact_risk_by_plant": ask.impact_risk_by_plant,
@@ -198,7 +199,24 @@ QUESTIONS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "result_top10": ask.result_top10,
 }
 
-GROUPS = (PRODUCTION, HEALTH, ASSETS, GOLD, MAINTENANCE, QUESTIONS)
+MESSAGES = "conversation_history"
+
+CONVERSATIONS: dict[str, Callable[[Warehouse], DataFrame]] = {
+    "conv_analytics": lambda wh: conv.conversation_analytics(wh[MESSAGES]),
+    "conv_backends": lambda wh: conv.backend_distribution(wh[MESSAGES]),
+    "conv_alternating": lambda wh: conv.alternating_roles(
+        wh[MESSAGES].select("conversation_id", "turn", "role", "content"), F.col("turn") % 3 != 1),
+    "conv_context": lambda wh: conv.context_window(wh[MESSAGES], max_messages=4, max_tokens=200),
+    "response_type": lambda wh: conv.response_types(wh[MESSAGES]),
+    "response_type_documents": lambda wh: conv.response_type_counts(wh["documents"], "text", ["lang"]),
+    "feedback_summary": lambda wh: conv.feedback_summary(wh["feedback"], wh["documents"]),
+    "conv_export_rows": lambda wh: conv.export_rows(wh[MESSAGES]),
+    "conv_export": lambda wh: conv.conversation_export(wh[MESSAGES]),
+    "last_user_message": lambda wh: conv.last_user_message(wh[MESSAGES]),
+    "last_messages": lambda wh: conv.last_messages(wh[MESSAGES], 2),
+}
+
+GROUPS = (PRODUCTION, HEALTH, ASSETS, GOLD, MAINTENANCE, QUESTIONS, CONVERSATIONS)
 
 
 def queries() -> dict[str, Query]:

@@ -33,6 +33,7 @@ EQUIPMENT_FIELDS = {
 }
 
 _REJECT = "reject_reason"
+_CORRUPT = "_corrupt_record"
 
 
 def stamp_ingestion(df: DataFrame) -> DataFrame:
@@ -46,23 +47,24 @@ def parse_variant(df: DataFrame, payload: str, into: str = "document") -> DataFr
 
 def _parse(raw: DataFrame, payload: str, fields: dict[str, tuple[str, str]], required: tuple[str, ...],
            keep: tuple[str, ...]) -> DataFrame:
-    """One projection: parse the text once, read each field with a tolerant cast, name the first fault.
+    """Parse the text once, cast each field tolerantly, name the first fault of the row.
 
-    Parsing goes through VARIANT rather than a fixed struct, so a field of the wrong type
-    nulls only itself and the row can say which field was at fault.
+    Fields are read as text and then ``try_cast``, so a value of the wrong type nulls only
+    itself and the row can say which field was at fault.
     """
-    doc = F.col("__doc")
+    schema = ", ".join(f"{json_name} STRING" for json_name, _ in fields.values()) + f", {_CORRUPT} STRING"
+    doc = F.from_json(F.col(payload), schema, {"columnNameOfCorruptRecord": _CORRUPT})
     typed: list[Column] = []
-    faults = F.when(doc.isNull(), F.lit("not json"))
+    faults = F.when(F.col("__doc").isNull() | F.col(f"__doc.{_CORRUPT}").isNotNull(), F.lit("not json"))
     for name, (json_name, type_name) in fields.items():
-        typed.append(F.try_variant_get(doc, f"$.{json_name}", type_name).alias(name))
-    for name, (json_name, type_name) in fields.items():
-        text = F.try_variant_get(doc, f"$.{json_name}", "STRING")
-        value = F.try_variant_get(doc, f"$.{json_name}", type_name)
+        text = F.col(f"__doc.{json_name}")
+        value = text.try_cast(type_name)
+        typed.append(value.alias(name))
         if name in required:
             faults = faults.when(text.isNull(), F.lit(f"missing {json_name}"))
-        faults = faults.when(text.isNotNull() & value.isNull(), F.lit(f"wrong type {json_name}"))
-    return (raw.withColumn("__doc", F.try_parse_json(F.col(payload)))
+        if type_name != "STRING":
+            faults = faults.when(text.isNotNull() & value.isNull(), F.lit(f"wrong type {json_name}"))
+    return (raw.withColumn("__doc", doc)
             .select(*[F.col(c) for c in keep], F.col(payload), *typed, faults.alias(_REJECT)))
 
 
