@@ -67,3 +67,7 @@ SQL: dict[str, str] = {
     "line_revenue": f"""SELECT line_name, CAST(hourly_revenue AS DOUBLE) AS hourly_revenue,
       {r(f"CAST({_A} AS DOUBLE) * CAST(hourly_revenue AS DOUBLE)", 2)} AS revenue {_PLACED} GROUP BY line_name, hourly_revenue""",
 }
+
+SQL["oee_by_plant_python"] = SQL["oee_by_plant"]
+SQL["health_band_python"] = """SELECT asset_id, CASE WHEN latest_health_score >= 90 THEN 'excellent'
+  WHEN latest_health_score >= 75 THEN 'attention' ELSE 'immediate' END AS health_band FROM latest"""

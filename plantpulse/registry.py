@@ -14,6 +14,9 @@ from plantpulse.plans import conversations as conv
 from plantpulse.plans import maintenance as mnt
 from plantpulse.plans import production as prod
 from plantpulse.plans import questions as ask
+from plantpulse.functions.python_functions import health_band_udf, oee_by_group
+from plantpulse.plans.learning import failure_scores
+from plantpulse.streaming.sample import STREAMS
 from plantpulse.warehouse import Warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,8 +219,24 @@ CONVERSATIONS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "last_messages": lambda wh: conv.last_messages(wh[MESSAGES], 2),
 }
 
-GROUPS = (PRODUCTION, HEALTH, ASSETS, GOLD, MAINTENANCE, QUESTIONS, CONVERSATIONS)
+
+
+def _oee_in_python(wh: Warehouse) -> DataFrame:
+    daily = prod.by_place(wh, wh["fct_production_log"], ["plant_name"], ["production_date"])
+    return oee_by_group(daily.select("plant_name", *[
+        F.col(c).cast("double").alias(n) for c, n in zip(prod.SUMS, ("planned", "actual", "produced", "scrapped"))]))
+
+
+PYTHON: dict[str, Callable[[Warehouse], DataFrame]] = {
+    "oee_by_plant_python": _oee_in_python,
+    "health_band_python": lambda wh: health.latest_health(wh).select(
+        "asset_id", health_band_udf()(F.col("latest_health_score").cast("double")).alias("health_band")),
+    "failure_scores": lambda wh: failure_scores(gold.feature_store(wh), 20240120),
+}
+
+GROUPS = (PRODUCTION, HEALTH, ASSETS, GOLD, MAINTENANCE, QUESTIONS, CONVERSATIONS, PYTHON)
 
 
 def queries() -> dict[str, Query]:
-    return {name: _on_sample(plan) for group in GROUPS for name, plan in group.items()}
+    batch = {name: _on_sample(plan) for group in GROUPS for name, plan in group.items()}
+    return {**batch, **STREAMS}
