@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +11,11 @@ from plantpulse.schemas import RELATIONSHIPS, Relationship
 from plantpulse.warehouse import Warehouse
 
 
-def join_path(fact: str, dimension: str, fact_columns: Sequence[str] | None = None) -> list[Relationship]:
+def join_path(fact: str, dimension: str,
+              columns_of: Callable[[str], Sequence[str]] | None = None) -> list[Relationship]:
     """Shortest chain of relationships from a fact to a dimension.
 
-    With ``fact_columns`` given, only edges whose key the fact rows really have count.
+    With ``columns_of`` given, only edges whose key the child rows really have count.
     """
     frontier: list[tuple[str, list[Relationship]]] = [(fact, [])]
     seen = {fact}
@@ -23,9 +24,9 @@ def join_path(fact: str, dimension: str, fact_columns: Sequence[str] | None = No
         if table == dimension:
             return path
         for edge in RELATIONSHIPS:
-            if table == fact and fact_columns is not None and edge.child_key not in fact_columns:
+            if edge.child != table or edge.parent in seen:
                 continue
-            if edge.child == table and edge.parent not in seen:
+            if columns_of is None or edge.child_key in columns_of(table):
                 seen.add(edge.parent)
                 frontier.append((edge.parent, [*path, edge]))
     raise ValueError(f"no relationship leads from {fact} to {dimension}")
@@ -44,7 +45,7 @@ def star_join(wh: Warehouse, fact: str, columns: dict[str, Sequence[str]], rows:
     reached: set[str] = {fact}
     edges: list[Relationship] = []
     for table in columns:
-        for edge in join_path(fact, table, df.columns):
+        for edge in join_path(fact, table, lambda t: df.columns if t == fact else wh[t].columns):
             if edge.parent not in reached:
                 reached.add(edge.parent)
                 edges.append(edge)
