@@ -8,7 +8,7 @@ _P, _A, _U, _S = "sum(planned)", "sum(actual)", "sum(produced)", "sum(scrapped)"
 _OEE = f"{div(_A, _P)} * 0.95e0 * {div(f'{_U} - {_S}', _U)}"
 _FIGURES = (f"{r(div(_A, _P), 6)} AS availability, 0.95e0 AS performance, "
             f"{r(div(f'{_U} - {_S}', _U), 6)} AS quality, {r(_OEE, 6)} AS oee")
-_SUMS = (f"CAST({_P} AS DOUBLE) AS planned_runtime_hours, CAST({_A} AS DOUBLE) AS actual_runtime_hours, "
+_SUMS = (f"{r(_P, 4)} AS planned_runtime_hours, {r(_A, 4)} AS actual_runtime_hours, "
          f"CAST({_U} AS BIGINT) AS units_produced, CAST({_S} AS BIGINT) AS units_scrapped")
 _PLACED = "FROM production JOIN machine_placed USING (asset_id)"
 

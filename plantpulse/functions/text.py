@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The keyword classes, tried in this order.
@@ -13,20 +13,30 @@ DATA_MARK = "\U0001F4CA"
 
 
 def _has_any(text: Column, words: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for word in words:
+    hit = text.contains(words[0])
+    for word in words[1:]:
         hit = hit | text.contains(word)
     return hit
 
 
-def response_type(text: Column) -> Column:
-    low = F.lower(text)
+def response_class(low: Column, text: Column) -> Column:
+    """Class of a text given beside its lower-case form."""
     return (F.when(_has_any(low, ERROR_WORDS), "error")
             .when(_has_any(low, ACTION_WORDS), "action")
             .when(_has_any(low, DATA_WORDS) | text.contains(DATA_MARK), "data")
             .otherwise("assistant"))
 
 
+def with_response_type(df: DataFrame, text: str, into: str = "response_type") -> DataFrame:
+    """Adds the response class of a text column.
+
+    Lower-casing is a projection of its own: inside the branches it would be repeated
+    for every keyword.
+    """
+    low = df.withColumn("__low", F.lower(F.col(text)))
+    return low.withColumn(into, response_class(F.col("__low"), F.col(text))).drop("__low")
+
+
 def path_level(path: Column, level: int) -> Column:
     """Segment ``level`` (0-based) of a slash path, NULL when the path is shorter."""
     return F.try_element_at(F.split(path, "/"), F.lit(level + 1))

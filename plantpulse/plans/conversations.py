@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.functions.dates import minutes_between
 from plantpulse.functions.numeric import half_up, ratio
-from plantpulse.functions.text import response_type
+from plantpulse.functions.text import with_response_type
 from plantpulse.operators.latest import first_rows
 from plantpulse.operators.ordered import lead_in_pieces, number_in_pieces
 from plantpulse.operators.shape import gather_chunks
@@ -103,12 +103,13 @@ def context_window(messages: DataFrame, max_messages: int = 20, max_tokens: int
 
 def response_types(messages: DataFrame) -> DataFrame:
     """Class of every assistant message."""
-    return messages.filter(F.col("role") == "assistant").select(
-        *KEY, "turn", response_type(F.col("content")).alias("response_type"))
+    replies = messages.filter(F.col("role") == "assistant").select(*KEY, "turn", "content")
+    return with_response_type(replies, "content").drop("content")
 
 
 def response_type_counts(texts: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    return texts.groupBy(*keys, response_type(F.col(text)).alias("response_type")).agg(F.count(F.lit(1)).alias("texts"))
+    typed = with_response_type(texts.select(*keys, text), text)
+    return typed.groupBy(*keys, "response_type").agg(F.count(F.lit(1)).alias("texts"))
 
 
 def feedback_summary(feedback: DataFrame, documents: DataFrame) -> DataFrame:

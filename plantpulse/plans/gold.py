@@ -12,6 +12,7 @@ from plantpulse.functions.dates import as_ntz, date_sk, hour_start
 from plantpulse.functions.numeric import half_up, mean_of, ratio_or_null, stddev_from_moments
 from plantpulse.operators import trailing
 from plantpulse.operators.latest import latest_per_key
+from plantpulse.sources.shared import materialise
 from plantpulse.warehouse import Warehouse
 
 OBSERVED_HEALTH_DEFAULT = 95
@@ -80,35 +81,25 @@ def label_next_days(telemetry: DataFrame, service: DataFrame, days: int = 7) ->
         trailing.happens_within("had_failure", days).alias("failed_in_next_7_days"))).drop("is_observed")
 
 
-def feature_rows(telemetry: DataFrame, service: DataFrame) -> DataFrame:
+def feature_rows(axis: DataFrame) -> DataFrame:
     """All features of an asset-day from one partitioning by asset."""
-    axis = trailing.observation_axis(telemetry, service)
-    features = axis.select(
-        "asset_id", "observation_date", "is_observed", "day_health", "had_failure",
+    return axis.select(
+        "asset_id", "observation_date", "is_observed", "day_health",
         trailing.mean_temperature(1).alias("avg_temp_last_24h"),
         trailing.vibration_spread(7).alias("vibration_stddev_7d"),
         trailing.pressure_trend(7).alias("pressure_trend_7d"),
         trailing.days_since("had_pm").alias("days_since_last_pm"),
         trailing.days_since("had_failure").alias("days_since_last_failure"),
         trailing.happens_within("had_failure", 7).alias("failed_in_next_7_days"))
-    return features
 
 
-def oem_failure_rate(telemetry: DataFrame, service: DataFrame, assets: DataFrame) -> DataFrame:
+def oem_failure_rate(axis: DataFrame, assets: DataFrame) -> DataFrame:
     """Measured failure rate of a maker: failure days per observed asset-day before the day.
 
     Counted per (maker, day) first, so the running sum orders one row per calendar day.
     """
-    seen = telemetry.select("asset_id", F.to_date("recorded_at").alias("observation_date")).distinct() \
-        .withColumn("obs", F.lit(1))
-    failed = (service.filter("failure_flag")
-              .select("asset_id", F.col("completed_date").alias("observation_date")).distinct()
-              .withColumn("fail", F.lit(1)))
-    by_day = (seen.unionByName(failed, allowMissingColumns=True)
-              .groupBy("asset_id", "observation_date").agg(F.sum("obs").alias("obs"), F.sum("fail").alias("fail"))
-              .join(assets.select("asset_id", "oem_name"), "asset_id")
-              .groupBy("oem_name", "observation_date")
-              .agg(F.coalesce(F.sum("obs"), F.lit(0)).alias("obs"), F.coalesce(F.sum("fail"), F.lit(0)).alias("fail")))
+    by_day = (axis.join(assets.select("asset_id", "oem_name"), "asset_id").groupBy("oem_name", "observation_date")
+              .agg(F.count_if("is_observed").alias("obs"), F.count_if("had_failure").alias("fail")))
     before = (Window.partitionBy("oem_name").orderBy("observation_date")
               .rowsBetween(Window.unboundedPreceding, -1))
     return by_day.select("oem_name", "observation_date", half_up(
@@ -116,11 +107,15 @@ def oem_failure_rate(telemetry: DataFrame, service: DataFrame, assets: DataFrame
 
 
 def feature_store(wh: Warehouse, service_table: str = "fct_service_log") -> DataFrame:
-    """The daily feature table: observation features, maker rate, downtime risk and label."""
-    telemetry, service = wh["fct_asset_telemetry"], wh[service_table]
+    """The daily feature table: observation features, maker rate, downtime risk and label.
+
+    The asset-day moments feed both the windows and the maker rate, so they are written
+    once: readings and work orders are scanned a single time.
+    """
+    axis = materialise(trailing.observation_axis(wh["fct_asset_telemetry"], wh[service_table]), "asset-days")
     assets = wh.current_assets().select("asset_id", "oem_name", "downtime_impact_per_hour")
-    rates = oem_failure_rate(telemetry, service, assets)
-    rows = trailing.observed_only(feature_rows(telemetry, service)).join(assets, "asset_id", "left") \
+    rates = oem_failure_rate(axis, assets)
+    rows = trailing.observed_only(feature_rows(axis)).join(assets, "asset_id", "left") \
         .join(rates, ["oem_name", "observation_date"], "left")
     health = F.coalesce(F.col("day_health").cast("decimal(5,2)"), F.lit(OBSERVED_HEALTH_DEFAULT).cast("decimal(5,2)"))
     risk = half_up(((F.lit(100).cast("decimal(5,2)") - health) * F.col("downtime_impact_per_hour")).cast("double"), 2)

@@ -414,6 +414,7 @@ def actual_runtime(wh: Warehouse) -> DataFrame:
     down = wh[LOG].groupBy("asset_id", F.col("completed_date").alias("day")).agg(
         F.sum("downtime_hours").alias("downtime"), F.max("failure_flag").alias("had_failure"))
     zero = F.lit(0).cast("decimal(15,1)")
+    planned = planned.withColumn("planned", F.col("planned").cast("decimal(18,4)"))
     joined = planned.join(down, ["asset_id", "day"], "left")
     left = F.col("planned") - F.coalesce("downtime", zero)
     return joined.select("asset_id", "day", F.col("planned").cast("double").alias("planned_hours"),

@@ -35,12 +35,16 @@ def by_place(wh: Warehouse, rows: DataFrame, place: Sequence[str], keys: Sequenc
     return summed(per_asset.join(placed, "asset_id"), [*place, *keys])
 
 
+def plain_sums() -> list[Column]:
+    """The sums for output: hours to four digits, whatever type they were summed in."""
+    return [half_up(F.col(c), 4).alias(c) for c in SUMS[:2]] + [F.col(c).cast("bigint").alias(c) for c in SUMS[2:]]
+
+
 def with_oee(sums: DataFrame, keys: Sequence[str], performance: float = bands.STANDARD_PERFORMANCE,
              keep_sums: bool = False) -> DataFrame:
     p, a, u, s = (F.col(c) for c in SUMS)
-    kept = [F.col(c).cast("double").alias(c) for c in SUMS[:2]] + [F.col(c).cast("bigint").alias(c) for c in SUMS[2:]]
     return sums.select(
-        *keys, *(kept if keep_sums else []), half_up(bands.availability(p, a), 6).alias("availability"),
+        *keys, *(plain_sums() if keep_sums else []), half_up(bands.availability(p, a), 6).alias("availability"),
         F.lit(performance).alias("performance"), half_up(bands.quality(u, s), 6).alias("quality"),
         half_up(bands.oee(p, a, u, s, performance), 6).alias("oee"))
 
@@ -79,8 +83,7 @@ def oee_daily_plant(wh: Warehouse, as_of: Day, days: int = 30) -> DataFrame:
 
 def plant_current(wh: Warehouse, as_of: Day, days: int = 7) -> DataFrame:
     sums = by_place(wh, wh.last_days("fct_production_log", as_of, days), ["plant_name"])
-    return sums.select("plant_name", *[F.col(c).cast("double").alias(c) for c in SUMS[:2]],
-                       *[F.col(c).cast("bigint").alias(c) for c in SUMS[2:]])
+    return sums.select("plant_name", *plain_sums())
 
 
 def kpi_oee_delta(wh: Warehouse, as_of: Day, days: int = 30) -> DataFrame:

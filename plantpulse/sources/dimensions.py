@@ -33,13 +33,21 @@ FAILURE_CODES = [
 ]
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """INSERT ... VALUES as a frame: a local relation whose size the planner knows."""
+    columns = [c.split()[0] for c in ddl.split(", ")]
+    types = [c.split()[1] for c in ddl.split(", ")]
+    values = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, c, t in zip(row, columns, types)]) for row in rows])
+    return spark.range(1).select(F.inline(values))
+
+
 def work_order_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(WORK_ORDER_TYPES, TABLES["dim_work_order_type"].ddl)
+    return literal_table(spark, WORK_ORDER_TYPES, TABLES["dim_work_order_type"].ddl)
 
 
 def failure_codes(spark: SparkSession) -> DataFrame:
     rows = [(*code, f"{code[2]}: {code[3]}") for code in FAILURE_CODES]
-    return spark.createDataFrame(rows, TABLES["dim_failure_code"].ddl)
+    return literal_table(spark, rows, TABLES["dim_failure_code"].ddl)
 
 
 def date_dimension(spark: SparkSession, start: dt.date | str, end: dt.date | str) -> DataFrame:

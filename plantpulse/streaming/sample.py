@@ -7,15 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.bindings import ROTATING_CLASS, bind_sample, telemetry
+from plantpulse.bindings import ROTATING_CLASS, SAMPLE_DDL, bind_sample, telemetry
 from plantpulse.plans.ingest import raw_telemetry_of
 from plantpulse.streaming import telemetry as streams
 
-EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.read_feed(spark, sf_dir, EVENTS_DDL, "events.parquet")
+    return streams.read_feed(spark, sf_dir, SAMPLE_DDL["events"], "events.parquet")
 
 
 def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,13 +18,9 @@ SAMPLE_TABLES = ("region nation customer supplier part orders lineitem events do
 
 
 def session() -> SparkSession:
-    spark = (SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]").appName("tests")
-             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false")
-             .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
-             .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
-    spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    from plantpulse.session import local_session
+
+    return local_session(os.environ.get("TEST_CPUS", "8"), "tests")
 
 
 def oracle(sf_dir: str) -> duckdb.DuckDBPyConnection:

@@ -83,8 +83,9 @@ def test_roi_and_risk(spark):
 def test_response_type_order(spark):
     rows = [("Request FAILED, work order created",), ("Work Order ready",), ("Query Results (3 rows)",), ("\U0001F4CA chart",),
             ("hello",), (None,)]
-    assert values(spark, rows, "t string", text.response_type(F.col("t"))) == [
-        "error", "action", "data", "data", "assistant", "assistant"]
+    df = text.with_response_type(spark.createDataFrame(rows, "t string"), "t")
+    assert df.columns == ["t", "response_type"]
+    assert [r.response_type for r in df.collect()] == ["error", "action", "data", "data", "assistant", "assistant"]
 
 
 def test_paths(spark):

@@ -169,7 +169,7 @@ def test_hourly_health_single_reading(spark):
 def test_hot_asset_is_reduced_before_the_window(spark):
     """Raw readings may not reach a window partitioned by asset."""
     tel = readings(spark, [(1, t(0), 1, 1, 1)])
-    plan = gold.feature_rows(tel, spark.createDataFrame([], SERVICE))._jdf.queryExecution().executedPlan().toString()
+    plan = gold.feature_rows(trailing.observation_axis(tel, spark.createDataFrame([], SERVICE)))._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "hashpartitioning(" in line]
     by_day = [line for line in exchanges if "observation_date" in line or "_groupingexpression" in line or "completed_date" in line]
     assert len(exchanges) == 3 and len(by_day) == 2  # one per daily reduction, one by asset for all windows
