@@ -78,11 +78,8 @@ def asset_class(spark: SparkSession) -> DataFrame:
 
 def process(nation: DataFrame) -> DataFrame:
     """Five processes per line, one for each asset class."""
-    steps = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("n"), F.lit(name).alias("name"), F.lit(kind).alias("kind"))
-        for n, name, kind in ASSET_CLASSES
-    ])).alias("s")
-    return nation.select("n_nationkey", "n_name", steps).selectExpr(
+    steps = ", ".join(f"named_struct('n', {n}, 'name', '{name}', 'kind', '{kind}')" for n, name, kind in ASSET_CLASSES)
+    return nation.selectExpr("n_nationkey", "n_name", f"explode(array({steps})) AS s").selectExpr(
         "n_nationkey * 10 + s.n AS process_id", "concat('proc_', n_nationkey * 10 + s.n) AS process_nk",
         "concat(n_name, ' ', s.name) AS process_name", "s.kind AS process_type", "n_nationkey AS line_id",
         "lower(concat(n_name, '/', s.name)) AS process_path", "s.name AS description", "true AS is_active")
@@ -127,11 +124,8 @@ def machine(supplier: DataFrame) -> DataFrame:
 
 def sensor(assets: DataFrame) -> DataFrame:
     """Three sensors per asset."""
-    kinds = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(t).alias("t"), F.lit(u).alias("u"))
-        for i, (t, u) in enumerate(SENSOR_TYPES)
-    ])).alias("k")
-    return assets.select("asset_id", "asset_nk", "asset_path", kinds).selectExpr(
+    kinds = ", ".join(f"named_struct('i', {i}, 't', '{t}', 'u', '{u}')" for i, (t, u) in enumerate(SENSOR_TYPES))
+    return assets.selectExpr("asset_id", "asset_nk", "asset_path", f"explode(array({kinds})) AS k").selectExpr(
         "asset_id * 3 + k.i AS sensor_sk", "concat(asset_nk, '_', lower(k.t)) AS sensor_nk", "asset_id",
         "k.t AS sensor_type", "k.u AS units_of_measure", "concat(asset_path, '/', lower(k.t)) AS sensor_path")
 

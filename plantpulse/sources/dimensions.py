@@ -33,12 +33,20 @@ FAILURE_CODES = [
 ]
 
 
+def _sql_literal(value: object) -> str:
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
-    """INSERT ... VALUES as a frame: a local relation whose size the planner knows."""
-    columns = [c.split()[0] for c in ddl.split(", ")]
-    types = [c.split()[1] for c in ddl.split(", ")]
-    values = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, c, t in zip(row, columns, types)]) for row in rows])
-    return spark.range(1).select(F.inline(values))
+    """INSERT ... VALUES as a frame: a local relation whose size the planner knows.
+
+    For the fixed code tables of this module; values are numbers and strings.
+    """
+    columns = [c.split() for c in ddl.split(", ")]
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+    names = ", ".join(name for name, _ in columns)
+    typed = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in columns)
+    return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({names})")
 
 
 def work_order_types(spark: SparkSession) -> DataFrame:
