@@ -118,6 +118,10 @@ SQL: dict[str, str] = {
         printf('%.1f%%', coalesce(CAST(failure_probability AS DOUBLE), 0.05e0) * 100) AS failure_text,
         '$' || format('{{:,.0f}}', CAST(downtime_impact_per_hour AS DOUBLE)) || '/hr' AS cost_text,
         coalesce(rul_days, 180) AS rul_days FROM y""",
+    "rule_scores": f""", x AS (SELECT telemetry_id, date_diff('day', DATE '2023-09-01', d) AS days,
+        {r("greatest(70e0, least(100e0, 100e0 - date_diff('day', DATE '2023-09-01', d) * 0.15e0 - hour(recorded_at) * 0.1e0 - coalesce(CAST(temperature_c AS DOUBLE) / 100e0, 0e0)))")} AS h FROM telemetry)
+      SELECT telemetry_id, h AS rule_health, {r("least(0.95e0, greatest(0.01e0, (100e0 - h) / 400e0))")} AS rule_probability,
+        greatest(1, CAST(floor(400e0 - days * 0.8e0 + 0.5e0) AS INTEGER)) AS rule_rul_days FROM x""",
     "anomaly_flags": """SELECT telemetry_id, asset_id, recorded_at, CAST(health_score AS DOUBLE) AS health_score,
       CAST(vibration_mm_s AS DOUBLE) AS vibration_mm_s, class_name = 'MACHINERY' AS rotating FROM telemetry JOIN placed USING (asset_id)
       WHERE health_score < 80 OR (class_name = 'MACHINERY' AND vibration_mm_s > 1.2)""",

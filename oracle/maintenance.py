@@ -49,7 +49,7 @@ SQL: dict[str, str] = {
     "prevention_ratio": f""", x AS (SELECT technician_id, technician_name, count(*) FILTER (wo_type_id = 3) AS preventive,
         count(*) FILTER (wo_type_id = 1) AS emergency {_TECH} GROUP BY 1, 2),
       y AS (SELECT *, {r("CAST(preventive AS DOUBLE) / nullif(emergency, 0)", 6)} AS prevention_ratio FROM x)
-      SELECT *, row_number() OVER (ORDER BY prevention_ratio DESC NULLS LAST, technician_id) AS rank_no FROM y""",
+      SELECT * FROM y ORDER BY prevention_ratio DESC NULLS LAST, technician_id LIMIT 10""",
     "emergency_orders": f"SELECT count(*) AS orders FROM maintenance WHERE wo_type_id = 1 AND {_last(30)}",
     "downtime_by_type": f"""SELECT wo_type_name, {r(div("sum(downtime_hours)", "count(*)"), 4)} AS mean_downtime
       FROM maintenance JOIN wo_type USING (wo_type_id) GROUP BY 1""",

@@ -73,24 +73,48 @@ def latest_prediction(wh: Warehouse, asset_ids: list[int] | None = None) -> Data
                        "is_anomalous")
 
 
+def latest_state(wh: Warehouse) -> DataFrame:
+    """Last value of every metric and last prediction per asset, in one pass over the readings."""
+    stamp = {c: F.when(F.col(c).isNotNull(), F.col("recorded_at")) for c in METRICS}
+    packed = wh["fct_asset_telemetry"].groupBy("asset_id").agg(
+        *[F.max_by(F.col(c), at).cast("double").alias(c) for c, at in stamp.items()],
+        F.max_by(F.struct(*PREDICTION), F.struct("recorded_at", "telemetry_id")).alias("p"))
+    return packed.select("asset_id", *METRICS, F.col("p.health_score").cast("double").alias("health_score"),
+                         F.col("p.failure_probability").cast("double").alias("failure_probability"),
+                         F.col("p.rul_days").alias("rul_days"), F.col("p.is_anomalous").alias("is_anomalous"))
+
+
 def sensor_status(wh: Warehouse) -> DataFrame:
     """Latest reading per asset and sensor type with its band."""
     long = unpivot_metrics(latest_telemetry(wh), ["asset_id"], METRICS)
     return long.withColumn("status", bands.sensor_status(F.col("sensor_type"), F.col("value")))
 
 
+def _status_columns() -> list[Column]:
+    """Page figures of an asset; what is missing takes the page defaults."""
+    health = F.coalesce(F.col("health_score") / 100, F.lit(bands.DEFAULT_HEALTH_01))
+    cost = F.coalesce(F.col("downtime_impact_per_hour").cast("double"), F.lit(float(bands.DEFAULT_DOWNTIME_COST)))
+    return [half_up(health, 4).alias("health_score01"), bands.asset_status(health, F.col("is_anomalous")).alias("status"),
+            bands.health_colour(health).alias("colour"),
+            percent_text(F.coalesce("failure_probability", F.lit(bands.DEFAULT_PROBABILITY))).alias("failure_text"),
+            hourly_cost_text(cost).alias("cost_text"),
+            F.coalesce("rul_days", F.lit(bands.DEFAULT_RUL_DAYS)).alias("rul_days")]
+
+
 def asset_status(wh: Warehouse) -> DataFrame:
-    """Status of every current asset; assets without telemetry take the page defaults."""
+    """Status of every current asset, with or without telemetry."""
     assets = wh.current_assets().select("asset_id", "downtime_impact_per_hour")
-    rows = assets.join(latest_prediction(wh), "asset_id", "left")
-    health = F.coalesce(F.col("health_score") / 100, F.lit(bands.DEFAULT_HEALTH_01))
-    return rows.select(
-        "asset_id", half_up(health, 4).alias("health_score01"), bands.asset_status(health, F.col("is_anomalous")).alias("status"),
-        bands.health_colour(health).alias("colour"),
-        percent_text(F.coalesce("failure_probability", F.lit(bands.DEFAULT_PROBABILITY))).alias("failure_text"),
-        hourly_cost_text(F.coalesce(F.col("downtime_impact_per_hour").cast("double"), F.lit(float(bands.DEFAULT_DOWNTIME_COST))))
-        .alias("cost_text"),
-        F.coalesce("rul_days", F.lit(bands.DEFAULT_RUL_DAYS)).alias("rul_days"))
+    return assets.join(latest_prediction(wh), "asset_id", "left").select("asset_id", *_status_columns())
+
+
+def rule_scores(wh: Warehouse, installed: dt.date | str) -> DataFrame:
+    """Rule-based health, probability and life of every reading, by days since a start and hour of day."""
+    days = F.datediff("recorded_at", F.lit(str(installed)).cast("date"))
+    load = F.coalesce(F.col("temperature_c").cast("double") / 100.0, F.lit(0.0))
+    scored = wh["fct_asset_telemetry"].select(
+        "telemetry_id", days.alias("days"), bands.rule_health_score(days, F.hour("recorded_at"), load).alias("rule_health"))
+    return scored.select("telemetry_id", "rule_health", bands.rule_failure_probability(F.col("rule_health")).alias("rule_probability"),
+                         bands.rule_rul_days(F.col("days")).alias("rule_rul_days"))
 
 
 def anomaly_flags(wh: Warehouse, rotating_class: str) -> DataFrame:
@@ -133,25 +157,37 @@ def latest_reading_per_sensor(wh: Warehouse) -> DataFrame:
     return last.join(sensors, ["asset_id", "sensor_type"]).select("sensor_sk", "sensor_type", "recorded_at", "value")
 
 
+def _recent_long(wh: Warehouse, as_of: dt.datetime | str, hours: int) -> DataFrame:
+    return unpivot_metrics(wh.last_hours("fct_asset_telemetry", as_of, hours), ["asset_id"], METRICS)
+
+
+def _with_sensor(wh: Warehouse, per_sensor: DataFrame) -> DataFrame:
+    """Sensor key for rows already reduced to one per (asset, sensor type)."""
+    return per_sensor.join(wh["dim_sensor"].select("sensor_sk", "asset_id", "sensor_type"), ["asset_id", "sensor_type"])
+
+
 def out_of_range(wh: Warehouse, as_of: dt.datetime | str, hours: int = 24) -> DataFrame:
     """Sensors with readings outside the normal band in the last hours."""
-    rows = _long_readings(wh, wh.last_hours("fct_asset_telemetry", as_of, hours))
-    flagged = rows.withColumn("status", bands.sensor_status(F.col("sensor_type"), F.col("value"))).filter("status <> 'normal'")
-    return flagged.groupBy("sensor_sk", "sensor_type").agg(
+    rows = _recent_long(wh, as_of, hours).withColumn("status", bands.sensor_status(F.col("sensor_type"), F.col("value")))
+    counts = rows.filter("status <> 'normal'").groupBy("asset_id", "sensor_type").agg(
         F.count(F.lit(1)).alias("readings"), F.count_if(F.col("status") == "critical").alias("critical_readings"))
+    return _with_sensor(wh, counts).select("sensor_sk", "sensor_type", "readings", "critical_readings")
 
 
-def hot_sensors(wh: Warehouse, as_of: dt.datetime | str, above: float = 70, hours: int = 168) -> DataFrame:
-    """How many temperature sensors read above a bound, exactly and by sketch."""
-    rows = _long_readings(wh, wh.last_hours("fct_asset_telemetry", as_of, hours))
+def _hot(wh: Warehouse, as_of: dt.datetime | str, above: float, hours: int) -> DataFrame:
+    rows = _recent_long(wh, as_of, hours)
     hot = rows.filter((F.col("sensor_type") == "Temperature") & (F.col("value") > above))
-    return hot.agg(F.countDistinct("sensor_sk").alias("sensors"))
+    return _with_sensor(wh, hot.select("asset_id", "sensor_type").distinct())
+
+
+def hot_sensors(wh: Warehouse, as_of: dt.datetime | str, above: float = 70, hours: int = 168) -> DataFrame:
+    """How many temperature sensors read above a bound."""
+    return _hot(wh, as_of, above, hours).agg(F.countDistinct("sensor_sk").alias("sensors"))
 
 
 def hot_sensors_approx(wh: Warehouse, as_of: dt.datetime | str, above: float = 70, hours: int = 168) -> DataFrame:
-    rows = _long_readings(wh, wh.last_hours("fct_asset_telemetry", as_of, hours))
-    hot = rows.filter((F.col("sensor_type") == "Temperature") & (F.col("value") > above))
-    return hot.agg(F.approx_count_distinct("sensor_sk", 0.01).alias("sensors"))
+    """The same by sketch, for counts where a few percent do not matter."""
+    return _hot(wh, as_of, above, hours).agg(F.approx_count_distinct("sensor_sk", 0.01).alias("sensors"))
 
 
 def anomaly_sessions(wh: Warehouse, gap_minutes: int = 720) -> DataFrame:
@@ -194,12 +230,12 @@ def path_levels(wh: Warehouse) -> DataFrame:
 
 def _asset_documents(wh: Warehouse, plant_name: str | None, line_name: str | None) -> DataFrame:
     """One nested asset document per asset, sensors inside (three at most)."""
-    placed = place_assets(wh.current_assets(), wh, ["plant_name", "line_name", "process_id", "process_name", "asset_name"])
+    place = ["plant_name", "line_name", "process_id", "process_name"]
+    placed = place_assets(wh.current_assets(), wh, [*place, "asset_name", "downtime_impact_per_hour"])
     if plant_name is not None:
         placed = placed.filter(F.col("plant_name") == plant_name)
     if line_name is not None:
         placed = placed.filter(F.col("line_name") == line_name)
-    readings = latest_telemetry(wh)
     sensor = [
         F.when(F.col(c).isNotNull(), F.struct(
             F.concat(F.lit("sensor_"), F.col("asset_id").cast("string"), F.lit("_" + SUFFIX[t])).alias("id"),
@@ -207,8 +243,8 @@ def _asset_documents(wh: Warehouse, plant_name: str | None, line_name: str | Non
             bands.sensor_status(F.lit(t), F.col(c)).alias("status")))
         for c, t in METRICS.items()
     ]
-    status = asset_status(wh)
-    rows = placed.join(readings, "asset_id", "left").join(status, "asset_id", "left")
+    rows = placed.join(latest_state(wh), "asset_id", "left").select(
+        "asset_id", "asset_name", *place, *METRICS, *_status_columns())
     document = F.struct(
         F.concat(F.lit("asset_"), F.col("asset_id").cast("string")).alias("id"), F.col("asset_name").alias("name"),
         F.lit("asset").alias("type"), F.col("health_score01").alias("healthScore"), "status",

@@ -65,39 +65,49 @@ def alternating_roles(messages: DataFrame, has_reply: Column) -> DataFrame:
     return ahead.filter(F.col("__next").isNull() | (F.col("__next") != F.col("role"))).drop("__next")
 
 
+def _window_plan(messages: DataFrame, keep: int, max_messages: int, max_tokens: int) -> DataFrame:
+    """Per conversation: is it cut, where head and tail are, how many questions fall between.
+
+    The questions between are all questions less those in head and tail, so no middle
+    rows are gathered to count them.
+    """
+    is_user = F.col("role") == "user"
+    size = messages.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(F.length(F.coalesce("content", F.lit("")))).alias("__chars"),
+        F.count_if(is_user).alias("__users"), F.min("turn").alias("__first"),
+        F.min_by("role", "turn").alias("__first_role"))
+    tails = first_rows(messages.select(*KEY, "turn", "role"), KEY, [F.col("turn").desc()], keep).groupBy(*KEY).agg(
+        F.min("turn").alias("__tail"), F.count_if(is_user).alias("__tail_users"))
+    cut = (F.col("__n") > max_messages) & (F.col("__chars").cast("double") / 4.0 >= max_tokens)
+    asked = F.col("__users") - F.col("__tail_users") - F.when(F.col("__first_role") == "user", 1).otherwise(0)
+    return size.join(tails, KEY).select(*KEY, "__n", "__first", "__tail", cut.alias("__cut"), asked.alias("__asked"))
+
+
 def context_window(messages: DataFrame, max_messages: int = 20, max_tokens: int = 8000) -> DataFrame:
     """Messages that fit the limits: whole conversations, or first + summary + last ones.
 
     A conversation is cut when it has more than ``max_messages`` messages and at least
-    ``max_tokens`` estimated tokens. Only bounded heads and tails of it are ordered.
+    ``max_tokens`` estimated tokens. Only bounded heads and tails of it are ordered, and
+    texts are collected only where at most ``SUMMARY_QUESTIONS`` of them exist.
     """
     keep = min(KEEP_LAST, max_messages - 1)
-    size = messages.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(F.length(F.coalesce("content", F.lit("")))).alias("__chars"),
-        F.min("turn").alias("__first"))
-    cut = (F.col("__n") > max_messages) & (F.col("__chars").cast("double") / 4.0 >= max_tokens)
-    tails = first_rows(messages.select(*KEY, "turn"), KEY, [F.col("turn").desc()], keep).groupBy(*KEY).agg(
-        F.min("turn").alias("__tail"))
-    plan = size.join(tails, KEY).withColumn("__cut", cut)
-    rows = messages.join(plan, KEY)
-    turn = F.col("turn")
-    kind = (F.when(~F.col("__cut"), "whole").when(turn == F.col("__first"), "first")
-            .when(turn >= F.col("__tail"), "recent").otherwise("middle"))
-    marked = rows.withColumn("part", kind)
-    kept = marked.filter(F.col("part") != "middle").select(*KEY, "part", turn, "role", "content")
-
-    asked = marked.filter((F.col("part") == "middle") & (F.col("role") == "user")).select(*KEY, turn, "content")
-    counts = asked.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__asked"))
-    texts = first_rows(asked, KEY, [turn], SUMMARY_QUESTIONS).groupBy(*KEY).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda m: m["content"]), "; ")
-        .alias("__texts"))
-    wording = (F.when(F.col("__asked").isNull(), F.lit(NO_HISTORY))
+    plan = _window_plan(messages, keep, max_messages, max_tokens)
+    turn, inside = F.col("turn"), (F.col("turn") > F.col("__first")) & (F.col("turn") < F.col("__tail"))
+    part = (F.when(~F.col("__cut"), "whole").when(turn == F.col("__first"), "first").otherwise("recent"))
+    kept = messages.join(plan, KEY).filter(~(F.col("__cut") & inside)).select(
+        *KEY, part.alias("part"), turn, "role", "content")
+
+    cut = plan.filter(F.col("__cut") & (F.col("__n") > keep + 1))
+    few = cut.filter(F.col("__asked").between(1, SUMMARY_QUESTIONS)).select(*KEY, "__first", "__tail")
+    asked = messages.filter(F.col("role") == "user").join(few, KEY).filter(inside)
+    texts = asked.groupBy(*KEY).agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda m: m["content"]), "; ").alias("__texts"))
+    wording = (F.when(F.col("__asked") == 0, F.lit(NO_HISTORY))
                .when(F.col("__asked") <= SUMMARY_QUESTIONS, F.concat(F.lit(PREVIOUS), F.col("__texts")))
                .otherwise(F.concat(F.lit(MANY_BEFORE), F.col("__asked").cast("string"), F.lit(MANY_AFTER))))
-    summaries = (plan.filter(F.col("__cut") & (F.col("__n") > keep + 1)).join(counts, KEY, "left").join(texts, KEY, "left")
-                 .select(*KEY, F.lit("summary").alias("part"), F.lit(None).cast("bigint").alias("turn"),
-                         F.lit("system").alias("role"),
-                         F.concat(F.lit(SUMMARY_BEFORE), wording, F.lit(SUMMARY_AFTER)).alias("content")))
+    summaries = cut.join(texts, KEY, "left").select(
+        *KEY, F.lit("summary").alias("part"), F.lit(None).cast("bigint").alias("turn"), F.lit("system").alias("role"),
+        F.concat(F.lit(SUMMARY_BEFORE), wording, F.lit(SUMMARY_AFTER)).alias("content"))
     return kept.unionByName(summaries)
 
 

@@ -145,13 +145,12 @@ def technician_type_matrix(wh: Warehouse) -> DataFrame:
     return counts.join(wh["dim_technician"].select("technician_id", "technician_name"), "technician_id")
 
 
-def prevention_ratio(wh: Warehouse) -> DataFrame:
-    """Preventive over emergency orders per technician, best first; NULL without an emergency."""
+def prevention_ratio(wh: Warehouse, limit: int = 10) -> DataFrame:
+    """Technicians with the most preventive per emergency order; NULL without an emergency."""
     rate = _per_technician(wh, wh[LOG]).select(
         "technician_id", "technician_name", "preventive", "emergency",
         half_up(ratio_or_null(F.col("preventive"), F.col("emergency")), 6).alias("prevention_ratio"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("prevention_ratio").desc_nulls_last(), F.col("technician_id"))
-    return rate.withColumn("rank_no", F.row_number().over(w).cast("bigint"))
+    return top_rows(rate, [F.col("prevention_ratio").desc_nulls_last(), F.col("technician_id")], limit)
 
 
 # Types, places, periods --------------------------------------------------------------------
@@ -326,10 +325,11 @@ def bill_of_parts(wh: Warehouse, rules: DataFrame, materials_per_rule: int = 4)
     need = wh[LOG].select("log_id", "asset_id", "wo_type_id", (F.lit(5) - F.col("wo_type_id")).alias("parts"))
     rows = repeat_rows(need, "parts", "part_no").withColumn(
         "slot", ((F.col("asset_id") + F.col("part_no")) % materials_per_rule).cast("int"))
-    picked = rows.join(F.broadcast(rules), ["wo_type_id", "slot"])
-    priced = picked.join(wh["dim_material"].select("material_id", "unit_cost"), "material_id")
-    return priced.select("log_id", "part_no", "material_id", F.col("quantity").cast("bigint").alias("quantity"),
-                         (F.col("quantity") * F.col("unit_cost")).cast("double").alias("total_cost"))
+    prices = wh["dim_material"].select("material_id", "unit_cost")
+    priced = prices.join(F.broadcast(rules), "material_id")  # at most one row per rule
+    return rows.join(F.broadcast(priced), ["wo_type_id", "slot"]).select(
+        "log_id", "part_no", "material_id", F.col("quantity").cast("bigint").alias("quantity"),
+        (F.col("quantity") * F.col("unit_cost")).cast("double").alias("total_cost"))
 
 
 def parts_rules(spark: SparkSession, materials_per_rule: int = 4) -> DataFrame:

@@ -38,13 +38,10 @@ def health_by_oem(wh: Warehouse, as_of: Now, days: int = 30) -> DataFrame:
 
 def weak_assets(wh: Warehouse) -> DataFrame:
     """Assets whose latest health is below and probability above the fleet's average."""
-    latest = latest_health(wh)
-    fleet = latest.agg(F.avg(F.col("latest_health_score").cast("double")).alias("h"),
-                       F.avg(F.col("avg_failure_probability").cast("double")).alias("p"))
-    below = F.col("latest_health_score").cast("double") < fleet.select("h").scalar()
-    above = F.col("avg_failure_probability").cast("double") > fleet.select("p").scalar()
-    return latest.filter(below & above).select("asset_id", F.col("latest_health_score").cast("double").alias("health"),
-                                              F.col("avg_failure_probability").cast("double").alias("probability"))
+    latest = latest_health(wh).select("asset_id", F.col("latest_health_score").cast("double").alias("health"),
+                                      F.col("avg_failure_probability").cast("double").alias("probability"))
+    fleet = latest.agg(F.struct(F.avg("health").alias("h"), F.avg("probability").alias("p"))).scalar()
+    return latest.filter((F.col("health") < fleet["h"]) & (F.col("probability") > fleet["p"]))
 
 
 def _health_by_place(wh: Warehouse, place: list[str], day: bool, rows: DataFrame) -> DataFrame:

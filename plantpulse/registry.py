@@ -78,6 +78,7 @@ ASSETS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "latest_prediction": assets.latest_prediction,
     "sensor_status": assets.sensor_status,
     "asset_status": assets.asset_status,
+    "rule_scores": lambda wh: assets.rule_scores(wh, "2023-09-01"),
     "anomaly_flags": lambda wh: assets.anomaly_flags(wh, ROTATING_CLASS),
     "sensor_readings": lambda wh: assets.sensor_readings(wh, 7, "2024-01-10", "2024-01-25"),
     "sensor_readings_by_metric": lambda wh: assets.sensor_readings_by_metric(wh, "2024-01-10", "2024-01-25"),
