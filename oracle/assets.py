@@ -153,7 +153,7 @@ SQL: dict[str, str] = {
           TIMESTAMP '2015-01-01' AS f, TIMESTAMP '2024-01-01' + to_days(CAST(asset_id % 30 AS INTEGER)) AS t FROM asset
         UNION ALL SELECT asset_id, 2, CAST(downtime_impact_per_hour AS DECIMAL(14,3)),
           TIMESTAMP '2024-01-01' + to_days(CAST(asset_id % 30 AS INTEGER)), NULL FROM asset)
-      SELECT version, d AS reading_date, count(*) AS readings, CAST(sum(failure_probability * impact) AS DOUBLE) AS risk_value
+      SELECT version = 2 AS is_current, d AS reading_date, count(*) AS readings, CAST(sum(failure_probability * impact) AS DOUBLE) AS risk_value
       FROM telemetry JOIN v ON v.asset_id = telemetry.asset_id AND f <= recorded_at AND (t IS NULL OR recorded_at < t) GROUP BY 1, 2""",
     "flow_edges": """, x AS (SELECT process_id, asset_id, lead(asset_id) OVER (PARTITION BY process_id
         ORDER BY process_sequence, asset_id) AS next_asset_id FROM asset) SELECT * FROM x WHERE next_asset_id IS NOT NULL""",

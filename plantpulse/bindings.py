@@ -156,7 +156,7 @@ def telemetry(events: DataFrame) -> DataFrame:
         f"{vib} AS vibration_mm_s",
         "cast(CASE WHEN event_type = 'signup' THEN value + 100D END AS decimal(6,2)) AS pressure_psi",
         f"{health} AS health_score", f"{prob} AS failure_probability",
-        "1 + cast(get_json_object(props, '$.k') AS int) AS rul_days",
+        "1 + from_json(props, 'k INT').k AS rul_days",
         f"({health} < 80 OR coalesce({vib} > 1.2, false)) AS is_anomalous")
 
 

@@ -59,6 +59,12 @@ def in_last_hours(ts: Column, as_of: dt.datetime | str | Column, hours: int) ->
     return (ts >= end - F.expr(f"INTERVAL {hours} HOURS")) & (ts <= end)
 
 
+def wall_micros(ts: Column) -> Column:
+    """Microseconds of an NTZ column since 1970-01-01 on its own clock, whatever the session zone."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
+    fraction = (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    return F.unix_date(ts.cast("date")).cast("bigint") * 86_400_000_000 + seconds.cast("bigint") * 1_000_000 + fraction
+
+
 def minutes_between(start: Column, end: Column) -> Column:
-    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return micros.cast("double") / F.lit(60_000_000.0)
+    return (wall_micros(end) - wall_micros(start)).cast("double") / F.lit(60_000_000.0)

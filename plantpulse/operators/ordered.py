@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantpulse.functions.dates import wall_micros
+
 
 def lead_in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column,
                    value: str, into: str) -> DataFrame:
@@ -51,12 +53,10 @@ def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_minutes: int) -> D
     slot (with map-side combine) loses nothing; the window then orders one row per slot.
     """
     gap = gap_minutes * 60_000_000
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    slots = (df.groupBy(*keys, F.floor(micros / F.lit(gap)).alias("__slot"))
+    slots = (df.groupBy(*keys, F.floor(wall_micros(F.col(ts)) / F.lit(gap)).alias("__slot"))
              .agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"), F.count(F.lit(1)).alias("__n")))
     w = Window.partitionBy(*keys).orderBy("__slot")
-    apart = (F.unix_micros(F.col("__first").cast("timestamp"))
-             - F.unix_micros(F.lag("__last").over(w).cast("timestamp")))
+    apart = wall_micros(F.col("__first")) - wall_micros(F.lag("__last").over(w))
     marked = slots.withColumn("__new", F.when(apart <= gap, 0).otherwise(1))
     numbered = marked.withColumn("__session", F.sum("__new").over(w))
     return (numbered.groupBy(*keys, "__session")

@@ -197,11 +197,11 @@ def anomaly_sessions(wh: Warehouse, gap_minutes: int = 720) -> DataFrame:
 
 
 def scd2_point_in_time(wh: Warehouse) -> DataFrame:
-    """Daily expected loss with the asset version valid at each reading, beside the current one."""
+    """Risk of the readings with the asset version valid at their time, by current and past versions."""
     rows = wh["fct_asset_telemetry"].select("asset_id", "recorded_at", "failure_probability")
-    joined = at_time(rows, wh["dim_asset_versions"], "asset_id", "recorded_at", ["version", "downtime_impact_per_hour"])
+    joined = at_time(rows, wh.asset_versions(), "asset_id", "recorded_at", ["is_current", "downtime_impact_per_hour"])
     then = F.col("failure_probability") * F.col("downtime_impact_per_hour")
-    return joined.groupBy("version", F.to_date("recorded_at").alias("reading_date")).agg(
+    return joined.groupBy("is_current", F.to_date("recorded_at").alias("reading_date")).agg(
         F.count(F.lit(1)).alias("readings"), F.sum(then).cast("double").alias("risk_value"))
 
 

@@ -33,6 +33,12 @@ def _piece() -> Column:
     return F.floor(F.col("turn") / TURNS_PER_PIECE)
 
 
+def with_turns(messages: DataFrame) -> DataFrame:
+    """Adds ``turn``: the message's position by time within its conversation, from 0."""
+    numbered = number_in_pieces(messages, KEY, ["timestamp", "message_id"], F.struct(F.to_date("timestamp"), F.hour("timestamp")), "__position")
+    return numbered.withColumn("turn", F.col("__position").cast("bigint") - 1).drop("__position")
+
+
 def conversation_analytics(messages: DataFrame) -> DataFrame:
     """Counts by role, mean non-zero response time and duration of every conversation."""
     spent = F.when((F.col("role") == "assistant") & (F.col("response_time_ms") > 0), F.col("response_time_ms"))

@@ -106,13 +106,13 @@ def oem_failure_rate(axis: DataFrame, assets: DataFrame) -> DataFrame:
         ratio_or_null(F.sum("fail").over(before), F.sum("obs").over(before)), 4).alias("oem_failure_rate_est"))
 
 
-def feature_store(wh: Warehouse, service_table: str = "fct_service_log") -> DataFrame:
+def feature_store(wh: Warehouse) -> DataFrame:
     """The daily feature table: observation features, maker rate, downtime risk and label.
 
     The asset-day moments feed both the windows and the maker rate, so they are written
     once: readings and work orders are scanned a single time.
     """
-    axis = materialise(trailing.observation_axis(wh["fct_asset_telemetry"], wh[service_table]), "asset-days")
+    axis = materialise(trailing.observation_axis(wh["fct_asset_telemetry"], wh.service_log()), "asset-days")
     assets = wh.current_assets().select("asset_id", "oem_name", "downtime_impact_per_hour")
     rates = oem_failure_rate(axis, assets)
     rows = trailing.observed_only(feature_rows(axis)).join(assets, "asset_id", "left") \

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantpulse.functions.dates import hour_start
+from plantpulse.functions.dates import hour_start, wall_micros
 from plantpulse.operators import quality
 from plantpulse.sources import bronze
 from plantpulse.sources.dimensions import calendar_labels, spine_by_bounds
@@ -86,7 +86,7 @@ def hour_gaps(wh: Warehouse) -> DataFrame:
     Only the number is asked for, so the hours present are counted and no grid is made.
     """
     hours = wh["fct_asset_telemetry"].select("asset_id", hour_start("recorded_at").alias("hour")).distinct()
-    micros = F.unix_micros(F.col("hour").cast("timestamp"))
+    micros = wall_micros(F.col("hour"))
     counts = hours.groupBy("asset_id").agg(
         (F.floor((F.max(micros) - F.min(micros)) / 3_600_000_000) + 1 - F.count(F.lit(1))).alias("missing_hours"))
     return counts.filter(F.col("missing_hours") > 0)

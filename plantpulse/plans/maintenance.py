@@ -447,7 +447,7 @@ def overdue_preventive(wh: Warehouse, every_days: int = 30) -> DataFrame:
 
     Days are deduplicated per asset first, so the window holds calendar days, not orders.
     """
-    days = wh["fct_service_log"].filter(F.col("wo_type_id") == PREVENTIVE).select("asset_id", "completed_date").distinct()
+    days = wh.service_log().filter(F.col("wo_type_id") == PREVENTIVE).select("asset_id", "completed_date").distinct()
     w = Window.partitionBy("asset_id").orderBy("completed_date")
     pause = F.datediff("completed_date", F.lag("completed_date").over(w))
     return days.withColumn("pause", pause).groupBy("asset_id").agg(F.max("pause").alias("longest_pause")).filter(

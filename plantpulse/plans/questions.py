@@ -140,7 +140,7 @@ def probability_change(wh: Warehouse, first: tuple[Day, Day], second: tuple[Day,
 
 def predicted_failures(wh: Warehouse, on_day: Day) -> DataFrame:
     """Assets whose last observation up to a day carries the failure label."""
-    labels = label_next_days(wh[TELEMETRY], wh["fct_service_log"]).filter(
+    labels = label_next_days(wh[TELEMETRY], wh.service_log()).filter(
         F.col("observation_date_sk") <= date_sk(F.lit(str(on_day)).cast("date")))
     last = labels.groupBy("asset_id").agg(F.max("observation_date_sk").alias("observation_date_sk"),
                                           F.max_by("failed_in_next_7_days", "observation_date_sk").alias("flag"))

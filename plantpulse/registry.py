@@ -65,7 +65,7 @@ HEALTH: dict[str, Callable[[Warehouse], DataFrame]] = {
     "downtime_risk_snapshot": health.downtime_risk,
     "triage": lambda wh: health.triage(wh, ["MACHINERY", "BUILDING", "FURNITURE"], 85),
     "work_order_candidates": lambda wh: health.work_order_candidates(wh, TELEMETRY_TODAY),
-    "pm_schedule": lambda wh: health.pm_schedule(wh, wh["fct_service_log"].filter("wo_type_id = 1"), "2024-02-01"),
+    "pm_schedule": lambda wh: health.pm_schedule(wh, wh.service_log().filter("wo_type_id = 1"), "2024-02-01"),
     "alerts": lambda wh: health.maintenance_alerts(wh, below=85),
 }
 
@@ -95,7 +95,7 @@ ASSETS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "tree_counts": assets.tree_counts,
 }
 
-TELEMETRY, SERVICE = "fct_asset_telemetry", "fct_service_log"
+TELEMETRY = "fct_asset_telemetry"
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -111,8 +111,8 @@ GOLD: dict[str, Callable[[Warehouse], DataFrame]] = {
     "feature_temp_24h": lambda wh: gold.feature_temp_24h(wh[TELEMETRY]),
     "feature_vibration_7d": lambda wh: gold.feature_vibration_7d(wh[TELEMETRY]),
     "feature_pressure_trend": lambda wh: gold.feature_pressure_trend(wh[TELEMETRY]),
-    "feature_days_since": lambda wh: gold.feature_days_since(wh[TELEMETRY], wh[SERVICE]),
-    "label_next_7d": lambda wh: gold.label_next_days(wh[TELEMETRY], wh[SERVICE]),
+    "feature_days_since": lambda wh: gold.feature_days_since(wh[TELEMETRY], wh.service_log()),
+    "label_next_7d": lambda wh: gold.label_next_days(wh[TELEMETRY], wh.service_log()),
     "feature_store": gold.feature_store,
     "bronze_parse": ingest.bronze_telemetry,
     "bronze_rejects": ingest.bronze_rejects,

@@ -92,6 +92,14 @@ class Warehouse:
     def current_assets(self) -> DataFrame:
         return self["dim_asset"].filter(F.col("is_current"))
 
+    def service_log(self) -> DataFrame:
+        """Work orders of the telemetry assets: ``fct_service_log`` where a site keeps one apart."""
+        return self["fct_service_log" if "fct_service_log" in self else "fct_maintenance_log"]
+
+    def asset_versions(self) -> DataFrame:
+        """All versions of the assets, current and past."""
+        return self["dim_asset_versions" if "dim_asset_versions" in self else "dim_asset"]
+
     def production_assets(self) -> DataFrame:
         """Assets that production rows refer to: ``dim_machine`` where a site keeps one apart."""
         if "dim_machine" in self:
