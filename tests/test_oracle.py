@@ -13,7 +13,7 @@ SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQLS = entry.queries(), entry.oracle_sql()
 # Legitimately without rows on the smallest sample.
 MAY_BE_EMPTY = {"vibration_trend", "maintenance_history_asset", "plant_current", "oee_mean_of_ratios", "kpi_oee_delta",
-                "downtime_by_line", "maintenance_history", "spend_on_kind", "dq_keys"}
+                "downtime_by_line", "maintenance_history", "spend_on_kind", "dq_keys", "overdue_preventive"}
 
 
 @pytest.fixture(scope="module")
