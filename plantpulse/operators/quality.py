@@ -23,6 +23,17 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
     return keys.join(parent.select(F.col(parent_key).alias("orphan_key")), "orphan_key", "left_anti")
 
 
+def unmatched_both_ways(left: DataFrame, right: DataFrame, key: str, left_name: str, right_name: str) -> DataFrame:
+    """Keys of either side that the other lacks, with their row counts, reading each side once."""
+    def keys(df: DataFrame, into: str) -> DataFrame:
+        return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("orphan_key")).agg(F.count(F.lit(1)).alias(into))
+
+    both = keys(left, "__l").join(keys(right, "__r"), "orphan_key", "full_outer")
+    return both.filter(F.col("__l").isNull() | F.col("__r").isNull()).select(
+        "orphan_key", F.coalesce("__l", "__r").alias("child_rows"),
+        F.when(F.col("__l").isNotNull(), left_name).otherwise(right_name).alias("reference"))
+
+
 def count_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """One pass over the table: rows and, per rule, how many break it (NULL counts as kept)."""
     counts = df.agg(F.count(F.lit(1)).alias("rows_checked"),

@@ -15,6 +15,7 @@ from plantpulse.functions.text import with_response_type
 from plantpulse.operators.latest import first_rows
 from plantpulse.operators.ordered import lead_in_pieces, number_in_pieces
 from plantpulse.operators.shape import gather_chunks
+from plantpulse.sources.shared import materialise
 
 KEY = ["conversation_id"]
 TURNS_PER_PIECE = 1000
@@ -75,7 +76,8 @@ def _window_plan(messages: DataFrame, keep: int, max_messages: int, max_tokens:
     """Per conversation: is it cut, where head and tail are, how many questions fall between.
 
     The questions between are all questions less those in head and tail, so no middle
-    rows are gathered to count them.
+    rows are gathered to count them. One row per conversation, used three times: the
+    caller writes it once.
     """
     is_user = F.col("role") == "user"
     size = messages.groupBy(*KEY).agg(
@@ -97,7 +99,7 @@ def context_window(messages: DataFrame, max_messages: int = 20, max_tokens: int
     texts are collected only where at most ``SUMMARY_QUESTIONS`` of them exist.
     """
     keep = min(KEEP_LAST, max_messages - 1)
-    plan = _window_plan(messages, keep, max_messages, max_tokens)
+    plan = materialise(_window_plan(messages, keep, max_messages, max_tokens), "window-plan")
     turn, inside = F.col("turn"), (F.col("turn") > F.col("__first")) & (F.col("turn") < F.col("__tail"))
     part = (F.when(~F.col("__cut"), "whole").when(turn == F.col("__first"), "first").otherwise("recent"))
     kept = messages.join(plan, KEY).filter(~(F.col("__cut") & inside)).select(

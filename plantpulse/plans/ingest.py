@@ -98,11 +98,9 @@ def dq_keys(wh: Warehouse) -> DataFrame:
 
 
 def dq_orphans(wh: Warehouse) -> DataFrame:
-    """Work orders whose order number no parts row refers to as its own (parts without order, and back)."""
-    parts, log = wh["fct_maintenance_parts_used"], wh["fct_maintenance_log"]
-    a = quality.orphans(parts, "log_id", log, "log_id").withColumn("reference", F.lit("parts to order"))
-    b = quality.orphans(log, "log_id", parts, "log_id").withColumn("reference", F.lit("order to parts"))
-    return a.unionByName(b)
+    """Parts rows without their work order, and work orders without any parts row."""
+    return quality.unmatched_both_ways(wh["fct_maintenance_parts_used"], wh["fct_maintenance_log"], "log_id",
+                                       "parts to order", "order to parts")
 
 
 def dq_ranges(wh: Warehouse) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantpulse.functions import bands
+from plantpulse.functions.dates import as_date
 from plantpulse.functions.numeric import half_up, ratio, ratio_or_null
 from plantpulse.operators.joins import place_assets
-from plantpulse.operators.latest import first_rows, top_rows
+from plantpulse.operators.latest import top_rows
 from plantpulse.operators.shares import against_prior_mean, growth
 from plantpulse.warehouse import Warehouse
 
@@ -96,17 +97,24 @@ def kpi_oee_delta(wh: Warehouse, as_of: Day, days: int = 30) -> DataFrame:
                       half_up(F.coalesce(delta, F.lit(0.0)), 4).alias("oee_delta_percent"))
 
 
-def plant_trend(wh: Warehouse, as_of: Day, days: int = 30, points: int = 14) -> DataFrame:
-    """Current figures per plant with the direction of its last ``points`` daily values."""
-    daily = oee_daily_plant(wh, as_of, days).select("plant_name", "production_date", "oee")
-    tail = first_rows(daily, ["plant_name"], [F.col("production_date").desc()], points)
-    ends = tail.groupBy("plant_name").agg(
-        F.count(F.lit(1)).alias("n"), F.max_by("oee", "production_date").alias("last"),
-        F.min_by("oee", "production_date").alias("first"))
-    trend = ends.select("plant_name", F.when((F.col("n") >= 2) & (F.col("last") > F.col("first")), "up")
-                        .otherwise("down").alias("trend"))
-    now = with_oee(by_place(wh, wh.last_days("fct_production_log", as_of, 7), ["plant_name"]), ["plant_name"])
-    return now.join(trend, "plant_name", "left").withColumn("trend", F.coalesce("trend", F.lit("down")))
+def plant_trend(wh: Warehouse, as_of: Day, days: int = 30, points: int = 14, current_days: int = 7) -> DataFrame:
+    """Figures of the last days per plant with the direction of its last ``points`` daily values.
+
+    Both come from one pass: the daily sums per plant are a handful of rows.
+    """
+    daily = by_place(wh, wh.last_days("fct_production_log", as_of, days), ["plant_name"], ["production_date"])
+    p, a, u, s = (F.col(c) for c in SUMS)
+    newest_first = Window.partitionBy("plant_name").orderBy(F.col("production_date").desc())
+    ranked = daily.select("plant_name", "production_date", *SUMS, half_up(bands.oee(p, a, u, s), 6).alias("oee"),
+                          F.row_number().over(newest_first).alias("n"))
+    recent, tail = F.col("production_date") >= F.date_sub(as_date(as_of), current_days), F.col("n") <= points
+    summary = ranked.groupBy("plant_name").agg(
+        *[F.sum(F.when(recent, F.col(c))).alias(c) for c in SUMS], F.count_if(tail).alias("n"),
+        F.max_by("oee", "production_date").alias("last"),
+        F.min_by(F.when(tail, F.col("oee")), F.when(tail, F.col("production_date"))).alias("first"))
+    trend = F.when((F.col("n") >= 2) & (F.col("last") > F.col("first")), "up").otherwise("down")
+    current = summary.filter(p.isNotNull()).withColumn("trend", trend)
+    return with_oee(current, ["plant_name", "trend"])
 
 
 def oee_mean_of_ratios(wh: Warehouse, as_of: Day, days: int = 7, limit: int | None = 10) -> DataFrame:
