@@ -16,22 +16,27 @@ def _finish(query) -> None:
     query.awaitTermination()
 
 
-def drain_append(stream: DataFrame, purpose: str) -> DataFrame:
-    """Append mode into parquet files. The file sink's commit log makes a retried batch count once."""
+def drain_append(stream: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
+    """Append mode into parquet files. The file sink's commit log makes a retried batch count once.
+
+    ``folder`` holds output and checkpoint: give the same one again and the query goes on
+    where it stopped. Without it every run starts afresh in the shared folder.
+    """
     spark = stream.sparkSession
-    base = shared_dir(spark, purpose)
+    base = folder or shared_dir(spark, purpose)
     _finish(stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def for_each_batch(stream: DataFrame, mode: str, purpose: str, handle: Callable[[DataFrame, int, str], None]) -> str:
+def for_each_batch(stream: DataFrame, mode: str, purpose: str, handle: Callable[[DataFrame, int, str], None],
+                   folder: str | None = None) -> str:
     """Run ``handle(batch, batch_id, folder)`` per micro-batch; returns the folder.
 
     A batch id can be handled twice after a failure, so handlers overwrite a path named
     by the id.
     """
-    base = shared_dir(stream.sparkSession, purpose)
+    base = folder or shared_dir(stream.sparkSession, purpose)
 
     def call(batch: DataFrame, batch_id: int) -> None:
         handle(batch, batch_id, base)
@@ -45,9 +50,9 @@ def _write_batch(batch: DataFrame, batch_id: int, base: str) -> None:
     batch.write.mode("overwrite").parquet(f"{base}/out/{BATCH}={batch_id}")
 
 
-def drain_update(stream: DataFrame, keys: Sequence[str], purpose: str) -> DataFrame:
+def drain_update(stream: DataFrame, keys: Sequence[str], purpose: str, folder: str | None = None) -> DataFrame:
     """Update mode: changed rows of every batch are kept, the newest per key is the state."""
-    base = for_each_batch(stream, "update", purpose, _write_batch)
+    base = for_each_batch(stream, "update", purpose, _write_batch, folder)
     changes = stream.sparkSession.read.parquet(f"{base}/out")
     values = [c for c in stream.columns if c not in keys]
     newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), BATCH).alias("__row"))

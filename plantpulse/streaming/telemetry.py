@@ -38,7 +38,7 @@ def _ntz(column: str) -> Column:
     return F.col(column).cast("timestamp_ntz")
 
 
-def ingest(raw: DataFrame, keep: tuple[str, ...], purpose: str = "stream-ingest") -> tuple[DataFrame, DataFrame]:
+def ingest(raw: DataFrame, keep: tuple[str, ...], folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Parse messages; good rows and rejects go to their own tables. One parse per batch row."""
     parsed = bronze.parse_telemetry(raw, keep=keep)
 
@@ -47,13 +47,13 @@ def ingest(raw: DataFrame, keep: tuple[str, ...], purpose: str = "stream-ingest"
         (batch.withColumn("outcome", outcome).write.mode("overwrite")
          .partitionBy("outcome").parquet(f"{base}/out/{BATCH}={batch_id}"))
 
-    base = for_each_batch(parsed, "append", purpose, split)
+    base = for_each_batch(parsed, "append", "stream-ingest", split, folder)
     out = raw.sparkSession.read.schema(f"{_ddl(parsed)}, {BATCH} BIGINT, outcome STRING").parquet(f"{base}/out")
     good = bronze.accepted(out.filter(F.col("outcome") == "accepted"), "raw_payload").drop("outcome", BATCH)
     return good, bronze.rejected(out.filter(F.col("outcome") == "rejected"), "raw_payload", keep)
 
 
-def hourly_windows(telemetry: DataFrame, delay: str = "2 hours") -> DataFrame:
+def hourly_windows(telemetry: DataFrame, delay: str = "2 hours", folder: str | None = None) -> DataFrame:
     """Closed hourly health windows per asset (append mode)."""
     rows = with_event_time(telemetry, "recorded_at", delay)
     agg = rows.groupBy(F.window(TS, "1 hour"), "asset_id").agg(
@@ -65,10 +65,10 @@ def hourly_windows(telemetry: DataFrame, delay: str = "2 hours") -> DataFrame:
         half_up(ratio_or_null(F.col("ts"), F.col("tn")), 2).alias("avg_temperature_c"),
         half_up(F.col("v"), 2).alias("max_vibration_mm_s"), F.col("h").cast("double").alias("latest_health_score"),
         half_up(ratio_or_null(F.col("fs"), F.col("fn")), 2).alias("avg_failure_probability"), "min_rul_days")
-    return drain_append(out, "stream-hourly")
+    return drain_append(out, "stream-hourly", folder)
 
 
-def sliding_temperature(telemetry: DataFrame, delay: str = "2 hours") -> DataFrame:
+def sliding_temperature(telemetry: DataFrame, delay: str = "2 hours", folder: str | None = None) -> DataFrame:
     """24-hour mean temperature per asset, every hour.
 
     Readings are summed per hour first; the sliding windows then repeat one row per
@@ -82,33 +82,35 @@ def sliding_temperature(telemetry: DataFrame, delay: str = "2 hours") -> DataFra
     out = slid.select(_ntz("window.end").alias("window_end"), "asset_id",
                       half_up(ratio_or_null(F.col("s"), F.col("n")), 2).alias("avg_temperature_c"),
                       F.col("n").alias("readings"))
-    return drain_append(out, "stream-sliding")
+    return drain_append(out, "stream-sliding", folder)
 
 
-def anomaly_sessions(telemetry: DataFrame, gap: str = "12 hours", delay: str = "2 hours") -> DataFrame:
+def anomaly_sessions(telemetry: DataFrame, gap: str = "12 hours", delay: str = "2 hours",
+                     folder: str | None = None) -> DataFrame:
     """Closed sessions of anomalous readings per asset."""
     rows = with_event_time(telemetry.filter(F.col("is_anomalous")), "recorded_at", delay)
     agg = rows.groupBy(F.session_window(TS, gap), "asset_id").agg(F.count(F.lit(1)).alias("readings"))
     out = agg.select("asset_id", _ntz("session_window.start").alias("session_start"),
                      _ntz("session_window.end").alias("session_end"), "readings")
-    return drain_append(out, "stream-session")
+    return drain_append(out, "stream-session", folder)
 
 
-def deduplicated(telemetry: DataFrame, key: str, columns: list[str], delay: str = "2 hours") -> DataFrame:
+def deduplicated(telemetry: DataFrame, key: str, columns: list[str], delay: str = "2 hours",
+                 folder: str | None = None) -> DataFrame:
     """First copy of every message id within the watermark."""
     rows = with_event_time(telemetry, "recorded_at", delay).dropDuplicatesWithinWatermark([key])
-    return drain_append(rows.select(*columns), "stream-dedup")
+    return drain_append(rows.select(*columns), "stream-dedup", folder)
 
 
-def alerts(telemetry: DataFrame, assets: DataFrame) -> DataFrame:
+def alerts(telemetry: DataFrame, assets: DataFrame, folder: str | None = None) -> DataFrame:
     """Anomalous readings enriched from the asset dimension (stream-static join, no state)."""
     rows = telemetry.join(assets, "asset_id").filter(
         bands.is_anomaly(F.col("health_score"), F.col("vibration_mm_s"), F.col("rotating")))
     out = rows.select("telemetry_id", "asset_id", "asset_name", "recorded_at", F.col("health_score").cast("double").alias("health_score"))
-    return drain_append(out, "stream-alerts")
+    return drain_append(out, "stream-alerts", folder)
 
 
-def live_state(telemetry: DataFrame) -> DataFrame:
+def live_state(telemetry: DataFrame, folder: str | None = None) -> DataFrame:
     """Latest reading per asset, kept up to date by every batch.
 
     A stateful ``max_by`` rather than per-group Python: rows of a batch are reduced per
@@ -118,10 +120,10 @@ def live_state(telemetry: DataFrame) -> DataFrame:
     row = F.struct("recorded_at", F.col("health_score").cast("double").alias("health_score"),
                    F.col("failure_probability").cast("double").alias("failure_probability"), "rul_days", "is_anomalous")
     agg = telemetry.groupBy("asset_id").agg(F.max_by(row, rank).alias("r"))
-    return drain_update(agg.select("asset_id", "r.*"), ["asset_id"], "stream-state")
+    return drain_update(agg.select("asset_id", "r.*"), ["asset_id"], "stream-state", folder)
 
 
-def late_rows(telemetry: DataFrame, delay_hours: int = 2) -> DataFrame:
+def late_rows(telemetry: DataFrame, delay_hours: int = 2, folder: str | None = None) -> DataFrame:
     """Rows, and rows older than the watermark of the batches before, per micro-batch."""
     spark = telemetry.sparkSession
 
@@ -134,5 +136,5 @@ def late_rows(telemetry: DataFrame, delay_hours: int = 2) -> DataFrame:
                            F.max("recorded_at").alias("newest"))
         counts.write.mode("overwrite").parquet(f"{base}/out/{BATCH}={batch_id}")
 
-    base = for_each_batch(telemetry.select("recorded_at"), "append", "stream-late", account)
+    base = for_each_batch(telemetry.select("recorded_at"), "append", "stream-late", account, folder)
     return spark.read.parquet(f"{base}/out")

@@ -58,6 +58,20 @@ def test_sessions_close_with_the_watermark(feed):
     assert sorted(got) == [(0, 2), (6, 3)]
 
 
+def test_a_stopped_stream_goes_on(spark, tmp_path):
+    """Same folder, one more file: the new rows are added once and the old ones not again."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "job")
+    rows = spark.createDataFrame([(i, f'{{"deviceId": "d{i}", "metric": "m", "value": {i}}}') for i in range(4)] + [(9, "oops")],
+                                 "event_id bigint, raw_payload string").withColumn(
+        "source_timestamp", F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+    for ids, good_rows, bad_rows in ((("0", "1", "9"), 2, 1), (("2", "3"), 4, 1)):
+        rows.filter(F.col("event_id").isin(*ids)).coalesce(1).write.mode("append").parquet(source)
+        feed = streams.read_feed(spark, source, "event_id BIGINT, raw_payload STRING, source_timestamp TIMESTAMP_NTZ")
+        good, bad = streams.ingest(feed, ("event_id", "source_timestamp"), folder)
+        assert (good.count(), bad.count()) == (good_rows, bad_rows)
+    assert sorted(r.event_id for r in good.collect()) == [0, 1, 2, 3] and bad.first().reject_reason == "not json"
+
+
 def test_shared_dir_needs_a_setting_on_a_cluster(spark):
     class Conf:
         def get(self, key, default=None):
