@@ -43,22 +43,6 @@ def as_ntz(value: dt.datetime | str | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(str(value)).cast("timestamp_ntz")
 
 
-def in_last_days(day: Column, as_of: dt.date | str | Column, days: int) -> Column:
-    """``as_of - days <= day <= as_of``.
-
-    ``as_of`` plays "today": a live table holds nothing later, a replayed one may.
-    Both bounds are foldable, so they reach the scan as pushed filters.
-    """
-    end = as_date(as_of)
-    return (day >= F.date_sub(end, days)) & (day <= end)
-
-
-def in_last_hours(ts: Column, as_of: dt.datetime | str | Column, hours: int) -> Column:
-    """``as_of - hours <= ts <= as_of`` on an NTZ column, bounds kept as NTZ for pushdown."""
-    end = as_ntz(as_of)
-    return (ts >= end - F.expr(f"INTERVAL {hours} HOURS")) & (ts <= end)
-
-
 def wall_micros(ts: Column) -> Column:
     """Microseconds of an NTZ column since 1970-01-01 on its own clock, whatever the session zone."""
     seconds = F.hour(ts) * 3600 + F.minute(ts) * 60

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.functions.dates import minutes_between
 from plantpulse.functions.numeric import half_up, ratio
-from plantpulse.functions.text import with_response_type
+from plantpulse.functions.text import token_estimate, with_response_type
 from plantpulse.operators.latest import first_rows
 from plantpulse.operators.ordered import lead_in_pieces, number_in_pieces
 from plantpulse.operators.shape import gather_chunks
@@ -81,12 +81,12 @@ def _window_plan(messages: DataFrame, keep: int, max_messages: int, max_tokens:
     """
     is_user = F.col("role") == "user"
     size = messages.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(F.length(F.coalesce("content", F.lit("")))).alias("__chars"),
+        F.count(F.lit(1)).alias("__n"), F.sum(token_estimate(F.col("content"))).alias("__tokens"),
         F.count_if(is_user).alias("__users"), F.min("turn").alias("__first"),
         F.min_by("role", "turn").alias("__first_role"))
     tails = first_rows(messages.select(*KEY, "turn", "role"), KEY, [F.col("turn").desc()], keep).groupBy(*KEY).agg(
         F.min("turn").alias("__tail"), F.count_if(is_user).alias("__tail_users"))
-    cut = (F.col("__n") > max_messages) & (F.col("__chars").cast("double") / 4.0 >= max_tokens)
+    cut = (F.col("__n") > max_messages) & (F.col("__tokens") >= max_tokens)
     asked = F.col("__users") - F.col("__tail_users") - F.when(F.col("__first_role") == "user", 1).otherwise(0)
     return size.join(tails, KEY).select(*KEY, "__n", "__first", "__tail", cut.alias("__cut"), asked.alias("__asked"))
 
