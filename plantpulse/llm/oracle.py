@@ -18,7 +18,7 @@ SQL: dict[str, str] = {}
 SQL["op4_quality_rules"] = rf"""
 WITH {_WORDS},
 lines AS (
-  SELECT doc_id, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM lists),
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM lists),
 windows AS (
   SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM lists WHERE len(w) >= 3)),
@@ -32,7 +32,7 @@ m AS (
          length(list_aggregate(w, 'string_agg', ''))::BIGINT AS chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          len(regexp_extract_all(text, '!'))::BIGINT AS n_shouts,
-         len(list_filter(w, x -> lower(x) IN ({_STOP})))::BIGINT AS n_stop_words,
+         len(list_filter(w, lambda x: lower(x) IN ({_STOP})))::BIGINT AS n_stop_words,
          len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM lists JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
