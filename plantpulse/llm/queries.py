@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from plantpulse.llm.decontamination import decontaminate, n_hit
 from plantpulse.llm.oracle import SQL
 from plantpulse.llm.quality_rules import quality_rules
+from plantpulse.llm.substring_dedup import removals, text_key
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = removals(docs).select("key", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return docs.select("doc_id", text_key().alias("key")).join(found, "key").drop("key")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -29,7 +36,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op5_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_quality_rules, op5_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
