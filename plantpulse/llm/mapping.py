@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a function gets at once: bounds what it makes of a batch.
+ROWS = 1000
 #: Given a column of texts (null allowed), the new columns, a value for each text.
 TextFunction = Callable[[pa.Array], list[pa.Array]]
 
@@ -24,9 +26,11 @@ def beside(docs: DataFrame, make: Callable[[], TextFunction], new: str, carry: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
-            found = function(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["row", *names])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                found = function(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["row", *names])
 
     names = [x.split()[0] for x in _parts(new)]
     return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, {new}")
