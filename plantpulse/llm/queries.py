@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.llm.bpe import bpe_round_trip
 from plantpulse.llm.decontamination import decontaminate, n_hit
+from plantpulse.llm.jaccard_join import near_duplicates
 from plantpulse.llm.oracle import SQL
 from plantpulse.llm.quality_rules import quality_rules
 from plantpulse.llm.substring_dedup import removals, text_key
@@ -45,8 +46,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op4_quality_rules, op5_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op4_quality_rules, op5_decontamination, op7_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
-from plantpulse.sources.shared import materialise
+from plantpulse.sources.shared import materialise, shared_dir
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
@@ -12,6 +14,21 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return materialise(df, f"llm-{purpose}")
 
 
+def bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
+    """The same, dealt into as many buckets by key as shuffles have partitions: joins on key don't move it again.
+
+    The rows should already be grouped by key, so each bucket is written by one task.
+    """
+    spark, name = df.sparkSession, f"{purpose}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", shared_dir(spark, f"llm-{purpose}"))
+     .saveAsTable(name))
+    table = spark.table(name)
+    table.schema  # resolved: the plan keeps files and buckets when the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def own_name(df: DataFrame, wanted: str) -> str:
     """A column name that no column of the input has (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,6 @@ columns pass through unchanged, whatever their names.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.llm import text_hash as th
-from plantpulse.llm.staging import own_name
-from plantpulse.sources.shared import shared_dir
+from plantpulse.llm.staging import bucketed, own_name
 
 WINDOW = 35
 
@@ -54,17 +52,9 @@ def text_key(text: str = "text") -> Column:
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(key, text, copies), one row for each different text, bucketed by key."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = (docs.select(text_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
              .groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
-    name = f"texts_{uuid.uuid4().hex}"
-    (texts.repartition(buckets, "key").write.bucketBy(buckets, "key").option("compression", "zstd")
-     .option("path", shared_dir(spark, "llm-texts")).saveAsTable(name))
-    table = spark.table(name)
-    table.schema  # resolved: the plan keeps files and buckets when the name goes
-    spark.sql(f"DROP TABLE {name}")
-    return table
+    return bucketed(texts, "key", "texts")
 
 
 def _chosen(words: th.Words, first: int, then: int) -> tuple[np.ndarray, np.ndarray]:
