@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from plantpulse.llm.bpe import bpe_round_trip
 from plantpulse.llm.decontamination import decontaminate, n_hit
 from plantpulse.llm.jaccard_join import near_duplicates
+from plantpulse.llm.language_id import identify, learnt
 from plantpulse.llm.oracle import SQL
 from plantpulse.llm.quality_rules import quality_rules
 from plantpulse.llm.substring_dedup import removals, text_key
+from plantpulse.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +52,25 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn(
+        "held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2)
+    model = learnt(docs.filter(~F.col("held_out")))
+    return identify(docs, model, ["doc_id", "held_out"]).select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, of its sentences and of the longest; a token goes where most of it lies."""
+    found = token_counts(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select(
+        "row.doc_id", "n_tokens", F.size("by_section").cast("long").alias("n_sections"), "crossing",
+        F.coalesce(F.array_max("by_section"), F.lit(0.0)).cast("long").alias("most_tokens"),
+        F.sha2(F.array_join(F.transform("by_section", lambda x: x.cast("long").cast("string")), " "), 256).alias("sections_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op4_quality_rules, op5_decontamination, op7_jaccard_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op4_quality_rules, op5_decontamination, op7_jaccard_join,
+                                   op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
