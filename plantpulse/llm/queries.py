@@ -12,6 +12,7 @@ from plantpulse.llm.decontamination import decontaminate, n_hit
 from plantpulse.llm.jaccard_join import near_duplicates
 from plantpulse.llm.language_id import identify, learnt
 from plantpulse.llm.oracle import SQL
+from plantpulse.llm.quality_classifier import quality_classifier
 from plantpulse.llm.quality_rules import quality_rules
 from plantpulse.llm.substring_dedup import removals, text_key
 from plantpulse.llm.token_counts import token_counts
@@ -48,6 +49,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ["doc_id"]).select(
+        "row.doc_id", "score", "kept")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -69,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op4_quality_rules, op5_decontamination, op7_jaccard_join,
+    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op4_quality_rules, op5_decontamination, op6_quality_classifier, op7_jaccard_join,
                                    op9_language_id, op10_token_counts)}
 
 
