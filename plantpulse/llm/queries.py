@@ -11,6 +11,7 @@ from plantpulse.llm.bpe import bpe_round_trip
 from plantpulse.llm.decontamination import decontaminate, n_hit
 from plantpulse.llm.jaccard_join import near_duplicates
 from plantpulse.llm.language_id import identify, learnt
+from plantpulse.llm.lm_scoring import lm_scores
 from plantpulse.llm.oracle import SQL
 from plantpulse.llm.quality_classifier import quality_classifier
 from plantpulse.llm.quality_rules import quality_rules
@@ -58,6 +59,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn(
         "held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2)
@@ -76,7 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op4_quality_rules, op5_decontamination, op6_quality_classifier, op7_jaccard_join,
-                                   op9_language_id, op10_token_counts)}
+                                   op8_lm_scoring, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
