@@ -116,3 +116,18 @@ s AS (
     ELSE ln(0.4::DOUBLE) - ln(n + 1) END) AS s
   FROM h GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0), 3) AS log_score FROM d LEFT JOIN s USING (doc_id)"""
+
+SQL["op3_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, regexp_replace(text, '([<\[]\\*)(/?s>|\|turn\|>|/?INST\]|</?SYS>>|\|im_start\|>|\|im_end\|>|\|startoftext\|>|\|endoftext\|>)',
+                           '\1\\\2', 'g') AS body FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|turn|>') + length(role) + 1 + length(body) + length('</s>'))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""

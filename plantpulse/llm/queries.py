@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantpulse.llm.bpe import bpe_round_trip
+from plantpulse.llm.chat_format import chains, formatted, read_back
 from plantpulse.llm.decontamination import decontaminate, n_hit
 from plantpulse.llm.jaccard_join import near_duplicates
 from plantpulse.llm.language_id import identify, learnt
@@ -38,6 +39,23 @@ def bpe_digests() -> list[Column]:
             F.sha2("decoded", 256).alias("decoded_sha256")]
 
 
+CONTROL_SAMPLE = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    sample = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_SAMPLE).alias("text"))
+    back = read_back(formatted(chains(turns.unionByName(sample))))
+    both = back.select("tree", "text", "turns", F.array_join("trained", "").alias("lost"))
+    return both.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"),
+        F.length("text").cast("long").alias("formatted_chars"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -81,7 +99,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op4_quality_rules, op5_decontamination, op6_quality_classifier, op7_jaccard_join,
+    return {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_chat_format, op4_quality_rules, op5_decontamination, op6_quality_classifier, op7_jaccard_join,
                                    op8_lm_scoring, op9_language_id, op10_token_counts)}
 
 
