@@ -214,7 +214,7 @@ def group_of_sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
 
 def near_duplicates(docs: DataFrame, identity: str = "doc_id", percent: int = PERCENT, shingle: int = SHINGLE,
                     orders: int = ORDERS) -> DataFrame:
-    """identity, n_shingles, group (null without words) and component_id, the smallest identity of the group."""
+    """identity, n_shingles, key, group (both null without words) and component_id, the smallest identity of the group."""
     rows = staged(with_sets(docs, [identity], shingle).select(F.col(f"row.{identity}").alias(identity), "n_shingles", "key"), "sets")
     grouped = staged(group_of_sets(docs, percent, shingle, orders), "groups")
     smallest = rows.filter("key is not null").groupBy("key").agg(F.min(identity).alias("least"))
@@ -222,4 +222,4 @@ def near_duplicates(docs: DataFrame, identity: str = "doc_id", percent: int = PE
     least = by_group.groupBy("group").agg(F.min("least").alias("component_id"))
     known = by_group.join(least, "group").select("key", "group", "component_id")
     return rows.join(known, "key", "left").select(
-        identity, "n_shingles", "group", F.when(F.col("key").isNull(), F.col(identity)).otherwise(F.col("component_id")).alias("component_id"))
+        identity, "n_shingles", "key", "group", F.when(F.col("key").isNull(), F.col(identity)).otherwise(F.col("component_id")).alias("component_id"))
