@@ -7,10 +7,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from oracle import oracle_sql
+from plantpulse.registry import queries
 from tests.compare import difference, oracle
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQLS = entry.queries(), entry.oracle_sql()
+QUERIES, SQLS = queries(), oracle_sql()
 # Legitimately without rows on the smallest sample.
 MAY_BE_EMPTY = {"vibration_trend", "maintenance_history_asset", "plant_current", "oee_mean_of_ratios", "kpi_oee_delta",
                 "downtime_by_line", "maintenance_history", "spend_on_kind", "dq_keys", "overdue_preventive"}

@@ -6,14 +6,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from plantpulse.registry import queries
 from plantpulse.plans import gold, production
 from plantpulse.streaming.sample import STREAMS
 
 SF = "/root/testdata/sf0.001"
 IN_PYTHON = {"oee_by_plant_python", "health_band_python"}
 RUNS_JOBS = {"failure_scores"}
-BATCH = sorted(set(entry.queries()) - set(STREAMS) - RUNS_JOBS)
+BATCH = sorted(set(queries()) - set(STREAMS) - RUNS_JOBS)
 
 
 def physical(df) -> str:
@@ -32,7 +32,7 @@ def no_broadcast(spark):
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_pairs_and_no_python(no_broadcast, name):
-    plan = physical(entry.queries()[name](no_broadcast, SF))
+    plan = physical(queries()[name](no_broadcast, SF))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     if name not in IN_PYTHON:
         assert not re.search(r"EvalPython|InPandas|InArrow", plan)
@@ -40,7 +40,7 @@ def test_no_pairs_and_no_python(no_broadcast, name):
 
 def test_only_code_tables_are_broadcast_by_hint(no_broadcast):
     """With the size-based choice off, a broadcast is left only where a fixed code table is joined."""
-    hinted = {name for name in BATCH if "BroadcastHashJoin" in physical(entry.queries()[name](no_broadcast, SF))}
+    hinted = {name for name in BATCH if "BroadcastHashJoin" in physical(queries()[name](no_broadcast, SF))}
     assert hinted == {
         "bill_of_parts", "bronze_maintenance", "downtime_by_type", "failure_hierarchy", "maintenance_cost_by_type",
         "maintenance_history", "maintenance_history_asset", "orders_by_asset_class", "parts_cost_by_type", "parts_per_event",
