@@ -31,6 +31,7 @@ from plantpulse.llm.staging import staged
 
 WINDOW, K = 10, 5
 CHUNK_WORDS = 1_000_000
+_ITEMS, _HITS = "array<string>", "array<struct<first:bigint,count:bigint>>"
 
 
 def winnowed(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,27 +125,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
     n_words = items.agg(F.coalesce(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\u0080-\\uFFFF]+"))), F.lit(0))).first()[0]
     chunks = max(1, -(-2 * n_words // chunk_words))
-    found = None
+    carried = docs.columns if carry is None else carry
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("doc"), "text",
+                        F.lit(None).cast(_ITEMS).alias("items"), F.lit(None).cast(_HITS).alias("hits"))
     for chunk in range(chunks):
         mine = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)) == chunk) if chunks > 1 else items
         table = mine.toArrow()  # bounded: about half of chunk_words
         index = spark.sparkContext.broadcast(index_of(table["id"].to_pylist(), _one(table["text"]), window, k))
-        source, kept = (docs, carry) if found is None else (found, ["row", "items", "hits"])
-        found = beside(source, lambda index=index: _marker(index.value, window), "n_words bigint, items array<string>, "
-                       "hits array<struct<first:bigint,count:bigint>>", kept if carry is None or found is not None else
-                       [*kept, *(["text"] if chunks > 1 and "text" not in kept else [])])
-        if chunk:
-            found = found.select(
-                "row.row", "n_words", F.array_sort(F.array_union("row.items", "items")).alias("items"),
-                F.array_sort(F.array_union("row.hits", "hits")).alias("hits"), "text")
-        elif chunks > 1:
-            found = found.select("row", "n_words", "items", "hits", F.col("row.text").alias("text"))
-        found = staged(found, "hits") if chunks > 1 else found
-    return found.select("row", "n_words", "items", "hits")
+        last = chunk + 1 == chunks
+        marked = beside(found, lambda index=index: _marker(index.value, window), f"n_words bigint, items {_ITEMS}, hits {_HITS}",
+                        ["doc", "items", "hits", *([] if last else ["text"])])
+        found = marked.select(
+            F.col("row.doc").alias("doc"), "n_words", *([] if last else [F.col("row.text").alias("text")]),
+            *(F.array_sort(F.array_union(F.coalesce(f"row.{c}", c), c)).alias(c) for c in ("items", "hits")))
+        found = found if last else staged(found, "hits")
+    return found.select(F.col("doc").alias("row"), "n_words", "items", "hits")
 
 
 def _one(column: pa.ChunkedArray) -> pa.Array:
-    return pa.concat_arrays(column.cast(pa.large_string()).chunks) if column.num_chunks else pa.array([], pa.large_string())
+    return pa.concat_arrays([pa.array([], pa.large_string()), *column.cast(pa.large_string()).chunks])
 
 
 def _marker(index: BenchmarkIndex, window: int):
