@@ -33,7 +33,7 @@ from plantpulse.llm.mapping import beside
 from plantpulse.llm.staging import bucketed, staged
 
 PERCENT, SHINGLE, ORDERS = 90, 3, 3
-SKETCH_BITS, SKETCH_ROWS, SEGMENTS = 20, 2, 64
+SKETCH_BITS, SKETCH_ROWS, SEGMENTS = 23, 2, 64
 
 
 def shingle_sets(texts: pa.Array, shingle: int, kind: th.Alphabet = th.LOWERED) -> Iterator[np.ndarray]:
@@ -73,38 +73,43 @@ def _cells(found: np.ndarray) -> list[np.ndarray]:
 
 
 def frequency_sketch(table: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
-    """log2 of how many classes share a cell: SKETCH_ROWS rows of 2**SKETCH_BITS bytes, whatever the input's size."""
+    """log2 of how many classes share a cell: SKETCH_ROWS rows of 2**SKETCH_BITS bytes, whatever the input's size.
+
+    It only sets the order of shingles, so cells shared by chance cost time, not results.
+    """
     width = (1 << SKETCH_BITS) // SEGMENTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64)
-        for batch in batches:
-            for found in shingle_sets(batch.column(0), shingle):
+        total = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int32)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2000):
+                found = np.concatenate(list(shingle_sets(whole.column(0).slice(first, 2000), shingle)))
                 for row, cells in zip(total, _cells(found)):
-                    np.add.at(row, cells, 1)
-        yield _segments(total.reshape(SKETCH_ROWS * SEGMENTS, width))
+                    at, n = np.unique(cells, return_counts=True)
+                    row[at] += n.astype(np.int32)
+        yield _segments(range(SKETCH_ROWS * SEGMENTS), total.reshape(SKETCH_ROWS * SEGMENTS, width))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for segment, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = np.frombuffer(zlib.decompress(packed.as_py()), np.int64)
-                total[segment] = total[segment] + values if segment in total else values
+                values = np.frombuffer(zlib.decompress(packed.as_buffer()), np.int32)
+                total[segment] = total.get(segment, 0) + values.astype(np.int64)
         if total:
-            yield _segments(np.stack(list(total.values())), list(total))
+            yield _segments(list(total), [np.log2(v + 1).astype(np.uint8) for v in total.values()])
 
     schema = "segment int, counts binary"
     parts = (table.select("text").mapInArrow(count, schema).repartition(SKETCH_ROWS * SEGMENTS, "segment").mapInArrow(add, schema))
-    out = np.zeros((SKETCH_ROWS * SEGMENTS, width), np.int64)
+    out = np.zeros((SKETCH_ROWS * SEGMENTS, width), np.uint8)
     for segment, packed in parts.collect():  # a fixed number of fixed-size rows
-        out[segment] += np.frombuffer(zlib.decompress(packed), np.int64)
-    return np.log2(out + 1).astype(np.uint8).reshape(SKETCH_ROWS, 1 << SKETCH_BITS)
+        out[segment] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return out.reshape(SKETCH_ROWS, 1 << SKETCH_BITS)
 
 
-def _segments(values: np.ndarray, numbers: list[int] | None = None) -> pa.RecordBatch:
+def _segments(numbers, values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(numbers if numbers is not None else range(len(values)), pa.int32()),
-         pa.array([zlib.compress(np.ascontiguousarray(v).tobytes(), 1) for v in values], pa.binary())], names=["segment", "counts"])
+        [pa.array(numbers, pa.int32()), pa.array([zlib.compress(np.ascontiguousarray(v).tobytes(), 1) for v in values], pa.binary())],
+        names=["segment", "counts"])
 
 
 def prefix_size(n: int, percent: int) -> int:
