@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.prelude import TODAY, div, r
+from oracle.prelude import TELEMETRY_TODAY, TODAY, div, r
 
 _COST = "CAST(sum(parts_cost + labor_cost) AS DOUBLE)"
 _PLACED = "FROM maintenance JOIN placed USING (asset_id)"
@@ -74,8 +74,11 @@ SQL: dict[str, str] = {
     "downtime_impact_by_plant": f"SELECT plant_name, CAST(sum(downtime_hours * downtime_impact_per_hour) AS DOUBLE) AS impact {_PLACED} GROUP BY 1",
     "orders_by_asset_class": f"SELECT class_name, count(*) AS orders {_PLACED} GROUP BY 1",
     "emergency_mom": f""", x AS (SELECT CAST(date_trunc('month', completed_date) AS DATE) AS month_start, count(*) AS orders
-        FROM maintenance WHERE wo_type_id = 1 GROUP BY 1), y AS (SELECT *, lag(orders) OVER (ORDER BY month_start) AS p FROM x)
-      SELECT month_start, orders, {r("(CAST(orders AS DOUBLE) - p) / p", 6)} AS change FROM y""",
+        FROM maintenance WHERE wo_type_id = 1 GROUP BY 1),
+      a AS (SELECT CAST(unnest(generate_series(min(month_start), max(month_start), INTERVAL 1 MONTH)) AS DATE) AS month_start FROM x),
+      z AS (SELECT month_start, coalesce(orders, 0) AS orders FROM a LEFT JOIN x USING (month_start)),
+      y AS (SELECT z.*, b.orders AS p FROM z LEFT JOIN z b ON b.month_start + INTERVAL 1 MONTH = z.month_start)
+      SELECT month_start, orders, CASE WHEN p <> 0 THEN {r("(CAST(orders AS DOUBLE) - p) / p", 6)} END AS change FROM y""",
     "cost_by_quarter": f""", x AS (SELECT year(completed_date) || '-Q' || quarter(completed_date) AS quarter, {_COST} AS total_cost FROM maintenance GROUP BY 1)
       SELECT *, rank() OVER (ORDER BY total_cost DESC, quarter) AS rank_no FROM x""",
     "costliest_quarter": f"""SELECT CAST(quarter(completed_date) AS INTEGER) AS quarter, {_COST} AS total_cost FROM maintenance GROUP BY 1
@@ -92,7 +95,7 @@ SQL: dict[str, str] = {
       FROM parts JOIN material USING (material_id) WHERE material_nk LIKE 'PROMO-%'""",
     "usage_rate": f"""SELECT material_id, {r('''CAST(sum(quantity_used) AS DOUBLE) * 30e0
         / (SELECT CAST(date_diff('day', min(completed_date), max(completed_date)) + 1 AS DOUBLE) FROM maintenance)''', 6)} AS monthly_usage
-      FROM parts GROUP BY 1 ORDER BY monthly_usage DESC, material_id LIMIT 20""",
+      FROM parts GROUP BY 1""",
     "bill_of_parts": """, rules AS (SELECT i // 4 + 1 AS wo_type_id, i % 4 AS slot, i * 3 % 20 + 1 AS material_id, i % 3 + 1 AS quantity
         FROM range(16) t(i)), x AS (SELECT log_id, asset_id, wo_type_id, unnest(range(1, 6 - wo_type_id)) AS part_no FROM maintenance)
       SELECT log_id, CAST(part_no AS INTEGER) AS part_no, material_id, quantity, CAST(quantity * unit_cost AS DOUBLE) AS total_cost
@@ -124,12 +127,17 @@ SQL: dict[str, str] = {
         CAST(sum(scrapped) AS BIGINT) AS units_scrapped, count(*) AS asset_days FROM p GROUP BY 1""",
     "volume_vs_maintenance": f""", u AS (SELECT line_name, year(production_date) || '-Q' || quarter(production_date) AS q, sum(produced) AS units
         FROM production JOIN machine_placed USING (asset_id) GROUP BY 1, 2),
-      o AS (SELECT line_name, year(completed_date) || '-Q' || quarter(completed_date) AS q, count(*) AS orders {_PLACED} GROUP BY 1, 2)
+      o AS (SELECT line_name, year(completed_date) || '-Q' || quarter(completed_date) AS q, count(*) AS orders {_PLACED} GROUP BY 1, 2),
+      f AS (SELECT line_name, q, coalesce(units, 0) AS units, coalesce(orders, 0) AS orders FROM u FULL JOIN o USING (line_name, q))
       SELECT line_name, CAST(sum(units) AS BIGINT) AS units, CAST(sum(orders) AS BIGINT) AS orders, {r("corr(units, orders)", 4)} AS correlation
-      FROM u JOIN o USING (line_name, q) GROUP BY 1""",
-    "overdue_preventive": """, d AS (SELECT DISTINCT asset_id, completed_date FROM service WHERE wo_type_id = 3),
-      x AS (SELECT asset_id, date_diff('day', lag(completed_date) OVER (PARTITION BY asset_id ORDER BY completed_date), completed_date) AS pause FROM d)
-      SELECT asset_id, CAST(max(pause) AS INTEGER) AS longest_pause FROM x GROUP BY 1 HAVING max(pause) > 10""",
+      FROM f WHERE EXISTS (SELECT 1 FROM u a WHERE a.line_name = f.line_name AND a.q <= f.q)
+        AND EXISTS (SELECT 1 FROM u b WHERE b.line_name = f.line_name AND b.q >= f.q) GROUP BY 1""",
+    "overdue_preventive": f""", d AS (SELECT DISTINCT asset_id, completed_date FROM service WHERE wo_type_id = 3),
+      x AS (SELECT asset_id, date_diff('day', lag(completed_date) OVER (PARTITION BY asset_id ORDER BY completed_date), completed_date) AS pause FROM d),
+      o AS (SELECT asset_id, max(completed_date) AS last FROM d GROUP BY 1),
+      y AS (SELECT asset_id, pause FROM x UNION ALL
+        SELECT coalesce(a.asset_id, o.asset_id), date_diff('day', coalesce(last, installation_date), {TELEMETRY_TODAY}) FROM asset a FULL JOIN o ON a.asset_id = o.asset_id)
+      SELECT asset_id, CAST(max(pause) AS INTEGER) AS longest_pause FROM y GROUP BY 1 HAVING max(pause) > 10""",
     "recent_by_asset": """SELECT asset_id, log_id, completed_date, row_number() OVER (PARTITION BY asset_id ORDER BY completed_date DESC, log_id DESC) AS row_no
       FROM maintenance QUALIFY row_no <= 5""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracle.gold import SQL as GOLD
 from oracle.prelude import div, r
 
 _MSG = """, msg AS (SELECT conv_id AS conversation_id, turn, role, text AS content,
@@ -53,24 +54,21 @@ SQL: dict[str, str] = {
 
 _REASON = """CASE WHEN event_id % 97 = 5 THEN 'not json' WHEN event_id % 83 = 9 THEN 'missing deviceId'
     WHEN event_id % 89 = 7 THEN 'wrong type value' END"""
-_CLOSED = "(SELECT max(recorded_at) - INTERVAL 2 HOUR FROM {source})"
 
 SQL.update({
     "stream_ingest": f"SELECT event_id, {_REASON} AS reject_reason FROM events",
-    "stream_hourly": f"""SELECT hour_timestamp, asset_id, avg_temperature_c, max_vibration_mm_s, CAST(latest_health_score AS DOUBLE) AS latest_health_score,
-      CAST(avg_failure_probability AS DOUBLE) AS avg_failure_probability, min_rul_days FROM hourly
-      WHERE hour_timestamp + INTERVAL 1 HOUR <= {_CLOSED.format(source="telemetry")}""",
+    "stream_hourly": GOLD["hourly_health"],
     "stream_sliding": f""", t AS (SELECT * FROM telemetry WHERE temperature_c IS NOT NULL),
       w AS (SELECT asset_id, temperature_c, unnest(generate_series(date_trunc('hour', recorded_at) + INTERVAL 1 HOUR,
         date_trunc('hour', recorded_at) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS window_end FROM t)
       SELECT window_end, asset_id, {r("CAST(sum(temperature_c) AS DOUBLE) / count(*)", 2)} AS avg_temperature_c, count(*) AS readings
-      FROM w WHERE window_end <= {_CLOSED.format(source="t")} GROUP BY 1, 2""",
-    "stream_session": f""", t AS (SELECT asset_id, recorded_at, lag(recorded_at) OVER (PARTITION BY asset_id ORDER BY recorded_at) AS p
+      FROM w GROUP BY 1, 2""",
+    "stream_session": """, t AS (SELECT asset_id, recorded_at, lag(recorded_at) OVER (PARTITION BY asset_id ORDER BY recorded_at) AS p
         FROM telemetry WHERE is_anomalous),
       u AS (SELECT *, sum(CASE WHEN p IS NULL OR recorded_at - p >= INTERVAL 12 HOUR THEN 1 ELSE 0 END)
         OVER (PARTITION BY asset_id ORDER BY recorded_at) AS s FROM t)
       SELECT asset_id, min(recorded_at) AS session_start, max(recorded_at) + INTERVAL 12 HOUR AS session_end, count(*) AS readings
-      FROM u GROUP BY asset_id, s HAVING max(recorded_at) + INTERVAL 12 HOUR <= {_CLOSED.format(source="t")}""",
+      FROM u GROUP BY asset_id, s""",
     "stream_dedup": "SELECT telemetry_id, asset_id, recorded_at FROM telemetry",
     "stream_alerts": """SELECT telemetry_id, asset_id, asset_name, recorded_at, CAST(health_score AS DOUBLE) AS health_score
       FROM telemetry JOIN placed USING (asset_id) WHERE health_score < 80 OR (class_name = 'MACHINERY' AND vibration_mm_s > 1.2)""",

@@ -7,7 +7,7 @@ def r(expr: str, digits: int = 2) -> str:
     """Round half away from zero in plain double arithmetic."""
     s = f"1e{digits}"
     x = f"CAST({expr} AS DOUBLE)"
-    return f"(sign({x}) * floor(abs({x}) * {s} + 0.5e0) / {s})"
+    return f"(CASE WHEN abs({x}) * {s} < 9007199254740992e0 THEN sign({x}) * floor(abs({x}) * {s} + 0.5e0) / {s} ELSE {x} END)"
 
 
 def div(n: str, d: str) -> str:
@@ -24,6 +24,7 @@ _SEG = ("CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN
 _HEALTH = "CAST(floor((100e0 - least(60e0, value / 4e0)) * 100e0 + 0.5e0) / 100e0 AS DECIMAL(5,2))"
 _VIB = "CAST(CASE WHEN event_type = 'click' THEN value / 100e0 END AS DECIMAL(8,4))"
 
+# Class, order type and failure code tables, as in plantpulse/sources/dimensions.py.
 PRELUDE = f"""
 asset_class(asset_class_id, class_name, process_type) AS (VALUES
   (1, 'AUTOMOBILE', 'Manufacturing'), (2, 'BUILDING', 'Assembly'), (3, 'FURNITURE', 'Testing'),

@@ -61,7 +61,7 @@ SQL: dict[str, str] = {
     "units_per_hour_by_process_type": f"SELECT process_type, {r(div(_U, _A), 4)} AS units_per_hour {_PLACED} GROUP BY 1",
     "weekly_production": f""", x AS (SELECT CAST(date_trunc('week', production_date) AS DATE) AS week_start,
         CAST({_U} AS BIGINT) AS units_produced {_PLACED} WHERE plant_name = 'EUROPE' GROUP BY 1),
-      y AS (SELECT *, lag(units_produced) OVER (ORDER BY week_start) AS p FROM x)
+      y AS (SELECT x.*, b.units_produced AS p FROM x LEFT JOIN x b ON b.week_start = x.week_start - 7)
       SELECT week_start, units_produced, CASE WHEN p <> 0 THEN
         {r("(CAST(units_produced AS DOUBLE) - p) / p", 6)} END AS change FROM y""",
     "line_revenue": f"""SELECT line_name, CAST(hourly_revenue AS DOUBLE) AS hourly_revenue,

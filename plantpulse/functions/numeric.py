@@ -6,15 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+EXACT_BELOW = float(2**53)
+
+
 def half_up(value: Column, digits: int = 2) -> Column:
     """Round half away from zero as plain double arithmetic.
 
     ``F.round`` on a double goes through ``BigDecimal``; this form is three codegen'd
-    instructions and gives the same bits in any IEEE engine.
+    instructions and gives the same bits in any IEEE engine. From 2^53 on a scaled double has no
+    fraction left to round, so such values (and infinities) stay as they are.
     """
     scale = float(10**digits)
     v = value.cast("double")
-    return F.signum(v) * F.floor(F.abs(v) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    scaled = F.abs(v) * F.lit(scale)
+    rounded = F.signum(v) * F.floor(scaled + F.lit(0.5)) / F.lit(scale)
+    return F.when(scaled < F.lit(EXACT_BELOW), rounded).otherwise(v)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -52,12 +52,22 @@ def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_minutes: int) -> D
     Two rows in the same gap-long slot always share a session, so a hash aggregate per
     slot (with map-side combine) loses nothing; the window then orders one row per slot.
     """
+    return sessions_of_slots(session_slots(df, keys, ts, gap_minutes), keys, gap_minutes)
+
+
+def session_slots(df: DataFrame, keys: Sequence[str], ts: str, gap_minutes: int) -> DataFrame:
+    """One row for each gap-long slot of a key that holds rows."""
+    gap = gap_minutes * 60_000_000
+    return (df.groupBy(*keys, F.floor(wall_micros(F.col(ts)) / F.lit(gap)).alias("__slot"))
+            .agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"), F.count(F.lit(1)).alias("__n")))
+
+
+def sessions_of_slots(slots: DataFrame, keys: Sequence[str], gap_minutes: int, at_gap: bool = True) -> DataFrame:
+    """Sessions from slots; ``at_gap`` says whether rows exactly a gap apart still belong together."""
     gap = gap_minutes * 60_000_000
-    slots = (df.groupBy(*keys, F.floor(wall_micros(F.col(ts)) / F.lit(gap)).alias("__slot"))
-             .agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"), F.count(F.lit(1)).alias("__n")))
     w = Window.partitionBy(*keys).orderBy("__slot")
     apart = wall_micros(F.col("__first")) - wall_micros(F.lag("__last").over(w))
-    marked = slots.withColumn("__new", F.when(apart <= gap, 0).otherwise(1))
+    marked = slots.withColumn("__new", F.when(apart <= gap if at_gap else apart < gap, 0).otherwise(1))
     numbered = marked.withColumn("__session", F.sum("__new").over(w))
     return (numbered.groupBy(*keys, "__session")
             .agg(F.min("__first").alias("session_start"), F.max("__last").alias("last_reading"),

@@ -21,11 +21,14 @@ def with_share(totals: DataFrame, measure: str, share: str, digits: int = 6,
     return totals.withColumn(share, half_up(ratio(F.col(measure), total), digits))
 
 
-def with_previous(totals: DataFrame, measure: str, period: str, into: str,
+def with_previous(totals: DataFrame, measure: str, period: str, into: str, before: Column,
                   within: Sequence[str] = ()) -> DataFrame:
-    """The measure of the row before in ``period`` order (aggregated rows only)."""
+    """The measure of the period before (aggregated rows only), NULL where that period has no row.
+
+    ``before`` gives the adjacent earlier period of a row: a gap is not bridged.
+    """
     w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(period)
-    return totals.withColumn(into, F.lag(measure).over(w))
+    return totals.withColumn(into, F.when(F.lag(period).over(w) == before, F.lag(measure).over(w)))
 
 
 def growth(current: Column, previous: Column, digits: int = 6) -> Column:

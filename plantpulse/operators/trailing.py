@@ -6,6 +6,8 @@ then has to order is bounded by the calendar, whatever an asset's share of the r
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -37,33 +39,53 @@ def _days(first: int, last: int) -> WindowSpec:
     return Window.partitionBy("asset_id").orderBy("day_no").rangeBetween(first, last)
 
 
-def mean_temperature(days: int) -> Column:
-    w = _days(-days, 0)
-    return half_up(mean_of(F.sum("temp_sum").over(w), F.sum("temp_n").over(w)), 2)
+@dataclass(frozen=True)
+class Feature:
+    """Named window columns and what is computed from them.
+
+    Kept apart so that each window is computed once: formulas that round or guard repeat their input.
+    """
+
+    windows: dict[str, Column]
+    value: Column
+
+
+def with_features(axis: DataFrame, keep: list[str], features: dict[str, Feature]) -> DataFrame:
+    """The kept columns and a column for each feature: windows first, formulas over them second."""
+    windows = {name: c for f in features.values() for name, c in f.windows.items()}
+    first = axis.select(*keep, *(c.alias(name) for name, c in windows.items()))
+    return first.select(*keep, *(f.value.alias(name) for name, f in features.items()))
+
+
+def mean_temperature(days: int) -> Feature:
+    w, s, n = _days(-days, 0), f"__temp_sum_{days}", f"__temp_n_{days}"
+    return Feature({s: F.sum("temp_sum").over(w), n: F.sum("temp_n").over(w)}, half_up(mean_of(F.col(s), F.col(n)), 2))
 
 
-def vibration_spread(days: int) -> Column:
-    w = _days(-days, 0)
-    return half_up(stddev_from_moments(F.sum("vib_n").over(w), F.sum("vib_sum").over(w),
-                                       F.sum("vib_sq").over(w), VIBRATION_SCALE), 2)
+def vibration_spread(days: int) -> Feature:
+    w, n, s, q = _days(-days, 0), f"__vib_n_{days}", f"__vib_sum_{days}", f"__vib_sq_{days}"
+    return Feature({n: F.sum("vib_n").over(w), s: F.sum("vib_sum").over(w), q: F.sum("vib_sq").over(w)},
+                   half_up(stddev_from_moments(F.col(n), F.col(s), F.col(q), VIBRATION_SCALE), 2))
 
 
-def pressure_trend(days: int) -> Column:
+def pressure_trend(days: int) -> Feature:
     """(max - min) / number of non-null pressures, NULL without any."""
-    w = _days(-days, 0)
-    spread = F.max("psi_max").over(w) - F.min("psi_min").over(w)
-    return half_up(ratio_or_null(spread, F.sum("psi_n").over(w)), 2)
+    w, hi, lo, n = _days(-days, 0), f"__psi_max_{days}", f"__psi_min_{days}", f"__psi_n_{days}"
+    return Feature({hi: F.max("psi_max").over(w), lo: F.min("psi_min").over(w), n: F.sum("psi_n").over(w)},
+                   half_up(ratio_or_null(F.col(hi) - F.col(lo), F.col(n)), 2))
 
 
-def days_since(event: str) -> Column:
+def days_since(event: str) -> Feature:
     """Days since the last event strictly before the day, or the "never" value."""
-    last = F.max(F.when(F.col(event), F.col("day_no"))).over(_days(Window.unboundedPreceding, -1))
-    return F.coalesce(F.col("day_no") - last, F.lit(NEVER_DAYS))
+    last = f"__last_{event}"
+    seen = F.max(F.when(F.col(event), F.col("day_no"))).over(_days(Window.unboundedPreceding, -1))
+    return Feature({last: F.col("day_no") - seen}, F.coalesce(F.col(last), F.lit(NEVER_DAYS)))
 
 
-def happens_within(event: str, days: int) -> Column:
+def happens_within(event: str, days: int) -> Feature:
     """Whether an event follows on day 1..``days``; FALSE, never NULL."""
-    return F.coalesce(F.max(event).over(_days(1, days)), F.lit(False))
+    name = f"__next_{event}_{days}"
+    return Feature({name: F.max(event).over(_days(1, days))}, F.coalesce(F.col(name), F.lit(False)))
 
 
 def observation_axis(telemetry: DataFrame, service: DataFrame | None = None) -> DataFrame:
@@ -91,10 +113,12 @@ def deviation_from_past(telemetry: DataFrame, days: int, k: float) -> DataFrame:
     join them on (asset, day), which a skewed asset cannot pile into one task.
     """
     w = _days(-days, -1)
-    n, s, q = F.sum("vib_n").over(w), F.sum("vib_sum").over(w), F.sum("vib_sq").over(w)
-    past = observation_axis(telemetry).select(
-        "asset_id", "observation_date", n.alias("past_n"), mean_of(s, n).alias("past_mean"),
-        stddev_from_moments(n, s, q, VIBRATION_SCALE).alias("past_std"))
+    n, s, q = (F.col(c) for c in ("past_n", "past_sum", "past_sq"))
+    sums = observation_axis(telemetry).select(
+        "asset_id", "observation_date", F.sum("vib_n").over(w).alias("past_n"), F.sum("vib_sum").over(w).alias("past_sum"),
+        F.sum("vib_sq").over(w).alias("past_sq"))
+    past = sums.select("asset_id", "observation_date", n, mean_of(s, n).alias("past_mean"),
+                       stddev_from_moments(n, s, q, VIBRATION_SCALE).alias("past_std"))
     readings = (telemetry.filter(F.col("vibration_mm_s").isNotNull())
                 .select("telemetry_id", "asset_id", "recorded_at", "vibration_mm_s",
                         F.to_date("recorded_at").alias("observation_date")))

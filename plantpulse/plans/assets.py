@@ -59,7 +59,7 @@ def latest_telemetry(wh: Warehouse, asset_ids: list[int] | None = None) -> DataF
     rows = wh["fct_asset_telemetry"]
     if asset_ids is not None:
         rows = rows.filter(F.col("asset_id").isin(asset_ids))
-    stamp = {c: F.when(F.col(c).isNotNull(), F.col("recorded_at")) for c in METRICS}
+    stamp = {c: F.when(F.col(c).isNotNull(), F.struct("recorded_at", "telemetry_id")) for c in METRICS}
     return rows.groupBy("asset_id").agg(
         *[F.max_by(F.col(c), at).cast("double").alias(c) for c, at in stamp.items()])
 
@@ -75,7 +75,7 @@ def latest_prediction(wh: Warehouse, asset_ids: list[int] | None = None) -> Data
 
 def latest_state(wh: Warehouse) -> DataFrame:
     """Last value of every metric and last prediction per asset, in one pass over the readings."""
-    stamp = {c: F.when(F.col(c).isNotNull(), F.col("recorded_at")) for c in METRICS}
+    stamp = {c: F.when(F.col(c).isNotNull(), F.struct("recorded_at", "telemetry_id")) for c in METRICS}
     packed = wh["fct_asset_telemetry"].groupBy("asset_id").agg(
         *[F.max_by(F.col(c), at).cast("double").alias(c) for c, at in stamp.items()],
         F.max_by(F.struct(*PREDICTION), F.struct("recorded_at", "telemetry_id")).alias("p"))
@@ -152,7 +152,7 @@ def sensor_readings_by_metric(wh: Warehouse, start: dt.datetime | str, end: dt.d
 
 def latest_reading_per_sensor(wh: Warehouse) -> DataFrame:
     long = unpivot_metrics(wh["fct_asset_telemetry"], ["telemetry_id", "asset_id", "recorded_at"], METRICS)
-    last = latest_per_key(long, ["asset_id", "sensor_type"], "recorded_at", ["value"])
+    last = latest_per_key(long, ["asset_id", "sensor_type"], "recorded_at", ["value"], ["telemetry_id"])
     sensors = wh["dim_sensor"].select("sensor_sk", "asset_id", "sensor_type")
     return last.join(sensors, ["asset_id", "sensor_type"]).select("sensor_sk", "sensor_type", "recorded_at", "value")
 

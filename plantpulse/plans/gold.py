@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantpulse.functions.bands import cycles_since
@@ -21,18 +21,27 @@ OBSERVED_HEALTH_DEFAULT = 95
 def hourly_health(telemetry: DataFrame, since: dt.datetime | str | None = None) -> DataFrame:
     """One row per asset and hour. ``latest_health_score`` is the hour's maximum."""
     rows = telemetry if since is None else telemetry.filter(F.col("recorded_at") >= as_ntz(since))
-    agg = rows.groupBy(hour_start("recorded_at").alias("hour_timestamp"), "asset_id").agg(
-        F.sum("temperature_c").alias("ts"), F.count("temperature_c").alias("tn"),
-        F.max("vibration_mm_s").alias("v"), F.count("pressure_psi").alias("pn"), F.sum("pressure_psi").alias("ps"),
-        F.sum(F.col("pressure_psi") * F.col("pressure_psi")).alias("pq"),
-        F.max("health_score").alias("h"), F.sum("failure_probability").alias("fs"),
-        F.count("failure_probability").alias("fn"), F.min("rul_days").alias("min_rul_days"))
-    return agg.select(
-        "hour_timestamp", "asset_id", half_up(mean_of(F.col("ts"), F.col("tn")), 2).alias("avg_temperature_c"),
-        half_up(F.col("v"), 2).alias("max_vibration_mm_s"), half_up(stddev_from_moments(F.col("pn"), F.col("ps"), F.col("pq"), 2), 2).alias("stddev_pressure_psi"),
-        F.col("h").cast("decimal(5,2)").alias("latest_health_score"),
-        half_up(mean_of(F.col("fs"), F.col("fn")), 2).cast("decimal(3,2)").alias("avg_failure_probability"),
-        "min_rul_days")
+    agg = rows.groupBy(hour_start("recorded_at").alias("hour_timestamp"), "asset_id").agg(*hour_moments())
+    return agg.select("hour_timestamp", "asset_id", *health_of_hour())
+
+
+def hour_moments() -> list[Column]:
+    """What a batch or a stream keeps of an asset's hour."""
+    return [F.sum("temperature_c").alias("ts"), F.count("temperature_c").alias("tn"),
+            F.max("vibration_mm_s").alias("v"), F.count("pressure_psi").alias("pn"), F.sum("pressure_psi").alias("ps"),
+            F.sum(F.col("pressure_psi") * F.col("pressure_psi")).alias("pq"),
+            F.max("health_score").alias("h"), F.sum("failure_probability").alias("fs"),
+            F.count("failure_probability").alias("fn"), F.min("rul_days").alias("min_rul_days")]
+
+
+def health_of_hour() -> list[Column]:
+    """The hour's health from its moments."""
+    return [half_up(mean_of(F.col("ts"), F.col("tn")), 2).alias("avg_temperature_c"),
+            half_up(F.col("v"), 2).alias("max_vibration_mm_s"),
+            half_up(stddev_from_moments(F.col("pn"), F.col("ps"), F.col("pq"), 2), 2).alias("stddev_pressure_psi"),
+            F.col("h").cast("decimal(5,2)").alias("latest_health_score"),
+            half_up(mean_of(F.col("fs"), F.col("fn")), 2).cast("decimal(3,2)").alias("avg_failure_probability"),
+            F.col("min_rul_days")]
 
 
 def hourly_latest_by_time(telemetry: DataFrame) -> DataFrame:
@@ -47,50 +56,41 @@ def daily_observations(telemetry: DataFrame) -> DataFrame:
                             d.alias("observation_date")).distinct()
 
 
+def _daily(axis: DataFrame, features: dict[str, trailing.Feature]) -> DataFrame:
+    """Features of the observed asset-days under their date key."""
+    rows = trailing.with_features(axis, ["asset_id", "observation_date", "is_observed"], features)
+    return trailing.observed_only(rows).select(date_sk(F.col("observation_date")).alias("observation_date_sk"), "asset_id", *features)
+
+
 def feature_temp_24h(telemetry: DataFrame) -> DataFrame:
     """Mean temperature over the day before and the day itself."""
-    return trailing.observation_axis(telemetry).select(
-        date_sk(F.col("observation_date")).alias("observation_date_sk"), "asset_id",
-        trailing.mean_temperature(1).alias("avg_temp_last_24h"))
+    return _daily(trailing.observation_axis(telemetry), {"avg_temp_last_24h": trailing.mean_temperature(1)})
 
 
 def feature_vibration_7d(telemetry: DataFrame) -> DataFrame:
-    return trailing.observation_axis(telemetry).select(
-        date_sk(F.col("observation_date")).alias("observation_date_sk"), "asset_id",
-        trailing.vibration_spread(7).alias("vibration_stddev_7d"))
+    return _daily(trailing.observation_axis(telemetry), {"vibration_stddev_7d": trailing.vibration_spread(7)})
 
 
 def feature_pressure_trend(telemetry: DataFrame) -> DataFrame:
-    return trailing.observation_axis(telemetry).select(
-        date_sk(F.col("observation_date")).alias("observation_date_sk"), "asset_id",
-        trailing.pressure_trend(7).alias("pressure_trend_7d"))
+    return _daily(trailing.observation_axis(telemetry), {"pressure_trend_7d": trailing.pressure_trend(7)})
 
 
 def feature_days_since(telemetry: DataFrame, service: DataFrame) -> DataFrame:
-    axis = trailing.observation_axis(telemetry, service)
-    return trailing.observed_only(axis.select(
-        date_sk(F.col("observation_date")).alias("observation_date_sk"), "asset_id", "is_observed",
-        trailing.days_since("had_pm").alias("days_since_last_pm"),
-        trailing.days_since("had_failure").alias("days_since_last_failure"))).drop("is_observed")
+    return _daily(trailing.observation_axis(telemetry, service), {
+        "days_since_last_pm": trailing.days_since("had_pm"), "days_since_last_failure": trailing.days_since("had_failure")})
 
 
 def label_next_days(telemetry: DataFrame, service: DataFrame, days: int = 7) -> DataFrame:
-    axis = trailing.observation_axis(telemetry, service)
-    return trailing.observed_only(axis.select(
-        date_sk(F.col("observation_date")).alias("observation_date_sk"), "asset_id", "is_observed",
-        trailing.happens_within("had_failure", days).alias("failed_in_next_7_days"))).drop("is_observed")
+    return _daily(trailing.observation_axis(telemetry, service), {"failed_in_next_7_days": trailing.happens_within("had_failure", days)})
 
 
 def feature_rows(axis: DataFrame) -> DataFrame:
     """All features of an asset-day from one partitioning by asset."""
-    return axis.select(
-        "asset_id", "observation_date", "is_observed", "day_health",
-        trailing.mean_temperature(1).alias("avg_temp_last_24h"),
-        trailing.vibration_spread(7).alias("vibration_stddev_7d"),
-        trailing.pressure_trend(7).alias("pressure_trend_7d"),
-        trailing.days_since("had_pm").alias("days_since_last_pm"),
-        trailing.days_since("had_failure").alias("days_since_last_failure"),
-        trailing.happens_within("had_failure", 7).alias("failed_in_next_7_days"))
+    return trailing.with_features(axis, ["asset_id", "observation_date", "is_observed", "day_health"], {
+        "avg_temp_last_24h": trailing.mean_temperature(1), "vibration_stddev_7d": trailing.vibration_spread(7),
+        "pressure_trend_7d": trailing.pressure_trend(7), "days_since_last_pm": trailing.days_since("had_pm"),
+        "days_since_last_failure": trailing.days_since("had_failure"),
+        "failed_in_next_7_days": trailing.happens_within("had_failure", 7)})
 
 
 def oem_failure_rate(axis: DataFrame, assets: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def bronze_rejects(wh: Warehouse) -> DataFrame:
 
 def bronze_maintenance(wh: Warehouse) -> DataFrame:
     """Work orders written as JSON and read back typed."""
-    rows = wh["fct_maintenance_log"].join(F.broadcast(wh["dim_work_order_type"]), "wo_type_id")
+    rows = wh["fct_maintenance_log"].join(wh["dim_work_order_type"], "wo_type_id")
     document = F.to_json(F.struct(
         F.concat(F.lit("WO-"), F.col("log_id").cast("string")).alias("workOrderId"),
         F.concat(F.lit("eq_"), F.col("asset_id").cast("string")).alias("assetId"), F.col("wo_type_code").alias("type"),

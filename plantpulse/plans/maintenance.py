@@ -32,8 +32,8 @@ def total_cost(into: str = "total_cost") -> Column:
 
 
 def with_type(wh: Warehouse, rows: DataFrame) -> DataFrame:
-    """Adds the type name. The type table is a fixed handful of rows, so broadcasting it is safe."""
-    return rows.join(F.broadcast(wh["dim_work_order_type"]), "wo_type_id")
+    """Adds the type name."""
+    return rows.join(wh["dim_work_order_type"], "wo_type_id")
 
 
 def per_place(wh: Warehouse, per_asset: DataFrame, place: list[str]) -> DataFrame:
@@ -63,7 +63,7 @@ def maintenance_history(wh: Warehouse, as_of: Day, days: int = 30, asset_id: int
 def maintenance_history_asset(wh: Warehouse, asset_id: int, start: Day, end: Day) -> DataFrame:
     """Work orders of one asset with type, technician and failure text (both optional)."""
     rows = wh.between(LOG, start, end).filter(F.col("asset_id") == asset_id)
-    codes = F.broadcast(wh["dim_failure_code"].select("failure_code_id", "failure_description"))
+    codes = wh["dim_failure_code"].select("failure_code_id", "failure_description")
     people = wh["dim_technician"].select("technician_id", "technician_name")
     return (with_type(wh, rows).join(people, "technician_id", "left").join(codes, "failure_code_id", "left")
             .select("log_id", "completed_date", F.col("downtime_hours").cast("double").alias("downtime_hours"),
@@ -202,8 +202,8 @@ def top_failure_codes(wh: Warehouse, year: int, limit: int = 5) -> DataFrame:
     rows = wh.between(LOG, f"{year}-01-01", f"{year}-12-31").filter(F.col("failure_code_id").isNotNull())
     counts = rows.groupBy("failure_code_id").agg(F.count(F.lit(1)).alias("orders"))
     top = top_rows(counts, [F.col("orders").desc(), F.col("failure_code_id")], limit)
-    codes = F.broadcast(wh["dim_failure_code"].select(
-        "failure_code_id", "failure_hierarchy_1", "failure_hierarchy_2", "failure_hierarchy_3"))
+    codes = wh["dim_failure_code"].select(
+        "failure_code_id", "failure_hierarchy_1", "failure_hierarchy_2", "failure_hierarchy_3")
     return top.join(codes, "failure_code_id")
 
 
@@ -211,7 +211,7 @@ def failure_hierarchy(wh: Warehouse) -> DataFrame:
     """Failure orders by the three code levels with subtotals; joined after the count per code."""
     counts = wh[LOG].filter(F.col("failure_code_id").isNotNull()).groupBy("failure_code_id").agg(F.count(F.lit(1)).alias("n"))
     levels = ["failure_hierarchy_1", "failure_hierarchy_2", "failure_hierarchy_3"]
-    return counts.join(F.broadcast(wh["dim_failure_code"]), "failure_code_id").rollup(*levels).agg(
+    return counts.join(wh["dim_failure_code"], "failure_code_id").rollup(*levels).agg(
         F.sum("n").alias("orders"), F.grouping_id().cast("int").alias("level"))
 
 
@@ -241,14 +241,16 @@ def orders_by_asset_class(wh: Warehouse) -> DataFrame:
     per_asset = wh[LOG].groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"))
     classes = wh.current_assets().select("asset_id", "asset_class_id")
     sums = per_asset.join(classes, "asset_id").groupBy("asset_class_id").agg(F.sum("n").alias("orders"))
-    return sums.join(F.broadcast(wh["dim_asset_class"]), "asset_class_id").select("class_name", "orders")
+    return sums.join(wh["dim_asset_class"], "asset_class_id").select("class_name", "orders")
 
 
 def emergency_mom(wh: Warehouse) -> DataFrame:
-    """Emergency orders per month and the change against the month before."""
-    monthly = wh[LOG].filter(F.col("wo_type_id") == EMERGENCY).groupBy(
-        F.trunc("completed_date", "month").alias("month_start")).agg(F.count(F.lit(1)).alias("orders"))
-    before = with_previous(monthly, "orders", "month_start", "previous")
+    """Emergency orders per month and the change against the month before; months without any count as 0."""
+    some = wh[LOG].filter(F.col("wo_type_id") == EMERGENCY).groupBy(
+        F.trunc("completed_date", "month").alias("month_start")).agg(F.count(F.lit(1)).alias("n"))
+    months = some.agg(F.explode(F.sequence(F.min("month_start"), F.max("month_start"), F.expr("INTERVAL 1 MONTH"))).alias("month_start"))
+    monthly = months.join(some, "month_start", "left").select("month_start", F.coalesce("n", F.lit(0)).cast("bigint").alias("orders"))
+    before = with_previous(monthly, "orders", "month_start", "previous", F.add_months("month_start", -1))
     return before.select("month_start", "orders", growth(F.col("orders"), F.col("previous")).alias("change"))
 
 
@@ -308,12 +310,11 @@ def spend_on_kind(wh: Warehouse, prefix: str) -> DataFrame:
         F.sum("c").cast("double").alias("total_cost"), F.sum("q").cast("double").alias("quantity"))
 
 
-def usage_rate(wh: Warehouse, limit: int = 20) -> DataFrame:
-    """Quantity per 30 days of the log's span, for the most used parts (no stock table exists)."""
+def usage_rate(wh: Warehouse) -> DataFrame:
+    """Quantity per 30 days of the log's span, for every part used (no stock table exists)."""
     span = wh[LOG].agg((F.datediff(F.max("completed_date"), F.min("completed_date")) + 1).cast("double")).scalar()
     sums = wh[PARTS].groupBy("material_id").agg(F.sum("quantity_used").alias("q"))
-    rate = sums.select("material_id", half_up(F.col("q").cast("double") * 30.0 / span, 6).alias("monthly_usage"))
-    return top_rows(rate, [F.col("monthly_usage").desc(), F.col("material_id")], limit)
+    return sums.select("material_id", half_up(F.col("q").cast("double") * 30.0 / span, 6).alias("monthly_usage"))
 
 
 def bill_of_parts(wh: Warehouse, rules: DataFrame, materials_per_rule: int = 4) -> DataFrame:
@@ -326,8 +327,8 @@ def bill_of_parts(wh: Warehouse, rules: DataFrame, materials_per_rule: int = 4)
     rows = repeat_rows(need, "parts", "part_no").withColumn(
         "slot", ((F.col("asset_id") + F.col("part_no")) % materials_per_rule).cast("int"))
     prices = wh["dim_material"].select("material_id", "unit_cost")
-    priced = prices.join(F.broadcast(rules), "material_id")  # at most one row per rule
-    return rows.join(F.broadcast(priced), ["wo_type_id", "slot"]).select(
+    priced = prices.join(rules, "material_id")
+    return rows.join(priced, ["wo_type_id", "slot"]).select(
         "log_id", "part_no", "material_id", F.col("quantity").cast("bigint").alias("quantity"),
         (F.col("quantity") * F.col("unit_cost")).cast("double").alias("total_cost"))
 
@@ -373,7 +374,7 @@ def budget_yoy(wh: Warehouse, budget_type: str) -> DataFrame:
     sums = wh[BUDGET].filter(F.col("budget_type") == budget_type).groupBy("plant_id", "year").agg(
         F.sum("budget_amount").cast("double").alias("budget_amount"))
     named = sums.join(wh["dim_plant"].select("plant_id", "plant_name"), "plant_id").drop("plant_id")
-    before = with_previous(named, "budget_amount", "year", "previous", ["plant_name"])
+    before = with_previous(named, "budget_amount", "year", "previous", F.col("year") - 1, ["plant_name"])
     return before.select("plant_name", "year", "budget_amount", "previous",
                          growth(F.col("budget_amount"), F.col("previous")).alias("growth"))
 
@@ -430,28 +431,37 @@ def scrap_from_failures(wh: Warehouse) -> DataFrame:
 
 
 def volume_vs_maintenance(wh: Warehouse) -> DataFrame:
-    """Units and orders per line and quarter, and their correlation over all lines."""
+    """Units and orders of each line, and their correlation over its quarters.
+
+    A quarter within the line's production span counts as 0 where it has no order or no output; a
+    quarter with neither is no point.
+    """
     made = wh["fct_production_log"].groupBy("asset_id", quarter_label(F.col("production_date")).alias("quarter")).agg(
         F.sum("units_produced").alias("u"))
     lines = place_assets(wh.production_assets(), wh, ["line_name"])
     units = made.join(lines, "asset_id").groupBy("line_name", "quarter").agg(F.sum("u").alias("units"))
     done = wh[LOG].groupBy("asset_id", quarter_label(F.col("completed_date")).alias("quarter")).agg(F.count(F.lit(1)).alias("n"))
     orders = per_place(wh, done, ["line_name"]).groupBy("line_name", "quarter").agg(F.sum("n").alias("orders"))
-    both = units.join(orders, ["line_name", "quarter"])
+    span = units.groupBy("line_name").agg(F.min("quarter").alias("a"), F.max("quarter").alias("b"))
+    both = units.join(orders, ["line_name", "quarter"], "full").join(span, "line_name").filter(F.col("quarter").between(F.col("a"), F.col("b"))).select(
+        "line_name", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("orders", F.lit(0)).alias("orders"))
     return both.groupBy("line_name").agg(F.sum("units").alias("units"), F.sum("orders").alias("orders"),
                                          half_up(F.corr("units", "orders"), 4).alias("correlation"))
 
 
-def overdue_preventive(wh: Warehouse, every_days: int = 30) -> DataFrame:
-    """Assets with a longer pause than planned between two preventive orders.
+def overdue_preventive(wh: Warehouse, as_of: Day, every_days: int = 30) -> DataFrame:
+    """Assets with a longer pause than planned between preventive orders, or since the last one.
 
-    Days are deduplicated per asset first, so the window holds calendar days, not orders.
+    The pause up to ``as_of`` is open and counts; an asset without any such order has paused since its
+    installation. Days are deduplicated per asset first, so the window holds calendar days, not orders.
     """
     days = wh.service_log().filter(F.col("wo_type_id") == PREVENTIVE).select("asset_id", "completed_date").distinct()
     w = Window.partitionBy("asset_id").orderBy("completed_date")
     pause = F.datediff("completed_date", F.lag("completed_date").over(w))
-    return days.withColumn("pause", pause).groupBy("asset_id").agg(F.max("pause").alias("longest_pause")).filter(
-        F.col("longest_pause") > every_days)
+    closed = days.withColumn("pause", pause).groupBy("asset_id").agg(F.max("pause").alias("closed"), F.max("completed_date").alias("last"))
+    known = wh.current_assets().select("asset_id", "installation_date").join(closed, "asset_id", "full")
+    longest = F.greatest("closed", F.datediff(as_date(as_of), F.coalesce("last", "installation_date")))
+    return known.select("asset_id", longest.alias("longest_pause")).filter(F.col("longest_pause") > every_days)
 
 
 def recent_by_asset(wh: Warehouse, n: int = 5) -> DataFrame:

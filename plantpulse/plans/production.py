@@ -13,7 +13,7 @@ from plantpulse.functions.dates import as_date
 from plantpulse.functions.numeric import half_up, ratio, ratio_or_null
 from plantpulse.operators.joins import place_assets
 from plantpulse.operators.latest import top_rows
-from plantpulse.operators.shares import against_prior_mean, growth
+from plantpulse.operators.shares import against_prior_mean, growth, with_previous
 from plantpulse.warehouse import Warehouse
 
 Day = dt.date | str
@@ -192,9 +192,9 @@ def weekly_production(wh: Warehouse, plant_name: str) -> DataFrame:
     weekly = wh["fct_production_log"].withColumn("week_start", F.date_sub(
         F.col("production_date"), F.weekday("production_date")))
     rows = by_place(wh, weekly, ["plant_name"], ["week_start"]).filter(F.col("plant_name") == plant_name)
-    w = Window.partitionBy("plant_name").orderBy("week_start")
-    return rows.select("week_start", F.col("units_produced").cast("bigint").alias("units_produced"),
-                       growth(F.col("units_produced"), F.lag("units_produced").over(w)).alias("change"))
+    before = with_previous(rows, "units_produced", "week_start", "previous", F.date_sub("week_start", 7), ["plant_name"])
+    return before.select("week_start", F.col("units_produced").cast("bigint").alias("units_produced"),
+                         growth(F.col("units_produced"), F.col("previous")).alias("change"))
 
 
 def line_revenue(wh: Warehouse) -> DataFrame:

@@ -109,7 +109,7 @@ def vibration_spread_of_class(wh: Warehouse, class_name: str) -> DataFrame:
     sums = wh[TELEMETRY].groupBy("asset_id").agg(
         F.count(v).alias("n"), F.sum(v).alias("s"), F.sum((v * v).cast("decimal(17,8)")).alias("q"))
     chosen = wh.current_assets().join(
-        F.broadcast(wh["dim_asset_class"].filter(F.col("class_name") == class_name)), "asset_class_id").select("asset_id")
+        wh["dim_asset_class"].filter(F.col("class_name") == class_name), "asset_class_id").select("asset_id")
     return sums.join(chosen, "asset_id", "left_semi").select("asset_id", half_up(
         stddev_from_moments(F.col("n"), F.col("s"), F.col("q"), VIBRATION_SCALE), 4).alias("vibration_stddev"))
 

@@ -175,7 +175,7 @@ MAINTENANCE: dict[str, Callable[[Warehouse], DataFrame]] = {
     "actual_runtime": mnt.actual_runtime,
     "scrap_from_failures": mnt.scrap_from_failures,
     "volume_vs_maintenance": mnt.volume_vs_maintenance,
-    "overdue_preventive": lambda wh: mnt.overdue_preventive(wh, 10),
+    "overdue_preventive": lambda wh: mnt.overdue_preventive(wh, TELEMETRY_TODAY, 10),
     "recent_by_asset": mnt.recent_by_asset,
 }
 

@@ -41,7 +41,8 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_ingest": stream_ingest,
-    "stream_hourly": lambda spark, d: streams.hourly_windows(_telemetry(spark, d)),
+    "stream_hourly": lambda spark, d: streams.hourly_windows(_telemetry(spark, d)).withColumns(
+        {c: F.col(c).cast("double") for c in ("latest_health_score", "avg_failure_probability")}),
     "stream_sliding": lambda spark, d: streams.sliding_temperature(_telemetry(spark, d)),
     "stream_session": lambda spark, d: streams.anomaly_sessions(_telemetry(spark, d)),
     "stream_dedup": stream_dedup,

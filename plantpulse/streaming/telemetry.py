@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from plantpulse.functions import bands
 from plantpulse.functions.numeric import half_up, ratio_or_null
+from plantpulse.operators.ordered import session_slots, sessions_of_slots
+from plantpulse.plans.gold import health_of_hour, hour_moments
 from plantpulse.sources import bronze
-from plantpulse.streaming.run import BATCH, drain_append, drain_update, for_each_batch
+from plantpulse.streaming.run import BATCH, ddl, drain_append, drain_partials, drain_update, for_each_batch, read_or_empty
 
 TS = "event_time"
 
@@ -30,10 +32,6 @@ def with_event_time(stream: DataFrame, column: str, delay: str) -> DataFrame:
     return stream.withColumn(TS, F.col(column).cast("timestamp")).withWatermark(TS, delay)
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-
-
 def _ntz(column: str) -> Column:
     return F.col(column).cast("timestamp_ntz")
 
@@ -48,51 +46,46 @@ def ingest(raw: DataFrame, keep: tuple[str, ...], folder: str | None = None) ->
          .partitionBy("outcome").parquet(f"{base}/out/{BATCH}={batch_id}"))
 
     base = for_each_batch(parsed, "append", "stream-ingest", split, folder)
-    out = raw.sparkSession.read.schema(f"{_ddl(parsed)}, {BATCH} BIGINT, outcome STRING").parquet(f"{base}/out")
+    out = read_or_empty(raw.sparkSession, f"{ddl(parsed)}, {BATCH} BIGINT, outcome STRING", f"{base}/out")
     good = bronze.accepted(out.filter(F.col("outcome") == "accepted"), "raw_payload").drop("outcome", BATCH)
     return good, bronze.rejected(out.filter(F.col("outcome") == "rejected"), "raw_payload", keep)
 
 
 def hourly_windows(telemetry: DataFrame, delay: str = "2 hours", folder: str | None = None) -> DataFrame:
-    """Closed hourly health windows per asset (append mode)."""
+    """Hourly health per asset, open hours included (update mode). Later than ``delay``, rows are left out."""
     rows = with_event_time(telemetry, "recorded_at", delay)
-    agg = rows.groupBy(F.window(TS, "1 hour"), "asset_id").agg(
-        F.sum("temperature_c").alias("ts"), F.count("temperature_c").alias("tn"), F.max("vibration_mm_s").alias("v"),
-        F.max("health_score").alias("h"), F.sum("failure_probability").alias("fs"),
-        F.count("failure_probability").alias("fn"), F.min("rul_days").alias("min_rul_days"))
-    out = agg.select(
-        _ntz("window.start").alias("hour_timestamp"), "asset_id",
-        half_up(ratio_or_null(F.col("ts"), F.col("tn")), 2).alias("avg_temperature_c"),
-        half_up(F.col("v"), 2).alias("max_vibration_mm_s"), F.col("h").cast("double").alias("latest_health_score"),
-        half_up(ratio_or_null(F.col("fs"), F.col("fn")), 2).alias("avg_failure_probability"), "min_rul_days")
-    return drain_append(out, "stream-hourly", folder)
+    agg = rows.groupBy(F.window(TS, "1 hour"), "asset_id").agg(*hour_moments())
+    out = agg.select(_ntz("window.start").alias("hour_timestamp"), "asset_id", *health_of_hour())
+    return drain_update(out, ["hour_timestamp", "asset_id"], "stream-hourly", folder)
 
 
 def sliding_temperature(telemetry: DataFrame, delay: str = "2 hours", folder: str | None = None) -> DataFrame:
-    """24-hour mean temperature per asset, every hour.
+    """24-hour mean temperature per asset, every hour, windows that are still open included.
 
-    Readings are summed per hour first; the sliding windows then repeat one row per
-    asset-hour 24 times, not every reading.
+    The stream keeps sums per hour; the sliding windows repeat one row per asset-hour 24
+    times, not every reading.
     """
     rows = with_event_time(telemetry.filter(F.col("temperature_c").isNotNull()), "recorded_at", delay)
-    hourly = rows.groupBy(F.window(TS, "1 hour").alias("hour"), "asset_id").agg(
-        F.sum("temperature_c").alias("s"), F.count("temperature_c").alias("n"))
-    slid = hourly.groupBy(F.window(F.window_time("hour"), "24 hours", "1 hour"), "asset_id").agg(
-        F.sum("s").alias("s"), F.sum("n").alias("n"))
-    out = slid.select(_ntz("window.end").alias("window_end"), "asset_id",
-                      half_up(ratio_or_null(F.col("s"), F.col("n")), 2).alias("avg_temperature_c"),
-                      F.col("n").alias("readings"))
-    return drain_append(out, "stream-sliding", folder)
-
-
-def anomaly_sessions(telemetry: DataFrame, gap: str = "12 hours", delay: str = "2 hours",
-                     folder: str | None = None) -> DataFrame:
-    """Closed sessions of anomalous readings per asset."""
-    rows = with_event_time(telemetry.filter(F.col("is_anomalous")), "recorded_at", delay)
-    agg = rows.groupBy(F.session_window(TS, gap), "asset_id").agg(F.count(F.lit(1)).alias("readings"))
-    out = agg.select("asset_id", _ntz("session_window.start").alias("session_start"),
-                     _ntz("session_window.end").alias("session_end"), "readings")
-    return drain_append(out, "stream-session", folder)
+    hourly = rows.groupBy(F.window(TS, "1 hour"), "asset_id").agg(F.sum("temperature_c").alias("s"), F.count("temperature_c").alias("n"))
+    sums = drain_update(hourly.select(_ntz("window.start").alias("hour"), "asset_id", "s", "n"), ["hour", "asset_id"], "stream-sliding", folder)
+    ends = F.sequence(F.expr("hour + INTERVAL 1 HOUR"), F.expr("hour + INTERVAL 24 HOURS"), F.expr("INTERVAL 1 HOUR"))
+    slid = sums.withColumn("window_end", F.explode(ends)).groupBy("window_end", "asset_id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return slid.select("window_end", "asset_id", half_up(ratio_or_null(F.col("s"), F.col("n")), 2).alias("avg_temperature_c"),
+                       F.col("n").alias("readings"))
+
+
+def anomaly_sessions(telemetry: DataFrame, gap_minutes: int = 720, folder: str | None = None) -> DataFrame:
+    """Sessions of anomalous readings per asset, the open ones included.
+
+    Every batch is reduced to gap-long slots of an asset before anything is shuffled, and sessions
+    are put together from slots: a hot asset is a few rows, and late readings count.
+    """
+    rows = telemetry.filter(F.col("is_anomalous")).select("asset_id", "recorded_at")
+    parts = drain_partials(rows, "stream-session", lambda batch: session_slots(batch, ["asset_id"], "recorded_at", gap_minutes), folder)
+    slots = parts.groupBy("asset_id", "__slot").agg(
+        F.min("__first").alias("__first"), F.max("__last").alias("__last"), F.sum("__n").alias("__n"))
+    found = sessions_of_slots(slots, ["asset_id"], gap_minutes, at_gap=False)
+    return found.select("asset_id", "session_start", (F.col("last_reading") + F.expr(f"INTERVAL {gap_minutes} MINUTES")).alias("session_end"), "readings")
 
 
 def deduplicated(telemetry: DataFrame, key: str, columns: list[str], delay: str = "2 hours",
@@ -124,17 +117,21 @@ def live_state(telemetry: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def late_rows(telemetry: DataFrame, delay_hours: int = 2, folder: str | None = None) -> DataFrame:
-    """Rows, and rows older than the watermark of the batches before, per micro-batch."""
+    """Rows, and rows older than the watermark of the batches before, per micro-batch.
+
+    The newest time so far stays a column (``newest`` runs over all earlier batches), so no
+    zone of the driver can shift it, and a batch reads the one batch before it.
+    """
     spark = telemetry.sparkSession
+    kind = "rows_seen BIGINT, late_rows BIGINT, newest TIMESTAMP_NTZ"
 
     def account(batch: DataFrame, batch_id: int, base: str) -> None:
-        mark = F.lit(None).cast("timestamp_ntz")
-        if batch_id > 0:
-            before = spark.read.parquet(f"{base}/out").filter(F.col(BATCH) < batch_id).agg(F.max("newest")).first()[0]
-            mark = F.lit(before).cast("timestamp_ntz") - F.expr(f"INTERVAL {delay_hours} HOURS")
-        counts = batch.agg(F.count(F.lit(1)).alias("rows_seen"), F.count_if(F.col("recorded_at") < mark).alias("late_rows"),
-                           F.max("recorded_at").alias("newest"))
+        earlier = read_or_empty(spark, f"{kind}, {BATCH} BIGINT", f"{base}/out").filter(F.col(BATCH) == batch_id - 1)
+        before = earlier.agg(F.max("newest")).scalar()  # null at the start
+        late = F.col("recorded_at") < before - F.expr(f"INTERVAL {delay_hours} HOURS")
+        counts = batch.agg(F.count(F.lit(1)).alias("rows_seen"), F.count_if(late).alias("late_rows"),
+                           F.max("recorded_at").alias("newest")).withColumn("newest", F.greatest("newest", before))
         counts.write.mode("overwrite").parquet(f"{base}/out/{BATCH}={batch_id}")
 
     base = for_each_batch(telemetry.select("recorded_at"), "append", "stream-late", account, folder)
-    return spark.read.parquet(f"{base}/out")
+    return read_or_empty(spark, f"{kind}, {BATCH} BIGINT", f"{base}/out")

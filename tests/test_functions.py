@@ -18,6 +18,13 @@ def test_half_up_rounds_away_from_zero(spark):
     assert values(spark, [(2.5,), (-2.5,)], "v double", numeric.half_up(F.col("v"), 0)) == [3.0, -3.0]
 
 
+def test_half_up_of_large_values(spark):
+    rows = [(1e13 + 0.123456,), (3e13,), (1e17,), (-3e300,), (float("inf"),)]
+    for digits in (2, 4, 6):
+        got = values(spark, rows, "v double", numeric.half_up(F.col("v"), digits))
+        assert all(g == v or abs(g - v) <= 0.5 * 10 ** -digits + 1e-2 for g, (v,) in zip(got, rows))
+
+
 def test_ratio_guards_zero_and_null(spark):
     rows = [(1.0, 2.0), (1.0, 0.0), (None, 2.0), (1.0, None)]
     assert values(spark, rows, "n double, d double", numeric.ratio(F.col("n"), F.col("d"))) == [0.5, 0.0, None, 0.0]

@@ -77,8 +77,10 @@ def test_prior_week_needs_eight_days(spark, days, expected):
 def test_shares_and_growth(spark):
     df = spark.createDataFrame([("a", 2024, 100.0), ("b", 2024, 300.0)], "p string, y int, v double")
     assert {r.p: r.s for r in shares.with_share(df, "v", "s").collect()} == {"a": 0.25, "b": 0.75}
+    gap = spark.createDataFrame([("a", 2021, 100.0), ("a", 2023, 150.0)], "p string, y int, v double")
+    assert {r.y: r.before for r in shares.with_previous(gap, "v", "y", "before", F.col("y") - 1, ["p"]).collect()} == {2021: None, 2023: None}
     years = spark.createDataFrame([("a", 2023, 100.0), ("a", 2024, 150.0), ("b", 2023, 0.0), ("b", 2024, 5.0)], "p string, y int, v double")
-    got = shares.with_previous(years, "v", "y", "before", ["p"]).select("p", "y", shares.growth(F.col("v"), F.col("before")).alias("g"))
+    got = shares.with_previous(years, "v", "y", "before", F.col("y") - 1, ["p"]).select("p", "y", shares.growth(F.col("v"), F.col("before")).alias("g"))
     assert {(r.p, r.y): r.g for r in got.collect()} == {("a", 2023): None, ("a", 2024): 0.5, ("b", 2023): None, ("b", 2024): None}
 
 

@@ -7,6 +7,7 @@ import re
 import pytest
 
 from plantpulse.registry import queries
+from plantpulse.operators import trailing
 from plantpulse.plans import gold, production
 from plantpulse.streaming.sample import STREAMS
 
@@ -67,8 +68,16 @@ def test_facts_are_reduced_before_the_join(no_broadcast, sample):
 
 
 def test_feature_windows_share_one_partitioning(sample):
-    from plantpulse.operators import trailing
+
 
     axis = trailing.observation_axis(sample["fct_asset_telemetry"], sample.service_log())
     plan = physical(gold.feature_rows(axis))
     assert len(re.findall(r"hashpartitioning\(asset_id#\d+L, \d+\)", plan)) == 1
+
+
+def test_each_feature_window_is_computed_once(sample):
+    def windows(df) -> int:
+        return df._jdf.queryExecution().optimizedPlan().toString().count("windowspecdefinition(")
+
+    assert windows(gold.feature_rows(trailing.observation_axis(sample["fct_asset_telemetry"], sample.service_log()))) == 11
+    assert windows(gold.feature_vibration_7d(sample["fct_asset_telemetry"])) == 3

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from plantpulse.sources import bronze, dimensions, tables
 from plantpulse.warehouse import Warehouse
 
+# Invented messages; the faults are one of each kind.
 TELEMETRY = [
-    ('{ "deviceId": "pump_1_vib", "metric": "vibration", "value": 0.51, "unit": "mm/s" }', "2025-09-22 10:00:00"),
-    ('{ "deviceId": "pump_1_tmp", "metric": "temperature", "value": 65.2, "unit": "C" }', "2025-09-22 10:00:00"),
-    ('{ "deviceId": "pump_1_vib", "metric": "vibration", "value": 2.15, "unit": "mm/s" }', "2025-09-23 08:00:00"),
-    ('{ "deviceId": "pump_1_vib", "metric": "vibration", "val', "2025-09-23 09:00:00"),
-    ('{ "deviceId": "pump_1_vib", "metric": "vibration", "value": "high" }', "2025-09-23 10:00:00"),
-    ('{ "metric": "vibration", "value": 1.0 }', "2025-09-23 11:00:00"),
-    (None, "2025-09-23 12:00:00"),
+    ('{"deviceId": "kiln-7/flow", "metric": "flow", "value": 12.25, "unit": "l/s"}', "2031-04-02 03:15:00"),
+    ('{"deviceId": "kiln-7/heat", "metric": "heat", "value": 871, "unit": "K"}', "2031-04-02 03:15:00"),
+    ('{"deviceId": "kiln-7/flow", "metric": "flow", "value": 3.5, "unit": "l/s"}', "2031-05-11 17:40:00"),
+    ('{"deviceId": "kiln-7/flow", "metric": "flow", "val', "2031-05-11 17:41:00"),
+    ('{"deviceId": "kiln-7/flow", "metric": "flow", "value": "low"}', "2031-05-11 17:42:00"),
+    ('{"metric": "flow", "value": 9.75}', "2031-05-11 17:43:00"),
+    (None, "2031-05-11 17:44:00"),
 ]
 
 
@@ -31,34 +32,34 @@ def test_telemetry_accepts_and_rejects(raw):
     parsed = bronze.parse_telemetry(raw)
     good = bronze.accepted(parsed, "raw_payload").orderBy("source_timestamp", "device_id").collect()
     assert [(r.device_id, r.metric, r.value, r.unit) for r in good] == [
-        ("pump_1_tmp", "temperature", 65.2, "C"), ("pump_1_vib", "vibration", 0.51, "mm/s"), ("pump_1_vib", "vibration", 2.15, "mm/s")]
+        ("kiln-7/flow", "flow", 12.25, "l/s"), ("kiln-7/heat", "heat", 871.0, "K"), ("kiln-7/flow", "flow", 3.5, "l/s")]
     bad = bronze.rejected(parsed, "raw_payload", ("source_timestamp",)).orderBy("source_timestamp").collect()
     assert [r.reject_reason for r in bad] == ["not json", "wrong type value", "missing deviceId", "not json"]
     assert bad[0].raw_payload == TELEMETRY[3][0]
 
 
 def test_maintenance_and_equipment(spark):
-    order = ('{ "workOrderId": "WO-1", "assetId": "pump_1", "type": "CM", "notes": "ok", "downtimeHours": 4, "laborCost": 600, '
-             '"partsCost": 250, "failure": true, "date": "2025-09-23"}')
+    order = ('{"workOrderId": "K-31", "assetId": "kiln-7", "type": "ZZ", "notes": "relined", "downtimeHours": 11.5, "laborCost": 90, '
+             '"partsCost": 17.3, "failure": false, "date": "2031-06-30"}')
     got = bronze.accepted(bronze.parse_maintenance(spark.createDataFrame([(order,)], "log_data string")), "log_data").first()
-    assert got.downtime_hours == 4.0 and got.failure_flag is True and got.completed_date == dt.date(2025, 9, 23)
-    machine = '{ "serialNumber": "pump_1", "model": "M", "oem": "O", "installDate": "2022-01-15", "assetType": "P", "plant": "N"}'
+    assert got.downtime_hours == 11.5 and got.failure_flag is False and got.completed_date == dt.date(2031, 6, 30)
+    machine = '{"serialNumber": "kiln-7", "model": "M", "oem": "O", "installDate": "2019-12-08", "assetType": "P", "plant": "N"}'
     raw = spark.createDataFrame([(machine,), ('{"serialNumber": "x", "installDate": "soon"}',)], "equipment_data string")
     parsed = bronze.parse_equipment(raw)
-    assert bronze.accepted(parsed, "equipment_data").first().installation_date == dt.date(2022, 1, 15)
+    assert bronze.accepted(parsed, "equipment_data").first().installation_date == dt.date(2019, 12, 8)
     assert bronze.rejected(parsed, "equipment_data").first().reject_reason == "wrong type installDate"
 
 
 def test_variant_and_ingestion_stamp(raw):
     doc = bronze.parse_variant(raw, "raw_payload").select(F.try_variant_get("document", "$.value", "double").alias("v"))
-    assert [r.v for r in doc.collect()][:3] == [0.51, 65.2, 2.15]
+    assert [r.v for r in doc.collect()][:3] == [12.25, 871.0, 3.5]
     assert bronze.stamp_ingestion(raw).filter("ingestion_timestamp IS NULL").count() == 0
 
 
 def test_wide_form(raw):
-    good = bronze.accepted(bronze.parse_telemetry(raw), "raw_payload").withColumn("entity", F.lit("pump_1"))
-    wide = bronze.wide_telemetry(good, "entity", "source_timestamp", "metric", "value", {"temperature": "t", "vibration": "v"})
-    assert [(r.t, r.v) for r in wide.orderBy("source_timestamp").collect()] == [(65.2, 0.51), (None, 2.15)]
+    good = bronze.accepted(bronze.parse_telemetry(raw), "raw_payload").withColumn("entity", F.lit("kiln-7"))
+    wide = bronze.wide_telemetry(good, "entity", "source_timestamp", "metric", "value", {"heat": "t", "flow": "v"})
+    assert [(r.t, r.v) for r in wide.orderBy("source_timestamp").collect()] == [(871.0, 12.25), (None, 3.5)]
 
 
 def test_calendar(spark):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plantpulse.sources.shared import shared_dir
 from plantpulse.streaming import telemetry as streams
 
-DDL = ("telemetry_id BIGINT, asset_id BIGINT, recorded_at TIMESTAMP_NTZ, temperature_c DECIMAL(6,2), vibration_mm_s DECIMAL(8,4), "
+DDL = ("telemetry_id BIGINT, asset_id BIGINT, recorded_at TIMESTAMP_NTZ, temperature_c DECIMAL(6,2), vibration_mm_s DECIMAL(8,4), pressure_psi DECIMAL(7,2), "
        "health_score DECIMAL(5,2), failure_probability DECIMAL(3,2), rul_days INT, is_anomalous BOOLEAN")
 
 
@@ -23,8 +23,8 @@ def feed(spark, tmp_path):
     """
     batches = [[(1, 0, 5), (2, 0, 40)], [(3, 6, 0), (3, 6, 0)], [(6, 6, 30)], [(4, 0, 59), (5, 10, 0)]]
     for i, rows in enumerate(batches):
-        data = [(k, 1, dt.datetime(2025, 1, 1, h, m), 20.0 + k, 1.0, 90.0, 0.1, 10, True) for k, h, m in rows]
-        df = spark.createDataFrame(data, DDL.replace("DECIMAL(6,2)", "DOUBLE").replace("DECIMAL(8,4)", "DOUBLE")
+        data = [(k, 1, dt.datetime(2025, 1, 1, h, m), 20.0 + k, 1.0, 30.0 + k, 90.0, 0.1, 10, True) for k, h, m in rows]
+        df = spark.createDataFrame(data, DDL.replace("DECIMAL(6,2)", "DOUBLE").replace("DECIMAL(8,4)", "DOUBLE").replace("DECIMAL(7,2)", "DOUBLE")
                                    .replace("DECIMAL(5,2)", "DOUBLE").replace("DECIMAL(3,2)", "DOUBLE"))
         typed = df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in DDL.split(", ")])
         typed.coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
@@ -33,9 +33,9 @@ def feed(spark, tmp_path):
     return lambda: streams.read_feed(spark, str(tmp_path / "feed"), DDL, files_per_batch=1)
 
 
-def test_late_reading_is_left_out_of_closed_windows(feed):
+def test_late_reading_is_left_out_and_open_windows_are_there(feed):
     got = {r.hour_timestamp.hour: r.avg_temperature_c for r in streams.hourly_windows(feed()).collect()}
-    assert got == {0: 21.5, 6: 24.0}
+    assert got == {0: 21.5, 6: 24.0, 10: 25.0}
 
 
 def test_late_rows_are_counted(feed):
@@ -53,9 +53,28 @@ def test_live_state_over_batches(feed):
     assert row.recorded_at == dt.datetime(2025, 1, 1, 10) and row.health_score == 90.0
 
 
-def test_sessions_close_with_the_watermark(feed):
-    got = [(r.session_start.hour, r.readings) for r in streams.anomaly_sessions(feed(), gap="1 hour").collect()]
-    assert sorted(got) == [(0, 2), (6, 3)]
+def test_sessions_over_batches_with_late_and_open_ones(feed):
+    got = [(r.session_start.hour, r.readings) for r in streams.anomaly_sessions(feed(), gap_minutes=60).collect()]
+    assert sorted(got) == [(0, 3), (6, 3), (10, 1)]
+
+
+def test_sliding_windows_run_to_the_last_open_one(feed):
+    rows = {r.window_end: (r.avg_temperature_c, r.readings) for r in streams.sliding_temperature(feed()).collect()}
+    assert rows[dt.datetime(2025, 1, 1, 1)] == (21.5, 2) and rows[dt.datetime(2025, 1, 2, 10)] == (25.0, 1) and len(rows) == 34
+
+
+def test_state_is_compacted_by_run(spark, feed, tmp_path):
+    folder = str(tmp_path / "job")
+    first = streams.live_state(feed(), folder).collect()
+    assert streams.live_state(feed(), folder).collect() == first  # nothing new: the state of the run before
+    assert [r.upto for r in spark.read.parquet(f"{folder}/state").select("upto").distinct().collect()] == [3]
+
+
+def test_empty_feed(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    feed = lambda: streams.read_feed(spark, str(tmp_path / "none"), DDL)
+    for job in (streams.hourly_windows, streams.sliding_temperature, streams.anomaly_sessions, streams.live_state, streams.late_rows):
+        assert job(feed()).collect() == []
 
 
 def test_a_stopped_stream_goes_on(spark, tmp_path):
