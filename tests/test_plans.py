@@ -68,8 +68,6 @@ def test_facts_are_reduced_before_the_join(no_broadcast, sample):
 
 
 def test_feature_windows_share_one_partitioning(sample):
-
-
     axis = trailing.observation_axis(sample["fct_asset_telemetry"], sample.service_log())
     plan = physical(gold.feature_rows(axis))
     assert len(re.findall(r"hashpartitioning\(asset_id#\d+L, \d+\)", plan)) == 1
