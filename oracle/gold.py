@@ -71,6 +71,11 @@ SQL: dict[str, str] = {
       SELECT device_id, hour_timestamp, round(avg(value) FILTER (event_type = 'view'), 4) AS temperature_c,
         round(avg(value) FILTER (event_type = 'click'), 4) AS vibration_mm_s, round(avg(value) FILTER (event_type = 'signup'), 4) AS pressure_psi
       FROM x WHERE event_type IN ('view', 'click', 'signup') GROUP BY 1, 2""",
+    "silver_readings": f"""SELECT asset_id, ts AS recorded_at, avg(value) FILTER (event_type = 'view') AS temperature_c,
+        avg(value) FILTER (event_type = 'click') AS vibration_mm_s, avg(value) FILTER (event_type = 'signup') AS pressure_psi
+      FROM events JOIN asset ON asset_id = user_id WHERE {_REASON} IS NULL AND event_type IN ('view', 'click', 'signup') GROUP BY 1, 2""",
+    "unknown_devices": f"""SELECT 'eq_' || user_id AS device_id, count(*) AS messages FROM events
+      WHERE {_REASON} IS NULL AND user_id NOT IN (SELECT asset_id FROM asset) GROUP BY 1""",
     "date_dimension": """, s AS (SELECT unnest(generate_series(min(completed_date), max(completed_date), INTERVAL 1 DAY)) AS t FROM maintenance)
       SELECT CAST(strftime(t, '%Y%m%d') AS INTEGER) AS date_sk, CAST(t AS DATE) AS full_date, dayname(t) AS day_of_week,
         monthname(t) AS month_name, CAST(quarter(t) AS INTEGER) AS quarter, CAST(year(t) AS INTEGER) AS year FROM s""",
@@ -96,3 +101,44 @@ SQL: dict[str, str] = {
     "dq_parts_cost": """SELECT supplier_name, count(*) AS parts_rows, count(*) FILTER (total_cost <> quantity_used * unit_cost) AS mismatched_rows
       FROM parts JOIN material USING (material_id) GROUP BY 1""",
 }
+
+
+# Tables of the model as the sample gives them: rows with their key, then child keys and the keys they refer to.
+_SENSOR = "SELECT asset_id * 3 + i AS k, asset_id FROM asset, range(3) t(i)"
+_KEYS = {
+    "dim_date": "SELECT DISTINCT completed_date AS k FROM maintenance", "dim_plant": "SELECT plant_id AS k FROM plant",
+    "dim_line": "SELECT line_id AS k FROM line", "dim_process": "SELECT process_id AS k FROM process",
+    "dim_asset_class": "SELECT asset_class_id AS k FROM asset_class", "dim_asset": "SELECT asset_id AS k FROM asset",
+    "dim_work_order_type": "SELECT wo_type_id AS k FROM wo_type", "dim_sensor": f"SELECT k FROM ({_SENSOR})",
+    "dim_technician": "SELECT technician_id AS k FROM technician", "dim_failure_code": "SELECT failure_code_id AS k FROM failure_code",
+    "dim_material": "SELECT material_id AS k FROM material", "fct_asset_telemetry": "SELECT telemetry_id AS k FROM telemetry",
+    "fct_maintenance_log": "SELECT log_id AS k FROM maintenance", "fct_maintenance_parts_used": "SELECT (log_id, material_id) AS k FROM parts",
+    "agg_asset_hourly_health": "SELECT (asset_id, hour_timestamp) AS k FROM hourly",
+    "ml_feature_store": "SELECT DISTINCT (asset_id, d) AS k FROM telemetry",
+    "conversation_history": "SELECT (conv_id, turn) AS k FROM conversations"}
+_PLANTS = "SELECT DISTINCT plant_id, year(completed_date), quarter(completed_date), wo_type_id <= 2 FROM maintenance JOIN placed USING (asset_id)"
+_REFERENCES = {
+    "dim_process.line_id": ("SELECT line_id AS k FROM process", "line", "line_id"),
+    "dim_asset.process_id": ("SELECT process_id AS k FROM asset", "process", "process_id"),
+    "dim_asset.asset_class_id": ("SELECT asset_class_id AS k FROM asset", "asset_class", "asset_class_id"),
+    "dim_sensor.asset_id": (f"SELECT asset_id AS k FROM ({_SENSOR})", "asset", "asset_id"),
+    "dim_line.plant_id": ("SELECT plant_id AS k FROM line", "plant", "plant_id"),
+    "fct_asset_telemetry.asset_id": ("SELECT asset_id AS k FROM telemetry", "asset", "asset_id"),
+    "fct_asset_telemetry.process_id": ("SELECT NULL AS k FROM telemetry", "process", "process_id"),
+    "fct_asset_telemetry.date_sk": ("SELECT d AS k FROM telemetry", "maintenance", "completed_date"),
+    "fct_maintenance_log.asset_id": ("SELECT asset_id AS k FROM maintenance", "asset", "asset_id"),
+    "fct_maintenance_log.wo_type_id": ("SELECT wo_type_id AS k FROM maintenance", "wo_type", "wo_type_id"),
+    "fct_maintenance_log.technician_id": ("SELECT technician_id AS k FROM maintenance", "technician", "technician_id"),
+    "fct_maintenance_log.failure_code_id": ("SELECT failure_code_id AS k FROM maintenance", "failure_code", "failure_code_id"),
+    "fct_maintenance_log.action_date_sk": ("SELECT completed_date AS k FROM maintenance", "maintenance", "completed_date"),
+    "fct_maintenance_parts_used.log_id": ("SELECT log_id AS k FROM parts", "maintenance", "log_id"),
+    "fct_maintenance_parts_used.material_id": ("SELECT material_id AS k FROM parts", "material", "material_id"),
+    "fct_production_log.asset_id": ("SELECT asset_id AS k FROM production", "asset", "asset_id"),
+    "fct_budget.plant_id": (f"SELECT plant_id AS k FROM ({_PLANTS})", "plant", "plant_id"),
+    "agg_asset_hourly_health.asset_id": ("SELECT asset_id AS k FROM hourly", "asset", "asset_id"),
+    "ml_feature_store.asset_id": ("SELECT asset_id AS k FROM (SELECT DISTINCT asset_id, d FROM telemetry)", "asset", "asset_id")}
+SQL["dq_all_keys"] = " UNION ALL ".join(
+    f"""SELECT '{n}' AS "check", count(*) AS rows, count(*) - count(DISTINCT k) AS violations FROM ({q})""" for n, q in _KEYS.items())
+SQL["dq_all_references"] = " UNION ALL ".join(
+    f"""SELECT '{n}' AS "check", count(k) AS rows, count(k) FILTER (k NOT IN (SELECT {key} FROM {parent})) AS violations FROM ({q})"""
+    for n, (q, parent, key) in _REFERENCES.items())

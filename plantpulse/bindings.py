@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.plans.gold import hourly_health
+from plantpulse.plans.gold import feature_store, hourly_health
 from plantpulse.schemas import TABLES
 from plantpulse.sources.dimensions import calendar_labels, failure_codes, literal_table, work_order_types
 from plantpulse.warehouse import TIME_COLUMNS, Warehouse
@@ -210,6 +210,41 @@ def budget(wh: Warehouse) -> DataFrame:
             .agg(F.sum("spent").cast("decimal(18,2)").alias("budget_amount")))
 
 
+def raw_telemetry(events: DataFrame) -> DataFrame:
+    """The events as JSON messages, with the kinds of damage a feed shows.
+
+    Truncated text, a word for a number, a missing device: told by the event id, so
+    the expected rejects are known.
+    """
+    broken, wordy, nameless = "event_id % 97 = 5", "event_id % 89 = 7", "event_id % 83 = 9"
+    payload = F.concat(
+        F.lit('{ "metric": "'), F.col("event_type"), F.lit('", "value": '),
+        F.when(F.expr(wordy), F.lit('"n/a"')).otherwise(F.col("value").cast("string")),
+        F.when(F.expr(nameless), F.lit("")).otherwise(
+            F.concat(F.lit(', "deviceId": "eq_'), F.col("user_id").cast("string"), F.lit('"'))),
+        F.when(F.expr(broken), F.lit(', "unit": ')).otherwise(F.lit(', "unit": "x" }')))
+    return events.select("event_id", payload.alias("raw_payload"), F.col("ts").alias("source_timestamp"))
+
+
+def raw_maintenance(wh: Warehouse) -> DataFrame:
+    """Work orders written as JSON messages."""
+    rows = wh["fct_maintenance_log"].join(wh["dim_work_order_type"], "wo_type_id")
+    return rows.select(F.to_json(F.struct(
+        F.concat(F.lit("WO-"), F.col("log_id").cast("string")).alias("workOrderId"),
+        F.concat(F.lit("eq_"), F.col("asset_id").cast("string")).alias("assetId"), F.col("wo_type_code").alias("type"),
+        F.col("technician_notes").alias("notes"), F.col("downtime_hours").alias("downtimeHours"),
+        F.col("labor_cost").alias("laborCost"), F.col("parts_cost").alias("partsCost"),
+        F.col("failure_flag").alias("failure"), F.date_format("completed_date", "yyyy-MM-dd").alias("date"))).alias("log_data"))
+
+
+def raw_equipment(wh: Warehouse) -> DataFrame:
+    """The assets as JSON messages."""
+    return wh.current_assets().select(F.to_json(F.struct(
+        F.col("asset_nk").alias("serialNumber"), "model", F.col("oem_name").alias("oem"),
+        F.date_format("installation_date", "yyyy-MM-dd").alias("installDate"),
+        F.lit("Machine").alias("assetType"), F.lit("Site").alias("plant"))).alias("equipment_data"))
+
+
 def calendar_of(wh: Warehouse, fact: str, day: str) -> DataFrame:
     """Calendar rows of the days a fact refers to."""
     return calendar_labels(wh[fact].select(F.col(day).alias("full_date")).distinct())
@@ -238,7 +273,9 @@ def bind_sample(spark: SparkSession, sf_dir: str) -> Warehouse:
         return lambda wh: project(_sample(spark, sf_dir, table))
 
     tables = {
-        "events": of("events", lambda df: df),
+        "raw_telemetry": of("events", raw_telemetry),
+        "raw_maintenance": raw_maintenance,
+        "raw_equipment": raw_equipment,
         "dim_plant": of("region", plant),
         "dim_line": of("nation", line),
         "dim_process": of("nation", process),
@@ -259,6 +296,7 @@ def bind_sample(spark: SparkSession, sf_dir: str) -> Warehouse:
         "fct_maintenance_parts_used": of("lineitem", parts_used),
         "fct_budget": budget,
         "agg_asset_hourly_health": lambda wh: hourly_health(wh["fct_asset_telemetry"]),
+        "ml_feature_store": feature_store,
         "conversation_history": of("conversations", messages),
         "documents": of("documents", lambda df: df),
         "feedback": of("labels", feedback),

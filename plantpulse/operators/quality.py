@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,3 +45,22 @@ def count_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def missing_slots(spine: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Grid positions without a fact row."""
     return spine.join(facts.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def key_report(df: DataFrame, key: Sequence[str], name: str) -> DataFrame:
+    """One row: check, rows, violations (rows beyond the first of their key, and rows with a null in it)."""
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    bare = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in key))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                      F.coalesce(F.sum(F.when(bare, F.col("n")).otherwise(F.col("n") - 1)), F.lit(0)).alias("violations")).select(
+        F.lit(name).alias("check"), "rows", "violations")
+
+
+def reference_report(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
+    """One row: check, rows that refer, violations (their parent is missing). Both sides are one row per key first."""
+    uses = child.filter(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    known = parent.select(F.col(parent_key).alias("k"), F.lit(True).alias("there")).distinct()
+    return uses.join(known, "k", "left").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("there").isNull(), F.col("n"))), F.lit(0)).alias("violations")).select(
+        F.lit(name).alias("check"), "rows", "violations")

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantpulse.functions.bands import cycles_since
-from plantpulse.functions.dates import as_ntz, date_sk, hour_start
+from plantpulse.functions.dates import as_date, as_ntz, date_sk, hour_start
 from plantpulse.functions.numeric import half_up, mean_of, ratio_or_null, stddev_from_moments
 from plantpulse.operators import trailing
 from plantpulse.operators.latest import latest_per_key
 from plantpulse.sources.shared import materialise
+from plantpulse.sources.tables import overwrite_table
 from plantpulse.warehouse import Warehouse
 
 OBSERVED_HEALTH_DEFAULT = 95
@@ -124,3 +125,22 @@ def feature_store(wh: Warehouse) -> DataFrame:
         "vibration_stddev_7d", "pressure_trend_7d",
         cycles_since(F.col("days_since_last_pm")).alias("cycles_since_last_pm"), "days_since_last_failure",
         "oem_failure_rate_est", risk.alias("downtime_impact_risk"), "failed_in_next_7_days")
+
+
+def load_hourly_health(wh: Warehouse, root: str, first: dt.date | str, last: dt.date | str) -> None:
+    """Writes the Gold hours of the days ``first`` .. ``last``; only these days' readings are scanned.
+
+    Runs again, it replaces the same partitions.
+    """
+    rows = hourly_health(wh.between("fct_asset_telemetry", first, last))
+    overwrite_table(rows.withColumn("hour_date", F.to_date("hour_timestamp")), root, "agg_asset_hourly_health")
+
+
+def load_feature_store(wh: Warehouse, root: str, first: dt.date | str, last: dt.date | str) -> None:
+    """Writes the feature rows of the days ``first`` .. ``last``, replacing those days' partitions.
+
+    Days since the last service and the makers' rates look back without bound, so all asset-days are
+    reduced; what is written are the asked days.
+    """
+    keep = F.col("observation_date_sk").between(date_sk(as_date(first)), date_sk(as_date(last)))
+    overwrite_table(feature_store(wh).filter(keep), root, "ml_feature_store")

@@ -2,61 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.functions.dates import hour_start, wall_micros
 from plantpulse.operators import quality
+from plantpulse.schemas import RELATIONSHIPS, TABLES
 from plantpulse.sources import bronze
 from plantpulse.sources.dimensions import calendar_labels, spine_by_bounds
 from plantpulse.warehouse import Warehouse
 
 
-def raw_telemetry_of(events: DataFrame) -> DataFrame:
-    """The events as JSON messages, with the kinds of damage a feed shows.
-
-    Truncated text, a word for a number, a missing device: told by the event id, so
-    the expected rejects are known.
-    """
-    broken, wordy, nameless = "event_id % 97 = 5", "event_id % 89 = 7", "event_id % 83 = 9"
-    payload = F.concat(
-        F.lit('{ "metric": "'), F.col("event_type"), F.lit('", "value": '),
-        F.when(F.expr(wordy), F.lit('"n/a"')).otherwise(F.col("value").cast("string")),
-        F.when(F.expr(nameless), F.lit("")).otherwise(
-            F.concat(F.lit(', "deviceId": "eq_'), F.col("user_id").cast("string"), F.lit('"'))),
-        F.when(F.expr(broken), F.lit(', "unit": ')).otherwise(F.lit(', "unit": "x" }')))
-    return events.select("event_id", payload.alias("raw_payload"), F.col("ts").alias("source_timestamp"))
+def _parsed_telemetry(wh: Warehouse, keep: tuple[str, ...]) -> DataFrame:
+    return bronze.parse_telemetry(wh["raw_telemetry"], keep=keep)
 
 
-def bronze_telemetry(wh: Warehouse) -> DataFrame:
-    parsed = bronze.parse_telemetry(raw_telemetry_of(wh["events"]), keep=("event_id", "source_timestamp"))
-    return bronze.accepted(parsed, "raw_payload")
+def bronze_telemetry(wh: Warehouse, keep: tuple[str, ...] = ("source_timestamp",)) -> DataFrame:
+    return bronze.accepted(_parsed_telemetry(wh, keep), "raw_payload")
 
 
-def bronze_rejects(wh: Warehouse) -> DataFrame:
-    parsed = bronze.parse_telemetry(raw_telemetry_of(wh["events"]), keep=("event_id", "source_timestamp"))
-    return bronze.rejected(parsed, "raw_payload", ("event_id",)).select("event_id", "reject_reason")
+def bronze_rejects(wh: Warehouse, keep: tuple[str, ...] = ("source_timestamp",)) -> DataFrame:
+    """Telemetry messages that could not be used, and why."""
+    return bronze.rejected(_parsed_telemetry(wh, keep), "raw_payload", keep)
 
 
 def bronze_maintenance(wh: Warehouse) -> DataFrame:
-    """Work orders written as JSON and read back typed."""
-    rows = wh["fct_maintenance_log"].join(wh["dim_work_order_type"], "wo_type_id")
-    document = F.to_json(F.struct(
-        F.concat(F.lit("WO-"), F.col("log_id").cast("string")).alias("workOrderId"),
-        F.concat(F.lit("eq_"), F.col("asset_id").cast("string")).alias("assetId"), F.col("wo_type_code").alias("type"),
-        F.col("technician_notes").alias("notes"), F.col("downtime_hours").alias("downtimeHours"),
-        F.col("labor_cost").alias("laborCost"), F.col("parts_cost").alias("partsCost"),
-        F.col("failure_flag").alias("failure"), F.date_format("completed_date", "yyyy-MM-dd").alias("date")))
-    return bronze.accepted(bronze.parse_maintenance(rows.select(document.alias("log_data"))), "log_data")
+    return bronze.accepted(bronze.parse_maintenance(wh["raw_maintenance"]), "log_data")
+
+
+def maintenance_rejects(wh: Warehouse) -> DataFrame:
+    return bronze.rejected(bronze.parse_maintenance(wh["raw_maintenance"]), "log_data")
 
 
 def bronze_equipment(wh: Warehouse) -> DataFrame:
-    document = F.to_json(F.struct(
-        F.col("asset_nk").alias("serialNumber"), "model", F.col("oem_name").alias("oem"),
-        F.date_format("installation_date", "yyyy-MM-dd").alias("installDate"),
-        F.lit("Machine").alias("assetType"), F.lit("Site").alias("plant")))
-    raw = wh.current_assets().select(document.alias("equipment_data"))
-    return bronze.accepted(bronze.parse_equipment(raw), "equipment_data")
+    return bronze.accepted(bronze.parse_equipment(wh["raw_equipment"]), "equipment_data")
+
+
+def equipment_rejects(wh: Warehouse) -> DataFrame:
+    return bronze.rejected(bronze.parse_equipment(wh["raw_equipment"]), "equipment_data")
 
 
 def bronze_to_wide(wh: Warehouse, columns: dict[str, str]) -> DataFrame:
@@ -66,6 +51,20 @@ def bronze_to_wide(wh: Warehouse, columns: dict[str, str]) -> DataFrame:
     return wide.select("device_id", "hour_timestamp", *[F.round(c, 4).alias(c) for c in columns.values()])
 
 
+def silver_readings(wh: Warehouse, columns: dict[str, str]) -> DataFrame:
+    """One row per asset and time with a column per metric; devices are known by the asset's natural key."""
+    known = wh.current_assets().select(F.col("asset_nk").alias("device_id"), "asset_id")
+    long = bronze_telemetry(wh).join(known, "device_id")
+    return bronze.wide_telemetry(long, "asset_id", "source_timestamp", "metric", "value", columns).withColumnRenamed(
+        "source_timestamp", "recorded_at")
+
+
+def unknown_devices(wh: Warehouse) -> DataFrame:
+    """Devices of accepted messages that no current asset answers to, with their number of messages."""
+    counts = bronze_telemetry(wh).groupBy("device_id").agg(F.count(F.lit(1)).alias("messages"))
+    return counts.join(wh.current_assets(), counts["device_id"] == F.col("asset_nk"), "left_anti")
+
+
 def date_dimension(wh: Warehouse) -> DataFrame:
     """Calendar from the first to the last work order."""
     span = wh["fct_maintenance_log"].agg(F.min("completed_date").alias("a"), F.max("completed_date").alias("b"))
@@ -125,6 +124,21 @@ def dq_failure_codes(wh: Warehouse) -> DataFrame:
         "known order type": F.col("wo_type_id").isin(1, 2, 3, 4)})
 
 
+def dq_all_keys(wh: Warehouse) -> DataFrame:
+    """For each table that has its declared key: its rows, and how many share their key with another or lack a part of it."""
+    checks = [quality.key_report(wh[name], spec.key, name) for name, spec in TABLES.items()
+              if spec.key and name in wh and set(spec.key) <= set(wh[name].columns)]
+    return reduce(DataFrame.unionByName, checks)
+
+
+def dq_all_references(wh: Warehouse) -> DataFrame:
+    """For each relationship whose tables and columns are there: rows that refer, and those whose parent is missing."""
+    checks = [quality.reference_report(wh[r.child], r.child_key, wh[r.parent], r.parent_key, f"{r.child}.{r.child_key}")
+              for r in RELATIONSHIPS
+              if r.child in wh and r.parent in wh and r.child_key in wh[r.child].columns and r.parent_key in wh[r.parent].columns]
+    return reduce(DataFrame.unionByName, checks)
+
+
 def dq_parts_cost(wh: Warehouse) -> DataFrame:
     """Parts rows whose cost is not quantity x unit cost, per supplier."""
     unit = wh["dim_material"].select("material_id", "supplier_name", "unit_cost")

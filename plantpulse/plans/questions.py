@@ -12,7 +12,6 @@ from plantpulse.functions.numeric import half_up, ratio_or_null, stddev_from_mom
 from plantpulse.operators.joins import place_assets, star_join
 from plantpulse.operators.latest import head_with_rest, top_rows
 from plantpulse.operators.trailing import VIBRATION_SCALE, deviation_from_past
-from plantpulse.plans.gold import feature_store, label_next_days
 from plantpulse.plans.health import GOLD, latest_health
 from plantpulse.warehouse import Warehouse
 
@@ -140,7 +139,7 @@ def probability_change(wh: Warehouse, first: tuple[Day, Day], second: tuple[Day,
 
 def predicted_failures(wh: Warehouse, on_day: Day) -> DataFrame:
     """Assets whose last observation up to a day carries the failure label."""
-    labels = label_next_days(wh[TELEMETRY], wh.service_log()).filter(
+    labels = wh["ml_feature_store"].select("asset_id", "observation_date_sk", "failed_in_next_7_days").filter(
         F.col("observation_date_sk") <= date_sk(F.lit(str(on_day)).cast("date")))
     last = labels.groupBy("asset_id").agg(F.max("observation_date_sk").alias("observation_date_sk"),
                                           F.max_by("failed_in_next_7_days", "observation_date_sk").alias("flag"))
@@ -155,14 +154,14 @@ def impact_below_health(wh: Warehouse, below: float = 80) -> DataFrame:
 
 def cycles_of_failed(wh: Warehouse) -> DataFrame:
     """Mean cycles since preventive work over observation days whose asset failed in the next 7 days."""
-    rows = feature_store(wh).filter("failed_in_next_7_days")
+    rows = wh["ml_feature_store"].filter("failed_in_next_7_days")
     return rows.agg(F.count(F.lit(1)).alias("observations"), half_up(
         ratio_or_null(F.sum("cycles_since_last_pm"), F.count(F.lit(1))), 4).alias("mean_cycles"))
 
 
 def impact_risk_by_plant(wh: Warehouse) -> DataFrame:
     """Downtime impact risk of the feature store per plant."""
-    per_asset = feature_store(wh).groupBy("asset_id").agg(F.sum(F.col("downtime_impact_risk").cast("decimal(16,2)")).alias("r"))
+    per_asset = wh["ml_feature_store"].groupBy("asset_id").agg(F.sum(F.col("downtime_impact_risk").cast("decimal(16,2)")).alias("r"))
     placed = per_asset.join(place_assets(wh.current_assets(), wh, ["plant_name"]), "asset_id")
     return placed.groupBy("plant_name").agg(F.sum("r").cast("double").alias("impact_risk")).orderBy(
         F.col("impact_risk").desc(), "plant_name")

@@ -114,8 +114,10 @@ GOLD: dict[str, Callable[[Warehouse], DataFrame]] = {
     "feature_days_since": lambda wh: gold.feature_days_since(wh[TELEMETRY], wh.service_log()),
     "label_next_7d": lambda wh: gold.label_next_days(wh[TELEMETRY], wh.service_log()),
     "feature_store": gold.feature_store,
-    "bronze_parse": ingest.bronze_telemetry,
-    "bronze_rejects": ingest.bronze_rejects,
+    "bronze_parse": lambda wh: ingest.bronze_telemetry(wh, ("event_id", "source_timestamp")),
+    "bronze_rejects": lambda wh: ingest.bronze_rejects(wh, ("event_id",)).select("event_id", "reject_reason"),
+    "silver_readings": lambda wh: ingest.silver_readings(wh, METRIC_EVENTS),
+    "unknown_devices": ingest.unknown_devices,
     "bronze_maintenance": ingest.bronze_maintenance,
     "bronze_equipment": ingest.bronze_equipment,
     "bronze_to_wide": lambda wh: ingest.bronze_to_wide(wh, METRIC_EVENTS),
@@ -124,6 +126,8 @@ GOLD: dict[str, Callable[[Warehouse], DataFrame]] = {
     "hour_gaps": ingest.hour_gaps,
     "dq_keys": ingest.dq_keys,
     "dq_orphans": ingest.dq_orphans,
+    "dq_all_keys": ingest.dq_all_keys,
+    "dq_all_references": ingest.dq_all_references,
     "dq_ranges": ingest.dq_ranges,
     "dq_failure_codes": ingest.dq_failure_codes,
     "dq_parts_cost": ingest.dq_parts_cost,
@@ -232,7 +236,7 @@ PYTHON: dict[str, Callable[[Warehouse], DataFrame]] = {
     "oee_by_plant_python": _oee_in_python,
     "health_band_python": lambda wh: health.latest_health(wh).select(
         "asset_id", health_band_udf()(F.col("latest_health_score").cast("double")).alias("health_band")),
-    "failure_scores": lambda wh: failure_scores(gold.feature_store(wh), 20240120),
+    "failure_scores": lambda wh: failure_scores(wh["ml_feature_store"], 20240120),
 }
 
 GROUPS = (PRODUCTION, HEALTH, ASSETS, GOLD, MAINTENANCE, QUESTIONS, CONVERSATIONS, PYTHON)

@@ -165,6 +165,7 @@ class Relationship:
     parent_key: str
 
 
+# The joins of the model.
 RELATIONSHIPS: tuple[Relationship, ...] = (
     Relationship("dim_process", "line_id", "dim_line", "line_id"),
     Relationship("dim_asset", "process_id", "dim_process", "process_id"),

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.bindings import ROTATING_CLASS, SAMPLE_DDL, bind_sample, telemetry
-from plantpulse.plans.ingest import raw_telemetry_of
+from plantpulse.bindings import ROTATING_CLASS, SAMPLE_DDL, bind_sample, raw_telemetry, telemetry
 from plantpulse.streaming import telemetry as streams
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +19,7 @@ def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = streams.ingest(raw_telemetry_of(_events(spark, sf_dir)), ("event_id", "source_timestamp"))
+    good, bad = streams.ingest(raw_telemetry(_events(spark, sf_dir)), ("event_id", "source_timestamp"))
     return good.select("event_id", F.lit(None).cast("string").alias("reject_reason")).unionByName(
         bad.select("event_id", "reject_reason"))
 

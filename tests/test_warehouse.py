@@ -5,14 +5,15 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from plantpulse.plans import assets, conversations, gold, health, maintenance, production, questions
+from plantpulse.plans import assets, conversations, gold, health, ingest, maintenance, production, questions
 from plantpulse.schemas import RELATIONSHIPS, TABLES
-from plantpulse.sources.tables import append_table
+from plantpulse.sources.tables import append_table, conform, read_table
 from plantpulse.warehouse import Warehouse
 
 WRITTEN = ["dim_plant", "dim_line", "dim_process", "dim_asset_class", "dim_work_order_type", "dim_sensor", "dim_technician",
            "dim_failure_code", "dim_material", "dim_asset", "fct_asset_telemetry", "fct_maintenance_log", "fct_production_log",
-           "fct_maintenance_parts_used", "fct_budget", "agg_asset_hourly_health", "conversation_history"]
+           "fct_maintenance_parts_used", "fct_budget", "agg_asset_hourly_health", "conversation_history",
+           "ml_feature_store", "raw_telemetry", "raw_maintenance", "raw_equipment"]
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +46,29 @@ def test_round_trip_keeps_rows_and_types(opened, sample):
     assert opened["fct_asset_telemetry"].schema["health_score"].dataType.simpleString() == "decimal(5,2)"
 
 
+def test_bronze_is_read_from_its_tables(opened, sample):
+    for plan in (ingest.bronze_telemetry, ingest.bronze_rejects, ingest.bronze_maintenance, ingest.bronze_equipment,
+                 ingest.maintenance_rejects, ingest.equipment_rejects, ingest.unknown_devices,
+                 lambda wh: ingest.silver_readings(wh, {"view": "temperature_c"})):
+        assert plan(opened).count() == plan(sample).count()
+
+
+def test_loading_a_range_again_gives_one_full_build(spark, opened, tmp_path):
+    root = str(tmp_path)
+    for first, last in (("2024-01-01", "2024-01-12"), ("2024-01-10", "2024-01-31"), ("2024-01-10", "2024-01-31")):
+        gold.load_hourly_health(opened, root, first, last)
+        gold.load_feature_store(opened, root, first, last)
+    for name, whole in (("agg_asset_hourly_health", gold.hourly_health(opened["fct_asset_telemetry"])), ("ml_feature_store", gold.feature_store(opened))):
+        loaded = read_table(spark, root, name).select(*whole.columns)
+        assert loaded.count() == whole.count()
+        assert loaded.exceptAll(conform(whole, name).select(*whole.columns)).count() == 0
+
+
+def test_gold_questions_do_not_read_telemetry(opened):
+    for plan in (questions.cycles_of_failed, questions.impact_risk_by_plant, lambda wh: questions.predicted_failures(wh, "2024-01-20")):
+        assert "fct_asset_telemetry" not in plan(opened)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_latest_health_is_the_same(opened, sample):
     a, b = (sorted(map(tuple, health.latest_health_report(wh).collect())) for wh in (opened, sample))
     assert a == b
@@ -64,7 +88,7 @@ PLANS = {
     "budget_yoy": lambda wh: maintenance.budget_yoy(wh, "OpEx Maintenance"),
     "star_join": questions.star_join_maintenance,
     "vibration_outliers": questions.vibration_outliers,
-    "overdue": lambda wh: maintenance.overdue_preventive(wh, 30),
+    "overdue": lambda wh: maintenance.overdue_preventive(wh, "2024-01-30"),
     "conversations": lambda wh: conversations.alternating_roles(
         conversations.with_turns(wh["conversation_history"]), F.lit(True)),
 }
