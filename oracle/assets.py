@@ -161,6 +161,11 @@ SQL: dict[str, str] = {
         AS next_process_id FROM process) SELECT * FROM x WHERE next_process_id IS NOT NULL""",
     "path_levels": """SELECT split_part(asset_path, '/', 2) AS line_key, split_part(asset_path, '/', 3) AS process_key,
       count(*) AS assets, max(split_part(asset_path, '/', 4)) AS last_asset FROM asset GROUP BY 1, 2""",
+    "hot_sensors_compared": f"""{_LONG} SELECT count(DISTINCT asset_id) AS sensors, TRUE AS sketch_is_close FROM long
+      WHERE sensor_type = 'Temperature' AND value > 70 AND recorded_at BETWEEN {TELEMETRY_NOW} - INTERVAL 168 HOUR AND {TELEMETRY_NOW}""",
+    "factory_tree_back": f""", t AS ({_LATEST_TELEMETRY}) SELECT plant_name, line_name, 'proc_' || process_id AS process, 'asset_' || asset_id AS asset,
+      asset_name, CAST((temperature_c IS NOT NULL)::INT + (vibration_mm_s IS NOT NULL)::INT + (pressure_psi IS NOT NULL)::INT AS BIGINT) AS sensors,
+      TRUE AS intact FROM placed LEFT JOIN t USING (asset_id)""",
     "tree_counts": f""", t AS ({_LATEST_TELEMETRY}) SELECT plant_name, line_name, process_name, count(*) AS assets,
       CAST(sum((temperature_c IS NOT NULL)::INT + (vibration_mm_s IS NOT NULL)::INT + (pressure_psi IS NOT NULL)::INT) AS BIGINT) AS sensors
       FROM placed LEFT JOIN t USING (asset_id) GROUP BY 1, 2, 3""",

@@ -76,6 +76,9 @@ SQL: dict[str, str] = {
       FROM events JOIN asset ON asset_id = user_id WHERE {_REASON} IS NULL AND event_type IN ('view', 'click', 'signup') GROUP BY 1, 2""",
     "unknown_devices": f"""SELECT 'eq_' || user_id AS device_id, count(*) AS messages FROM events
       WHERE {_REASON} IS NULL AND user_id NOT IN (SELECT asset_id FROM asset) GROUP BY 1""",
+    "failure_score_facts": """, o AS (SELECT DISTINCT asset_id, d FROM telemetry WHERE d >= DATE '2024-01-20')
+      SELECT EXISTS (SELECT 1 FROM service s WHERE s.asset_id = o.asset_id AND s.failure_flag AND s.completed_date BETWEEN o.d + 1 AND o.d + 7) AS failed_in_next_7_days,
+        count(*) AS rows, TRUE AS scores_are_chances FROM o GROUP BY 1""",
     "date_dimension": """, s AS (SELECT unnest(generate_series(min(completed_date), max(completed_date), INTERVAL 1 DAY)) AS t FROM maintenance)
       SELECT CAST(strftime(t, '%Y%m%d') AS INTEGER) AS date_sk, CAST(t AS DATE) AS full_date, dayname(t) AS day_of_week,
         monthname(t) AS month_name, CAST(quarter(t) AS INTEGER) AS quarter, CAST(year(t) AS INTEGER) AS year FROM s""",

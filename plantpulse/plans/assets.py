@@ -270,6 +270,22 @@ def factory_tree(wh: Warehouse, plant_name: str | None = None, line_name: str |
                         text.alias("node"), F.md5(text).alias("node_md5"))
 
 
+def tree_read_back(nodes: DataFrame) -> DataFrame:
+    """The assets that tree nodes hold, parsed from their JSON: one row per asset with its sensors counted."""
+    kind = "struct<id: string, children: array<struct<id: string, name: string, status: string, children: array<struct<id: string>>>>>"
+    node = F.from_json("node", kind)
+    rows = nodes.select("plant_name", "line_name", node["id"].alias("process"), F.explode(node["children"]).alias("a"),
+                        (F.md5("node") == F.col("node_md5")).alias("intact"))
+    return rows.select("plant_name", "line_name", "process", F.col("a.id").alias("asset"), F.col("a.name").alias("asset_name"),
+                       F.size("a.children").cast("bigint").alias("sensors"), "intact")
+
+
+def hot_sensors_compared(wh: Warehouse, as_of: dt.datetime | str, above: float = 70, hours: int = 168) -> DataFrame:
+    """The exact number and whether the sketch comes within three percent of it."""
+    exact, sketch = F.countDistinct("sensor_sk"), F.approx_count_distinct("sensor_sk", 0.01)
+    return _hot(wh, as_of, above, hours).agg(exact.alias("sensors"), (F.abs(sketch - exact) <= 0.03 * exact).alias("sketch_is_close"))
+
+
 def tree_counts(wh: Warehouse) -> DataFrame:
     """Assets and live sensors per process of the tree."""
     keys = ["plant_name", "line_name", "process_name"]

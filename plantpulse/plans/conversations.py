@@ -136,6 +136,26 @@ def feedback_summary(feedback: DataFrame, documents: DataFrame) -> DataFrame:
     return rated.groupBy("rating", "lang", "source").agg(F.count(F.lit(1)).alias("ratings"))
 
 
+def feedback_daily(feedback: DataFrame, messages: DataFrame) -> DataFrame:
+    """Ratings per day of the message that was rated, and how many messages were last rated negative.
+
+    Feedback is reduced to one row per message before the join.
+    """
+    per_message = feedback.groupBy("message_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("rating") == "positive").alias("p"), F.max_by("rating", "timestamp").alias("last"))
+    dated = messages.select("message_id", F.to_date("timestamp").alias("day"))
+    return per_message.join(dated, "message_id").groupBy("day").agg(
+        F.count(F.lit(1)).alias("messages_rated"), F.sum("n").alias("ratings"), F.sum("p").alias("positive"),
+        F.count_if(F.col("last") == "negative").alias("last_negative"))
+
+
+def export_read_back(documents: DataFrame) -> DataFrame:
+    """The messages that export documents hold, parsed from their JSON."""
+    kind = "struct<messages: array<struct<message_no: bigint, role: string, content: string>>>"
+    rows = documents.select(*KEY, F.explode(F.from_json("document", kind)["messages"]).alias("m"))
+    return rows.select(*KEY, "m.message_no", "m.role", "m.content")
+
+
 def export_rows(messages: DataFrame) -> DataFrame:
     """Messages numbered from 1 within their conversation."""
     numbered = number_in_pieces(messages, KEY, ["turn"], _piece(), "message_no")

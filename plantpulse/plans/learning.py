@@ -39,6 +39,12 @@ def train_and_score(features: DataFrame, split_sk: int, iterations: int = 20) ->
     return out, auc
 
 
+def score_facts(scores: DataFrame) -> DataFrame:
+    """What must hold of scores: rows by label, and whether all scores are chances."""
+    return scores.groupBy("failed_in_next_7_days").agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("failure_score").between(0, 1)).alias("scores_are_chances"))
+
+
 def failure_scores(features: DataFrame, split_sk: int) -> DataFrame:
     """Scores per asset-day with the evaluation beside them."""
     scores, auc = train_and_score(features, split_sk)

@@ -15,7 +15,7 @@ from plantpulse.plans import maintenance as mnt
 from plantpulse.plans import production as prod
 from plantpulse.plans import questions as ask
 from plantpulse.functions.python_functions import health_band_udf, oee_by_group
-from plantpulse.plans.learning import failure_scores
+from plantpulse.plans.learning import failure_scores, score_facts
 from plantpulse.streaming.sample import STREAMS
 from plantpulse.warehouse import Warehouse
 
@@ -85,6 +85,7 @@ ASSETS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "latest_reading_per_sensor": assets.latest_reading_per_sensor,
     "out_of_range": lambda wh: assets.out_of_range(wh, TELEMETRY_NOW),
     "hot_sensors": lambda wh: assets.hot_sensors(wh, TELEMETRY_NOW),
+    "hot_sensors_compared": lambda wh: assets.hot_sensors_compared(wh, TELEMETRY_NOW),
     "hot_sensors_approx": lambda wh: assets.hot_sensors_approx(wh, TELEMETRY_NOW),
     "anomaly_sessions": assets.anomaly_sessions,
     "scd2_point_in_time": assets.scd2_point_in_time,
@@ -92,6 +93,7 @@ ASSETS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "process_edges": assets.process_edges,
     "path_levels": assets.path_levels,
     "factory_tree": assets.factory_tree,
+    "factory_tree_back": lambda wh: assets.tree_read_back(assets.factory_tree(wh)),
     "tree_counts": assets.tree_counts,
 }
 
@@ -219,6 +221,8 @@ CONVERSATIONS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "response_type_documents": lambda wh: conv.response_type_counts(wh["documents"], "text", ["lang"]),
     "feedback_summary": lambda wh: conv.feedback_summary(wh["feedback"], wh["documents"]),
     "conv_export_rows": lambda wh: conv.export_rows(wh[MESSAGES]),
+    "conv_export_back": lambda wh: conv.export_read_back(conv.conversation_export(wh[MESSAGES])),
+    "feedback_daily": lambda wh: conv.feedback_daily(wh["message_feedback"], wh[MESSAGES]),
     "conv_export": lambda wh: conv.conversation_export(wh[MESSAGES]),
     "last_user_message": lambda wh: conv.last_user_message(wh[MESSAGES]),
     "last_messages": lambda wh: conv.last_messages(wh[MESSAGES], 2),
@@ -237,6 +241,7 @@ PYTHON: dict[str, Callable[[Warehouse], DataFrame]] = {
     "health_band_python": lambda wh: health.latest_health(wh).select(
         "asset_id", health_band_udf()(F.col("latest_health_score").cast("double")).alias("health_band")),
     "failure_scores": lambda wh: failure_scores(wh["ml_feature_store"], 20240120),
+    "failure_score_facts": lambda wh: score_facts(failure_scores(wh["ml_feature_store"], 20240120)),
 }
 
 GROUPS = (PRODUCTION, HEALTH, ASSETS, GOLD, MAINTENANCE, QUESTIONS, CONVERSATIONS, PYTHON)

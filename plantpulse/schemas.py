@@ -145,6 +145,8 @@ TABLES: dict[str, TableSpec] = {
         partition_by=("observation_date_sk",),
         sort_by=("asset_id",),
     ),
+    "message_feedback": TableSpec(
+        "silver", "message_id STRING, user_id STRING, rating STRING, timestamp TIMESTAMP_NTZ", sort_by=("message_id", "timestamp")),
     "conversation_history": TableSpec(
         "silver",
         "conversation_id STRING, message_id STRING, user_id STRING, timestamp TIMESTAMP_NTZ, role STRING, "
