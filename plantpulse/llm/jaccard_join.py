@@ -32,7 +32,7 @@ from plantpulse.llm.components import components
 from plantpulse.llm.mapping import beside
 from plantpulse.llm.staging import bucketed, staged
 
-PERCENT, SHINGLE, ORDERS = 90, 3, 3
+PERCENT, SHINGLE, ORDERS = 80, 5, 3
 SKETCH_BITS, SKETCH_ROWS, SEGMENTS = 23, 2, 64
 
 

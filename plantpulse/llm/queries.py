@@ -75,7 +75,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=90, shingle=3).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,14 +16,14 @@ def lowered(text: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
-def shingles(text: str | None) -> frozenset:
+def shingles(text: str | None, k: int) -> frozenset:
     w = WORD.findall(lowered(text or ""))
-    return frozenset(tuple(w[i:i + 3]) for i in range(len(w) - 2)) or (frozenset([tuple(w)]) if w else frozenset())
+    return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
-def brute(texts, percent: int = 90):
+def brute(texts, percent: int = 80, shingle: int = 5):
     """(id, set size, smallest id of the group) by comparing all pairs."""
-    sets = [shingles(t) for _, t in texts]
+    sets = [shingles(t, shingle) for _, t in texts]
     group = list(range(len(texts)))
 
     def root(i):
@@ -47,6 +47,7 @@ def found(docs, **kw):
 
 def test_awkward_texts(awkward):
     assert found(awkward) == brute(awkward_texts())
+    assert found(awkward, percent=90, shingle=3) == brute(awkward_texts(), 90, 3)
 
 
 @pytest.mark.parametrize("percent", [90, 60])
@@ -68,7 +69,7 @@ def test_one_large_group_makes_no_pairs_within(spark):
     rng = random.Random(3)
     base = words(rng, 150, 9000)
     texts = [(i, " ".join([*base[:i % 150], f"edit{i}", *base[i % 150 + 1:]])) for i in range(400)]
-    assert found(frame(spark, texts)) == [(i, 148, 0) for i in sorted(range(400), key=lambda i: repr((i, 148, 0)))]
+    assert found(frame(spark, texts)) == [(i, 146, 0) for i in sorted(range(400), key=lambda i: repr((i, 146, 0)))]
 
 
 def test_empty_table(empty):
