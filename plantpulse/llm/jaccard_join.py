@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from plantpulse.llm import text_hash as th
 from plantpulse.llm.components import components
 from plantpulse.llm.mapping import beside
-from plantpulse.llm.staging import bucketed, staged
+from plantpulse.llm.staging import Scratch, staged
 
 PERCENT, SHINGLE, ORDERS = 80, 5, 3
 SKETCH_BITS, SKETCH_ROWS, SEGMENTS = 23, 2, 64
@@ -61,11 +61,11 @@ def with_sets(docs: DataFrame, carry: list[str], shingle: int = SHINGLE) -> Data
     return beside(docs, lambda: measure, "n_shingles bigint, key string", carry)
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def classes(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE) -> DataFrame:
     """(key, cid, n, text): one text of each set, bucketed by key; cid numbers the classes."""
     rows = with_sets(docs, ["text"], shingle).filter("key is not null")
     one = rows.groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("row.text").alias("text"))
-    return bucketed(one.select("key", F.monotonically_increasing_id().alias("cid"), "n", "text"), "key", "classes")
+    return scratch.table(one.select("key", F.monotonically_increasing_id().alias("cid"), "n", "text"), "classes", "key")
 
 
 def _cells(found: np.ndarray) -> list[np.ndarray]:
@@ -182,25 +182,25 @@ def verified(pairs: DataFrame, prefix: DataFrame, table: DataFrame, percent: int
     return loaded.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def linked_classes(table: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, orders: int = ORDERS) -> DataFrame:
+def linked_classes(table: DataFrame, scratch: Scratch, percent: int = PERCENT, shingle: int = SHINGLE, orders: int = ORDERS) -> DataFrame:
     """(cid, component) of every class that has a link to another; component is its smallest cid."""
-    prefix = staged(prefixes(table, percent, shingle, orders), "prefixes")
+    prefix = scratch.table(prefixes(table, percent, shingle, orders), "prefixes")
     postings = prefix.select("cid", "n", F.posexplode("p1").alias("pos", "token"))
     many = postings.groupBy("token").count().filter("count > 1").select("token")
-    shared = staged(postings.join(many, "token"), "postings")
+    shared = scratch.table(postings.join(many, "token"), "postings")
     check: Callable[[DataFrame], DataFrame] = lambda pairs: verified(pairs, prefix, table, percent, shingle, orders)
 
     pivots = shared.groupBy("token").agg(F.min(F.struct("pos", "n", "cid")).alias("y"))
-    first = staged(_ordered_pairs(
+    first = scratch.table(_ordered_pairs(
         shared.alias("x").join(pivots, "token").filter(F.col("x.cid") != F.col("y.cid")).filter(_may_link("x", "y", percent))
         .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))), "pairs")
-    links = staged(check(first), "links")
+    links = scratch.table(check(first), "links")
     groups = components(links)
 
     named = shared.join(groups.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     apart = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    open_ = staged(named.join(apart, "token"), "open")
-    second = staged(_ordered_pairs(
+    open_ = scratch.table(named.join(apart, "token"), "open")
+    second = scratch.table(_ordered_pairs(
         open_.alias("x").join(open_.alias("y"), "token").filter("x.cid < y.cid and x.component <> y.component")
         .filter(_may_link("x", "y", percent)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
         .join(first, ["a", "b"], "left_anti"), "pairs")
@@ -210,18 +210,19 @@ def linked_classes(table: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
 
 def group_of_sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, orders: int = ORDERS) -> DataFrame:
-    """(key, group): for every set of shingles the key of its connected group."""
-    table = classes(docs, shingle)
-    groups = linked_classes(table, percent, shingle, orders)
-    own = table.select("key", "cid").join(groups, "cid", "left")
-    return own.select("key", F.coalesce("component", "cid").alias("group"))
+    """(key, group): for every set of shingles the number of its connected group."""
+    with Scratch(docs.sparkSession) as scratch:
+        table = classes(docs, scratch, shingle)
+        groups = linked_classes(table, scratch, percent, shingle, orders)
+        own = table.select("key", "cid").join(groups, "cid", "left")
+        return staged(own.select("key", F.coalesce("component", "cid").alias("group")), "groups")
 
 
 def near_duplicates(docs: DataFrame, identity: str = "doc_id", percent: int = PERCENT, shingle: int = SHINGLE,
                     orders: int = ORDERS) -> DataFrame:
     """identity, n_shingles, key, group (both null without words) and component_id, the smallest identity of the group."""
     rows = staged(with_sets(docs, [identity], shingle).select(F.col(f"row.{identity}").alias(identity), "n_shingles", "key"), "sets")
-    grouped = staged(group_of_sets(docs, percent, shingle, orders), "groups")
+    grouped = group_of_sets(docs, percent, shingle, orders)
     smallest = rows.filter("key is not null").groupBy("key").agg(F.min(identity).alias("least"))
     by_group = smallest.join(grouped, "key")
     least = by_group.groupBy("group").agg(F.min("least").alias("component_id"))

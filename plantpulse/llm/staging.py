@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from plantpulse.sources.shared import materialise, shared_dir
 
@@ -29,6 +29,30 @@ def bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
     return table
 
 
+class Scratch:
+    """Tables that are only needed until a later one is written: leaving the block deletes them.
+
+    They are managed tables of a database of their own, placed in the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name = spark, f"llm_{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        self.spark.sql(f"CREATE DATABASE {self.name} LOCATION '{shared_dir(self.spark, 'llm-scratch')}'")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.sql(f"DROP DATABASE {self.name} CASCADE")
+
+    def table(self, df: DataFrame, purpose: str, bucket_by: str | None = None) -> DataFrame:
+        name, writer = f"{self.name}.{purpose}_{uuid.uuid4().hex}", df.write.option("compression", "zstd")
+        if bucket_by:
+            writer = writer.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), bucket_by)
+        writer.saveAsTable(name)
+        return self.spark.table(name)
+
+
 def own_name(df: DataFrame, wanted: str) -> str:
     """A column name that no column of the input has (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

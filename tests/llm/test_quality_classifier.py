@@ -43,16 +43,16 @@ def test_awkward_documents_are_scored(spark, awkward):
 
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
-    n = 600
+    n = 3000
     label = rng.integers(0, 2, n)
-    # each view is right by itself, but only 240 documents are labelled
+    # each view is right by itself, but only 2000 documents are labelled
     text = [(np.array([y + rng.normal() * 0.02]), np.array([1], np.uint64)) for y in label]
     pages = np.stack([label + rng.normal(size=n) * 0.02], axis=1)
-    shown = np.where(np.arange(n) < 240, label, -1)
+    shown = np.where(np.arange(n) < 2000, label, -1)
     model = train(text, pages, shown)
     assert sum(map(sum, model.given)) > 0
     score = model.score(np.stack([model.content_row(*t) for t in text]), pages)
-    assert ((score > 0.5) == label)[240:].mean() > 0.97
+    assert ((score > 0.5) == label)[2000:].mean() > 0.97
 
 
 def test_useless_view_does_not_decide():
