@@ -94,7 +94,7 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     path = leaves.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches).select("tree", "branch", "total", "id")
     for step in reversed(steps):
         above = path.alias("m").join(step.alias("s"), _same("m", "s")).select("m.tree", "m.branch", "m.total", F.col("s.up").alias("id"))
-        path = path.union(above)
+        path = staged(path.union(above), "path")  # read twice by the next step: without a cut plans would double
     return path.alias("m").join(nodes.alias("n"), _same("m", "n")).select("m.tree", "m.branch", "m.total", "m.id", "n.depth")
 
 
