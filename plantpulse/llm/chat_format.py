@@ -76,9 +76,10 @@ def rooted(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if not left:
             break
         steps.append(state.filter("up is not null").select("tree", "id", "up"))
-        state = staged(state.alias("m").join(state.alias("p"), _same("m", "p", "up"), "left").select(
-            "m.tree", "m.id", F.col("p.up").alias("up"), (F.col("m.total") + F.coalesce("p.total", F.lit(0.0))).alias("total"),
-            (F.col("m.n") + F.coalesce("p.n", F.lit(0))).alias("n")), "rooted")
+        climbed = state.filter("up is not null").alias("m").join(state.alias("p"), _same("m", "p", "up")).select(
+            "m.tree", "m.id", F.col("p.up").alias("up"), (F.col("m.total") + F.col("p.total")).alias("total"),
+            (F.col("m.n") + F.col("p.n")).alias("n"))
+        state = staged(state.filter("up is null").union(climbed), "rooted")  # rounds join what is still below its root
         before, left = left, state.filter("up is not null").count()
         if left == before:
             break  # what is left goes round in rings
