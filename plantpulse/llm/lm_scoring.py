@@ -10,7 +10,12 @@ A word's score is ``c(history word) / c(history)`` from the longest history that
 ``BACKOFF`` for each word dropped from the history; a word that occurs nowhere else counts as one in all
 words plus one. A document's own occurrences are left out of its counts, else every n-gram would be known.
 
-Production uses bigrams; ``order`` is a parameter. N-grams are compared by 64-bit hashes.
+N-grams are compared by 64-bit hashes. From trigrams on each order waits for the answers to the one before:
+an n-gram that stands in another document has its first and its last n - 1 words there too, so those
+that lack one of them are known to stand nowhere else and are not sent. No count changes by it.
+
+``order`` is a parameter: 2 unless told otherwise, as the SQL of ``op8_lm_scoring`` has it;
+``op8_lm_scoring_trigrams`` asks for 3.
 
 Defined results: null and empty texts have no words, score 0 and no mean; repeated rows are other
 documents for each other; an empty table gives an empty result; the input's columns stay in ``row``.
@@ -34,10 +39,38 @@ from plantpulse.llm.staging import bucketed
 ORDER, BACKOFF = 2, 0.4
 CHUNK_DOCS, CHUNK_BYTES = 2000, 6_000_000
 BUCKET_NGRAMS = 2_000_000
+#: Orders whose n-grams are all sent; from the next on only those whose two parts stand in another document.
+UNSIFTED = 2
+#: Low bytes of a step between hashes that compression would not shorten.
+RAW_BYTES = 5
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Bytes of like weight together, lowest first: those of small numbers are runs of zeros."""
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T
+
+
+def _joined(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1)
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(values.tobytes(), 1)
+    return zlib.compress(_planes(values).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return _joined(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)).astype(np.int64)
+
+
+def _pack_rising(hashes: np.ndarray) -> bytes:
+    """Rising 64-bit hashes, whole, as steps: the high bytes of steps are few, the low ones are left as they are."""
+    planes = _planes(np.diff(hashes, prepend=np.uint64(0)))
+    return planes[:RAW_BYTES].tobytes() + zlib.compress(planes[RAW_BYTES:].tobytes(), 1)
+
+
+def _unpack_rising(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(data[:RAW_BYTES * n], np.uint8).reshape(RAW_BYTES, n)
+    return np.cumsum(_joined(np.concatenate([raw, np.frombuffer(zlib.decompress(data[RAW_BYTES * n:]), np.uint8).reshape(8 - RAW_BYTES, n)])), dtype=np.uint64)
 
 
 def chunks(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -66,36 +99,58 @@ def chunks(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
 
 class ChunkGrams:
-    """All n-grams of a chunk's texts at each order up to ``order``."""
+    """N-grams of a chunk's texts at each order up to ``order``, and what the answers say of the first ``answered`` orders.
+
+    ``known`` and ``count`` hold each n-gram once, ``asked`` the places in ``known`` that are sent, and
+    ``other``, by the place where an n-gram starts, its count outside its own document.
+    """
 
-    def __init__(self, texts: pa.Array, order: int):
+    def __init__(self, texts: pa.Array, order: int, n_buckets: int, answered: int = 0, answers: list[dict] | None = None):
         parts = list(th.slices(texts, th.LOWERED))
         self.counts = np.concatenate([w.counts for w in parts]) if parts else np.empty(0, np.int64)
         words = th.Words(0, self.counts, np.concatenate([w.hashes for w in parts]) if parts else np.empty(0, np.uint64))
-        self.words, self.doc = words, words.doc_of
-        self.grams = []
-        for n in range(1, order + 1):
-            starts = th.window_starts(words, n)
-            known, at, count = np.unique(th.runs(words.hashes, n)[starts], return_inverse=True, return_counts=True)
-            self.grams.append((starts, known, at, count))
-
-    def buckets(self, level: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the n-grams in bucket order, where each bucket ends)."""
-        bucket = (self.grams[level][1] % np.uint64(n_buckets)).astype(np.int64)
-        return np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=n_buckets))
-
-
-def _sent(order: int, n_buckets: int):
+        self.words, self.doc, self.n_buckets = words, words.doc_of, n_buckets
+        self.known, self.count, self.asked, self.other = [], [], [], []
+        for level in range(order):
+            starts = th.window_starts(words, level + 1)
+            known, at, count = np.unique(th.runs(words.hashes, level + 1)[starts], return_inverse=True, return_counts=True)
+            if level < UNSIFTED:
+                asked = np.arange(len(known))
+            else:  # what stands in another document has both its parts there
+                asked = np.unique(at[(self.other[-1][starts] > 0) & (self.other[-1][starts + 1] > 0)])
+            self.known.append(known)
+            self.count.append(count)
+            self.asked.append(asked)
+            if level < answered:
+                total, ends = np.zeros(len(known), np.int64), self.ends(level)
+                for a in answers or []:
+                    if a["bucket"] // n_buckets == level:
+                        bucket = a["bucket"] % n_buckets
+                        total[asked[ends[bucket - 1] if bucket else 0:ends[bucket]]] = _unpack(a["counts"])
+                _, mine, times = np.unique(self.doc[starts] * np.int64(max(len(known), 1)) + at, return_inverse=True, return_counts=True)
+                other = np.zeros(len(self.doc), np.int64)
+                other[starts] = np.maximum(total[at] - times[mine], 0)  # not asked: nowhere else
+                self.other.append(other)
+
+    def ends(self, level: int) -> np.ndarray:
+        """Where each bucket ends in ``asked``: buckets are ranges of hashes."""
+        bucket = (((self.known[level][self.asked[level]] >> np.uint64(32)) * np.uint64(self.n_buckets)) >> np.uint64(32)).astype(np.int64)
+        return np.cumsum(np.bincount(bucket, minlength=self.n_buckets))
+
+
+def _sent(first: int, last: int, n_buckets: int):
+    """N-grams of the levels from ``first`` to before ``last``, once those before ``first`` are answered."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, docs in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = ChunkGrams(docs.values.field("text"), order)
+            for number, docs, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                own = ChunkGrams(docs.values.field("text"), last, n_buckets, first, answers.as_py())
                 rows = []
-                for level, (_, known, _, count) in enumerate(own.grams):
-                    place, ends = own.buckets(level, n_buckets)
-                    for bucket, some in enumerate(np.split(place, ends[:-1])):
-                        if len(some):
-                            rows.append((level * n_buckets + bucket, number, known[some].tobytes(), _pack(count[some].astype(np.uint32))))
+                for level in range(first, last):
+                    known, count = (x[level][own.asked[level]] for x in (own.known, own.count))
+                    ends = own.ends(level)
+                    for bucket, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends)):
+                        if hi > lo:
+                            rows.append((level * n_buckets + bucket, number, _pack_rising(known[lo:hi]), _pack(count[lo:hi])))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
@@ -105,8 +160,8 @@ def _sent(order: int, n_buckets: int):
 
 def _answered(table: pa.Table) -> pa.Table:
     """Corpus counts for each chunk's n-grams of one bucket, in the order sent."""
-    hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in table["hashes"]]
-    counts = [np.frombuffer(zlib.decompress(c.as_buffer()), np.uint32) for c in table["counts"]]
+    counts = [_unpack(c.as_buffer()) for c in table["counts"]]
+    hashes = [_unpack_rising(h.as_buffer().to_pybytes(), len(c)) for h, c in zip(table["hashes"], counts)]
     _, at = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)[at]
     parts = np.split(total, np.cumsum([len(h) for h in hashes])[:-1])
@@ -115,20 +170,8 @@ def _answered(table: pa.Table) -> pa.Table:
 
 def _scores(order: int, n_buckets: int, n_words: int, backoff: float):
     def one(docs: pa.Array, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        own = ChunkGrams(docs.field("text"), order)
-        n, doc = own.counts, own.doc
-        counts = []  # of each word's n-gram that ends there, outside the word's own document; by level
-        for level, (starts, known, at, _) in enumerate(own.grams):
-            total = np.zeros(len(known), np.int64)
-            place, ends = own.buckets(level, n_buckets)
-            for a in answers:
-                if a["bucket"] // n_buckets == level:
-                    bucket = a["bucket"] % n_buckets
-                    total[place[ends[bucket - 1] if bucket else 0:ends[bucket]]] = np.frombuffer(zlib.decompress(a["counts"]), np.int64)
-            _, mine, times = np.unique(doc[starts] * np.int64(max(len(known), 1)) + at, return_inverse=True, return_counts=True)
-            other = np.zeros(len(doc), np.int64)  # by the place where the n-gram starts
-            other[starts] = total[at] - times[mine]
-            counts.append(other)
+        own = ChunkGrams(docs.field("text"), order, n_buckets, order, answers)
+        n, doc, counts = own.counts, own.doc, own.other
         everything = n_words - n[doc] if len(doc) else np.empty(0)
         place = np.arange(len(doc)) - own.words.bounds[doc] if len(doc) else np.empty(0, np.int64)
         result, open_ = np.zeros(len(doc)), np.ones(len(doc), bool)
@@ -145,8 +188,8 @@ def _scores(order: int, n_buckets: int, n_words: int, backoff: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, answers in zip(batch.column(0), batch.column(1)):
-                n, score = one(docs.values, answers.as_py() or [])
+            for docs, answers in zip(batch.column(1), batch.column(2)):
+                n, score = one(docs.values, answers.as_py())
                 yield pa.RecordBatch.from_arrays([docs.values.field("row"), pa.array(n, pa.int64()), pa.array(score, pa.float64())],
                                                  names=["row", "n_words", "log_score"])
     return run
@@ -157,9 +200,15 @@ def lm_scores(docs: DataFrame, carry: list[str] | None = None, order: int = ORDE
     table = chunks(docs, carry)
     n_words = table.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_words // BUCKET_NGRAMS))
-    sent = table.select("chunk", "docs").mapInArrow(_sent(order, n_buckets), "bucket long, chunk long, hashes binary, counts binary")
-    answers = (sent.groupBy("bucket").applyInArrow(_answered, "chunk long, bucket long, counts binary")
-               .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers")))
-    joined = table.select("chunk", "docs").join(answers, "chunk", "left").select("docs", "answers")
+    none = F.array().cast("array<struct<bucket: bigint, counts: binary>>")
+    chunked, first = table.select("chunk", "docs", none.alias("answers")), 0
+    for last in (min(order, UNSIFTED), *range(UNSIFTED + 1, order + 1)):
+        sent = chunked.mapInArrow(_sent(first, last, n_buckets), "bucket long, chunk long, hashes binary, counts binary")
+        more = (sent.groupBy("bucket").applyInArrow(_answered, "chunk long, bucket long, counts binary")
+                .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("more")))
+        if last < order:  # read twice: to choose what the next order asks for, and to score
+            more = bucketed(more, "chunk", "answers")
+        chunked = chunked.join(more, "chunk", "left").select("chunk", "docs", F.concat("answers", F.coalesce("more", none)).alias("answers"))
+        first = last
     row = table.schema["docs"].dataType.elementType["row"].dataType.simpleString()
-    return joined.mapInArrow(_scores(order, n_buckets, n_words, backoff), f"row {row}, n_words long, log_score double")
+    return chunked.mapInArrow(_scores(order, n_buckets, n_words, backoff), f"row {row}, n_words long, log_score double")

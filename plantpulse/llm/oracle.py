@@ -117,6 +117,31 @@ s AS (
   FROM h GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0), 3) AS log_score FROM d LEFT JOIN s USING (doc_id)"""
 
+SQL["op8_lm_scoring_trigrams"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (
+  SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a, CASE WHEN i > 2 THEN w[i - 2] END AS z, least(i, 3) AS most
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c AS (
+  SELECT doc_id, i, most,
+         count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n,
+         count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY doc_id, b) AS c1,
+         count(*) OVER (PARTITION BY a, b) - count(*) OVER (PARTITION BY doc_id, a, b) AS c2,
+         count(*) OVER (PARTITION BY z, a, b) - count(*) OVER (PARTITION BY doc_id, z, a, b) AS c3
+  FROM u),
+h AS (
+  SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS h1, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS h2 FROM c),
+s AS (
+  SELECT doc_id, sum(CASE
+    WHEN i > 2 AND c3 > 0 THEN ln(c3 / h2)
+    WHEN i > 1 AND c2 > 0 THEN (most - 2) * ln(0.4::DOUBLE) + ln(c2 / h1)
+    WHEN c1 > 0 THEN (most - 1) * ln(0.4::DOUBLE) + ln(c1 / n)
+    ELSE (most - 1) * ln(0.4::DOUBLE) - ln(n + 1) END) AS s
+  FROM h GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0), 3) AS log_score FROM d LEFT JOIN s USING (doc_id)"""
+
 SQL["op3_chat_format"] = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

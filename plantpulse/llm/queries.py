@@ -83,6 +83,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
 
 
+def op8_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores(_table(spark, sf_dir, "documents"), ["doc_id"], order=3)
+    return found.select("row.doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn(
         "held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2)
@@ -105,7 +110,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_bpe, op3_chat_format, op4_quality_rules, op5_decontamination, op6_quality_classifier, op7_jaccard_join,
-                                   op8_lm_scoring, op9_language_id, op10_token_counts)}
+                                   op8_lm_scoring, op8_lm_scoring_trigrams, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

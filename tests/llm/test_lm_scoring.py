@@ -7,10 +7,11 @@ from collections import Counter
 
 import pytest
 
-from plantpulse.llm import lm_scoring
+from plantpulse.llm import lm_scoring, queries
 from plantpulse.llm.lm_scoring import lm_scores
 from tests.llm.conftest import awkward_texts, frame, words
 
+SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -69,3 +70,19 @@ def test_columns_stay(awkward):
 
 def test_empty_table(empty):
     assert lm_scores(empty).collect() == []
+
+
+def test_trigrams_are_registered(spark):
+    ask = queries.queries()["op8_lm_scoring_trigrams"]
+    got = [(r.doc_id, r.n_words, r.log_score) for r in ask(spark, SF).collect()]
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    close(sorted(got, key=repr), brute(texts, 3))
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_sifted_orders_lose_no_count(spark, monkeypatch, order):
+    monkeypatch.setattr(lm_scoring, "CHUNK_DOCS", 3)
+    rng = random.Random(order)
+    texts = [(i, " ".join(words(rng, rng.randrange(60), 6))) for i in range(30)]
+    texts += [(100, "only here only here only here only"), (101, "a far pair"), (102, "far pair b"), (103, "a far pair b")]
+    close(found(frame(spark, texts).repartition(5), order=order), brute(texts, order))
