@@ -2,15 +2,16 @@
 
 One classifier sees the content (which of the telling words occur, and ratios of symbols, capitals,
 repeats), the other the page's metadata (source, language, length). Both start from the same labelled
-sample; each round, each gives the other the unlabelled documents it is most sure of, with its own
-verdict as label. On labelled documents kept aside, each view is calibrated (a line through its
+sample; each round, each gives the other all unlabelled documents it is sure of and has not yet given, with
+its own verdict as label. On labelled documents kept aside, each view is calibrated (a line through its
 log-odds); the combined log-odds are the sum of both less the prior they share.
 
-The classifiers are fitted on the driver on bounded samples: at most ``MAX_LABELLED`` labelled and
-``MAX_UNLABELLED`` unlabelled documents, the first by a hash of doc_id, each reduced to at most
-``MAX_FEATURES`` numbers in the tasks. The model is of fixed size. Every document is scored, whole.
+Of the labelled documents a bounded sample is used: at most ``MAX_LABELLED``, the first by a hash of doc_id, each
+reduced to at most ``MAX_FEATURES`` words in the tasks. All unlabelled documents take part: their features (some
+150 bytes each) are staged once, each step of a fit sums gradients and curvatures over them in Spark, and the driver gets one
+sum of fixed size. Every document is scored, whole.
 
-Defined results: null labels are not used; a document labelled twice is learnt twice; without both kinds of
+Defined results: null labels are not used (the document counts as unlabelled); a document labelled twice is learnt twice; without both kinds of
 label all documents are kept with score null; null or empty texts and null metadata are values of
 their own; repeated rows are scored one by one; an empty table gives no rows; the input's columns stay
 in ``row``.
@@ -18,7 +19,7 @@ in ``row``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,9 +29,12 @@ from pyspark.sql import functions as F
 
 from plantpulse.llm import text_hash as th
 from plantpulse.llm.mapping import beside
+from plantpulse.llm.staging import staged
 
-MAX_LABELLED, MAX_UNLABELLED, MAX_FEATURES = 6000, 3000, 20_000
-ROUNDS, SURE, GIVEN_PER_ROUND = 3, 0.95, 300
+MAX_LABELLED, MAX_FEATURES = 6000, 20_000
+ROUNDS, SURE, PENALTIES = 3, 0.95, (30.0, 10.0)
+USABLE = "doc_id is not null and quality is not null and toxic is not null"
+POOL_ROWS, PIECES = 2000, 32
 TELLING_WORDS, LEAST_DOCUMENTS = 400, 5
 KEEP_FROM = 0.5
 _SOURCES, _LANGUAGES = 64, 16
@@ -147,32 +151,161 @@ def telling_words(lists: list[np.ndarray], good: np.ndarray) -> np.ndarray:
     return np.sort(known[best[value[best] > 6.6]])
 
 
-def train(text: list[tuple[np.ndarray, np.ndarray]], pages: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """label: 1 good, 0 bad, -1 unlabelled. Every fourth labelled document is kept aside to calibrate."""
+Rows = tuple[np.ndarray, np.ndarray]  # of the content and the metadata view
+
+
+def taught(rows: Rows, history: list[tuple[View, View]]) -> list[np.ndarray]:
+    """Labels that the rounds so far have given the content and the metadata view for these documents, -1 for none."""
+    out = []
+    for me in (1, 0):
+        given = np.full(len(rows[me]), -1)
+        for views in history:
+            chance = _chance(views[me].raw(rows[me]))
+            sure = (given < 0) & (np.maximum(chance, 1 - chance) >= SURE)
+            given[sure] = chance[sure] >= 0.5
+        out.append(given)
+    return out
+
+
+def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+
+def _slopes(view: View):
+    """Gradient and curvature of the log-likelihood at the view's weights, as one vector."""
+    def run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        design = np.hstack([np.ones((len(x), 1)), (x - view.center) / view.scale])
+        p = _chance(design @ view.weights)
+        return np.concatenate([design.T @ (y - p), ((design * (p * (1 - p))[:, None]).T @ design).ravel()])
+    return run
+
+
+class LocalPool:
+    """Unlabelled documents, and sums over those that were given a label."""
+
+    def __init__(self, rows: Rows):
+        self.rows = rows
+
+    def totals(self, history: list[tuple[View, View]], measures: list) -> list[np.ndarray]:
+        return [m(x[y >= 0], y[y >= 0]) for m, x, y in zip(measures, self.rows, taught(self.rows, history))]
+
+
+class SparkPool:
+    """The same over all rows of ``docs`` without a label: their features are staged, only sums come to the driver."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, words: np.ndarray):
+        self.n_words = len(words)
+        model = Model(words, (None, None), 0.0)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first in range(0, batch.num_rows, POOL_ROWS):
+                    some = batch.slice(first, POOL_ROWS)
+                    text = np.stack([model.content_row(*t) for t in content(some.column(1))])
+                    page = metadata(some.column(2), some.column(3), some.column(4))
+                    packed = np.hstack([
+                        np.ascontiguousarray(text[:, :N_RATIOS]).view(np.uint8), np.packbits(text[:, N_RATIOS:] > 0, axis=1),
+                        page[:, :_SOURCES].argmax(axis=1)[:, None].astype(np.uint8), page[:, _SOURCES:-2].argmax(axis=1)[:, None].astype(np.uint8),
+                        np.ascontiguousarray(page[:, -2:]).view(np.uint8)])
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], names=["doc_id", "features"])
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        source = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
+        known = labels.filter(USABLE).select("doc_id").distinct()
+        self.table = staged(source.mapInArrow(measure, f"doc_id {kind}, features binary").join(known, "doc_id", "left_anti").select("features"), "unlabelled")
+
+    def rows(self, features: pa.Array) -> Rows:
+        data = np.frombuffer(b"".join(features.to_pylist()), np.uint8).reshape(len(features), -1)
+        bits = N_RATIOS * 8 + -(-self.n_words // 8)
+        text = np.hstack([np.ascontiguousarray(data[:, :N_RATIOS * 8]).view(np.float64),
+                          np.unpackbits(data[:, N_RATIOS * 8:bits], axis=1, count=self.n_words)])
+        page = np.zeros((len(data), _SOURCES + _LANGUAGES + 2))
+        page[np.arange(len(data)), data[:, bits]] = 1
+        page[np.arange(len(data)), _SOURCES + data[:, bits + 1].astype(np.int64)] = 1
+        page[:, -2:] = np.ascontiguousarray(data[:, bits + 2:]).view(np.float64)
+        return text, page
+
+    def totals(self, history: list[tuple[View, View]], measures: list) -> list[np.ndarray]:
+        n_words, unpack = self.n_words, SparkPool.rows
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, total = SparkPool.__new__(SparkPool), None
+            own.n_words = n_words
+            for batch in batches:
+                for first in range(0, batch.num_rows, POOL_ROWS):
+                    found = np.concatenate(LocalPool(unpack(own, batch.column(0).slice(first, POOL_ROWS))).totals(history, measures))
+                    total = found if total is None else total + found
+            if total is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in np.array_split(total, PIECES)], pa.binary())], names=["piece", "total"])
+
+        def merged(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x, np.float64) for x in table["total"].to_pylist())
+            return pa.table({"piece": table["piece"].slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
+
+        found = self.table.mapInArrow(add, "piece int, total binary").groupBy("piece").applyInArrow(merged, "piece int, total binary").toArrow()
+        nothing = (np.empty((0, N_RATIOS + n_words)), np.empty((0, _SOURCES + _LANGUAGES + 2)))
+        empty = [m(x, np.empty(0)) for m, x in zip(measures, nothing)]
+        if not len(found):
+            return empty
+        whole = np.concatenate([np.frombuffer(x, np.float64) for x in found.sort_by("piece")["total"].to_pylist()])
+        return np.split(whole, [len(empty[0])])
+
+
+def refit(views: tuple[View, View], base: list[tuple[np.ndarray, np.ndarray]], pool, history: list[tuple[View, View]], moments: list[np.ndarray],
+          steps: int = 12) -> tuple[View, View]:
+    """Newton's method on the labelled rows and sums over the pool, from the views before.
+
+    However many documents the pool gives, together they weigh no more than the labelled ones.
+    """
+    now, shares = [], []
+    for view, (x, y), far in zip(views, base, moments):
+        shares.append(min(1.0, len(x) / max(far[0], 1)))
+        both = _moments(x, y) + shares[-1] * far
+        center, square = np.split(both[1:] / both[0], 2)
+        scale = np.sqrt(np.maximum(square - center ** 2, 0))
+        scale[scale < 1e-6] = 1.0
+        weights = view.weights[1:] / view.scale
+        now.append(View(center, scale, np.concatenate([[view.weights[0] + weights @ (center - view.center)], weights * scale])))
+    for _ in range(steps):
+        measures, largest = [_slopes(v) for v in now], 0.0
+        for view, penalty, measure, (x, y), share, far in zip(now, PENALTIES, measures, base, shares, pool.totals(history, measures)):
+            n = len(view.weights)
+            both, ridge = measure(x, y) + share * far, np.full(n, penalty)
+            ridge[0] = 1e-6
+            move = np.linalg.solve(both[n:].reshape(n, n) + np.diag(ridge), both[:n] - ridge * view.weights)
+            view.weights = view.weights + move * min(1.0, 8 / (np.abs(move).max() + 1e-12))
+            largest = max(largest, float(np.abs(move).max()))
+        if largest < 1e-3:  # the next step would be of the order of its square
+            break
+    return now[0], now[1]
+
+
+def train(text: list[tuple[np.ndarray, np.ndarray]], pages: np.ndarray, label: np.ndarray, rounds: int = ROUNDS,
+          make_pool: Callable[[np.ndarray], SparkPool] | None = None) -> Model | None:
+    """label: 1 good, 0 bad, -1 unlabelled. Every fourth labelled document is kept aside to calibrate.
+
+    The unlabelled documents are those given here, or the pool that ``make_pool`` makes from the telling words.
+    """
     labelled = np.flatnonzero(label >= 0)
     aside, base, free = labelled[3::4], np.delete(labelled, slice(3, None, 4)), np.flatnonzero(label < 0)
     if len({*label[base]}) < 2 or len({*label[aside]}) < 2:
         return None
     model = Model(telling_words([text[i][1] for i in base], label[base].astype(float)), (None, None), 0.0)
     rows = (np.stack([model.content_row(*t) for t in text]), pages)
-    penalty = (30.0, 10.0)
-    learnt = [{int(i): float(label[i]) for i in base} for _ in rows]
-    views: list[View] = []
-    for step in range(rounds + 1):
-        views = [fit(x[list(own)], np.array(list(own.values())), p) for x, own, p in zip(rows, learnt, penalty)]
-        if step == rounds or not len(free):
-            break
-        given = [0, 0]
-        for me, other in ((0, 1), (1, 0)):
-            chance = _chance(views[me].raw(rows[me][free]))
-            sure = np.maximum(chance, 1 - chance)
-            for i in np.argsort(-sure, kind="stable")[:GIVEN_PER_ROUND]:
-                if sure[i] >= SURE and int(free[i]) not in learnt[other]:
-                    learnt[other][int(free[i])] = float(chance[i] >= 0.5)
-                    given[other] += 1
-        model.given.append((given[0], given[1]))
-        if given == [0, 0]:
+    pool = make_pool(model.words) if make_pool else LocalPool((rows[0][free], rows[1][free]))
+    own = [(x[base], label[base].astype(float)) for x in rows]
+    views = tuple(fit(x, y, p) for (x, y), p in zip(own, PENALTIES))
+    history: list[tuple[View, View]] = []
+    before = [0, 0]
+    for _ in range(rounds):
+        history.append(views)
+        moments = pool.totals(history, [_moments, _moments])
+        given = [int(m[0]) for m in moments]
+        model.given.append((given[0] - before[0], given[1] - before[1]))
+        if given == before:
             break
+        views, before = refit(views, own, pool, history, moments), given
     truth = label[aside].astype(float)
     for view, x in zip(views, rows):
         calibrate(view, x[aside], truth)
@@ -180,15 +313,11 @@ def train(text: list[tuple[np.ndarray, np.ndarray]], pages: np.ndarray, label: n
     return model
 
 
-def sampled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED):
-    """Features and labels of the bounded samples."""
-    order = F.xxhash64("doc_id")
-    chosen = (labels.filter("doc_id is not null and quality is not null and toxic is not null")
+def sampled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED):
+    """Features and labels of the bounded labelled sample."""
+    wanted = (labels.filter(USABLE)
               .select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
-              .orderBy(order, "doc_id", "good").limit(max_labelled))
-    free = docs.select("doc_id").filter("doc_id is not null").distinct().join(
-        labels.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_unlabelled)
-    wanted = chosen.union(free.withColumn("good", F.lit(-1)))
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(max_labelled))
     rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(wanted), "doc_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +340,7 @@ def sampled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
 
 
 def learnt_quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model | None:
-    return train(*sampled(docs, labels, **bounds))
+    return train(*sampled(docs, labels, **bounds), make_pool=lambda words: SparkPool(docs, labels, words))
 
 
 def classified(docs: DataFrame, model: Model | None, carry: list[str] | None = None, keep_from: float = KEEP_FROM) -> DataFrame:

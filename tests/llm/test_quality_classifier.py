@@ -67,3 +67,31 @@ def test_useless_view_does_not_decide():
 def test_telling_words():
     lists = [np.array([1, 2, 3 if i < 30 else 4], np.uint64) for i in range(60)]
     assert set(telling_words(lists, np.array([1.0] * 30 + [0.0] * 30))) == {3, 4}
+
+
+def test_every_unlabelled_document_can_be_given(spark):
+    """Far more than any sample held: all that one view is sure of reach the other, once each."""
+    from plantpulse.llm.quality_classifier import SparkPool, taught
+
+    n, kind = 9000, "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, ("fine calm words here " if i % 3 else "dire loud shouts now ") + f"w{i}", "en", "good" if i % 3 else "bad", 20) for i in range(n)]
+    docs = spark.createDataFrame(rows, kind).repartition(6)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(2000)] + [(n - 1, None, None)], LABELS)
+    model = learnt_quality(docs, labels)
+    assert [sum(x) for x in zip(*model.given)] == [n - 2000, n - 2000]
+    pool = SparkPool(docs, labels, model.words)
+    parts = [pool.rows(b.column(0)) for b in pool.table.toArrow().to_batches()]
+    assert sum(len(t) for t, _ in parts) == n - 2000
+    assert all((y >= 0).all() for p in parts for y in taught(p, [model.views]))
+
+
+def test_pool_sums_are_those_of_its_rows(spark):
+    from plantpulse.llm.quality_classifier import LocalPool, SparkPool, _moments, _slopes
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = learnt_quality(docs, labels)
+    pool = SparkPool(docs.repartition(4), labels, model.words)
+    near = LocalPool(pool.rows(pool.table.toArrow()["features"].combine_chunks()))
+    for measures in ([_moments, _moments], [_slopes(v) for v in model.views]):
+        for a, b in zip(pool.totals([model.views], measures), near.totals([model.views], measures)):
+            assert np.allclose(a, b)
