@@ -122,7 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None
                   chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``row``, n_words, items (sorted ids of items with a window in the text), hits (ranges of hit words)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text").distinct()  # equal rows would share a chunk
     n_words = items.agg(F.coalesce(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\u0080-\\uFFFF]+"))), F.lit(0))).first()[0]
     chunks = max(1, -(-2 * n_words // chunk_words))
     carried = docs.columns if carry is None else carry

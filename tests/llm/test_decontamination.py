@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plantpulse.llm import decontamination
 from plantpulse.llm.decontamination import decontaminate, n_hit, winnowed
 from tests.llm.conftest import awkward_texts, frame, words
 
@@ -81,3 +82,15 @@ def test_equal_spans_share_a_fingerprint():
         a, b = (np.concatenate([rng.integers(0, 6, rng.integers(0, 9)), span, rng.integers(0, 6, rng.integers(0, 9))]).astype(np.uint64)
                 for _ in range(2))
         assert set(winnowed(a, 10, 5)[1]) & set(winnowed(b, 10, 5)[1])
+
+
+def test_copies_of_an_item_reach_the_driver_once(spark, monkeypatch):
+    made, build = [], decontamination.index_of
+    monkeypatch.setattr(decontamination, "index_of", lambda ids, *a: made.append(len(ids)) or build(ids, *a))
+    rng = random.Random(8)
+    items = [(i, " ".join(words(rng, 15, 30))) for i in range(6)]
+    texts = [(i, " ".join([*words(rng, 5, 30), item, *words(rng, 5, 30)])) for i, item in items]
+    many = items + [items[0]] * 300 + [(None, None)] * 5
+    bench = spark.createDataFrame(many, "item_id long, text string").repartition(4)
+    assert found(frame(spark, texts), bench, chunk_words=100) == brute(texts, items)
+    assert sum(made) == len(items) + 1
