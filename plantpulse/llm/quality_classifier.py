@@ -6,36 +6,42 @@ sample; each round, each gives the other all unlabelled documents it is sure of
 its own verdict as label. On labelled documents kept aside, each view is calibrated (a line through its
 log-odds); the combined log-odds are the sum of both less the prior they share.
 
-Of the labelled documents a bounded sample is used: at most ``MAX_LABELLED``, the first by a hash of doc_id, each
-reduced to at most ``MAX_FEATURES`` words in the tasks. All unlabelled documents take part: their features (some
-150 bytes each) are staged once, each step of a fit sums gradients and curvatures over them in Spark, and the driver gets one
-sum of fixed size. Every document is scored, whole.
-
-Defined results: null labels are not used (the document counts as unlabelled); a document labelled twice is learnt twice; without both kinds of
-label all documents are kept with score null; null or empty texts and null metadata are values of
-their own; repeated rows are scored one by one; an empty table gives no rows; the input's columns stay
-in ``row``.
+Of the labelled documents a bounded sample of rows is used: at most ``MAX_LABELLED``, the first by a hash of doc_id, one for
+each (doc_id, label). Every fourth of each label, by a second hash, is kept aside. The telling words are counted over the
+whole texts of the rest in Spark; the driver gets their hashes and one row of fixed size per sampled document. All unlabelled
+documents take part: their features (some 150 bytes each) are staged once, each step of a fit sums gradients and curvatures
+over them in Spark, in two levels where there are many tasks, and the driver gets one sum of fixed size. Every document is
+scored, whole.
+
+Defined results: null labels are not used (the document counts as unlabelled); a document with both labels is learnt once with
+each; of rows that repeat a labelled doc_id one stands for all, that with the smallest fingerprint; a label of which nothing
+could be kept aside leaves the views uncalibrated, with a warning; without both kinds of label all documents are kept with
+score null, with a warning; null or empty texts and null metadata are values of their own; texts of any length count whole;
+repeated rows are scored one by one; an empty table gives no rows; the input's columns stay in ``row``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantpulse.llm import text_hash as th
 from plantpulse.llm.mapping import beside
 from plantpulse.llm.staging import staged
 
-MAX_LABELLED, MAX_FEATURES = 6000, 20_000
+MAX_LABELLED = 6000
 ROUNDS, SURE, PENALTIES = 3, 0.95, (30.0, 10.0)
 USABLE = "doc_id is not null and quality is not null and toxic is not null"
-POOL_ROWS, PIECES = 2000, 32
-TELLING_WORDS, LEAST_DOCUMENTS = 400, 5
+POOL_ROWS, PIECES, TASKS_TO_SUM = 2000, 32, 256
+TELLING_WORDS, LEAST_DOCUMENTS, LEAST_CHI_SQUARED = 400, 5, 6.6
+ASIDE, SEED = 4, 20_011
 KEEP_FROM = 0.5
 _SOURCES, _LANGUAGES = 64, 16
 _CLASSES = [np.isin(np.arange(256), list(chars)) for chars in (b"#*$%&<>", b"|", b"!", bytes(range(65, 91)), bytes(range(48, 58)), b"\n")]
@@ -128,6 +134,7 @@ class Model:
     views: tuple[View, View]
     prior: float  # log-odds
     given: list[tuple[int, int]] = field(default_factory=list)  # by round, to the content and the metadata view
+    calibrated: bool = True
 
     def content_row(self, ratios: np.ndarray, own: np.ndarray) -> np.ndarray:
         return np.concatenate([ratios, np.isin(self.words, own, assume_unique=True)])
@@ -148,7 +155,26 @@ def telling_words(lists: list[np.ndarray], good: np.ndarray) -> np.ndarray:
     spread = expected * (1 - n_good / n) * (1 - count / n) + 1e-9
     value = np.where(count >= LEAST_DOCUMENTS, (in_good - expected) ** 2 / spread, -1.0)
     best = np.argsort(-value, kind="stable")[:TELLING_WORDS]
-    return np.sort(known[best[value[best] > 6.6]])
+    return np.sort(known[best[value[best] > LEAST_CHI_SQUARED]])
+
+
+def telling_words_of(sample: DataFrame) -> np.ndarray:
+    """The same for the rows of a sample that are not kept aside, counted in Spark over their whole texts."""
+    base = sample.filter("not aside")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = batch.column(1).to_numpy(zero_copy_only=False)
+            for d, (_, own) in enumerate(content(batch.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), good[d]), pa.int32())], names=["h", "good"])
+
+    n, n_good = base.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
+    expected = F.col("n") * (n_good / max(n, 1))
+    spread = expected * (1 - n_good / max(n, 1)) * (1 - F.col("n") / max(n, 1)) + 1e-9
+    found = (base.select("text", "good").mapInArrow(count, "h long, good int").groupBy("h").agg(F.count("*").alias("n"), F.sum("good").alias("in_good"))
+             .filter(F.col("n") >= LEAST_DOCUMENTS).select("h", ((F.col("in_good") - expected) ** 2 / spread).alias("value"))
+             .filter(F.col("value") > LEAST_CHI_SQUARED).orderBy(F.desc("value"), "h").limit(TELLING_WORDS))
+    return np.sort(np.array([r.h for r in found.collect()], np.int64).view(np.uint64))
 
 
 Rows = tuple[np.ndarray, np.ndarray]  # of the content and the metadata view
@@ -190,60 +216,73 @@ class LocalPool:
         return [m(x[y >= 0], y[y >= 0]) for m, x, y in zip(measures, self.rows, taught(self.rows, history))]
 
 
+def measured(source: DataFrame, words: np.ndarray, keys: list[str]) -> DataFrame:
+    """The keys and ``features``: both views of a document's whole text and metadata in some 150 bytes."""
+    model = Model(words, (None, None), 0.0)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, POOL_ROWS):
+                some = batch.slice(first, POOL_ROWS)
+                text = np.stack([model.content_row(*t) for t in content(some.column(0))])
+                page = metadata(some.column(1), some.column(2), some.column(3))
+                packed = np.hstack([
+                    np.ascontiguousarray(text[:, :N_RATIOS]).view(np.uint8), np.packbits(text[:, N_RATIOS:] > 0, axis=1),
+                    page[:, :_SOURCES].argmax(axis=1)[:, None].astype(np.uint8), page[:, _SOURCES:-2].argmax(axis=1)[:, None].astype(np.uint8),
+                    np.ascontiguousarray(page[:, -2:]).view(np.uint8)])
+                yield pa.RecordBatch.from_arrays([*some.columns[4:], pa.array([r.tobytes() for r in packed], pa.binary())], names=[*keys, "features"])
+
+    kinds = "".join(f"{k} {source.schema[k].dataType.simpleString()}, " for k in keys)
+    return source.select("text", "source", "lang", F.col("n_chars").cast("double").alias("n_chars"), *keys).mapInArrow(measure, f"{kinds}features binary")
+
+
+def unpacked(features: pa.Array, n_words: int) -> Rows:
+    data = np.frombuffer(b"".join(features.to_pylist()), np.uint8).reshape(len(features), -1)
+    bits = N_RATIOS * 8 + -(-n_words // 8)
+    text = np.hstack([np.ascontiguousarray(data[:, :N_RATIOS * 8]).view(np.float64),
+                      np.unpackbits(data[:, N_RATIOS * 8:bits], axis=1, count=n_words)])
+    page = np.zeros((len(data), _SOURCES + _LANGUAGES + 2))
+    page[np.arange(len(data)), data[:, bits]] = 1
+    page[np.arange(len(data)), _SOURCES + data[:, bits + 1].astype(np.int64)] = 1
+    page[:, -2:] = np.ascontiguousarray(data[:, bits + 2:]).view(np.float64)
+    return text, page
+
+
 class SparkPool:
     """The same over all rows of ``docs`` without a label: their features are staged, only sums come to the driver."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, words: np.ndarray):
         self.n_words = len(words)
-        model = Model(words, (None, None), 0.0)
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for first in range(0, batch.num_rows, POOL_ROWS):
-                    some = batch.slice(first, POOL_ROWS)
-                    text = np.stack([model.content_row(*t) for t in content(some.column(1))])
-                    page = metadata(some.column(2), some.column(3), some.column(4))
-                    packed = np.hstack([
-                        np.ascontiguousarray(text[:, :N_RATIOS]).view(np.uint8), np.packbits(text[:, N_RATIOS:] > 0, axis=1),
-                        page[:, :_SOURCES].argmax(axis=1)[:, None].astype(np.uint8), page[:, _SOURCES:-2].argmax(axis=1)[:, None].astype(np.uint8),
-                        np.ascontiguousarray(page[:, -2:]).view(np.uint8)])
-                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], names=["doc_id", "features"])
-
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        source = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
         known = labels.filter(USABLE).select("doc_id").distinct()
-        self.table = staged(source.mapInArrow(measure, f"doc_id {kind}, features binary").join(known, "doc_id", "left_anti").select("features"), "unlabelled")
+        self.table = staged(measured(docs, words, ["doc_id"]).join(known, "doc_id", "left_anti").select("features"), "unlabelled")
+        self.tasks = self.table.rdd.getNumPartitions()
 
     def rows(self, features: pa.Array) -> Rows:
-        data = np.frombuffer(b"".join(features.to_pylist()), np.uint8).reshape(len(features), -1)
-        bits = N_RATIOS * 8 + -(-self.n_words // 8)
-        text = np.hstack([np.ascontiguousarray(data[:, :N_RATIOS * 8]).view(np.float64),
-                          np.unpackbits(data[:, N_RATIOS * 8:bits], axis=1, count=self.n_words)])
-        page = np.zeros((len(data), _SOURCES + _LANGUAGES + 2))
-        page[np.arange(len(data)), data[:, bits]] = 1
-        page[np.arange(len(data)), _SOURCES + data[:, bits + 1].astype(np.int64)] = 1
-        page[:, -2:] = np.ascontiguousarray(data[:, bits + 2:]).view(np.float64)
-        return text, page
+        return unpacked(features, self.n_words)
 
     def totals(self, history: list[tuple[View, View]], measures: list) -> list[np.ndarray]:
-        n_words, unpack = self.n_words, SparkPool.rows
+        n_words = self.n_words
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, total = SparkPool.__new__(SparkPool), None
-            own.n_words = n_words
+            total = None
             for batch in batches:
                 for first in range(0, batch.num_rows, POOL_ROWS):
-                    found = np.concatenate(LocalPool(unpack(own, batch.column(0).slice(first, POOL_ROWS))).totals(history, measures))
+                    found = np.concatenate(LocalPool(unpacked(batch.column(0).slice(first, POOL_ROWS), n_words)).totals(history, measures))
                     total = found if total is None else total + found
             if total is not None:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in np.array_split(total, PIECES)], pa.binary())], names=["piece", "total"])
+                    [pa.array(range(PIECES), pa.int32()), pa.array([TaskContext.get().partitionId() // TASKS_TO_SUM] * PIECES, pa.int32()),
+                     pa.array([x.tobytes() for x in np.array_split(total, PIECES)], pa.binary())], names=["piece", "tasks", "total"])
 
         def merged(table: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(x, np.float64) for x in table["total"].to_pylist())
-            return pa.table({"piece": table["piece"].slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
+            return pa.table({"piece": table["piece"].slice(0, 1), "tasks": table["tasks"].slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
 
-        found = self.table.mapInArrow(add, "piece int, total binary").groupBy("piece").applyInArrow(merged, "piece int, total binary").toArrow()
+        kind = "piece int, tasks int, total binary"
+        sums = self.table.mapInArrow(add, kind)
+        if self.tasks > TASKS_TO_SUM:  # no group sees more than so many rows, then one for each of their groups
+            sums = sums.groupBy("piece", "tasks").applyInArrow(merged, kind)
+        found = sums.groupBy("piece").applyInArrow(merged, kind).toArrow()
         nothing = (np.empty((0, N_RATIOS + n_words)), np.empty((0, _SOURCES + _LANGUAGES + 2)))
         empty = [m(x, np.empty(0)) for m, x in zip(measures, nothing)]
         if not len(found):
@@ -281,20 +320,28 @@ def refit(views: tuple[View, View], base: list[tuple[np.ndarray, np.ndarray]], p
     return now[0], now[1]
 
 
-def train(text: list[tuple[np.ndarray, np.ndarray]], pages: np.ndarray, label: np.ndarray, rounds: int = ROUNDS,
-          make_pool: Callable[[np.ndarray], SparkPool] | None = None) -> Model | None:
-    """label: 1 good, 0 bad, -1 unlabelled. Every fourth labelled document is kept aside to calibrate.
+def kept_aside(label: np.ndarray) -> np.ndarray:
+    """Places of every fourth document of each label, in the order of a mixed hash of their place."""
+    mixed = th.mix(np.arange(len(label), dtype=np.uint64) + np.uint64(SEED))
+    return np.sort(np.concatenate([own[np.argsort(mixed[own])][ASIDE - 1::ASIDE] for own in (np.flatnonzero(label == v) for v in (0, 1))]))
 
-    The unlabelled documents are those given here, or the pool that ``make_pool`` makes from the telling words.
-    """
-    labelled = np.flatnonzero(label >= 0)
-    aside, base, free = labelled[3::4], np.delete(labelled, slice(3, None, 4)), np.flatnonzero(label < 0)
-    if len({*label[base]}) < 2 or len({*label[aside]}) < 2:
+
+def train(text: list[tuple[np.ndarray, np.ndarray]], pages: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> Model | None:
+    """On documents at hand; label: 1 good, 0 bad, -1 unlabelled. Every fourth of each label is kept aside to calibrate."""
+    aside, labelled, free = kept_aside(label), np.flatnonzero(label >= 0), np.flatnonzero(label < 0)
+    base = np.setdiff1d(labelled, aside)
+    if len({*label[base]}) < 2:
         return None
-    model = Model(telling_words([text[i][1] for i in base], label[base].astype(float)), (None, None), 0.0)
-    rows = (np.stack([model.content_row(*t) for t in text]), pages)
-    pool = make_pool(model.words) if make_pool else LocalPool((rows[0][free], rows[1][free]))
-    own = [(x[base], label[base].astype(float)) for x in rows]
+    words = telling_words([text[i][1] for i in base], label[base].astype(float))
+    own = Model(words, (None, None), 0.0)
+    rows = (np.stack([own.content_row(*t) for t in text]), pages)
+    return co_train(words, [x[base] for x in rows], label[base], [x[aside] for x in rows], label[aside], LocalPool((rows[0][free], rows[1][free])), rounds)
+
+
+def co_train(words: np.ndarray, rows: list[np.ndarray], label: np.ndarray, aside: list[np.ndarray], truth: np.ndarray, pool, rounds: int = ROUNDS) -> Model:
+    """Rows of both views to learn from and to calibrate on, and a pool of unlabelled documents."""
+    model = Model(words, (None, None), 0.0)
+    own = [(x, label.astype(float)) for x in rows]
     views = tuple(fit(x, y, p) for (x, y), p in zip(own, PENALTIES))
     history: list[tuple[View, View]] = []
     before = [0, 0]
@@ -306,41 +353,42 @@ def train(text: list[tuple[np.ndarray, np.ndarray]], pages: np.ndarray, label: n
         if given == before:
             break
         views, before = refit(views, own, pool, history, moments), given
-    truth = label[aside].astype(float)
-    for view, x in zip(views, rows):
-        calibrate(view, x[aside], truth)
-    model.views, model.prior = (views[0], views[1]), float(np.log((truth.sum() + 1) / (len(truth) - truth.sum() + 1)))
+    model.views, model.calibrated = (views[0], views[1]), len({*truth}) == 2
+    shown = truth if model.calibrated else label
+    model.prior = float(np.log((shown.sum() + 1) / (len(shown) - shown.sum() + 1)))
+    if model.calibrated:
+        for view, x in zip(views, aside):
+            calibrate(view, x, truth.astype(float))
+    else:
+        warnings.warn("too few documents of one label to keep some aside: the views are not calibrated", stacklevel=2)
     return model
 
 
-def sampled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED):
-    """Features and labels of the bounded labelled sample."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, good, aside, text, source, lang, n_chars) of at most ``max_labelled`` rows, staged: one for each (doc_id, label)."""
     wanted = (labels.filter(USABLE)
-              .select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
+              .select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good")).distinct()
               .orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(max_labelled))
-    rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(wanted), "doc_id")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pages = metadata(batch.column(2), batch.column(3), batch.column(4))
-            ratios, words = zip(*((r, w[np.argsort(th.mix(w))][:MAX_FEATURES]) for r, w in content(batch.column(1)))) if len(batch) else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(5), pa.array([r.tobytes() for r in ratios], pa.binary()),
-                 pa.array([w.tobytes() for w in words], pa.binary()), pa.array([p.tobytes() for p in pages], pa.binary())],
-                names=["doc_id", "good", "ratios", "words", "pages"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    found = (rows.select("doc_id", "text", "source", "lang", "n_chars", "good")
-             .mapInArrow(measure, f"doc_id {kind}, good int, ratios binary, words binary, pages binary").toArrow())
-    found = found.sort_by([("doc_id", "ascending"), ("good", "ascending"), ("words", "ascending")])  # the order of arrival doesn't matter
-    text = [(np.frombuffer(r, np.float64), np.frombuffer(w, np.uint64))
-            for r, w in zip(found["ratios"].to_pylist(), found["words"].to_pylist())]
-    pages = np.array([np.frombuffer(p, np.float64) for p in found["pages"].to_pylist()])
-    return text, pages, np.array(found["good"].to_pylist(), np.int64)
+    turn = Window.partitionBy("good").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id")  # over a bounded number of rows
+    wanted = staged(wanted.withColumn("aside", F.row_number().over(turn) % ASIDE == 0), "wanted")
+    row = F.struct("text", "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
+    print_of = F.xxhash64("text", "source", "lang", "n_chars")
+    least = docs.select("doc_id", print_of.alias("fingerprint")).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("fingerprint").alias("fingerprint"))
+    one = docs.select("doc_id", print_of.alias("fingerprint"), row.alias("row")).join(staged(least, "chosen"), ["doc_id", "fingerprint"])
+    once = one.groupBy("doc_id").agg(F.first("row").alias("row"))
+    return staged(once.join(wanted, "doc_id").select("doc_id", "good", "aside", "row.*"), "labelled")
 
 
 def learnt_quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model | None:
-    return train(*sampled(docs, labels, **bounds), make_pool=lambda words: SparkPool(docs, labels, words))
+    sample = labelled_sample(docs, labels, **bounds)
+    if sample.filter("not aside").select("good").distinct().count() < 2:
+        warnings.warn("labels of one kind only: no classifier, every document is kept", stacklevel=2)
+        return None
+    words = telling_words_of(sample)
+    found = measured(sample, words, ["doc_id", "good", "aside"]).toArrow().sort_by([("doc_id", "ascending"), ("good", "ascending")])
+    rows, label = unpacked(found["features"].combine_chunks(), len(words)), found["good"].to_numpy()
+    aside = found["aside"].to_numpy()
+    return co_train(words, [x[~aside] for x in rows], label[~aside], [x[aside] for x in rows], label[aside], SparkPool(docs, labels, words))
 
 
 def classified(docs: DataFrame, model: Model | None, carry: list[str] | None = None, keep_from: float = KEEP_FROM) -> DataFrame:

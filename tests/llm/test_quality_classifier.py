@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from plantpulse.llm.quality_classifier import calibrate, fit, learnt_quality, quality_classifier, telling_words, train
+from plantpulse.llm.quality_classifier import (calibrate, classified, content, fit, labelled_sample, learnt_quality, quality_classifier,
+                                               telling_words, telling_words_of, train)
 from tests.llm.conftest import awkward_texts
 
 SF = "/root/testdata/sf0.01"
@@ -34,8 +37,6 @@ def test_without_both_kinds_of_labels(spark, awkward, empty):
 
 def test_awkward_documents_are_scored(spark, awkward):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
-    from plantpulse.llm.quality_classifier import classified
-
     out = classified(awkward, learnt_quality(docs, labels))
     assert out.schema["row"].dataType.names == awkward.columns
     assert all(0 <= r.score <= 1 for r in out.collect())
@@ -95,3 +96,64 @@ def test_pool_sums_are_those_of_its_rows(spark):
     for measures in ([_moments, _moments], [_slopes(v) for v in model.views]):
         for a, b in zip(pool.totals([model.views], measures), near.totals([model.views], measures)):
             assert np.allclose(a, b)
+
+
+def _plain(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _two_kinds(i: int, good: bool) -> tuple:
+    return i, ("good calm text " if good else "$$$ ### loud ") * 20 + f"own{i}", "en", "s", 300
+
+
+def test_labels_in_blocks_and_alternating(spark):
+    for good in (lambda i: i % 2, lambda i: i % 4 == 3, lambda i: i < 80, lambda i: i >= 120):
+        docs = _plain(spark, [_two_kinds(i, good(i)) for i in range(160)])
+        labels = spark.createDataFrame([(i, int(good(i)), 0) for i in range(160)], LABELS)
+        out = quality_classifier(docs, labels, ["doc_id"]).select("row.doc_id", "score", "kept").collect()
+        assert len(out) == 160 and all(r.kept == bool(good(r.doc_id)) for r in out)
+
+
+def test_too_few_to_keep_aside(spark):
+    docs = _plain(spark, [_two_kinds(i, i > 2) for i in range(60)])
+    labels = spark.createDataFrame([(i, int(i > 2), 0) for i in range(60)], LABELS)
+    with pytest.warns(UserWarning, match="not calibrated"):
+        model = learnt_quality(docs, labels)
+    assert not model.calibrated and all(0 <= r.score <= 1 for r in classified(docs, model).collect())
+
+
+def test_whole_of_a_long_labelled_text(spark):
+    """The one telling word of a text of 100,000 different words counts wherever its hash stands."""
+    filler = " ".join(f"w{i}" for i in range(100_000))
+    docs = _plain(spark, [(i, (filler + " telling" if i < 6 else "telling short") if i % 2 else "other short", "en", "s", 9) for i in range(24)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(24)], LABELS)
+    sample = labelled_sample(docs, labels)
+    seen = {"aside": sample.filter("aside").count(), "all": sample.count()}
+    assert seen == {"aside": 6, "all": 24}
+    word = next(content(pa.array(["telling"])))[1][0]
+    assert word in telling_words_of(sample)
+    assert learnt_quality(docs, labels) is not None
+
+
+def test_a_repeated_document_is_one_row_of_the_sample(spark):
+    rows = [_two_kinds(i, i % 2) for i in range(40)] + [_two_kinds(1, True)] * 10_000
+    docs = _plain(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 2 + [(1, 0, 0)], LABELS)
+    sample = labelled_sample(docs, labels)
+    assert sample.count() == 41 and sample.filter("doc_id = 1").count() == 2  # once with each of its labels
+    assert labelled_sample(docs, labels, max_labelled=10).count() == 10
+    assert quality_classifier(docs, labels, ["doc_id"]).count() == 10_040
+
+
+def test_sums_in_two_levels(spark, monkeypatch):
+    from plantpulse.llm import quality_classifier as module
+    from plantpulse.llm.quality_classifier import SparkPool, _moments
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = learnt_quality(docs, labels)
+    pool = SparkPool(docs, labels, model.words)
+    pool.table = pool.table.repartition(7)
+    one = pool.totals([model.views], [_moments, _moments])
+    monkeypatch.setattr(module, "TASKS_TO_SUM", 2)
+    pool.tasks = 7
+    assert all(np.allclose(a, b) for a, b in zip(one, pool.totals([model.views], [_moments, _moments])))
