@@ -156,3 +156,51 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(length('<|turn|>') + length(role) + 1 + length(body) + length('</s>'))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+SQL["op12_merkle_manifest"] = r"""
+WITH RECURSIVE rows_ AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+leaves AS MATERIALIZED (
+  SELECT doc_id, g, leaf, shown, tampered, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+  FROM (SELECT doc_id, g, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+               sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) AS shown,
+               xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                 lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 7 = 0 AS tampered
+        FROM rows_)),
+tree AS (
+  SELECT g, 0 AS level, idx, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM leaves
+  UNION ALL
+  SELECT * FROM (
+    SELECT g, level + 1 AS level, idx // 2 AS idx, sha256(string_agg(h, '' ORDER BY idx)) AS h, (any_value(n) + 1) // 2 AS n
+    FROM tree WHERE n > 1 GROUP BY g, level, idx // 2)),
+nodes AS MATERIALIZED (SELECT * FROM tree),
+subroots AS MATERIALIZED (SELECT g, h AS subroot, level AS height, row_number() OVER (ORDER BY g) - 1 AS idx FROM nodes WHERE n = 1),
+over_ AS (
+  SELECT 0 AS level, idx, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT * FROM (
+    SELECT level + 1 AS level, idx // 2 AS idx, sha256(string_agg(h, '' ORDER BY idx)) AS h, (any_value(n) + 1) // 2 AS n
+    FROM over_ WHERE n > 1 GROUP BY level, idx // 2)),
+top AS MATERIALIZED (SELECT * FROM over_),
+steps AS MATERIALIZED (
+  SELECT l.g, l.idx AS leaf_idx, x.level, l.idx // (1 << x.level) % 2 AS is_right, coalesce(s.h, '') AS h
+  FROM leaves l JOIN (SELECT DISTINCT g, level FROM nodes WHERE n > 1) x USING (g)
+  LEFT JOIN nodes s ON s.g = l.g AND s.level = x.level AND s.idx = xor(l.idx // (1 << x.level), 1)
+  UNION ALL
+  SELECT l.g, l.idx, r.height + x.level, r.idx // (1 << x.level) % 2, coalesce(s.h, '')
+  FROM leaves l JOIN subroots r USING (g) CROSS JOIN (SELECT DISTINCT level FROM top WHERE n > 1) x
+  LEFT JOIN top s ON s.level = x.level AND s.idx = xor(r.idx // (1 << x.level), 1)),
+folded AS (
+  SELECT g, idx, 0 AS level, CASE WHEN tampered THEN shown ELSE leaf END AS h FROM leaves
+  UNION ALL
+  SELECT f.g, f.idx, f.level + 1, sha256(CASE WHEN s.is_right = 1 THEN s.h || f.h ELSE f.h || s.h END)
+  FROM folded f JOIN steps s ON s.g = f.g AND s.leaf_idx = f.idx AND s.level = f.level),
+ends AS (SELECT g, idx, arg_max(h, level) AS folded_root FROM folded GROUP BY ALL),
+proofs AS (SELECT g, leaf_idx AS idx, sha256(string_agg(h, '' ORDER BY level)) AS proof FROM steps GROUP BY ALL)
+SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root,
+       folded_root = (SELECT h FROM top WHERE n = 1) AS verified
+FROM leaves JOIN subroots USING (g) JOIN ends ON ends.g = leaves.g AND ends.idx = leaves.idx
+LEFT JOIN proofs ON proofs.g = leaves.g AND proofs.idx = leaves.idx"""

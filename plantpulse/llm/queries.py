@@ -14,6 +14,7 @@ from plantpulse.llm.decontamination import decontaminate, n_hit
 from plantpulse.llm.jaccard_join import near_duplicates
 from plantpulse.llm.language_id import identify, learnt
 from plantpulse.llm.lm_scoring import lm_scores
+from plantpulse.llm.merkle_manifest import COLUMNS, digest_of, fold, merkle_manifest, siblings_digest
 from plantpulse.llm.oracle import SQL
 from plantpulse.llm.quality_classifier import quality_classifier
 from plantpulse.llm.quality_rules import quality_rules
@@ -104,13 +105,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("by_section", lambda x: x.cast("long").cast("string")), " "), 256).alias("sections_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row proven against the root; every seventh after its n_chars was altered."""
+    docs = _table(spark, sf_dir, "documents")
+    altered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    shown = F.when(altered, digest_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in COLUMNS]))
+    found = merkle_manifest(docs.withColumn("shown", shown), carry=["doc_id", "shown"])
+    return found.select("row.doc_id", "leaf", "subroot", "root", siblings_digest(F.col("path")).alias("proof_sha256"),
+                        fold(F.coalesce("row.shown", "leaf"), F.col("path")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir).withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)).drop("ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_bpe, op3_chat_format, op4_quality_rules, op5_decontamination, op6_quality_classifier, op7_jaccard_join,
-                                   op8_lm_scoring, op8_lm_scoring_trigrams, op9_language_id, op10_token_counts)}
+                                   op8_lm_scoring, op8_lm_scoring_trigrams, op9_language_id, op10_token_counts, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
