@@ -23,7 +23,7 @@ repeated rows are scored one by one; an empty table gives no rows; the input's c
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -262,33 +262,35 @@ class SparkPool:
 
     def totals(self, history: list[tuple[View, View]], measures: list) -> list[np.ndarray]:
         n_words = self.n_words
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                for first in range(0, batch.num_rows, POOL_ROWS):
-                    found = np.concatenate(LocalPool(unpacked(batch.column(0).slice(first, POOL_ROWS), n_words)).totals(history, measures))
-                    total = found if total is None else total + found
-            if total is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(PIECES), pa.int32()), pa.array([TaskContext.get().partitionId() // TASKS_TO_SUM] * PIECES, pa.int32()),
-                     pa.array([x.tobytes() for x in np.array_split(total, PIECES)], pa.binary())], names=["piece", "tasks", "total"])
-
-        def merged(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.float64) for x in table["total"].to_pylist())
-            return pa.table({"piece": table["piece"].slice(0, 1), "tasks": table["tasks"].slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
-
-        kind = "piece int, tasks int, total binary"
-        sums = self.table.mapInArrow(add, kind)
-        if self.tasks > TASKS_TO_SUM:  # no group sees more than so many rows, then one for each of their groups
-            sums = sums.groupBy("piece", "tasks").applyInArrow(merged, kind)
-        found = sums.groupBy("piece").applyInArrow(merged, kind).toArrow()
         nothing = (np.empty((0, N_RATIOS + n_words)), np.empty((0, _SOURCES + _LANGUAGES + 2)))
         empty = [m(x, np.empty(0)) for m, x in zip(measures, nothing)]
-        if not len(found):
-            return empty
-        whole = np.concatenate([np.frombuffer(x, np.float64) for x in found.sort_by("piece")["total"].to_pylist()])
-        return np.split(whole, [len(empty[0])])
+        whole = summed(self.table, lambda some: np.concatenate(LocalPool(unpacked(some.column(0), n_words)).totals(history, measures)), self.tasks)
+        return empty if whole is None else np.split(whole, [len(empty[0])])
+
+
+def summed(table: DataFrame, measure: Callable[[pa.RecordBatch], np.ndarray], tasks: int) -> np.ndarray | None:
+    """The sum of what ``measure`` makes of a table's batches, vectors of one size; None without rows."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for first in range(0, batch.num_rows, POOL_ROWS):
+                found = measure(batch.slice(first, POOL_ROWS))
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(PIECES), pa.int32()), pa.array([TaskContext.get().partitionId() // TASKS_TO_SUM] * PIECES, pa.int32()),
+                 pa.array([x.tobytes() for x in np.array_split(total, PIECES)], pa.binary())], names=["piece", "tasks", "total"])
+
+    def merged(some: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float64) for x in some["total"].to_pylist())
+        return pa.table({"piece": some["piece"].slice(0, 1), "tasks": some["tasks"].slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "piece int, tasks int, total binary"
+    sums = table.mapInArrow(add, kind)
+    if tasks > TASKS_TO_SUM:  # no group sees more than so many rows, then one for each of their groups
+        sums = sums.groupBy("piece", "tasks").applyInArrow(merged, kind)
+    found = sums.groupBy("piece").applyInArrow(merged, kind).toArrow()
+    return np.concatenate([np.frombuffer(x, np.float64) for x in found.sort_by("piece")["total"].to_pylist()]) if len(found) else None
 
 
 def refit(views: tuple[View, View], base: list[tuple[np.ndarray, np.ndarray]], pool, history: list[tuple[View, View]], moments: list[np.ndarray],

@@ -20,6 +20,7 @@ from plantpulse.llm.quality_classifier import quality_classifier
 from plantpulse.llm.quality_rules import quality_rules
 from plantpulse.llm.substring_dedup import removals, text_key
 from plantpulse.llm.token_counts import token_counts
+from plantpulse.llm.toxicity import learnt_toxicity, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,13 +117,21 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn(
+        "held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0)
+    model = learnt_toxicity(docs.filter(~F.col("held_out")), _table(spark, sf_dir, "labels"))
+    found = toxicity(docs, model, ["doc_id", "held_out"])
+    return found.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir).withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)).drop("ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_bpe, op3_chat_format, op4_quality_rules, op5_decontamination, op6_quality_classifier, op7_jaccard_join,
-                                   op8_lm_scoring, op8_lm_scoring_trigrams, op9_language_id, op10_token_counts, op12_merkle_manifest)}
+                                   op8_lm_scoring, op8_lm_scoring_trigrams, op9_language_id, op10_token_counts, op12_merkle_manifest, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

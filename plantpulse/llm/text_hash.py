@@ -77,6 +77,8 @@ class Words:
     first: int
     counts: np.ndarray  # words of each text
     hashes: np.ndarray  # one per word
+    start: np.ndarray | None = None  # first byte of each word
+    length: np.ndarray | None = None  # bytes of each word
 
     @property
     def n_docs(self) -> int:
@@ -106,12 +108,12 @@ def words_of(data: np.ndarray, cuts: np.ndarray, kind: Alphabet, first: int = 0)
     length = np.flatnonzero(closes) + 1 - start
     counts = np.diff(np.searchsorted(start, cuts))
     if not len(start):
-        return Words(first, counts, np.empty(0, np.uint64))
+        return Words(first, counts, np.empty(0, np.uint64), start, length)
     offset = np.cumsum(length) - length
     place = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(offset, length)
     terms = kind.value[data[inside]]
     terms *= _powers_to(int(length.max()))[place]
-    return Words(first, counts, mix(np.add.reduceat(terms, offset) + length.astype(np.uint64)))
+    return Words(first, counts, mix(np.add.reduceat(terms, offset) + length.astype(np.uint64)), start, length)
 
 
 def slices(texts: pa.Array, kind: Alphabet, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
