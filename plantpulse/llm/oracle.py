@@ -204,3 +204,27 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(
        folded_root = (SELECT h FROM top WHERE n = 1) AS verified
 FROM leaves JOIN subroots USING (g) JOIN ends ON ends.g = leaves.g AND ends.idx = leaves.idx
 LEFT JOIN proofs ON proofs.g = leaves.g AND proofs.idx = leaves.idx"""
+
+SQL["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+f AS MATERIALIZED (
+  SELECT lang, p, count(*) AS f FROM (
+    SELECT lang, w[i:i + m - 1] AS p
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 5) t(m) WHERE len(w) >= m))
+  GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, p, f AS a, len(p) AS m FROM f WHERE len(p) > 1),
+cuts AS (
+  SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r, (2000000 * c.a::HUGEINT) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, p[i:i + s - 1] AS p, max(a) AS longer
+  FROM (SELECT lang, p, a, s, unnest(range(1, m - s + 2)) AS i FROM c, range(2, 4) t(s) WHERE s < m) GROUP BY ALL),
+kept AS (SELECT low.*, array_to_string(p, ' ') AS phrase FROM low LEFT JOIN inside USING (lang, p) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""

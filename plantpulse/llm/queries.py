@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from plantpulse.llm.bpe import bpe_round_trip
 from plantpulse.llm.chat_format import chains, formatted, read_back
+from plantpulse.llm.collocations import collocations
 from plantpulse.llm.decontamination import decontaminate, n_hit
 from plantpulse.llm.jaccard_join import near_duplicates
 from plantpulse.llm.language_id import identify, learnt
@@ -106,6 +107,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("by_section", lambda x: x.cast("long").cast("string")), " "), 256).alias("sections_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row proven against the root; every seventh after its n_chars was altered."""
     docs = _table(spark, sf_dir, "documents")
@@ -131,7 +136,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_bpe, op3_chat_format, op4_quality_rules, op5_decontamination, op6_quality_classifier, op7_jaccard_join,
-                                   op8_lm_scoring, op8_lm_scoring_trigrams, op9_language_id, op10_token_counts, op12_merkle_manifest, op13_toxicity)}
+                                   op8_lm_scoring, op8_lm_scoring_trigrams, op9_language_id, op10_token_counts, op11_collocations, op12_merkle_manifest, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

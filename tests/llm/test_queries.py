@@ -22,8 +22,8 @@ def con():
 
 
 def test_one_query_for_each_operator():
-    assert {q.split("_")[0] for q in QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
-    assert set(SQLS) == {q for q in QUERIES if q.split("_")[0] in {"op1", "op3", "op4", "op5", "op7", "op8"}}
+    assert {q.split("_")[0] for q in QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 14))}
+    assert set(SQLS) == {q for q in QUERIES if q.split("_")[0] in {"op1", "op3", "op4", "op5", "op7", "op8", "op11", "op12"}}
     assert corpus_pipeline.ORACLE_SQL is None
 
 
