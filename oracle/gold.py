@@ -58,6 +58,9 @@ SQL: dict[str, str] = {
     "feature_days_since": f"{_OBS} {_SINCE}",
     "label_next_7d": f"{_OBS} {_LABEL}",
     "feature_store": f"{_STORE} SELECT * FROM store",
+    "feature_store_loaded": f"{_STORE} SELECT * FROM store",
+    "latest_health_merged": """SELECT asset_id, hour_timestamp, CAST(latest_health_score AS DOUBLE) AS latest_health_score,
+      CAST(avg_failure_probability AS DOUBLE) AS avg_failure_probability, min_rul_days FROM latest""",
     "bronze_parse": f"""SELECT event_id, ts AS source_timestamp, 'eq_' || user_id AS device_id, event_type AS metric, value,
       'x' AS unit FROM events WHERE {_REASON} IS NULL""",
     "bronze_rejects": f"SELECT event_id, {_REASON} AS reject_reason FROM events WHERE {_REASON} IS NOT NULL",
@@ -117,6 +120,7 @@ _KEYS = {
     "dim_material": "SELECT material_id AS k FROM material", "fct_asset_telemetry": "SELECT telemetry_id AS k FROM telemetry",
     "fct_maintenance_log": "SELECT log_id AS k FROM maintenance", "fct_maintenance_parts_used": "SELECT (log_id, material_id) AS k FROM parts",
     "agg_asset_hourly_health": "SELECT (asset_id, hour_timestamp) AS k FROM hourly",
+    "agg_asset_latest_health": "SELECT asset_id AS k FROM latest",
     "ml_feature_store": "SELECT DISTINCT (asset_id, d) AS k FROM telemetry",
     "conversation_history": "SELECT (conv_id, turn) AS k FROM conversations"}
 _PLANTS = "SELECT DISTINCT plant_id, year(completed_date), quarter(completed_date), wo_type_id <= 2 FROM maintenance JOIN placed USING (asset_id)"

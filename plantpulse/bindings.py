@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plantpulse.plans.gold import feature_store, hourly_health
 from plantpulse.schemas import TABLES
 from plantpulse.sources.dimensions import calendar_labels, failure_codes, literal_table, work_order_types
-from plantpulse.warehouse import TIME_COLUMNS, Warehouse
+from plantpulse.warehouse import TIME_COLUMNS, Warehouse, latest_hours
 
 # The days the sample data ends, which play "today".
 TELEMETRY_NOW = "2024-01-30 23:59:59"
@@ -305,6 +305,7 @@ def bind_sample(spark: SparkSession, sf_dir: str) -> Warehouse:
         "fct_maintenance_parts_used": of("lineitem", parts_used),
         "fct_budget": budget,
         "agg_asset_hourly_health": lambda wh: hourly_health(wh["fct_asset_telemetry"]),
+        "agg_asset_latest_health": latest_hours,
         "ml_feature_store": feature_store,
         "conversation_history": of("conversations", messages),
         "documents": of("documents", lambda df: df),

@@ -7,6 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantpulse.functions.dates import wall_micros
+
+_INTEGERS = ("byte", "short", "integer", "long")
+
+
+def order_key(time: Column, number: Column) -> Column:
+    """A time and an integer that breaks its ties, as one decimal(38,0); null where the time is.
+
+    Microseconds and all 64 bits of the integer fit. Unlike a struct, a hash aggregate can hold it.
+    """
+    micros = wall_micros(time).cast("decimal(18,0)") * F.lit(str(2 * 10 ** 19)).cast("decimal(20,0)")
+    return (micros + (number.cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)"))).cast("decimal(38,0)")
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str],
                    tie_break: Sequence[str] = ()) -> DataFrame:
@@ -14,9 +27,14 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, columns: Sequ
 
     An aggregate, not a window: each task keeps one row per key before the shuffle, so a
     key holding a third of the table still sends one row per task. With ``order`` unique
-    per key every column has its own primitive ``max_by`` (hash aggregate); a tie-break
-    packs the row into a struct, ordered by (order, tie-break).
+    per key every column has its own primitive ``max_by`` (hash aggregate). A time with one
+    integer as tie-break becomes one decimal and stays in a hash aggregate too; any other
+    tie-break packs the row into a struct, ordered by (order, tie-break).
     """
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    if len(tie_break) == 1 and kinds[order] == "timestamp_ntz" and kinds[tie_break[0]] in _INTEGERS:
+        keyed = df.select(*keys, order, *columns, order_key(F.col(order), F.col(tie_break[0])).alias("__key"))
+        return keyed.groupBy(*keys).agg(F.max(order).alias(order), *[F.max_by(c, "__key").alias(c) for c in columns])
     if not tie_break:
         return df.groupBy(*keys).agg(F.max(order).alias(order),
                                      *[F.max_by(c, order).alias(c) for c in columns])

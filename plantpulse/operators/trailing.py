@@ -75,10 +75,15 @@ def pressure_trend(days: int) -> Feature:
                    half_up(ratio_or_null(F.col(hi) - F.col(lo), F.col(n)), 2))
 
 
-def days_since(event: str) -> Feature:
-    """Days since the last event strictly before the day, or the "never" value."""
+def days_since(event: str, prior: str | None = None) -> Feature:
+    """Days since the last event strictly before the day, or the "never" value.
+
+    ``prior`` names a column with the asset's last event day before the axis starts.
+    """
     last = f"__last_{event}"
     seen = F.max(F.when(F.col(event), F.col("day_no"))).over(_days(Window.unboundedPreceding, -1))
+    if prior:
+        seen = F.greatest(seen, day_number(F.col(prior)))
     return Feature({last: F.col("day_no") - seen}, F.coalesce(F.col(last), F.lit(NEVER_DAYS)))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from plantpulse.functions.dates import as_ntz, hour_start
 from plantpulse.functions.numeric import half_up
 from plantpulse.functions.text import hourly_cost_text, path_level, percent_text
 from plantpulse.operators.joins import at_time, place_assets
-from plantpulse.operators.latest import latest_per_key
+from plantpulse.operators.latest import latest_per_key, order_key
 from plantpulse.operators.ordered import lead_in_pieces, sessions
 from plantpulse.operators.shape import gather_chunks, unpivot_metrics
 from plantpulse.warehouse import Warehouse
@@ -59,9 +60,16 @@ def latest_telemetry(wh: Warehouse, asset_ids: list[int] | None = None) -> DataF
     rows = wh["fct_asset_telemetry"]
     if asset_ids is not None:
         rows = rows.filter(F.col("asset_id").isin(asset_ids))
-    stamp = {c: F.when(F.col(c).isNotNull(), F.struct("recorded_at", "telemetry_id")) for c in METRICS}
-    return rows.groupBy("asset_id").agg(
-        *[F.max_by(F.col(c), at).cast("double").alias(c) for c, at in stamp.items()])
+    return _keyed(rows, METRICS).groupBy("asset_id").agg(*_latest_metrics())
+
+
+def _keyed(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return rows.select("asset_id", *columns, order_key(F.col("recorded_at"), F.col("telemetry_id")).alias("__key"))
+
+
+def _latest_metrics() -> list[Column]:
+    """Last known value of each metric, in the order of time and id."""
+    return [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__key"))).cast("double").alias(c) for c in METRICS]
 
 
 def latest_prediction(wh: Warehouse, asset_ids: list[int] | None = None) -> DataFrame:
@@ -75,13 +83,9 @@ def latest_prediction(wh: Warehouse, asset_ids: list[int] | None = None) -> Data
 
 def latest_state(wh: Warehouse) -> DataFrame:
     """Last value of every metric and last prediction per asset, in one pass over the readings."""
-    stamp = {c: F.when(F.col(c).isNotNull(), F.struct("recorded_at", "telemetry_id")) for c in METRICS}
-    packed = wh["fct_asset_telemetry"].groupBy("asset_id").agg(
-        *[F.max_by(F.col(c), at).cast("double").alias(c) for c, at in stamp.items()],
-        F.max_by(F.struct(*PREDICTION), F.struct("recorded_at", "telemetry_id")).alias("p"))
-    return packed.select("asset_id", *METRICS, F.col("p.health_score").cast("double").alias("health_score"),
-                         F.col("p.failure_probability").cast("double").alias("failure_probability"),
-                         F.col("p.rul_days").alias("rul_days"), F.col("p.is_anomalous").alias("is_anomalous"))
+    last = _keyed(wh["fct_asset_telemetry"], [*METRICS, *PREDICTION]).groupBy("asset_id").agg(
+        *_latest_metrics(), *[F.max_by(c, "__key").alias(c) for c in PREDICTION])
+    return last.select("asset_id", *METRICS, _d("health_score"), _d("failure_probability"), "rul_days", "is_anomalous")
 
 
 def sensor_status(wh: Warehouse) -> DataFrame:

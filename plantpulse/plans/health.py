@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from plantpulse.functions import bands
 from plantpulse.functions.numeric import half_up
 from plantpulse.operators.joins import keep_known, place_assets
-from plantpulse.operators.latest import arg_max, first_rows, latest_per_key, top_rows, total_of_listed
+from plantpulse.operators.latest import arg_max, first_rows, top_rows, total_of_listed
 from plantpulse.operators.shares import against_prior_mean
 from plantpulse.warehouse import Warehouse
 
 GOLD = "agg_asset_hourly_health"
+LATEST = "agg_asset_latest_health"
 HEALTH_COLUMNS = ("latest_health_score", "avg_failure_probability", "min_rul_days")
 
 
@@ -24,8 +25,8 @@ def _d(name: str) -> Column:
 
 
 def latest_health(wh: Warehouse) -> DataFrame:
-    """Last hourly row per asset; (asset, hour) is the table's key, so no ties."""
-    return latest_per_key(wh[GOLD], ["asset_id"], "hour_timestamp", list(HEALTH_COLUMNS))
+    """Last hourly row per asset, as the loads keep it: one row per asset is read, not the hours."""
+    return wh[LATEST].select("asset_id", "hour_timestamp", *HEALTH_COLUMNS)
 
 
 def latest_health_report(wh: Warehouse) -> DataFrame:
@@ -95,11 +96,9 @@ def asset_hierarchy(wh: Warehouse) -> DataFrame:
 
 def asset_details(wh: Warehouse, asset_id: int | None = None) -> DataFrame:
     """Attributes, place and (if any) latest health of one current asset, or of all."""
-    assets, gold = wh.current_assets(), wh[GOLD]
+    assets, latest = wh.current_assets(), latest_health(wh).drop("hour_timestamp")
     if asset_id is not None:
-        assets = assets.filter(F.col("asset_id") == asset_id)
-        gold = gold.filter(F.col("asset_id") == asset_id)
-    latest = latest_per_key(gold, ["asset_id"], "hour_timestamp", list(HEALTH_COLUMNS)).drop("hour_timestamp")
+        assets, latest = (t.filter(F.col("asset_id") == asset_id) for t in (assets, latest))
     columns = ["asset_name", "model", "oem_name", "installation_date", "downtime_impact_per_hour", "class_name",
                "process_name", "line_name", "plant_name"]
     placed = place_assets(assets.join(wh["dim_asset_class"], "asset_class_id"), wh, columns)
@@ -117,8 +116,7 @@ def asset_health(wh: Warehouse, limit: int = 10, snapshot: bool = True, asset_id
     """
     rows = latest_health(wh) if snapshot else wh[GOLD].select("asset_id", "hour_timestamp", *HEALTH_COLUMNS)
     if asset_id is not None:
-        rows = latest_per_key(wh[GOLD].filter(F.col("asset_id") == asset_id), ["asset_id"], "hour_timestamp",
-                              list(HEALTH_COLUMNS))
+        rows = latest_health(wh).filter(F.col("asset_id") == asset_id)
     assets = wh.current_assets().select("asset_id", "asset_name", "model", "oem_name", "downtime_impact_per_hour")
     out = rows.join(assets, "asset_id").select(
         "asset_id", "hour_timestamp", "asset_name", "model", "oem_name", _d("latest_health_score"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plantpulse.functions.dates import date_sk
 from plantpulse.functions.numeric import half_up, ratio_or_null, stddev_from_moments
 from plantpulse.operators.joins import place_assets, star_join
-from plantpulse.operators.latest import head_with_rest, top_rows
+from plantpulse.operators.latest import head_with_rest, order_key, top_rows
 from plantpulse.operators.trailing import VIBRATION_SCALE, deviation_from_past
 from plantpulse.plans.health import GOLD, latest_health
 from plantpulse.warehouse import Warehouse
@@ -68,7 +68,7 @@ def health_by_line(wh: Warehouse) -> DataFrame:
 def flagged_assets(wh: Warehouse) -> DataFrame:
     """Assets whose last reading is anomalous (aggregate: one row per asset leaves each task)."""
     last = wh[TELEMETRY].groupBy("asset_id").agg(
-        F.max_by("is_anomalous", F.struct("recorded_at", "telemetry_id")).alias("flag"), F.max("recorded_at").alias("recorded_at"))
+        F.max_by("is_anomalous", order_key(F.col("recorded_at"), F.col("telemetry_id"))).alias("flag"), F.max("recorded_at").alias("recorded_at"))
     return last.filter("flag").select("asset_id", "recorded_at")
 
 

@@ -16,6 +16,8 @@ from plantpulse.plans import production as prod
 from plantpulse.plans import questions as ask
 from plantpulse.functions.python_functions import health_band_udf, oee_by_group
 from plantpulse.plans.learning import failure_scores, score_facts
+from plantpulse.sources.shared import shared_dir
+from plantpulse.sources.tables import read_table
 from plantpulse.streaming.sample import STREAMS
 from plantpulse.warehouse import Warehouse
 
@@ -106,6 +108,18 @@ def _plain(df: DataFrame) -> DataFrame:
                        for f in df.schema])
 
 
+# The sample's days as loads see them: most of the month, a day by itself, the rest, and two days once more.
+LOADS = (("2024-01-01", "2024-01-20"), ("2024-01-21", "2024-01-21"), ("2024-01-22", "2024-01-31"), ("2024-01-21", "2024-01-22"))
+
+
+def _loaded(wh: Warehouse, load: Callable[[Warehouse, str, str, str], None], name: str) -> DataFrame:
+    """The table that one load after the other leaves."""
+    root = shared_dir(wh.spark, "loads")
+    for first, last in LOADS:
+        load(wh, root, first, last)
+    return _plain(read_table(wh.spark, root, name))
+
+
 GOLD: dict[str, Callable[[Warehouse], DataFrame]] = {
     "hourly_health": lambda wh: _plain(wh["agg_asset_hourly_health"]),
     "hourly_latest_by_time": lambda wh: _plain(gold.hourly_latest_by_time(wh[TELEMETRY])),
@@ -116,6 +130,8 @@ GOLD: dict[str, Callable[[Warehouse], DataFrame]] = {
     "feature_days_since": lambda wh: gold.feature_days_since(wh[TELEMETRY], wh.service_log()),
     "label_next_7d": lambda wh: gold.label_next_days(wh[TELEMETRY], wh.service_log()),
     "feature_store": gold.feature_store,
+    "feature_store_loaded": lambda wh: _loaded(wh, gold.load_feature_store, "ml_feature_store"),
+    "latest_health_merged": lambda wh: _loaded(wh, gold.load_latest_health, "agg_asset_latest_health").drop("bucket"),
     "bronze_parse": lambda wh: ingest.bronze_telemetry(wh, ("event_id", "source_timestamp")),
     "bronze_rejects": lambda wh: ingest.bronze_rejects(wh, ("event_id",)).select("event_id", "reject_reason"),
     "silver_readings": lambda wh: ingest.silver_readings(wh, METRIC_EVENTS),

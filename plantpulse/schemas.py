@@ -136,6 +136,21 @@ TABLES: dict[str, TableSpec] = {
         partition_by=("hour_date",),
         sort_by=("asset_id", "hour_timestamp"),
     ),
+    "agg_asset_latest_health": TableSpec(
+        "gold",
+        "asset_id BIGINT, hour_timestamp TIMESTAMP_NTZ, latest_health_score DECIMAL(5,2), "
+        "avg_failure_probability DECIMAL(3,2), min_rul_days INT, bucket INT",
+        key=("asset_id",),
+        partition_by=("bucket",),
+        sort_by=("asset_id",),
+    ),
+    # What the next load of the feature store needs of all days up to as_of_sk.
+    "ml_feature_state_asset": TableSpec(
+        "gold", "asset_id BIGINT, last_pm DATE, last_failure DATE, as_of_sk INT", partition_by=("as_of_sk",), sort_by=("asset_id",)
+    ),
+    "ml_feature_state_maker": TableSpec(
+        "gold", "oem_name STRING, observed BIGINT, failures BIGINT, as_of_sk INT", partition_by=("as_of_sk",)
+    ),
     "ml_feature_store": TableSpec(
         "gold",
         "observation_date_sk INT, asset_id BIGINT, avg_temp_last_24h DOUBLE, vibration_stddev_7d DOUBLE, "

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantpulse.operators.latest import latest_per_key
 from plantpulse.schemas import TABLES
+from plantpulse.sources.shared import materialise
+
+#: Partitions of a table that is kept by key.
+BUCKETS = 64
 
 
 def table_path(root: str, name: str) -> str:
@@ -17,6 +23,16 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name].ddl).parquet(table_path(root, name))
 
 
+def read_table_or(spark: SparkSession, root: str, name: str, otherwise: DataFrame | None = None) -> DataFrame:
+    """The table, or where nothing was written yet the other frame (None: no rows)."""
+    try:
+        return read_table(spark, root, name)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], TABLES[name].ddl) if otherwise is None else otherwise
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Project and cast to the declared columns; a missing column becomes NULL."""
     target = df.sparkSession.createDataFrame([], TABLES[name].ddl).schema
@@ -58,6 +74,28 @@ def overwrite_table(df: DataFrame, root: str, name: str) -> None:
      .option("partitionOverwriteMode", mode).partitionBy(*spec.partition_by).parquet(table_path(root, name)))
 
 
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def merge_latest(changes: DataFrame, root: str, name: str, order: str) -> None:
+    """Keyed merge: of every key the row with the greatest ``order`` stays, a change before a kept row of the same order.
+
+    Only buckets that hold a changed key are read and rewritten, each whole and at once, so
+    a merge that is run again gives the same table.
+    """
+    spark, spec = changes.sparkSession, TABLES[name]
+    (key,) = spec.key
+    own = [c for c in spark.createDataFrame([], spec.ddl).columns if c not in (key, order, "bucket")]
+    newest = materialise(changes.groupBy(key).agg(F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in own])
+                         .withColumn("bucket", bucket_of(key)), "changes")
+    touched = [r.bucket for r in newest.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    kept = read_table_or(spark, root, name).filter(F.col("bucket").isin(touched))
+    both = conform(newest, name).withColumn("turn", F.lit(1)).unionByName(kept.withColumn("turn", F.lit(0)))
+    merged = latest_per_key(both, [key, "bucket"], order, own, ["turn"])
+    overwrite_table(materialise(merged, "merged"), root, name)  # the buckets are read before they are replaced
+
+
 def preview_text(spark: SparkSession, path: str, lines: int = 5) -> DataFrame:
     """First lines of a text file, in file order."""
     return spark.read.text(path).limit(lines)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from plantpulse.functions.dates import as_date, as_ntz, date_sk
 from plantpulse.schemas import TABLES
-from plantpulse.sources.tables import read_table
+from plantpulse.operators.latest import latest_per_key
+from plantpulse.sources.tables import read_table, read_table_or
 
 Maker = Callable[["Warehouse"], DataFrame]
 
@@ -24,6 +25,12 @@ TIME_COLUMNS: dict[str, tuple[tuple[str, str], ...]] = {
 }
 
 
+def latest_hours(wh: Warehouse) -> DataFrame:
+    """The last hourly row of every asset; (asset, hour) is the table's key, so no ties."""
+    return latest_per_key(wh["agg_asset_hourly_health"], ["asset_id"], "hour_timestamp",
+                          ["latest_health_score", "avg_failure_probability", "min_rul_days"])
+
+
 class Warehouse:
     """Tables by name, built when first asked for.
 
@@ -44,7 +51,11 @@ class Warehouse:
         def reader(name: str) -> Maker:
             return lambda wh: read_table(wh.spark, root, name)
 
-        return cls(spark, {name: reader(name) for name in TABLES})
+        def latest(wh: Warehouse) -> DataFrame:
+            """Kept by the loads; a warehouse that has no such table yet derives it from the hours."""
+            return read_table_or(wh.spark, root, "agg_asset_latest_health", latest_hours(wh))
+
+        return cls(spark, {name: reader(name) for name in TABLES} | {"agg_asset_latest_health": latest})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
