@@ -44,7 +44,46 @@ LABEL = _LABEL
 _REASON = """CASE WHEN event_id % 97 = 5 THEN 'not json' WHEN event_id % 83 = 9 THEN 'missing deviceId'
     WHEN event_id % 89 = 7 THEN 'wrong type value' END"""
 
+_DEVICE = "CASE WHEN event_id % 71 = 3 THEN 'old_' ELSE 'eq_' END || user_id"
+_VERSIONS = """, m AS (SELECT 'eq_' || asset_id AS serial_number, k,
+    CASE WHEN k = 3 AND asset_id % 4 = 0 THEN 'Model new' WHEN k = 4 AND asset_id % 5 = 0 THEN 'Model corrected' ELSE model END AS model,
+    CASE WHEN k IN (2, 3, 4) AND asset_id % 3 = 0 AND NOT (k = 4 AND asset_id % 5 = 0) THEN 'OEM next' ELSE oem_name END AS oem_name,
+    TIMESTAMP '2023-01-01 00:00:00' + INTERVAL 1 DAY * CAST(asset_id % 20 + CASE WHEN k = 4 AND asset_id % 5 = 0 THEN 90 WHEN k = 4 THEN 120 ELSE 60 * k END AS INTEGER) AS since
+    FROM asset, range(5) t(k)),
+  o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY serial_number, since ORDER BY k DESC) = 1),
+  c AS (SELECT * FROM o QUALIFY lag((model, oem_name)) OVER (PARTITION BY serial_number ORDER BY since) IS DISTINCT FROM (model, oem_name))
+  SELECT serial_number, model, oem_name, since AS scd_start_date, lead(since) OVER w AS scd_end_date, lead(since) OVER w IS NULL AS is_current
+  FROM c WINDOW w AS (PARTITION BY serial_number ORDER BY since)"""
+
 SQL: dict[str, str] = {
+    "asset_versions_built": _VERSIONS,
+    "asset_versions_merged": _VERSIONS,
+    "variant_values": """SELECT event_id, CASE WHEN event_id % 83 <> 9 THEN CASE WHEN event_id % 71 = 3 THEN 'old_' ELSE 'eq_' END || user_id END AS device_id,
+      CASE WHEN event_id % 89 <> 7 THEN value END AS value, event_type AS metric FROM events WHERE event_id % 97 <> 5""",
+    "temperature_before_hours": f"""SELECT asset_id, e AS hour_end, {r("CAST(sum(temperature_c) AS DOUBLE) / count(temperature_c)")} AS avg_temperature_c,
+      count(temperature_c) AS readings FROM (SELECT DISTINCT asset_id, date_trunc('hour', recorded_at) + INTERVAL 1 HOUR AS e FROM telemetry) h
+      JOIN telemetry t USING (asset_id) WHERE temperature_c IS NOT NULL AND recorded_at >= e - INTERVAL 24 HOUR AND recorded_at < e GROUP BY 1, 2""",
+    "sketches_compared": """SELECT a AS first_day, b AS last_day, s AS sensor_type, count(DISTINCT asset_id) AS exact, TRUE AS within_3_percent
+      FROM (VALUES ('2024-01-01', '2024-01-31'), ('2024-01-05', '2024-01-11'), ('2024-01-20', '2024-01-20')) v(a, b)
+      JOIN (SELECT asset_id, d, 'Temperature' AS s FROM telemetry WHERE temperature_c IS NOT NULL UNION ALL
+            SELECT asset_id, d, 'Vibration' FROM telemetry WHERE vibration_mm_s IS NOT NULL UNION ALL
+            SELECT asset_id, d, 'Pressure' FROM telemetry WHERE pressure_psi IS NOT NULL) x ON d BETWEEN CAST(a AS DATE) AND CAST(b AS DATE) GROUP BY 1, 2, 3""",
+    "repeated_positions": "SELECT asset_id, CAST(unnest(range(1, process_sequence + 1)) AS INTEGER) AS step FROM asset",
+    "star_join_production": """SELECT plant_name, process_type, sum(produced)::BIGINT AS units_produced, sum(scrapped)::BIGINT AS units_scrapped
+      FROM production JOIN machine_placed USING (asset_id) GROUP BY 1, 2""",
+    "star_join_telemetry": """SELECT line_name, class_name, count(*) AS readings, count(*) FILTER (is_anomalous) AS anomalous
+      FROM telemetry LEFT JOIN placed USING (asset_id) GROUP BY 1, 2""",
+    "star_join_parts": """SELECT plant_name, supplier_name, CAST(sum(total_cost) AS DOUBLE) AS parts_cost
+      FROM parts LEFT JOIN maintenance USING (log_id) LEFT JOIN placed USING (asset_id) LEFT JOIN material USING (material_id) GROUP BY 1, 2""",
+    "star_join_budget": """SELECT plant_name, CAST(year(completed_date) + 1 AS INTEGER) AS year, CAST(sum(parts_cost + labor_cost) AS DOUBLE) AS budget
+      FROM maintenance JOIN placed USING (asset_id) GROUP BY 1, 2""",
+    "line_months": """, a AS (SELECT line_name, CAST(date_trunc('month', completed_date) AS DATE) AS month, count(*) AS orders, CAST(sum(downtime_hours) AS DOUBLE) AS downtime_hours,
+        count(*) FILTER (failure_flag) AS failures FROM maintenance LEFT JOIN placed USING (asset_id) GROUP BY 1, 2),
+      b AS (SELECT line_name, CAST(date_trunc('month', production_date) AS DATE) AS month, sum(produced)::BIGINT AS units_produced, sum(scrapped)::BIGINT AS units_scrapped
+        FROM production LEFT JOIN machine_placed USING (asset_id) GROUP BY 1, 2),
+      c AS (SELECT line_name, CAST(date_trunc('month', d) AS DATE) AS month, count(*) AS readings, count(*) FILTER (is_anomalous) AS anomalous
+        FROM telemetry LEFT JOIN placed USING (asset_id) GROUP BY 1, 2)
+      SELECT * FROM a FULL JOIN b USING (line_name, month) FULL JOIN c USING (line_name, month)""",
     "hourly_health": """SELECT hour_timestamp, asset_id, avg_temperature_c, max_vibration_mm_s, stddev_pressure_psi,
       CAST(latest_health_score AS DOUBLE) AS latest_health_score, CAST(avg_failure_probability AS DOUBLE) AS avg_failure_probability,
       min_rul_days FROM hourly""",
@@ -61,24 +100,35 @@ SQL: dict[str, str] = {
     "feature_store_loaded": f"{_STORE} SELECT * FROM store",
     "latest_health_merged": """SELECT asset_id, hour_timestamp, CAST(latest_health_score AS DOUBLE) AS latest_health_score,
       CAST(avg_failure_probability AS DOUBLE) AS avg_failure_probability, min_rul_days FROM latest""",
-    "bronze_parse": f"""SELECT event_id, ts AS source_timestamp, 'eq_' || user_id AS device_id, event_type AS metric, value,
+    "bronze_parse": f"""SELECT event_id, ts AS source_timestamp, {_DEVICE} AS device_id, event_type AS metric, value,
       'x' AS unit FROM events WHERE {_REASON} IS NULL""",
     "bronze_rejects": f"SELECT event_id, {_REASON} AS reject_reason FROM events WHERE {_REASON} IS NOT NULL",
     "bronze_maintenance": """SELECT 'WO-' || log_id AS work_order_id, 'eq_' || asset_id AS asset_nk, wo_type_code, technician_notes AS notes,
       CAST(downtime_hours AS DOUBLE) AS downtime_hours, CAST(labor_cost AS DOUBLE) AS labor_cost, CAST(parts_cost AS DOUBLE) AS parts_cost,
-      failure_flag, completed_date FROM maintenance JOIN wo_type USING (wo_type_id)""",
+      failure_flag, completed_date FROM maintenance JOIN wo_type USING (wo_type_id) WHERE log_id % 61 <> 7 AND log_id % 53 <> 9""",
+    "maintenance_rejects": """SELECT CASE WHEN log_id % 61 = 7 THEN 'not json' ELSE 'missing date' END AS reject_reason, count(*) AS messages
+      FROM maintenance WHERE log_id % 61 = 7 OR log_id % 53 = 9 GROUP BY 1""",
+    "equipment_rejects": "SELECT 'missing serialNumber' AS reject_reason, count(*) AS messages FROM asset WHERE asset_id % 41 = 5",
+    "variant_fields": """SELECT 'value' AS field, count(*) AS messages, 'DECIMAL,STRING' AS types FROM events WHERE event_id % 97 <> 5
+      UNION ALL SELECT 'metric', count(*), 'STRING' FROM events WHERE event_id % 97 <> 5
+      UNION ALL SELECT 'unit', count(*), 'STRING' FROM events WHERE event_id % 97 <> 5
+      UNION ALL SELECT 'deviceId', count(*), 'STRING' FROM events WHERE event_id % 97 <> 5 AND event_id % 83 <> 9""",
+    "ingestion_stamps": "SELECT count(*) AS messages, count(*) AS stamped FROM events",
+    "written_days": """SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_sk, CASE WHEN d = DATE '2024-01-11' THEN count(*) FILTER (telemetry_id % 2 = 0) ELSE count(*) END AS readings,
+      CAST(1 AS BIGINT) AS folders FROM telemetry WHERE d BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY d""",
+    "text_preview": "SELECT line_name AS value FROM line ORDER BY line_name LIMIT 5",
     "bronze_equipment": """SELECT asset_nk AS serial_number, model, oem_name, 'Machine' AS asset_type, 'Site' AS plant_name,
-      installation_date FROM asset""",
-    "bronze_to_wide": f""", x AS (SELECT 'eq_' || user_id AS device_id, date_trunc('hour', ts) AS hour_timestamp, event_type, value
+      installation_date FROM asset WHERE asset_id % 41 <> 5""",
+    "bronze_to_wide": f""", x AS (SELECT {_DEVICE} AS device_id, date_trunc('hour', ts) AS hour_timestamp, event_type, value
         FROM events WHERE {_REASON} IS NULL)
       SELECT device_id, hour_timestamp, round(avg(value) FILTER (event_type = 'view'), 4) AS temperature_c,
         round(avg(value) FILTER (event_type = 'click'), 4) AS vibration_mm_s, round(avg(value) FILTER (event_type = 'signup'), 4) AS pressure_psi
       FROM x WHERE event_type IN ('view', 'click', 'signup') GROUP BY 1, 2""",
     "silver_readings": f"""SELECT asset_id, ts AS recorded_at, avg(value) FILTER (event_type = 'view') AS temperature_c,
         avg(value) FILTER (event_type = 'click') AS vibration_mm_s, avg(value) FILTER (event_type = 'signup') AS pressure_psi
-      FROM events JOIN asset ON asset_id = user_id WHERE {_REASON} IS NULL AND event_type IN ('view', 'click', 'signup') GROUP BY 1, 2""",
-    "unknown_devices": f"""SELECT 'eq_' || user_id AS device_id, count(*) AS messages FROM events
-      WHERE {_REASON} IS NULL AND user_id NOT IN (SELECT asset_id FROM asset) GROUP BY 1""",
+      FROM events JOIN asset ON asset_nk = {_DEVICE} WHERE {_REASON} IS NULL AND event_type IN ('view', 'click', 'signup') GROUP BY 1, 2""",
+    "unknown_devices": f"""SELECT {_DEVICE} AS device_id, count(*) AS messages FROM events
+      WHERE {_REASON} IS NULL AND {_DEVICE} NOT IN (SELECT asset_nk FROM asset) GROUP BY 1""",
     "failure_score_facts": """, o AS (SELECT DISTINCT asset_id, d FROM telemetry WHERE d >= DATE '2024-01-20')
       SELECT EXISTS (SELECT 1 FROM service s WHERE s.asset_id = o.asset_id AND s.failure_flag AND s.completed_date BETWEEN o.d + 1 AND o.d + 7) AS failed_in_next_7_days,
         count(*) AS rows, TRUE AS scores_are_chances FROM o GROUP BY 1""",

@@ -80,5 +80,12 @@ SQL.update({
     "stream_state": """, x AS (SELECT * FROM telemetry QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY recorded_at DESC, telemetry_id DESC) = 1)
       SELECT asset_id, recorded_at, CAST(health_score AS DOUBLE) AS health_score, CAST(failure_probability AS DOUBLE) AS failure_probability,
         rul_days, is_anomalous FROM x""",
+    "stream_late_kept": """, n AS (SELECT telemetry_id % 3 AS b, max(recorded_at) AS newest FROM telemetry GROUP BY 1)
+      SELECT telemetry_id, asset_id, recorded_at, telemetry_id % 3 AS batch_id FROM telemetry
+      WHERE recorded_at < (SELECT max(newest) FROM n WHERE b < telemetry_id % 3) - INTERVAL 2 HOUR""",
+    "stream_silent": """, g AS (SELECT asset_id, recorded_at, lead(recorded_at) OVER (PARTITION BY asset_id ORDER BY recorded_at, telemetry_id) AS next FROM telemetry)
+      SELECT asset_id, date_trunc('millisecond', recorded_at) AS silent_since, date_trunc('millisecond', recorded_at) + INTERVAL 48 HOUR AS told_at FROM g
+      WHERE coalesce(date_trunc('millisecond', next), (SELECT max(recorded_at) FROM telemetry) - INTERVAL 2 HOUR) >= date_trunc('millisecond', recorded_at) + INTERVAL 48 HOUR""",
+    "conversation_reloaded": """SELECT conv_id || '-' || turn AS message_id, role, text AS content FROM conversations WHERE conv_id = 7 ORDER BY turn DESC LIMIT 3""",
     "stream_late": "SELECT count(*) AS rows_seen, CAST(0 AS BIGINT) AS late_rows FROM telemetry",
 })

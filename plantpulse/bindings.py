@@ -213,38 +213,54 @@ def budget(wh: Warehouse) -> DataFrame:
 def raw_telemetry(events: DataFrame) -> DataFrame:
     """The events as JSON messages, with the kinds of damage a feed shows.
 
-    Truncated text, a word for a number, a missing device: told by the event id, so
-    the expected rejects are known.
+    Truncated text, a word for a number, a missing device, a device that no asset answers to: told by
+    the event id, so the expected rejects are known.
     """
-    broken, wordy, nameless = "event_id % 97 = 5", "event_id % 89 = 7", "event_id % 83 = 9"
+    broken, wordy, nameless, unknown = "event_id % 97 = 5", "event_id % 89 = 7", "event_id % 83 = 9", "event_id % 71 = 3"
     payload = F.concat(
         F.lit('{ "metric": "'), F.col("event_type"), F.lit('", "value": '),
         F.when(F.expr(wordy), F.lit('"n/a"')).otherwise(F.col("value").cast("string")),
         F.when(F.expr(nameless), F.lit("")).otherwise(
-            F.concat(F.lit(', "deviceId": "eq_'), F.col("user_id").cast("string"), F.lit('"'))),
+            F.concat(F.when(F.expr(unknown), ', "deviceId": "old_').otherwise(', "deviceId": "eq_'), F.col("user_id").cast("string"), F.lit('"'))),
         F.when(F.expr(broken), F.lit(', "unit": ')).otherwise(F.lit(', "unit": "x" }')))
     return events.select("event_id", payload.alias("raw_payload"), F.col("ts").alias("source_timestamp"))
 
 
 def raw_maintenance(wh: Warehouse) -> DataFrame:
-    """Work orders written as JSON messages."""
+    """Work orders written as JSON messages, some cut off or without a date."""
     rows = wh["fct_maintenance_log"].join(wh["dim_work_order_type"], "wo_type_id")
     return rows.select(F.to_json(F.struct(
         F.concat(F.lit("WO-"), F.col("log_id").cast("string")).alias("workOrderId"),
         F.concat(F.lit("eq_"), F.col("asset_id").cast("string")).alias("assetId"), F.col("wo_type_code").alias("type"),
         F.col("technician_notes").alias("notes"), F.col("downtime_hours").alias("downtimeHours"),
         F.col("labor_cost").alias("laborCost"), F.col("parts_cost").alias("partsCost"),
-        F.col("failure_flag").alias("failure"), F.date_format("completed_date", "yyyy-MM-dd").alias("date"))).alias("log_data"))
+        F.col("failure_flag").alias("failure"), F.when(F.expr("log_id % 53 <> 9"), F.date_format("completed_date", "yyyy-MM-dd")).alias("date"))).alias("log_data"),
+        "log_id").select(F.when(F.expr("log_id % 61 = 7"), F.expr("left(log_data, 20)")).otherwise(F.col("log_data")).alias("log_data"))
 
 
 def raw_equipment(wh: Warehouse) -> DataFrame:
-    """The assets as JSON messages."""
+    """The assets as JSON messages, some without a serial number."""
     return wh.current_assets().select(F.to_json(F.struct(
-        F.col("asset_nk").alias("serialNumber"), "model", F.col("oem_name").alias("oem"),
+        F.when(F.expr("asset_id % 41 <> 5"), F.col("asset_nk")).alias("serialNumber"), "model", F.col("oem_name").alias("oem"),
         F.date_format("installation_date", "yyyy-MM-dd").alias("installDate"),
         F.lit("Machine").alias("assetType"), F.lit("Site").alias("plant"))).alias("equipment_data"))
 
 
+def raw_equipment_feed(wh: Warehouse) -> DataFrame:
+    """Five messages per asset over time: the first, one that repeats it, two that may change something, and one that
+    arrives last and corrects the past (or only repeats)."""
+    base = "TIMESTAMP_NTZ'2023-01-01 00:00:00'"
+    model = "CASE WHEN k = 3 AND asset_id % 4 = 0 THEN 'Model new' WHEN k = 4 AND asset_id % 5 = 0 THEN 'Model corrected' ELSE model END"
+    oem = "CASE WHEN k IN (2, 3, 4) AND asset_id % 3 = 0 AND NOT (k = 4 AND asset_id % 5 = 0) THEN 'OEM next' ELSE oem_name END"
+    days = "asset_id % 20 + CASE WHEN k = 4 AND asset_id % 5 = 0 THEN 90 WHEN k = 4 THEN 120 ELSE 60 * k END"
+    rows = wh.current_assets().select("asset_id", "asset_nk", "model", "oem_name", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select(
+        "asset_nk", F.expr(model).alias("model"), F.expr(oem).alias("oem"),
+        F.expr(f"timestampadd(DAY, cast({days} AS int), {base})").alias("at"),
+        F.expr(f"timestampadd(DAY, cast(asset_id % 20 + 70 * k AS int), {base})").alias("arrived"))
+    message = F.to_json(F.struct(F.col("asset_nk").alias("serialNumber"), "model", "oem", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("effectiveAt")))
+    return rows.select(message.alias("equipment_data"), F.col("arrived").alias("ingestion_timestamp"))
+
+
 def calendar_of(wh: Warehouse, fact: str, day: str) -> DataFrame:
     """Calendar rows of the days a fact refers to."""
     return calendar_labels(wh[fact].select(F.col(day).alias("full_date")).distinct())
@@ -285,6 +301,7 @@ def bind_sample(spark: SparkSession, sf_dir: str) -> Warehouse:
         "raw_telemetry": of("events", raw_telemetry),
         "raw_maintenance": raw_maintenance,
         "raw_equipment": raw_equipment,
+        "raw_equipment_feed": raw_equipment_feed,
         "dim_plant": of("region", plant),
         "dim_line": of("nation", line),
         "dim_process": of("nation", process),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +67,50 @@ def star_join(wh: Warehouse, fact: str, columns: dict[str, Sequence[str]], rows:
     return df.drop(*[c for c in df.columns if c.startswith(prefix)])
 
 
+@dataclass(frozen=True)
+class FactPart:
+    """What a drill-across takes from one fact: its keys, its month, and sums over its rows."""
+
+    fact: str
+    keys: tuple[str, ...]
+    month: Column
+    measures: dict[str, Column]  # aggregates that can be summed again
+    assets: str = "current_assets"  # the warehouse's method that gives the assets its rows refer to
+
+
+def drill_across(wh: Warehouse, parts: Sequence[FactPart], grain: dict[str, Sequence[str]]) -> DataFrame:
+    """Measures of several facts side by side, per month and dimension columns (table to columns).
+
+    Facts never meet row by row: each is summed by its own keys, taken along the relationships, summed again at the
+    shared grain, and only those rows are put together (a null is a value of the grain like any other). A dimension
+    with two rows for a key would multiply what it joins, so that is refused first.
+    """
+    place = [c for columns in grain.values() for c in columns]
+    reduced, sound = [], set()
+    for part in parts:
+        own = wh.with_tables(dim_asset=getattr(wh, part.assets)())
+        rows = wh[part.fact].groupBy(*part.keys, part.month.alias("month")).agg(*[c.alias(n) for n, c in part.measures.items()])
+        for table in grain:
+            for edge in join_path(part.fact, table, lambda t, have=rows.columns, fact=part.fact: have if t == fact else own[t].columns):
+                if (part.assets, edge.parent) not in sound:
+                    _refuse_fan_out(own, edge)
+                    sound.add((part.assets, edge.parent))
+        joined = star_join(own, part.fact, grain, rows=rows)
+        reduced.append(joined.groupBy(*place, "month").agg(*[F.sum(n).alias(n) for n in part.measures]))
+    names = [n for part in parts for n in part.measures]
+    side_by_side = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reduced)
+    return side_by_side.groupBy(*place, "month").agg(*[F.max(n).alias(n) for n in names])  # one value each
+
+
+def _refuse_fan_out(wh: Warehouse, edge: Relationship) -> None:
+    dim = wh[edge.parent]
+    if "is_current" in dim.columns:
+        dim = dim.filter(F.col("is_current"))
+    twice = dim.groupBy(edge.parent_key).count().filter("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"{edge.parent} has {twice['count']} rows for {edge.parent_key} {twice[edge.parent_key]}")
+
+
 def place_assets(assets: DataFrame, wh: Warehouse, columns: Sequence[str]) -> DataFrame:
     """Assets with their process, line and plant columns (inner joins)."""
     process, line, plant = wh["dim_process"], wh["dim_line"], wh["dim_plant"]

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.functions import bands
-from plantpulse.functions.dates import as_ntz, hour_start
+from plantpulse.functions.dates import as_date, as_ntz, hour_start
 from plantpulse.functions.numeric import half_up
+from plantpulse.functions.python_functions import steps_udtf
 from plantpulse.functions.text import hourly_cost_text, path_level, percent_text
+from plantpulse.operators.intervals import trailing_join
 from plantpulse.operators.joins import at_time, place_assets
 from plantpulse.operators.latest import latest_per_key, order_key
 from plantpulse.operators.ordered import lead_in_pieces, sessions
 from plantpulse.operators.shape import gather_chunks, unpivot_metrics
+from plantpulse.sources.shared import materialise
 from plantpulse.warehouse import Warehouse
 
 # Telemetry columns as sensor types, with units and id suffix.
@@ -295,3 +299,49 @@ def tree_counts(wh: Warehouse) -> DataFrame:
     keys = ["plant_name", "line_name", "process_name"]
     return _asset_documents(wh, None, None).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("assets"), F.sum(F.size("document.children")).alias("sensors"))
+
+
+def temperature_before_hours(wh: Warehouse, hours: int = 24) -> DataFrame:
+    """For each hour in which an asset was read: the exact mean temperature of the hours before its end.
+
+    Hour-exact, where the daily feature covers whole days.
+    """
+    rows = wh["fct_asset_telemetry"]
+    ends = rows.select("asset_id", hour_start("recorded_at").alias("h")).distinct().select("asset_id", F.expr("timestampadd(HOUR, 1, h)").alias("hour_end"))
+    readings = rows.filter(F.col("temperature_c").isNotNull()).select("asset_id", "recorded_at", "temperature_c")
+    met = trailing_join(ends, readings, "asset_id", "hour_end", "recorded_at", hours)
+    return met.groupBy("asset_id", "hour_end").agg(F.sum("temperature_c").alias("s"), F.count("temperature_c").alias("readings")).select(
+        "asset_id", "hour_end", half_up(F.col("s").cast("double") / F.col("readings"), 2).alias("avg_temperature_c"), "readings")
+
+
+def sensor_sketches(wh: Warehouse) -> DataFrame:
+    """One mergeable sketch of the assets read per sensor type and day."""
+    long = unpivot_metrics(wh["fct_asset_telemetry"], ["asset_id", "recorded_at"], METRICS)
+    return long.groupBy("sensor_type", F.to_date("recorded_at").alias("day")).agg(F.hll_sketch_agg("asset_id", 14).alias("sketch"))
+
+
+def assets_read_between(sketches: DataFrame, first: dt.date | str, last: dt.date | str) -> DataFrame:
+    """Estimated number of assets read per sensor type in a range of days, from the stored sketches alone."""
+    days = sketches.filter(F.col("day").between(as_date(first), as_date(last)))
+    return days.groupBy("sensor_type").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("assets"))
+
+
+def sketches_compared(wh: Warehouse, ranges: Sequence[tuple[str, str]]) -> DataFrame:
+    """For several ranges: exact number of assets per sensor type, and whether the stored sketches come within 3 %."""
+    sketches = materialise(sensor_sketches(wh), "sketches")
+    long = unpivot_metrics(wh["fct_asset_telemetry"], ["asset_id", "recorded_at"], METRICS)
+    out = []
+    for first, last in ranges:
+        exact = long.filter(F.to_date("recorded_at").between(as_date(first), as_date(last))).groupBy("sensor_type").agg(F.count_distinct("asset_id").alias("exact"))
+        both = exact.join(assets_read_between(sketches, first, last), "sensor_type")
+        out.append(both.select(F.lit(first).alias("first_day"), F.lit(last).alias("last_day"), "sensor_type", "exact",
+                               (F.abs(F.col("assets") - F.col("exact")) <= 0.03 * F.col("exact")).alias("within_3_percent")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def repeated_positions(wh: Warehouse) -> DataFrame:
+    """Each current asset once per step of its place in the process: a table function called with a column of its row."""
+    spark = wh.spark
+    spark.udtf.register("steps", steps_udtf())
+    return spark.sql("SELECT asset_id, s.step FROM {assets}, LATERAL steps(process_sequence) s",
+                     assets=wh.current_assets().select("asset_id", "process_sequence"))

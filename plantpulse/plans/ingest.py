@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantpulse.functions.dates import hour_start, wall_micros
+from plantpulse.functions.dates import as_ntz, hour_start, wall_micros
 from plantpulse.operators import quality
+from plantpulse.operators.versions import merge_versions, versions_of
 from plantpulse.schemas import RELATIONSHIPS, TABLES
 from plantpulse.sources import bronze
 from plantpulse.sources.dimensions import calendar_labels, spine_by_bounds
+from plantpulse.sources.shared import materialise
 from plantpulse.warehouse import Warehouse
 
 
@@ -146,3 +149,40 @@ def dq_parts_cost(wh: Warehouse) -> DataFrame:
     wrong = F.col("total_cost") != F.col("quantity_used") * F.col("unit_cost")
     return per_material.groupBy("supplier_name").agg(
         F.count(F.lit(1)).alias("parts_rows"), F.count_if(wrong).alias("mismatched_rows"))
+
+
+CHANGES = ("model", "oem_name")
+
+
+def equipment_changes(wh: Warehouse) -> DataFrame:
+    return bronze.accepted(bronze.parse_equipment_changes(wh["raw_equipment_feed"]), "equipment_data")
+
+
+def asset_versions_built(wh: Warehouse) -> DataFrame:
+    """All versions of the assets' model and maker, from every equipment message."""
+    return versions_of(equipment_changes(wh), "serial_number", "effective_at", "ingestion_timestamp", CHANGES)
+
+
+def asset_versions_merged(wh: Warehouse, cut: dt.datetime | str) -> DataFrame:
+    """The same in two loads: what had arrived before ``cut``, then the messages after it, corrections of the past among them."""
+    messages = equipment_changes(wh)
+    late = messages.filter(F.col("ingestion_timestamp") >= as_ntz(cut))
+    early = materialise(versions_of(messages.filter(F.col("ingestion_timestamp") < as_ntz(cut)), "serial_number", "effective_at",
+                                    "ingestion_timestamp", CHANGES), "versions")
+    return merge_versions(early, messages, late, "serial_number", "effective_at", "ingestion_timestamp", CHANGES)
+
+
+def _documents(wh: Warehouse) -> DataFrame:
+    return bronze.parse_variant(wh["raw_telemetry"], "raw_payload").filter(F.col("document").isNotNull())
+
+
+def variant_fields(wh: Warehouse) -> DataFrame:
+    """Fields of the telemetry messages as they are, damaged values included."""
+    return bronze.variant_fields(_documents(wh))
+
+
+def variant_values(wh: Warehouse) -> DataFrame:
+    """Values by path from the documents: null where a value is missing or of another type."""
+    path = lambda p, kind: F.try_variant_get("document", f"$.{p}", kind)
+    return _documents(wh).select("event_id", path("deviceId", "string").alias("device_id"), path("value", "double").alias("value"),
+                                 path("metric", "string").alias("metric"))

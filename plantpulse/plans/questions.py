@@ -7,9 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantpulse.functions.dates import date_sk
+from plantpulse.functions.dates import date_sk, month_start
 from plantpulse.functions.numeric import half_up, ratio_or_null, stddev_from_moments
-from plantpulse.operators.joins import place_assets, star_join
+from plantpulse.operators.joins import FactPart, drill_across, place_assets, star_join
 from plantpulse.operators.latest import head_with_rest, order_key, top_rows
 from plantpulse.operators.trailing import VIBRATION_SCALE, deviation_from_past
 from plantpulse.plans.health import GOLD, latest_health
@@ -193,3 +193,46 @@ def result_top10(wh: Warehouse) -> DataFrame:
     """First ten assets of the health list and how many follow."""
     rows = latest_health(wh).select("asset_id", F.col("latest_health_score").cast("double").alias("health"))
     return head_with_rest(rows, [F.col("health"), F.col("asset_id")])
+
+
+def star_join_production(wh: Warehouse) -> DataFrame:
+    """Output per plant and process type, by the relationship list."""
+    sums = wh["fct_production_log"].groupBy("asset_id").agg(F.sum("units_produced").alias("u"), F.sum("units_scrapped").alias("s"))
+    joined = star_join(wh.with_tables(dim_asset=wh.production_assets()), "fct_production_log",
+                       {"dim_plant": ["plant_name"], "dim_process": ["process_type"]}, rows=sums)
+    return joined.groupBy("plant_name", "process_type").agg(F.sum("u").alias("units_produced"), F.sum("s").alias("units_scrapped"))
+
+
+def star_join_telemetry(wh: Warehouse) -> DataFrame:
+    """Readings per line and class, by the relationship list."""
+    sums = wh[TELEMETRY].groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomalous").alias("a"))
+    joined = star_join(wh, TELEMETRY, {"dim_line": ["line_name"], "dim_asset_class": ["class_name"]}, rows=sums)
+    return joined.groupBy("line_name", "class_name").agg(F.sum("n").alias("readings"), F.sum("a").alias("anomalous"))
+
+
+def star_join_parts(wh: Warehouse) -> DataFrame:
+    """Parts cost per plant and maker of the part: the plant is reached through the work order."""
+    sums = wh["fct_maintenance_parts_used"].groupBy("log_id", "material_id").agg(F.sum("total_cost").alias("c"))
+    joined = star_join(wh, "fct_maintenance_parts_used", {"dim_plant": ["plant_name"], "dim_material": ["supplier_name"]}, rows=sums)
+    return joined.groupBy("plant_name", "supplier_name").agg(F.sum("c").cast("double").alias("parts_cost"))
+
+
+def star_join_budget(wh: Warehouse) -> DataFrame:
+    """Budget per plant and year, by the relationship list."""
+    joined = star_join(wh, "fct_budget", {"dim_plant": ["plant_name"]})
+    return joined.groupBy("plant_name", "year").agg(F.sum("budget_amount").cast("double").alias("budget"))
+
+
+def line_months(wh: Warehouse) -> DataFrame:
+    """Maintenance, production and telemetry of every line and month in one row.
+
+    A site that keeps the assets of production apart has them in ``dim_machine``: its part is taken along those.
+    """
+    log = FactPart("fct_maintenance_log", ("asset_id",), month_start(F.col("completed_date")), {
+        "orders": F.count(F.lit(1)), "downtime_hours": F.sum("downtime_hours").cast("decimal(20,1)"), "failures": F.count_if("failure_flag")})
+    output = FactPart("fct_production_log", ("asset_id",), month_start(F.col("production_date")), {
+        "units_produced": F.sum("units_produced"), "units_scrapped": F.sum("units_scrapped")}, assets="production_assets")
+    feed = FactPart(TELEMETRY, ("asset_id",), month_start(F.to_date("recorded_at")), {
+        "readings": F.count(F.lit(1)), "anomalous": F.count_if("is_anomalous")})
+    rows = drill_across(wh, [log, output, feed], {"dim_line": ["line_name"]})
+    return rows.withColumn("downtime_hours", F.col("downtime_hours").cast("double"))

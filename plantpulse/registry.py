@@ -17,7 +17,8 @@ from plantpulse.plans import questions as ask
 from plantpulse.functions.python_functions import health_band_udf, oee_by_group
 from plantpulse.plans.learning import failure_scores, score_facts
 from plantpulse.sources.shared import shared_dir
-from plantpulse.sources.tables import read_table
+from plantpulse.sources.bronze import stamp_ingestion
+from plantpulse.sources.tables import append_table, load_conversation, overwrite_table, preview_text, read_table, save_messages
 from plantpulse.streaming.sample import STREAMS
 from plantpulse.warehouse import Warehouse
 
@@ -97,6 +98,10 @@ ASSETS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "factory_tree": assets.factory_tree,
     "factory_tree_back": lambda wh: assets.tree_read_back(assets.factory_tree(wh)),
     "tree_counts": assets.tree_counts,
+    "temperature_before_hours": assets.temperature_before_hours,
+    "sketches_compared": lambda wh: assets.sketches_compared(
+        wh, [("2024-01-01", "2024-01-31"), ("2024-01-05", "2024-01-11"), ("2024-01-20", "2024-01-20")]),
+    "repeated_positions": assets.repeated_positions,
 }
 
 TELEMETRY = "fct_asset_telemetry"
@@ -120,6 +125,31 @@ def _loaded(wh: Warehouse, load: Callable[[Warehouse, str, str, str], None], nam
     return _plain(read_table(wh.spark, root, name))
 
 
+def _written_days(wh: Warehouse) -> DataFrame:
+    """Readings appended in two goes, a day overwritten with half of its rows, three days read: their rows and folders."""
+    root, rows = shared_dir(wh.spark, "written"), wh[TELEMETRY]
+    for k in (0, 1):
+        append_table(rows.filter(F.col("telemetry_id") % 2 == k), root, TELEMETRY)
+    overwrite_table(rows.filter((F.col("date_sk") == 20240111) & (F.col("telemetry_id") % 2 == 0)), root, TELEMETRY)
+    read = Warehouse.open(wh.spark, root).between(TELEMETRY, "2024-01-10", "2024-01-12")
+    told = read.select("date_sk", F.regexp_extract(F.input_file_name(), "date_sk=([0-9]+)", 1).alias("folder"))
+    return told.groupBy("date_sk").agg(F.count("*").alias("readings"), F.count_distinct("folder").alias("folders"))
+
+
+def _text_preview(wh: Warehouse) -> DataFrame:
+    path = shared_dir(wh.spark, "text")
+    wh["dim_line"].select("line_name").orderBy("line_name").coalesce(1).write.text(path)
+    return preview_text(wh.spark, path, 5)
+
+
+def _conversation_reloaded(wh: Warehouse) -> DataFrame:
+    """Messages saved in two goes, the last three of one conversation loaded."""
+    root = shared_dir(wh.spark, "messages")
+    for k in (0, 1):
+        save_messages(wh[MESSAGES].filter(F.col("turn") % 2 == k), root)
+    return load_conversation(wh.spark, root, "7", last=3).select("message_id", "role", "content")
+
+
 GOLD: dict[str, Callable[[Warehouse], DataFrame]] = {
     "hourly_health": lambda wh: _plain(wh["agg_asset_hourly_health"]),
     "hourly_latest_by_time": lambda wh: _plain(gold.hourly_latest_by_time(wh[TELEMETRY])),
@@ -138,6 +168,16 @@ GOLD: dict[str, Callable[[Warehouse], DataFrame]] = {
     "unknown_devices": ingest.unknown_devices,
     "bronze_maintenance": ingest.bronze_maintenance,
     "bronze_equipment": ingest.bronze_equipment,
+    "asset_versions_built": ingest.asset_versions_built,
+    "asset_versions_merged": lambda wh: ingest.asset_versions_merged(wh, "2023-08-15 00:00:00"),
+    "maintenance_rejects": lambda wh: ingest.maintenance_rejects(wh).groupBy("reject_reason").agg(F.count("*").alias("messages")),
+    "equipment_rejects": lambda wh: ingest.equipment_rejects(wh).groupBy("reject_reason").agg(F.count("*").alias("messages")),
+    "ingestion_stamps": lambda wh: stamp_ingestion(wh["raw_telemetry"]).agg(
+        F.count("*").alias("messages"), F.count("ingestion_timestamp").alias("stamped")),
+    "written_days": _written_days,
+    "text_preview": _text_preview,
+    "variant_fields": ingest.variant_fields,
+    "variant_values": ingest.variant_values,
     "bronze_to_wide": lambda wh: ingest.bronze_to_wide(wh, METRIC_EVENTS),
     "date_dimension": ingest.date_dimension,
     "spine_gaps": ingest.spine_gaps,
@@ -222,12 +262,18 @@ QUESTIONS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "impact_risk_by_plant": ask.impact_risk_by_plant,
     "vibration_outliers": ask.vibration_outliers,
     "star_join_maintenance": ask.star_join_maintenance,
+    "star_join_production": ask.star_join_production,
+    "star_join_telemetry": ask.star_join_telemetry,
+    "star_join_parts": ask.star_join_parts,
+    "star_join_budget": ask.star_join_budget,
+    "line_months": ask.line_months,
     "result_top10": ask.result_top10,
 }
 
 MESSAGES = "conversation_history"
 
 CONVERSATIONS: dict[str, Callable[[Warehouse], DataFrame]] = {
+    "conversation_reloaded": _conversation_reloaded,
     "conv_analytics": lambda wh: conv.conversation_analytics(wh[MESSAGES]),
     "conv_backends": lambda wh: conv.backend_distribution(wh[MESSAGES]),
     "conv_alternating": lambda wh: conv.alternating_roles(

@@ -32,6 +32,13 @@ EQUIPMENT_FIELDS = {
     "installation_date": ("installDate", "DATE"),
 }
 
+EQUIPMENT_CHANGE_FIELDS: dict[str, tuple[str, str]] = {
+    "serial_number": ("serialNumber", "STRING"),
+    "model": ("model", "STRING"),
+    "oem_name": ("oem", "STRING"),
+    "effective_at": ("effectiveAt", "TIMESTAMP_NTZ"),
+}
+
 _REJECT = "reject_reason"
 _CORRUPT = "_corrupt_record"
 
@@ -90,6 +97,27 @@ def parse_equipment(raw: DataFrame, payload: str = "equipment_data", keep: tuple
     return _parse(raw, payload, EQUIPMENT_FIELDS, ("serial_number",), keep)
 
 
+def parse_equipment_changes(raw: DataFrame, payload: str = "equipment_data", keep: tuple[str, ...] = ("ingestion_timestamp",)) -> DataFrame:
+    return _parse(raw, payload, EQUIPMENT_CHANGE_FIELDS, ("serial_number", "effective_at"), keep)
+
+
+def variant_fields(documents: DataFrame, document: str = "document") -> DataFrame:
+    """Top-level fields of mixed documents: how many documents hold each, and of which types its values are."""
+    found = documents.lateralJoin(_fields_of(documents.sparkSession, document))
+    kind = F.regexp_replace(F.schema_of_variant("value"), r"\(.*\)", "")
+    return found.groupBy(F.col("key").alias("field")).agg(
+        F.count(F.lit(1)).alias("messages"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("types"))
+
+
+def _fields_of(spark, document: str) -> DataFrame:
+    return spark.tvf.variant_explode(F.col(document).outer())
+
+
+def variant_schema(documents: DataFrame, document: str = "document") -> DataFrame:
+    """One row: the schema that holds all documents."""
+    return documents.agg(F.schema_of_variant_agg(document).alias("schema"))
+
+
 def wide_telemetry(long: DataFrame, entity: str, ts: str, metric: str, value: str,
                    columns: dict[str, str]) -> DataFrame:
     """Long metric messages to one row per (entity, ts) with one column per metric.

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantpulse.bindings import ROTATING_CLASS, SAMPLE_DDL, bind_sample, raw_telemetry, telemetry
+from plantpulse.sources.shared import shared_dir
 from plantpulse.streaming import telemetry as streams
 
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.read_feed(spark, sf_dir, SAMPLE_DDL["events"], "events.parquet")
 
@@ -38,6 +40,27 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.alerts(_telemetry(spark, sf_dir), assets)
 
 
+def _in_files(spark: SparkSession, sf_dir: str, part: Column, n: int) -> DataFrame:
+    """The readings as a feed of n files that arrive one after the other, each a batch."""
+    folder = shared_dir(spark, "feed")
+    rows = spark.read.schema(SAMPLE_DDL["events"]).parquet(f"{sf_dir}/events.parquet")
+    for k in range(n):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return telemetry(streams.read_feed(spark, folder, SAMPLE_DDL["events"], files_per_batch=1))
+
+
+def stream_late_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files that each hold readings of the whole month: most of the second and third are late."""
+    _, late = streams.late_rows_kept(_in_files(spark, sf_dir, F.col("event_id") % 3, 3).select("telemetry_id", "asset_id", "recorded_at"))
+    return late
+
+
+def stream_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five files of six days each and one of the last reading: assets silent for two days and more."""
+    day = F.dayofmonth("ts")
+    return streams.silent_assets(_in_files(spark, sf_dir, F.floor((day - 1) / 6), 6))
+
+
 STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_ingest": stream_ingest,
     "stream_hourly": lambda spark, d: streams.hourly_windows(_telemetry(spark, d)).withColumns(
@@ -45,6 +68,8 @@ STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_sliding": lambda spark, d: streams.sliding_temperature(_telemetry(spark, d)),
     "stream_session": lambda spark, d: streams.anomaly_sessions(_telemetry(spark, d)),
     "stream_dedup": stream_dedup,
+    "stream_late_kept": stream_late_kept,
+    "stream_silent": stream_silent,
     "stream_alerts": stream_alerts,
     "stream_state": lambda spark, d: streams.live_state(_telemetry(spark, d)),
     "stream_late": lambda spark, d: streams.late_rows(_telemetry(spark, d)).agg(

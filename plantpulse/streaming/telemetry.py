@@ -6,9 +6,15 @@ back on the way out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plantpulse.functions.dates import wall_micros
 from plantpulse.functions import bands
 from plantpulse.functions.numeric import half_up, ratio_or_null
 from plantpulse.operators.ordered import session_slots, sessions_of_slots
@@ -135,3 +141,58 @@ def late_rows(telemetry: DataFrame, delay_hours: int = 2, folder: str | None = N
 
     base = for_each_batch(telemetry.select("recorded_at"), "append", "stream-late", account, folder)
     return read_or_empty(spark, f"{kind}, {BATCH} BIGINT", f"{base}/out")
+
+
+def late_rows_kept(telemetry: DataFrame, delay_hours: int = 2, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(per batch: rows seen, late rows and the newest time so far; the late rows themselves with their batch).
+
+    A row is late if it is older than the newest time of all earlier batches less the delay. A batch that is run
+    again overwrites what it left.
+    """
+    spark = telemetry.sparkSession
+    kind = "rows_seen BIGINT, late_rows BIGINT, newest TIMESTAMP_NTZ"
+
+    def keep(batch: DataFrame, batch_id: int, base: str) -> None:
+        earlier = read_or_empty(spark, f"{kind}, {BATCH} BIGINT", f"{base}/figures").filter(F.col(BATCH) == batch_id - 1)
+        before = earlier.agg(F.max("newest")).scalar()  # null at the start
+        late = F.coalesce(F.col("recorded_at") < before - F.expr(f"INTERVAL {delay_hours} HOURS"), F.lit(False))
+        batch.filter(late).write.mode("overwrite").parquet(f"{base}/late/{BATCH}={batch_id}")
+        figures = batch.agg(F.count(F.lit(1)).alias("rows_seen"), F.count_if(late).alias("late_rows"),
+                            F.max("recorded_at").alias("newest")).withColumn("newest", F.greatest("newest", before))
+        figures.write.mode("overwrite").parquet(f"{base}/figures/{BATCH}={batch_id}")
+
+    base = for_each_batch(telemetry, "append", "stream-late-kept", keep, folder)
+    return (read_or_empty(spark, f"{kind}, {BATCH} BIGINT", f"{base}/figures"),
+            read_or_empty(spark, f"{ddl(telemetry)}, {BATCH} BIGINT", f"{base}/late"))
+
+
+def silent_assets(telemetry: DataFrame, silent_hours: int = 48, delay: str = "2 hours", folder: str | None = None) -> DataFrame:
+    """asset_id, silent_since, told_at: assets without a reading for so long after one, told when the watermark gets there or the next reading comes.
+
+    State per asset is the time of its last reading, with a timer in event time that every newer reading sets again. An
+    asset is told once: when the timer runs out, or when a later reading shows that it should have.
+    """
+    gap = silent_hours * 3_600_000
+
+    def told(asset: int, since: list[int]) -> pd.DataFrame:
+        at = pd.Series(since, dtype="int64")
+        return pd.DataFrame({"asset_id": pd.Series([asset] * len(at), dtype="int64"), "silent_since": pd.to_datetime(at, unit="ms"),
+                             "told_at": pd.to_datetime(at + gap, unit="ms")})
+
+    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield told(key[0], [last])
+            return
+        times = np.sort(np.concatenate([[state.get[0]] if state.exists else [], *(f["at_ms"].to_numpy() for f in frames)]).astype(np.int64))
+        since = times[:-1][np.diff(times) >= gap]
+        state.update((int(times[-1]),))
+        state.setTimeoutTimestamp(max(int(times[-1]) + gap, state.getCurrentWatermarkMs() + 1))
+        if len(since):
+            yield told(key[0], since.tolist())
+
+    rows = with_event_time(telemetry, "recorded_at", delay).select("asset_id", TS, F.floor(wall_micros(F.col("recorded_at")) / 1000).cast("long").alias("at_ms"))
+    out = rows.groupBy("asset_id").applyInPandasWithState(
+        watch, "asset_id long, silent_since timestamp_ntz, told_at timestamp_ntz", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return drain_append(out, "stream-silent", folder)
