@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 
 from plantpulse.llm import text_hash as th
 from plantpulse.llm.mapping import beside
+from plantpulse.llm.staging import staged
 
 VOCABULARY = "piece_bpe_32k.model"
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 256  # of one model
 SMOOTHING = 0.1
 TRAINING_ROWS = 3000  # texts whose words are looked at together
 UNKNOWN_LOG = -18.0  # of a single character that is no piece
 MARK = "▁"
 _WORD, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
-_ANSWER = "lang_pred string, score double"
 
 
 class Pieces:
@@ -176,13 +176,23 @@ def expected_pieces(words: list[str], known: Pieces, weight: np.ndarray) -> np.n
     return out[:, :known.size]
 
 
-def learnt(docs: DataFrame, language: str = "lang", path: str | None = None) -> tuple[list[str], np.ndarray]:
+Model = tuple[list[str], np.ndarray]
+
+
+def learnt_groups(docs: DataFrame, language: str = "lang", path: str | None = None) -> list[Model]:
+    """One model for each ``MAX_LANGUAGES`` languages in order: as many as there are, each of bounded size."""
+    rows = docs.filter(F.col(language).isNotNull() & F.col("text").isNotNull())
+    names = sorted(r[0] for r in rows.select(F.col(language)).distinct().collect())  # names only
+    groups = [names[i:i + MAX_LANGUAGES] for i in range(0, len(names), MAX_LANGUAGES)] or [[]]
+    return [learnt(rows if len(groups) == 1 else rows.filter(F.col(language).isin(g)), language, path, g) for g in groups]
+
+
+def learnt(docs: DataFrame, language: str = "lang", path: str | None = None, languages: list[str] | None = None) -> Model:
     """Languages, in order, and the log probability of each piece under each (pieces, languages)."""
     path = path or public_tokenizers.path(VOCABULARY)
     rows = docs.filter(F.col(language).isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r[0] for r in rows.select(F.col(language)).distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: the model would not be small")
+    if languages is None:
+        languages = sorted(r[0] for r in rows.select(F.col(language)).distinct().collect())
     number = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,29 +217,56 @@ def learnt(docs: DataFrame, language: str = "lang", path: str | None = None) ->
     return languages, np.log(counts / counts.sum(axis=0, keepdims=True)) if languages else counts
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """``row``, lang_pred and score (the chance of that language among those learnt)."""
+def identify(docs: DataFrame, model: Model | list[Model], carry: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """``row``, lang_pred and score (the chance of that language among those learnt).
+
+    With several models the documents pass by one after the other, staged in between; best language and sum of
+    likelihoods are put together, so the result is that of one model of all languages.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    models = model if isinstance(model, list) else [model]
+    carried = docs.columns if carry is None else carry
+    value = F.struct(F.col("text").alias("text"), F.lit("und").alias("lang"), F.lit(None).cast("double").alias("top"), F.lit(0.0).alias("total"))
+    passed = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("kept"), value.alias("value"))
+    for turn, one in enumerate(models):
+        found = beside(passed, _judge(docs.sparkSession.sparkContext.broadcast(one), path), _STATE, ["kept"] if one is models[-1] else ["kept", "value"], text="value")
+        if one is not models[-1]:
+            now = F.struct(F.col("row.value.text").alias("text"), F.col("lang").alias("lang"), F.col("top").alias("top"), F.col("total").alias("total"))
+            passed = staged(found.select(F.col("row.kept").alias("kept"), now.alias("value")), f"languages-{turn}")
+    return found.select(F.col("row.kept").alias("row"), F.col("lang").alias("lang_pred"), F.when(F.col("top").isNull(), 0.0).otherwise(1 / F.col("total")).alias("score"))
 
+
+_STATE = "lang string, top double, total double"
+
+
+def _judge(shared, path: str):
+    """Best language so far, its log likelihood, and the sum of all likelihoods relative to it."""
     def make():
         languages, table = shared.value
         known = pieces(path)
 
-        def predict(texts: pa.Array) -> list[pa.Array]:
-            block = block_of(texts.to_pylist())
+        def predict(values: pa.Array) -> list[pa.Array]:
+            texts, before = values.field(0), [values.field(k) for k in (1, 2, 3)]
             if not languages:
-                return [pa.array(["und"] * len(texts), pa.string()), pa.array(np.zeros(len(texts)))]
+                return before
+            block = block_of(texts.to_pylist())
             by_word = log_likelihoods(block.words, known, table)
             letters = np.array([len(w) for w in block.words], np.int64)
             bounds = np.concatenate([[0], np.cumsum(block.counts)])
-            sums = np.vstack([np.zeros(len(languages)), np.cumsum(by_word[block.use], axis=0)])
-            sums = sums[bounds[1:]] - sums[bounds[:-1]]
+            sums = np.zeros((len(texts), len(languages)))
+            for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                word, times = np.unique(block.use[a:b], return_counts=True)
+                sums[d] = times @ by_word[word]
             some = np.concatenate([[0], np.cumsum(letters[block.use])])
             some = some[bounds[1:]] > some[bounds[:-1]]
-            best = sums.argmax(axis=1)
-            chance = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-            return [pa.array([languages[b] if s else "und" for b, s in zip(best, some)], pa.string()),
-                    pa.array(np.where(some, chance, 0.0))]
+            best, own_top = sums.argmax(axis=1), sums.max(axis=1)
+            own_total = np.exp(sums - own_top[:, None]).sum(axis=1)
+            old = before[1].to_numpy(zero_copy_only=False)
+            old_top = np.where(np.isnan(old), -np.inf, old)
+            top = np.maximum(old_top, own_top)
+            total = before[2].to_numpy(zero_copy_only=False) * np.exp(old_top - top) + own_total * np.exp(own_top - top)
+            was = before[0].to_pylist()
+            name = [(languages[b] if own > past else w) if s else "und" for b, own, past, w, s in zip(best, own_top, old_top, was, some)]
+            return [pa.array(name, pa.string()), pa.array(top, pa.float64(), mask=~some), pa.array(total)]
         return predict
-    return beside(docs, make, _ANSWER, carry)
+    return make

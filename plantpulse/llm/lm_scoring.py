@@ -14,8 +14,10 @@ N-grams are compared by 64-bit hashes. From trigrams on each order waits for the
 an n-gram that stands in another document has its first and its last n - 1 words there too, so those
 that lack one of them are known to stand nowhere else and are not sent. No count changes by it.
 
-``order`` is a parameter: 2 unless told otherwise, as the SQL of ``op8_lm_scoring`` has it;
-``op8_lm_scoring_trigrams`` asks for 3.
+``order`` is a parameter: 3 unless told otherwise.
+
+:func:`lm_scores_joined` gives the same scores in the plainly relational form: exploded n-grams as rows, a count table by hash, a join,
+a sum per document.
 
 Defined results: null and empty texts have no words, score 0 and no mean; repeated rows are other
 documents for each other; an empty table gives an empty result; the input's columns stay in ``row``.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from plantpulse.llm import text_hash as th
 from plantpulse.llm.staging import bucketed
 
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 CHUNK_DOCS, CHUNK_BYTES = 2000, 6_000_000
 BUCKET_NGRAMS = 2_000_000
 #: Orders whose n-grams are all sent; from the next on only those whose two parts stand in another document.
@@ -212,3 +214,94 @@ def lm_scores(docs: DataFrame, carry: list[str] | None = None, order: int = ORDE
         first = last
     row = table.schema["docs"].dataType.elementType["row"].dataType.simpleString()
     return chunked.mapInArrow(_scores(order, n_buckets, n_words, backoff), f"row {row}, n_words long, log_score double")
+
+
+def lm_scores_joined(docs: DataFrame, carry: list[str] | None = None, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+    """The scores of :func:`lm_scores` by joins of rows, order by order.
+
+    Every document's n-grams are rows (hash, document, number); summed by hash they are the count table, of which only what
+    two documents have is kept, and joined by hash they bring each document its counts. From trigrams on an n-gram is
+    only a row if both its parts came back. A frequent n-gram is one row a document, on the side of the join that Spark splits.
+    """
+    carried = docs.columns if carry is None else carry
+    row = F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row")
+    rows_to_buckets = docs.select(F.monotonically_increasing_id().alias("d"), row, F.coalesce("text", F.lit("")).alias("text"))
+    table = bucketed(rows_to_buckets.repartition("d"), "d", "lm-texts")
+    found, names = table, []
+    for level in range(order):
+        source = found.select("d", "text", *names)
+        grams = source.mapInArrow(_grams(level), "h long, d long, n long")
+        counts = grams.groupBy("h").agg(F.sum("n").alias("c"), F.count("*").alias("documents")).filter("documents > 1").select("h", "c")
+        own = bucketed(grams.join(counts, "h").groupBy("d").agg(F.collect_list("h").alias(f"h{level}"), F.collect_list("c").alias(f"c{level}")), "d", "lm-counts")
+        found = found.join(own, "d", "left")
+        names += [f"h{level}", f"c{level}"]
+    n_words = table.select("text").mapInArrow(_word_numbers, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kind = table.schema["row"].dataType.simpleString()
+    return found.select("row", "text", *names).mapInArrow(_summed_scores(order, n_words, backoff), f"row {kind}, n_words long, log_score double")
+
+
+def _word_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words in th.slices(batch.column(0), th.LOWERED):
+            yield pa.RecordBatch.from_arrays([pa.array([int(words.counts.sum())], pa.int64())], names=["n"])
+
+
+def _documents(batch: pa.RecordBatch, text: int, first: int, levels: int) -> Iterator[tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(place, words, for each level the sorted hashes that other documents have too and their counts) of every text."""
+    for words in th.slices(batch.column(text), th.LOWERED):
+        bounds = words.bounds
+        for k in range(words.n_docs):
+            known = []
+            for level in range(levels):
+                h, c = (batch.column(first + 2 * level + side)[words.first + k].values for side in (0, 1))
+                h, c = (np.empty(0, np.int64) if x is None else x.to_numpy() for x in (h, c))
+                order = np.argsort(h.view(np.uint64))
+                known.append((h.view(np.uint64)[order], c[order]))
+            yield words.first + k, words.hashes[bounds[k]:bounds[k + 1]], known
+
+
+def _grams(level: int):
+    """Rows (h, d, n): each different n-gram of a document with its number there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts = batch.column(0).to_numpy(), []
+            for place, hashes, known in _documents(batch, 1, 2, level):
+                grams = th.runs(hashes, level + 1)
+                if level >= UNSIFTED and len(grams):
+                    both = np.isin(th.runs(hashes, level), known[-1][0])
+                    grams = grams[both[:-1] & both[1:]]
+                h, n = np.unique(grams, return_counts=True)
+                parts.append((h, np.full(len(h), ids[place]), n))
+            if parts:
+                h, d, n = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d, pa.int64()), pa.array(n, pa.int64())], names=["h", "d", "n"])
+    return run
+
+
+def _summed_scores(order: int, n_words: int, backoff: float):
+    def one(hashes: np.ndarray, known: list[tuple[np.ndarray, np.ndarray]]) -> float:
+        n, everything, other = len(hashes), n_words - len(hashes), []
+        for level, (h, c) in enumerate(known):
+            own, at, times = np.unique(th.runs(hashes, level + 1), return_inverse=True, return_counts=True)
+            total = np.zeros(len(own), np.int64)
+            if len(h):
+                place = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                total = np.where(h[place] == own, c[place] - times, 0)
+            other.append(total[at])
+        place, result, open_ = np.arange(n), np.zeros(n), np.ones(n, bool)
+        for level in range(order - 1, -1, -1):
+            can = np.flatnonzero(open_ & (place >= level))
+            seen = can[other[level][can - level] > 0]
+            history = other[level - 1][seen - level] if level else everything
+            result[seen] = np.log(other[level][seen - level] / history) + (np.minimum(order - 1, seen) - level) * np.log(backoff)
+            open_[seen] = False
+        rest = np.flatnonzero(open_)
+        result[rest] = np.minimum(order - 1, rest) * np.log(backoff) - np.log(everything + 1.0)
+        return float(result.sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(hashes), one(hashes, known)) for _, hashes, known in _documents(batch, 1, 2, order)]
+            n, score = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(score, pa.float64())], names=["row", "n_words", "log_score"])
+    return run

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a function gets at once: bounds what it makes of a batch.
-ROWS = 1000
+#: Rows and bytes of text that a function gets at once: bound what it makes of a batch. A longer text comes alone.
+ROWS, BYTES = 1000, 8_000_000
 #: Given a column of texts (null allowed), the new columns, a value for each text.
 TextFunction = Callable[[pa.Array], list[pa.Array]]
 
@@ -27,8 +29,8 @@ def beside(docs: DataFrame, make: Callable[[], TextFunction], new: str, carry: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for whole in batches:
-            for first in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(first, ROWS)
+            for first, last in _runs(whole.column(1)):
+                batch = whole.slice(first, last - first)
                 found = function(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["row", *names])
 
@@ -36,6 +38,18 @@ def beside(docs: DataFrame, make: Callable[[], TextFunction], new: str, carry: l
     return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, {new}")
 
 
+def _runs(values: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounded runs of rows; of a struct its first field is the text."""
+    texts = values.field(0) if pa.types.is_struct(values.type) else values
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(values):
+        before = ends[first - 1] if first else 0
+        last = min(first + ROWS, max(first + 1, int(np.searchsorted(ends, before + BYTES, side="right"))), len(values))
+        yield first, last
+        first = last
+
+
 def _parts(ddl: str) -> list[str]:
     out, depth = [""], 0
     for c in ddl:

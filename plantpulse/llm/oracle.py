@@ -97,27 +97,6 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 SQL["op8_lm_scoring"] = r"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[^\x20\x09-\x0D]+') AS w FROM documents),
-u AS (SELECT doc_id, i, w[i] AS b, w[i - 1] AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-c AS (
-  SELECT doc_id, i, b, a,
-         count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n,
-         count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY doc_id, b) AS c1,
-         count(*) OVER (PARTITION BY a, b) - count(*) OVER (PARTITION BY doc_id, a, b) AS c2
-  FROM u),
-h AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS c0 FROM c),
-s AS (
-  SELECT doc_id, sum(CASE
-    WHEN i = 1 AND c1 > 0 THEN ln(c1 / n) WHEN i = 1 THEN -ln(n + 1)
-    WHEN c2 > 0 THEN ln(c2 / c0)
-    WHEN c1 > 0 THEN ln(0.4::DOUBLE) + ln(c1 / n)
-    ELSE ln(0.4::DOUBLE) - ln(n + 1) END) AS s
-  FROM h GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0), 3) AS log_score FROM d LEFT JOIN s USING (doc_id)"""
-
-SQL["op8_lm_scoring_trigrams"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x20\x09-\x0D]+') AS w FROM documents),

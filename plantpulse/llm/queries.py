@@ -13,7 +13,7 @@ from plantpulse.llm.chat_format import chains, formatted, read_back
 from plantpulse.llm.collocations import collocations
 from plantpulse.llm.decontamination import decontaminate, n_hit
 from plantpulse.llm.jaccard_join import near_duplicates
-from plantpulse.llm.language_id import identify, learnt
+from plantpulse.llm.language_id import identify, learnt_groups
 from plantpulse.llm.lm_scoring import lm_scores
 from plantpulse.llm.merkle_manifest import COLUMNS, digest_of, fold, merkle_manifest, siblings_digest
 from plantpulse.llm.oracle import SQL
@@ -86,15 +86,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
 
 
-def op8_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lm_scores(_table(spark, sf_dir, "documents"), ["doc_id"], order=3)
-    return found.select("row.doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
-
-
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn(
         "held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2)
-    model = learnt(docs.filter(~F.col("held_out")))
+    model = learnt_groups(docs.filter(~F.col("held_out")))
     return identify(docs, model, ["doc_id", "held_out"]).select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
@@ -136,7 +131,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_bpe, op3_chat_format, op4_quality_rules, op5_decontamination, op6_quality_classifier, op7_jaccard_join,
-                                   op8_lm_scoring, op8_lm_scoring_trigrams, op9_language_id, op10_token_counts, op11_collocations, op12_merkle_manifest, op13_toxicity)}
+                                   op8_lm_scoring, op9_language_id, op10_token_counts, op11_collocations, op12_merkle_manifest, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

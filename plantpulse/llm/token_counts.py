@@ -136,18 +136,29 @@ def _usable(span: dict | None, n: int) -> bool:
     return bool(span) and span["start"] is not None and span["end"] is not None and max(span["start"], 0) < min(span["end"], n)
 
 
+def _disjoint(spans: list | None, n: int) -> list[tuple[int, int, int]]:
+    """(start, end, place) of the sections that hold characters, by start, cut to the text.
+
+    Where sections overlap the one that starts first (then: ends first, then: is given first) has the
+    characters; a section that is left none counts nothing.
+    """
+    out, reached = [], 0
+    for start, end, i in sorted((max(s["start"], 0), min(s["end"], n), i) for i, s in enumerate(spans or ()) if _usable(s, n)):
+        start = max(start, reached)
+        if start < end:
+            out.append((start, end, i))
+            reached = end
+    return out
+
+
 def _clean(spans: list | None, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sections that hold characters, cut to the text; they must be disjoint."""
-    good = sorted((max(s["start"], 0), min(s["end"], n)) for s in spans or () if _usable(s, n))
-    if any(a[1] > b[0] for a, b in zip(good, good[1:])):
-        raise ValueError("sections overlap")
-    return tuple(np.array([g[i] for g in good], np.int64) for i in (0, 1))
+    own = _disjoint(spans, n)
+    return tuple(np.array([s[k] for s in own], np.int64) for k in (0, 1))
 
 
 def _in_place(counts: np.ndarray, spans: list | None, n: int) -> np.ndarray:
     """Counts in the order of the given sections, 0 for those without characters."""
     out = np.zeros(len(spans or ()))
-    good = [i for i, s in enumerate(spans or ()) if _usable(s, n)]
-    for count, i in zip(counts, sorted(good, key=lambda i: spans[i]["start"])):
+    for count, (_, _, i) in zip(counts, _disjoint(spans, n)):
         out[i] = count
     return out

@@ -6,7 +6,10 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 
-from plantpulse.llm.language_id import MARK, UNKNOWN_LOG, VOCABULARY, expected_pieces, identify, learnt, log_likelihoods, pieces
+from pyspark.sql import functions as F
+
+from plantpulse.llm import language_id
+from plantpulse.llm.language_id import MARK, UNKNOWN_LOG, VOCABULARY, expected_pieces, identify, learnt, learnt_groups, log_likelihoods, pieces
 from plantpulse.llm.queries import op9_language_id
 from tests.llm.conftest import awkward_texts, frame
 
@@ -78,6 +81,19 @@ def test_nothing_learnt(spark, empty, awkward):
     assert identify(empty, model).collect() == []
 
 
+def test_any_number_of_languages(spark, awkward, monkeypatch):
+    """Models of two languages each, one after the other, say what one model of all says."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("lang", F.concat("lang", F.pmod("doc_id", F.lit(2))))
+    whole = learnt(docs)
+    assert len(whole[0]) > 6
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    groups = learnt_groups(docs)
+    assert [x for names, _ in groups for x in names] == whole[0] and len(groups) > 2
+    for table in (docs.select("doc_id", "text"), awkward.select("doc_id", "text")):
+        one, many = (sorted(((r["row"]["doc_id"], r.lang_pred, round(r.score, 9)) for r in identify(table, m, ["doc_id"]).collect()), key=repr) for m in (whole, groups))
+        assert one == many
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang")
     rows = op9_language_id(spark, "/root/testdata/sf0.001").filter("held_out").join(docs, "doc_id").collect()

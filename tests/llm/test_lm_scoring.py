@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from plantpulse.llm import lm_scoring, queries
-from plantpulse.llm.lm_scoring import lm_scores
+from plantpulse.llm.lm_scoring import lm_scores, lm_scores_joined
 from tests.llm.conftest import awkward_texts, frame, words
 
 SF = "/root/testdata/sf0.001"
@@ -42,8 +42,8 @@ def brute(texts, order):
     return sorted(out, key=repr)
 
 
-def found(docs, **kw):
-    rows = lm_scores(docs, ["doc_id"], **kw).collect()
+def found(docs, how=lm_scores, **kw):
+    rows = how(docs, ["doc_id"], **kw).collect()
     return sorted(((r["row"]["doc_id"], r.n_words, round(r.log_score, 5)) for r in rows), key=repr)
 
 
@@ -61,7 +61,7 @@ def test_against_brute_force(spark, monkeypatch, order):
 
 
 def test_one_document(spark):
-    close(found(frame(spark, [(1, "a b a b")])), brute([(1, "a b a b")], 2))
+    close(found(frame(spark, [(1, "a b a b")]), order=2), brute([(1, "a b a b")], 2))
 
 
 def test_columns_stay(awkward):
@@ -70,10 +70,19 @@ def test_columns_stay(awkward):
 
 def test_empty_table(empty):
     assert lm_scores(empty).collect() == []
+    assert lm_scores_joined(empty).collect() == []
 
 
-def test_trigrams_are_registered(spark):
-    ask = queries.queries()["op8_lm_scoring_trigrams"]
+@pytest.mark.parametrize("order", [1, 3])
+def test_joined_form_gives_the_same(spark, order):
+    rng = random.Random(order)
+    texts = awkward_texts() + [(400 + i, " ".join(words(rng, rng.randrange(40), 12))) for i in range(40)]
+    close(found(frame(spark, texts).repartition(4), lm_scores_joined, order=order), brute(texts, order))
+
+
+def test_query_scores_by_trigrams(spark):
+    assert [q for q in queries.queries() if q.startswith("op8")] == ["op8_lm_scoring"]
+    ask = queries.queries()["op8_lm_scoring"]
     got = [(r.doc_id, r.n_words, r.log_score) for r in ask(spark, SF).collect()]
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     close(sorted(got, key=repr), brute(texts, 3))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from plantpulse.llm.token_counts import VOCABULARY, allocate, counter, token_counts
+from plantpulse.llm.queries import op10_token_counts
+from plantpulse.llm.token_counts import VOCABULARY, _broken, allocate, counter, token_counts
 from tests.llm.conftest import awkward_texts
 
 OWN = counter(public_tokenizers.path(VOCABULARY))
@@ -45,7 +47,7 @@ def test_rules_against_brute_force(rule):
         keep = end > start
         start, end = start[keep], end[keep]
         got, want = allocate(first, last, start, end, rule), brute(first, last, start, end, rule)
-        assert np.allclose(got[0], want[0]) and abs(got[1] - want[1]) < 1e-9
+        assert np.allclose(got[0], want[0]) and abs(got[1] - want[1]) < 1e-9 and got[2] == want[2]
 
 
 def test_spans_cover_the_text():
@@ -73,6 +75,32 @@ def test_given_sections(spark):
     assert got[2] == (0, [0.0], 0.0) and got[3] == (1, [], 1.0)
 
 
+def test_overlapping_sections(spark):
+    """The section that starts first has the characters; what is left of the later one may be nothing."""
+    text = "alpha beta gamma delta"
+    parts = [(6, 16), (0, 8), (2, 5), (10, 22), (6, 16)]
+    docs = spark.createDataFrame([(1, text, parts)], "doc_id long, text string, parts array<struct<start:bigint,end:bigint>>")
+    (row,) = token_counts(docs, "parts", "first").collect()
+    first, _ = OWN.spans(text)
+    owner = [8, 0, None, 16, None]
+    ends = [16, 8, None, 22, None]
+    want = [0.0 if a is None else float(((first >= a) & (first < b)).sum()) for a, b in zip(owner, ends)]
+    assert list(row.by_section) == want and row.outside == 0
+
+
+def test_query_against_the_library(spark):
+    """Every number of the query from the library's own offsets: sentences, the rule ``most``, what crosses."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    for r in op10_token_counts(spark, "/root/testdata/sf0.001").collect():
+        text = docs[r.doc_id]
+        start, end = _broken(text) if text else (np.empty(0, int), np.empty(0, int))
+        first, last = OWN.spans(text) if text else (np.empty(0, int), np.empty(0, int))
+        counts, _, crossing = brute(first, last, start, end, "most")
+        digest = hashlib.sha256(" ".join(str(int(c)) for c in counts).encode()).hexdigest()
+        assert (r.n_tokens, r.n_sections, r.crossing) == (len(first), len(start), crossing)
+        assert r.most_tokens == (max(counts) if len(counts) else 0) and r.sections_sha256 == digest
+
+
 def test_empty_table(empty):
     assert token_counts(empty).select(F.size("by_section")).collect() == []
     with pytest.raises(ValueError):
