@@ -226,13 +226,13 @@ def lm_scores_joined(docs: DataFrame, carry: list[str] | None = None, order: int
     carried = docs.columns if carry is None else carry
     row = F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row")
     rows_to_buckets = docs.select(F.monotonically_increasing_id().alias("d"), row, F.coalesce("text", F.lit("")).alias("text"))
-    table = bucketed(rows_to_buckets.repartition("d"), "d", "lm-texts")
+    table = bucketed(rows_to_buckets.repartition("d"), "d", "lm_texts")
     found, names = table, []
     for level in range(order):
         source = found.select("d", "text", *names)
         grams = source.mapInArrow(_grams(level), "h long, d long, n long")
         counts = grams.groupBy("h").agg(F.sum("n").alias("c"), F.count("*").alias("documents")).filter("documents > 1").select("h", "c")
-        own = bucketed(grams.join(counts, "h").groupBy("d").agg(F.collect_list("h").alias(f"h{level}"), F.collect_list("c").alias(f"c{level}")), "d", "lm-counts")
+        own = bucketed(grams.join(counts, "h").groupBy("d").agg(F.collect_list("h").alias(f"h{level}"), F.collect_list("c").alias(f"c{level}")), "d", "lm_counts")
         found = found.join(own, "d", "left")
         names += [f"h{level}", f"c{level}"]
     n_words = table.select("text").mapInArrow(_word_numbers, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
