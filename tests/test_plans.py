@@ -12,7 +12,7 @@ from plantpulse.plans import gold, production
 from plantpulse.streaming.sample import STREAMS
 
 SF = "/root/testdata/sf0.001"
-IN_PYTHON = {"oee_by_plant_python", "health_band_python"}
+IN_PYTHON = {"oee_by_plant_python", "health_band_python", "repeated_positions"}
 RUNS_JOBS = {"failure_scores", "failure_score_facts"}
 BATCH = sorted(set(queries()) - set(STREAMS) - RUNS_JOBS)
 
