@@ -38,10 +38,23 @@ def beside(docs: DataFrame, make: Callable[[], TextFunction], new: str, carry: l
     return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, {new}")
 
 
+def _sizes(values: pa.Array) -> np.ndarray:
+    """Bytes of strings, elements of lists, of a struct those of its first field, else none."""
+    kind = values.type
+    if pa.types.is_struct(kind):
+        return _sizes(values.field(0))
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_binary(kind):
+        found = pc.binary_length(values)
+    elif pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        found = pc.list_value_length(values)
+    else:
+        return np.zeros(len(values), np.int64)
+    return pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _runs(values: pa.Array) -> Iterator[tuple[int, int]]:
-    """Bounded runs of rows; of a struct its first field is the text."""
-    texts = values.field(0) if pa.types.is_struct(values.type) else values
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    """Bounded runs of rows."""
+    ends = np.cumsum(_sizes(values))
     first = 0
     while first < len(values):
         before = ends[first - 1] if first else 0
