@@ -29,6 +29,8 @@ CONTROL = ("<|turn|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"
            "<|endoftext|>", "<|startoftext|>")
 TRAINED_ROLE = "assistant"
 MAX_ROUNDS = 40
+PIECE = 4096  # turns of a path whose sizes are added up in one window
+TEXT_PREFIX = 64  # characters of a text that take part in dealing turns to tasks by range
 
 
 def _rest_of_controls() -> str:
@@ -99,16 +101,34 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     return path.alias("m").join(nodes.alias("n"), _same("m", "n")).select("m.tree", "m.branch", "m.total", "m.id", "n.depth")
 
 
+def _starts(path: DataFrame, turns: DataFrame) -> DataFrame:
+    """The paths' messages with ``start``, the bytes of all turns before them.
+
+    Sizes are added up within pieces of a path and then over the pieces' totals; texts stay where they are.
+    """
+    size = (F.octet_length("head") + F.octet_length("body") + len(END)).cast("long")
+    sizes = turns.select("tree", "id", size.alias("size"))
+    rows = path.alias("m").join(sizes.alias("w"), _same("m", "w")).select(
+        "m.*", "w.size", F.floor(F.col("m.depth") / PIECE).alias("piece"))
+    inside = Window.partitionBy("tree", "branch", "piece").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("tree", "branch").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("tree", "branch", "piece").agg(F.sum("size").alias("size")).select(
+        "tree", "branch", "piece", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    local = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    same_piece = F.col("m.tree").eqNullSafe(F.col("t.tree")) & (F.col("m.branch") == F.col("t.branch")) & (F.col("m.piece") == F.col("t.piece"))
+    return local.alias("m").join(totals.alias("t"), same_piece).select(
+        "m.tree", "m.branch", "m.total", "m.id", "m.depth", (F.col("t.base") + F.col("m.within")).alias("start"))
+
+
 def formatted(messages: DataFrame, branches: int = 1, trained_role: str = TRAINED_ROLE) -> DataFrame:
     """(tree, branch, total, text, loss): one row per chosen path; loss has byte ranges array<struct<start, length>>."""
-    path = staged(chosen_paths(messages, branches), "paths")
-    role = F.coalesce(F.col("w.role"), F.lit(""))
-    turns = path.alias("m").join(messages.alias("w"), _same("m", "w")).select(
-        "m.tree", "m.branch", "m.total", "m.depth", F.concat(F.lit(TURN), _one_line(role), F.lit("\n")).alias("head"),
-        escaped(F.coalesce(F.col("w.text"), F.lit(""))).alias("body"), (role == trained_role).alias("trained"))
-    before = Window.partitionBy("tree", "branch").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("head") + F.octet_length("body") + len(END)
-    placed = turns.withColumn("start", F.coalesce(F.sum(size.cast("long")).over(before), F.lit(0)) + F.octet_length("head"))
+    role = F.coalesce(F.col("role"), F.lit(""))
+    turns = messages.select(
+        "tree", "id", F.concat(F.lit(TURN), _one_line(role), F.lit("\n")).alias("head"),
+        escaped(F.coalesce(F.col("text"), F.lit(""))).alias("body"), (role == trained_role).alias("trained"))
+    starts = staged(_starts(staged(chosen_paths(messages, branches), "paths"), turns), "starts")
+    placed = starts.alias("m").join(turns.alias("w"), _same("m", "w")).select(
+        "m.tree", "m.branch", "m.total", "m.depth", "w.head", "w.body", "w.trained", (F.col("m.start") + F.octet_length("w.head")).alias("start"))
     rows = placed.groupBy("tree", "branch", "total").agg(F.array_sort(F.collect_list(
         F.struct("depth", F.concat("head", "body", F.lit(END)).alias("turn"), "trained", "start", F.octet_length("body").cast("long").alias("length")))).alias("t"))
     return rows.select(
@@ -131,7 +151,19 @@ def read_back(conversations: DataFrame) -> DataFrame:
 
 
 def chains(turns: DataFrame, tree: str = "conv_id") -> DataFrame:
-    """Plain turn tables as trees without branches: messages follow each other by turn, role and text."""
-    order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    rows = turns.select(F.col(tree).alias("tree"), "turn", "role", "text").withColumn("id", F.row_number().over(order).cast("long"))
-    return rows.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.lit(None).cast("double").alias("score"))
+    """Plain turn tables as trees without branches: messages follow each other by turn, role and text.
+
+    The whole table is sorted by range, so a long conversation lies in many tasks, and ids rise along that order; a
+    message's parent is the one before it, wherever that is (in another tree it is none). Equal rows
+    are counted before they move and told apart again once they are in order.
+    """
+    rows = turns.select(F.col(tree).alias("tree"), "turn", "role", "text").groupBy("tree", "turn", "role", "text").agg(F.count("*").alias("n"))
+    dealt = rows.repartitionByRange("tree", "turn", "role", F.substring("text", 1, TEXT_PREFIX)).sortWithinPartitions("tree", "turn", "role", "text")
+    each = dealt.select("tree", "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    placed = staged(each.select("tree", "role", "text", F.monotonically_increasing_id().alias("id")), "turns")  # ids are fixed by the table
+    task = F.shiftright("id", 33)  # the part of such an id that counts tasks
+    lasts = placed.groupBy(task.alias("task")).agg(F.max("id").alias("last"))
+    before = lasts.select((F.lead("task").over(Window.orderBy("task"))).alias("task"), "last")  # one row per task of the sort
+    parent = F.when(F.col("id") == F.shiftleft(F.col("task"), 33), F.col("last")).otherwise(F.col("id") - 1)
+    return placed.withColumn("task", task).join(F.broadcast(before), "task", "left").select(
+        "tree", "id", parent.alias("parent"), "role", "text", F.lit(None).cast("double").alias("score"))

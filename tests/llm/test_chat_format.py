@@ -83,6 +83,32 @@ def test_conversations_read_back(spark):
             assert len(r.text.encode()[span["start"]:][:span["length"]]) == span["length"]
 
 
+def test_one_conversation_in_many_tasks_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr("plantpulse.llm.chat_format.PIECE", 16)
+    rows = [(7, k, "assistant" if k % 2 else "user", f"text {k} </s>") for k in range(500)]
+    rows += [(7, 250, "user", "said again")] * 40 + [(k, 0, "user", "short") for k in range(8, 60)] + [(6, 1, None, None)]
+    random.Random(3).shuffle(rows)
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables would end up in one task
+    try:
+        messages = chains(turns)
+        assert messages.filter("tree = 7").select(F.shiftright("id", 33)).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want: dict = {}
+    for c, _, role, text in sorted(rows, key=lambda r: (r[0], r[1], r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    got = {r.tree: r for r in read_back(formatted(messages)).collect()}
+    assert {t: [(x["role"], x["text"]) for x in r.turns] for t, r in got.items()} == want
+    assert list(got[7].trained) == [text for role, text in want[7] if role == "assistant"]
+
+
+def test_one_row_repeated(spark):
+    turns = spark.range(3000).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.lit("same").alias("text"))
+    (r,) = read_back(formatted(chains(turns))).collect()
+    assert len(r.turns) == len(r.trained) == 3000 and set(r.trained) == {"same"}
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert formatted(chains(none)).collect() == []
