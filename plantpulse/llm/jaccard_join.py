@@ -10,7 +10,12 @@ verified on the exact sets.
 A group of copies is not expanded into pairs. In the first round each token's class that is nearest to
 the start of its order (the least edited text) is the pivot of all others that hold the token; linked
 classes become components. The second round takes what may still be missing: all candidates from
-different components. Links inside a component change nothing, so the components are exact.
+different components. Links inside a component change nothing, so the components are exact. ``class_links``
+gives all links between classes, those inside components too, with the documents of each class, and
+``link_counts`` the number of each document's links.
+
+Where all holders of a token meet, they are dealt by set size (linked sets are near in size) and in blocks on
+both sides: a token that very many classes share is spread over a grid of tasks.
 
 Defined results: documents without words (null, empty) have an empty set and are linked with nothing; equal
 sets are linked; repeated rows are equal sets; a null id is never the smallest unless it is alone; an
@@ -19,6 +24,7 @@ empty table gives an empty result; other columns don't matter.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -34,6 +40,7 @@ from plantpulse.llm.staging import Scratch, staged
 
 PERCENT, SHINGLE, ORDERS = 80, 5, 3
 SKETCH_BITS, SKETCH_ROWS, SEGMENTS = 23, 2, 64
+BLOCK = 1000  # holders of a token that meet as many others in one place
 
 
 def shingle_sets(texts: pa.Array, shingle: int, kind: th.Alphabet = th.LOWERED) -> Iterator[np.ndarray]:
@@ -182,12 +189,35 @@ def verified(pairs: DataFrame, prefix: DataFrame, table: DataFrame, percent: int
     return loaded.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def _shared_postings(prefix: DataFrame, scratch: Scratch) -> DataFrame:
+    """(token, cid, n, pos) of the first order's tokens that more than one class has."""
+    postings = prefix.select("cid", "n", F.posexplode("p1").alias("pos", "token"))
+    many = postings.groupBy("token").count().filter("count > 1").select("token")
+    return scratch.table(postings.join(many, "token"), "postings")
+
+
+def _meetings(postings: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) among the holders of each token; of holders with a ``component`` only those of different ones.
+
+    Sizes of linked sets lie at most one band apart. Within a token, blocks of the one side meet blocks of the other.
+    """
+    width = max(math.log(100 / percent), 1e-3) * 1.0001  # a little wider, so rounding cannot part linked sizes
+    blocks = postings.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = postings.join(blocks, "token").withColumn("band", F.floor(F.log(F.col("n")) / width)).withColumn(
+        "block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = rows.withColumn("own", F.col("band")).withColumn("other", all_blocks).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    y = rows.withColumn("other", F.col("block")).drop("block").withColumn("block", all_blocks)
+    met = x.alias("x").join(y.alias("y"), ["token", "band", "block", "other"]).filter("x.own < band or x.cid < y.cid").filter(_may_link("x", "y", percent))
+    if "component" in postings.columns:
+        met = met.filter("x.component <> y.component")
+    return _ordered_pairs(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
+
+
 def linked_classes(table: DataFrame, scratch: Scratch, percent: int = PERCENT, shingle: int = SHINGLE, orders: int = ORDERS) -> DataFrame:
     """(cid, component) of every class that has a link to another; component is its smallest cid."""
     prefix = scratch.table(prefixes(table, percent, shingle, orders), "prefixes")
-    postings = prefix.select("cid", "n", F.posexplode("p1").alias("pos", "token"))
-    many = postings.groupBy("token").count().filter("count > 1").select("token")
-    shared = scratch.table(postings.join(many, "token"), "postings")
+    shared = _shared_postings(prefix, scratch)
     check: Callable[[DataFrame], DataFrame] = lambda pairs: verified(pairs, prefix, table, percent, shingle, orders)
 
     pivots = shared.groupBy("token").agg(F.min(F.struct("pos", "n", "cid")).alias("y"))
@@ -200,15 +230,37 @@ def linked_classes(table: DataFrame, scratch: Scratch, percent: int = PERCENT, s
     named = shared.join(groups.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     apart = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
     open_ = scratch.table(named.join(apart, "token"), "open")
-    second = scratch.table(_ordered_pairs(
-        open_.alias("x").join(open_.alias("y"), "token").filter("x.cid < y.cid and x.component <> y.component")
-        .filter(_may_link("x", "y", percent)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
-        .join(first, ["a", "b"], "left_anti"), "pairs")
+    second = scratch.table(_meetings(open_, percent).join(first, ["a", "b"], "left_anti"), "pairs")
     if second.isEmpty():
         return groups.withColumnRenamed("id", "cid")
     return components(links.union(check(second))).withColumnRenamed("id", "cid")
 
 
+def class_links(docs: DataFrame, identity: str = "doc_id", percent: int = PERCENT, shingle: int = SHINGLE,
+                orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
+    """Members (identity, n_shingles, cid) and all links (a, b), a < b, between different classes.
+
+    Documents of one class have equal sets and are linked with each other; cid is null without words.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        table = classes(docs, scratch, shingle)
+        prefix = scratch.table(prefixes(table, percent, shingle, orders), "prefixes")
+        pairs = scratch.table(_meetings(_shared_postings(prefix, scratch), percent), "pairs")
+        links = staged(verified(pairs, prefix, table, percent, shingle, orders), "links")
+        rows = with_sets(docs, [identity], shingle).select(F.col(f"row.{identity}").alias(identity), "n_shingles", "key")
+        return staged(rows.join(table.select("key", "cid"), "key", "left").drop("key"), "members"), links
+
+
+def link_counts(docs: DataFrame, identity: str = "doc_id", percent: int = PERCENT, shingle: int = SHINGLE, orders: int = ORDERS) -> DataFrame:
+    """identity, n_shingles and n_links, the number of other rows that each row is linked with."""
+    members, links = class_links(docs, identity, percent, shingle, orders)
+    sizes = members.filter("cid is not null").groupBy("cid").agg(F.count("*").alias("size"))
+    ends = links.select(F.col("a").alias("cid"), F.col("b").alias("other")).union(links.select(F.col("b").alias("cid"), F.col("a").alias("other")))
+    met = ends.join(sizes.select(F.col("cid").alias("other"), "size"), "other").groupBy("cid").agg(F.sum("size").alias("met"))
+    totals = sizes.join(met, "cid", "left").select("cid", (F.col("size") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"))
+    return members.join(totals, "cid", "left").select(identity, "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def group_of_sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, orders: int = ORDERS) -> DataFrame:
     """(key, group): for every set of shingles the number of its connected group."""
     with Scratch(docs.sparkSession) as scratch:

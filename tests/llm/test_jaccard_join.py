@@ -6,7 +6,7 @@ import re
 import pytest
 
 from plantpulse.llm.components import components
-from plantpulse.llm.jaccard_join import near_duplicates
+from plantpulse.llm.jaccard_join import class_links, link_counts, near_duplicates
 from tests.llm.conftest import awkward_texts, frame, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,8 +72,32 @@ def test_one_large_group_makes_no_pairs_within(spark):
     assert found(frame(spark, texts)) == [(i, 146, 0) for i in sorted(range(400), key=lambda i: repr((i, 146, 0)))]
 
 
+def brute_links(texts, percent: int = 80, shingle: int = 5):
+    sets = [shingles(t, shingle) for _, t in texts]
+    n = [sum(i != j and bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    return sorted(((d, len(s), k) for (d, _), s, k in zip(texts, sets, n)), key=repr)
+
+
+@pytest.mark.parametrize(("percent", "block"), [(90, 1000), (60, 3), (100, 2)])
+def test_every_link_inside_groups(spark, monkeypatch, percent, block):
+    monkeypatch.setattr("plantpulse.llm.jaccard_join.BLOCK", block)
+    rng = random.Random(percent)
+    texts = list(awkward_texts())
+    for _ in range(4):
+        text = words(rng, rng.randrange(20, 120), 4000)
+        for _ in range(12):
+            texts.append((100 + len(texts), " ".join(text)))
+            text = list(text)
+            for _ in range(rng.randrange(0, 3)):
+                text[rng.randrange(len(text))] = f"e{rng.randrange(10 ** 6)}"
+    docs = frame(spark, texts)
+    assert sorted((tuple(r) for r in link_counts(docs, percent=percent).collect()), key=repr) == brute_links(texts, percent)
+    assert found(docs, percent=percent) == brute(texts, percent)  # with blocks as small as these
+
+
 def test_empty_table(empty):
     assert near_duplicates(empty).collect() == []
+    assert [x.collect() for x in class_links(empty)] == [[], []] and link_counts(empty).collect() == []
 
 
 def test_components_of_long_chains(spark):
