@@ -15,7 +15,8 @@ gives all links between classes, those inside components too, with the documents
 ``link_counts`` the number of each document's links.
 
 Where all holders of a token meet, they are dealt by set size (linked sets are near in size) and in blocks on
-both sides: a token that very many classes share is spread over a grid of tasks.
+both sides: a token that very many classes share is spread over a grid of tasks. Where pairs meet texts, a class
+with a large share of all pairs (the pivot of a large group) is split: its pairs are dealt over blocks, its text is copied to each.
 
 Defined results: documents without words (null, empty) have an empty set and are linked with nothing; equal
 sets are linked; repeated rows are equal sets; a null id is never the smallest unless it is alone; an
@@ -41,6 +42,8 @@ from plantpulse.llm.staging import Scratch, staged
 PERCENT, SHINGLE, ORDERS = 80, 5, 3
 SKETCH_BITS, SKETCH_ROWS, SEGMENTS = 23, 2, 64
 BLOCK = 1000  # holders of a token that meet as many others in one place
+#: A class with more than 1 / HOT_SHARE of all pairs, and more than HOT_PAIRS, is hot. Two ends a pair: at most 2 * HOT_SHARE are.
+HOT_SHARE, HOT_PAIRS = 1000, 32
 
 
 def shingle_sets(texts: pa.Array, shingle: int, kind: th.Alphabet = th.LOWERED) -> Iterator[np.ndarray]:
@@ -167,7 +170,34 @@ def _ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, prefix: DataFrame, table: DataFrame, percent: int, shingle: int, orders: int) -> DataFrame:
+def _with_texts(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """(a, b, text_x, text_y) of stored pairs (a, b, key_a, key_b), the texts in either order.
+
+    Pairs without a hot class take both texts from the buckets of ``table``. Of a hot class the pairs are dealt over
+    blocks of bounded size, and only its own text is moved, once to each block.
+    """
+    ends = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key"))
+    size = max(HOT_PAIRS, pairs.count() // HOT_SHARE)
+    hot = F.broadcast(ends.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).filter("blocks > 1"))  # bounded, see HOT_SHARE
+    marked = pairs.join(hot.toDF("key_a", "blocks_a"), "key_a", "left").join(hot.toDF("key_b", "blocks_b"), "key_b", "left")
+    x, y = (table.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}")) for s in "xy")
+
+    cold = marked.filter("blocks_a is null and blocks_b is null").select("a", "b", F.col("key_a").alias("key_x"), F.col("key_b").alias("key_y"))
+    plain = cold.join(x, "key_x").join(y, "key_y")
+
+    first = F.col("blocks_a").isNotNull()
+    dealt = marked.filter("blocks_a is not null or blocks_b is not null").select(
+        "a", "b", F.when(first, F.col("key_a")).otherwise(F.col("key_b")).alias("key_x"),
+        F.when(first, F.col("key_b")).otherwise(F.col("key_a")).alias("key_y"), F.coalesce("blocks_a", "blocks_b").alias("blocks"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key_y"), F.col("blocks")).cast("int")).drop("blocks")
+    copied = x.join(hot.withColumnRenamed("key", "key_x"), "key_x").select(
+        "key_x", "text_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    split = dealt.join(y, "key_y").join(copied, ["key_x", "block"])
+    columns = ["a", "b", "text_x", "text_y"]
+    return plain.select(*columns).union(split.select(*columns))
+
+
+def verified(pairs: DataFrame, prefix: DataFrame, table: DataFrame, scratch: Scratch, percent: int, shingle: int, orders: int) -> DataFrame:
     """The candidate pairs (a, b) that also share tokens under the other orders and then really are links."""
     rest = [f"p{k + 1}" for k in range(1, orders)]
     sides = {s: prefix.select(F.col("cid").alias(s), F.col("key").alias(f"key_{s}"), *(F.col(p).alias(f"{p}_{s}") for p in rest))
@@ -175,8 +205,7 @@ def verified(pairs: DataFrame, prefix: DataFrame, table: DataFrame, percent: int
     both = pairs.join(sides["a"], "a").join(sides["b"], "b")
     for p in rest:
         both = both.filter(F.arrays_overlap(f"{p}_a", f"{p}_b"))
-    texts = {s: table.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"}
-    loaded = both.select("a", "b", "key_a", "key_b").join(texts["a"], "key_a").join(texts["b"], "key_b")
+    loaded = _with_texts(scratch.table(both.select("a", "b", "key_a", "key_b"), "candidates"), table)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +215,7 @@ def verified(pairs: DataFrame, prefix: DataFrame, table: DataFrame, percent: int
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return loaded.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return loaded.mapInArrow(check, "a long, b long")
 
 
 def _shared_postings(prefix: DataFrame, scratch: Scratch) -> DataFrame:
@@ -218,7 +247,7 @@ def linked_classes(table: DataFrame, scratch: Scratch, percent: int = PERCENT, s
     """(cid, component) of every class that has a link to another; component is its smallest cid."""
     prefix = scratch.table(prefixes(table, percent, shingle, orders), "prefixes")
     shared = _shared_postings(prefix, scratch)
-    check: Callable[[DataFrame], DataFrame] = lambda pairs: verified(pairs, prefix, table, percent, shingle, orders)
+    check: Callable[[DataFrame], DataFrame] = lambda pairs: verified(pairs, prefix, table, scratch, percent, shingle, orders)
 
     pivots = shared.groupBy("token").agg(F.min(F.struct("pos", "n", "cid")).alias("y"))
     first = scratch.table(_ordered_pairs(
@@ -246,7 +275,7 @@ def class_links(docs: DataFrame, identity: str = "doc_id", percent: int = PERCEN
         table = classes(docs, scratch, shingle)
         prefix = scratch.table(prefixes(table, percent, shingle, orders), "prefixes")
         pairs = scratch.table(_meetings(_shared_postings(prefix, scratch), percent), "pairs")
-        links = staged(verified(pairs, prefix, table, percent, shingle, orders), "links")
+        links = staged(verified(pairs, prefix, table, scratch, percent, shingle, orders), "links")
         rows = with_sets(docs, [identity], shingle).select(F.col(f"row.{identity}").alias(identity), "n_shingles", "key")
         return staged(rows.join(table.select("key", "cid"), "key", "left").drop("key"), "members"), links
 
