@@ -176,10 +176,10 @@ def _with_texts(pairs: DataFrame, table: DataFrame) -> DataFrame:
     Pairs without a hot class take both texts from the buckets of ``table``. Of a hot class the pairs are dealt over
     blocks of bounded size, and only its own text is moved, once to each block.
     """
-    ends = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
     size = max(HOT_PAIRS, pairs.count() // HOT_SHARE)
-    hot = F.broadcast(ends.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).filter("blocks > 1"))  # bounded, see HOT_SHARE
-    marked = pairs.join(hot.toDF("key_a", "blocks_a"), "key_a", "left").join(hot.toDF("key_b", "blocks_b"), "key_b", "left")
+    hot = F.broadcast(ends.groupBy("cid").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).filter("blocks > 1"))  # bounded, see HOT_SHARE
+    marked = pairs.join(hot.toDF("a", "blocks_a"), "a", "left").join(hot.toDF("b", "blocks_b"), "b", "left")
     x, y = (table.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}")) for s in "xy")
 
     cold = marked.filter("blocks_a is null and blocks_b is null").select("a", "b", F.col("key_a").alias("key_x"), F.col("key_b").alias("key_y"))
@@ -187,12 +187,12 @@ def _with_texts(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
     first = F.col("blocks_a").isNotNull()
     dealt = marked.filter("blocks_a is not null or blocks_b is not null").select(
-        "a", "b", F.when(first, F.col("key_a")).otherwise(F.col("key_b")).alias("key_x"),
+        "a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("cid"),
         F.when(first, F.col("key_b")).otherwise(F.col("key_a")).alias("key_y"), F.coalesce("blocks_a", "blocks_b").alias("blocks"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key_y"), F.col("blocks")).cast("int")).drop("blocks")
-    copied = x.join(hot.withColumnRenamed("key", "key_x"), "key_x").select(
-        "key_x", "text_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    split = dealt.join(y, "key_y").join(copied, ["key_x", "block"])
+    copied = table.select("cid", F.col("text").alias("text_x")).join(hot, "cid").select(
+        "cid", "text_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    split = dealt.join(y, "key_y").join(copied, ["cid", "block"])
     columns = ["a", "b", "text_x", "text_y"]
     return plain.select(*columns).union(split.select(*columns))
 
