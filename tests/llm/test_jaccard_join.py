@@ -95,21 +95,6 @@ def test_every_link_inside_groups(spark, monkeypatch, percent, block):
     assert found(docs, percent=percent) == brute(texts, percent)  # with blocks as small as these
 
 
-def test_pairs_of_a_hot_class_are_dealt_over_blocks(spark, monkeypatch):
-    monkeypatch.setattr("plantpulse.llm.jaccard_join.HOT_PAIRS", 3)
-    rng = random.Random(11)
-    text = words(rng, 200, 10 ** 6)
-    texts = list(awkward_texts()) + [(1000, " ".join(text))]
-    for i in range(60):  # all near the first text, most too far from each other
-        other = list(text)
-        other[rng.randrange(200)] = f"x{i}"
-        other[rng.randrange(200)] = f"y{i}"
-        texts.append((1001 + i, " ".join(other)))
-    docs = frame(spark, texts)
-    assert found(docs, percent=90) == brute(texts, 90)
-    assert sorted((tuple(r) for r in link_counts(docs, percent=92).collect()), key=repr) == brute_links(texts, 92)
-
-
 def test_empty_table(empty):
     assert near_duplicates(empty).collect() == []
     assert [x.collect() for x in class_links(empty)] == [[], []] and link_counts(empty).collect() == []
