@@ -127,19 +127,29 @@ def dq_failure_codes(wh: Warehouse) -> DataFrame:
         "known order type": F.col("wo_type_id").isin(1, 2, 3, 4)})
 
 
+def _report(wh: Warehouse, done: list[DataFrame], left_out: list[str]) -> DataFrame:
+    """The reports of all checks; one that could not be made is there by name, with null for rows and violations."""
+    unchecked = wh.spark.createDataFrame([(name, None, None) for name in left_out], "check STRING, rows BIGINT, violations BIGINT")
+    return reduce(DataFrame.unionByName, [*done, unchecked])
+
+
+def _has(wh: Warehouse, name: str, *columns: str) -> bool:
+    return name in wh and set(columns) <= set(wh[name].columns)
+
+
 def dq_all_keys(wh: Warehouse) -> DataFrame:
-    """For each table that has its declared key: its rows, and how many share their key with another or lack a part of it."""
-    checks = [quality.key_report(wh[name], spec.key, name) for name, spec in TABLES.items()
-              if spec.key and name in wh and set(spec.key) <= set(wh[name].columns)]
-    return reduce(DataFrame.unionByName, checks)
+    """For each table with a declared key: its rows, and how many share their key with another or lack a part of it (null: the table or its key is not there)."""
+    keyed = {name: spec.key for name, spec in TABLES.items() if spec.key}
+    there = [name for name, key in keyed.items() if _has(wh, name, *key)]
+    return _report(wh, [quality.key_report(wh[name], keyed[name], name) for name in there], [n for n in keyed if n not in there])
 
 
 def dq_all_references(wh: Warehouse) -> DataFrame:
-    """For each relationship whose tables and columns are there: rows that refer, and those whose parent is missing."""
-    checks = [quality.reference_report(wh[r.child], r.child_key, wh[r.parent], r.parent_key, f"{r.child}.{r.child_key}")
-              for r in RELATIONSHIPS
-              if r.child in wh and r.parent in wh and r.child_key in wh[r.child].columns and r.parent_key in wh[r.parent].columns]
-    return reduce(DataFrame.unionByName, checks)
+    """For each relationship: rows that refer, and those whose parent is missing (null: a table or column of it is not there)."""
+    edges = {f"{r.child}.{r.child_key}": r for r in RELATIONSHIPS}
+    there = [name for name, r in edges.items() if _has(wh, r.child, r.child_key) and _has(wh, r.parent, r.parent_key)]
+    return _report(wh, [quality.reference_report(wh[r.child], r.child_key, wh[r.parent], r.parent_key, name)
+                        for name, r in edges.items() if name in there], [n for n in edges if n not in there])
 
 
 def dq_parts_cost(wh: Warehouse) -> DataFrame:

@@ -42,7 +42,7 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     ])
 
 
-def laid_out(df: DataFrame, name: str, files_per_partition: int = 1) -> DataFrame:
+def laid_out(df: DataFrame, name: str) -> DataFrame:
     """Cluster rows for the write: one range of (partition, sort) keys per task, sorted inside.
 
     Range partitioning on the partition column *and* the sort columns spreads one hot
