@@ -20,7 +20,8 @@ def lead_in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], pie
 
     ``piece`` must not decrease along ``order``. Inside a piece the lead is a plain
     window; the last row of a piece takes the first value of the next piece, found over
-    one row per piece.
+    one row per piece. These meet in a sort-merge join: there can be as many pieces as rows,
+    and before a run Spark takes them for smaller than they are and would broadcast them.
     """
     pieces = df.withColumn("__piece", piece)
     inner = Window.partitionBy(*keys, "__piece").orderBy(*order)
@@ -28,7 +29,7 @@ def lead_in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], pie
     heads = pieces.groupBy(*keys, "__piece").agg(F.min_by(F.struct(value), F.struct(*order)).alias("__head"))
     between = Window.partitionBy(*keys).orderBy("__piece")
     nexts = heads.select(*keys, "__piece", F.lead("__head").over(between).alias("__next"))
-    joined = rows.join(nexts, [*keys, "__piece"], "left")
+    joined = rows.join(nexts.hint("merge"), [*keys, "__piece"], "left")
     return (joined.withColumn(into, F.coalesce(F.col("__lead"), F.col("__next"))[value])
             .drop("__piece", "__lead", "__next"))
 

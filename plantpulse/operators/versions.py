@@ -18,10 +18,13 @@ def versions_of(messages: DataFrame, key: str, effective: str, arrived: str, att
 
     Of messages for the same time the last to arrive counts (equal arrivals: the greatest attributes). A message that
     changes nothing opens no version. An entity's messages are ordered in pieces of thirty days, so one
-    entity with a third of all messages is not one task.
+    entity with a third of all messages is not one task. The greatest of a struct is found by sorting: messages are spread
+    first, or each task sorts all it has read (a small file can hold millions), and large partitions are split.
     """
     said = F.struct(arrived, *attributes)
-    one = messages.filter(F.col(key).isNotNull() & F.col(effective).isNotNull()).groupBy(key, effective).agg(F.max(said).alias("__m"))
+    dated = messages.filter(F.col(key).isNotNull() & F.col(effective).isNotNull())
+    spread = dated.hint("rebalance", F.col(key), F.col(effective), F.col(arrived))
+    one = spread.groupBy(key, effective).agg(F.max(said).alias("__m"))
     at = wall_micros(F.col(effective))
     rows = one.select(key, effective, *[F.col(f"__m.{c}").alias(c) for c in attributes], at.alias("__at"), (-at).alias("__back"))
     rows = rows.withColumn("__print", F.xxhash64(*attributes))
@@ -37,9 +40,10 @@ def merge_versions(versions: DataFrame, messages: DataFrame, arrived_now: DataFr
     """Versions after new messages, some of them for times that are already past.
 
     Only entities that new messages speak of are made again, from all their messages (a correction can split a
-    version, join two or bring back one that changed nothing before); all others stay.
+    version, join two or bring back one that changed nothing before); all others stay. A load can speak of nearly all
+    entities, so they are never broadcast.
     """
-    touched = arrived_now.select(key).distinct()
+    touched = arrived_now.select(key).distinct().hint("merge")
     again = versions_of(messages.join(touched, key, "left_semi"), key, effective, arrived, attributes)
     return versions.join(touched, key, "left_anti").unionByName(again)
 

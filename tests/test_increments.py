@@ -131,6 +131,23 @@ def test_versions(spark):
     assert versions_of(df.limit(0), *args).collect() == []
 
 
+def test_versions_neither_sort_what_a_task_read_nor_broadcast(spark):
+    """Small files, so that Spark would broadcast; a third of the messages are for one time of one entity."""
+    rng = random.Random(3)
+    day = dt.timedelta(days=1)
+    messages = [(f"k{i % 3}", T0 + day * (7 if i % 3 == 0 else rng.randrange(200)), T0 + day * rng.randrange(9), rng.choice("abc")) for i in range(300)]
+    messages += messages[:30]
+    df = spark.createDataFrame([*messages, (None, T0, T0, "a"), ("k1", None, T0, "a")], "k string, at timestamp_ntz, came timestamp_ntz, v string").repartition(4)
+    args = ("k", "at", "came", ["v"])
+    built = versions_of(df, *args)
+    merged = merge_versions(versions_of(df.filter(F.col("came") < T0 + 5 * day), *args), df, df.filter(F.col("came") >= T0 + 5 * day), *args)
+    for versions in (built, merged):
+        plan = plan_of(versions)
+        assert "Broadcast" not in plan
+        assert "SortAggregate" not in plan[plan.rindex("REBALANCE_PARTITIONS_BY_COL"):]
+        assert sorted(((r.k, r.v, r.scd_start_date, r.scd_end_date) for r in versions.collect()), key=repr) == brute_versions(messages)
+
+
 def test_drill_across_refuses_fan_out(sample):
     part = FactPart("fct_maintenance_log", ("asset_id",), F.trunc("completed_date", "month"), {"orders": F.count(F.lit(1))})
     rows = drill_across(sample, [part], {"dim_line": ["line_name"]}).collect()
