@@ -170,8 +170,12 @@ def _recent_long(wh: Warehouse, as_of: dt.datetime | str, hours: int) -> DataFra
 
 
 def _with_sensor(wh: Warehouse, per_sensor: DataFrame) -> DataFrame:
-    """Sensor key for rows already reduced to one per (asset, sensor type)."""
-    return per_sensor.join(wh["dim_sensor"].select("sensor_sk", "asset_id", "sensor_type"), ["asset_id", "sensor_type"])
+    """Sensor key for rows already reduced to one per (asset, sensor type).
+
+    A merge join: sensors can be many more rows than their file's size tells, too many to broadcast.
+    """
+    sensors = wh["dim_sensor"].select("sensor_sk", "asset_id", "sensor_type")
+    return per_sensor.join(sensors.hint("merge"), ["asset_id", "sensor_type"])
 
 
 def out_of_range(wh: Warehouse, as_of: dt.datetime | str, hours: int = 24) -> DataFrame:
@@ -289,9 +293,12 @@ def tree_read_back(nodes: DataFrame) -> DataFrame:
 
 
 def hot_sensors_compared(wh: Warehouse, as_of: dt.datetime | str, above: float = 70, hours: int = 168) -> DataFrame:
-    """The exact number and whether the sketch comes within three percent of it."""
-    exact, sketch = F.countDistinct("sensor_sk"), F.approx_count_distinct("sensor_sk", 0.01)
-    return _hot(wh, as_of, above, hours).agg(exact.alias("sensors"), (F.abs(sketch - exact) <= 0.03 * exact).alias("sketch_is_close"))
+    """The exact number and whether the sketch comes within three percent of it.
+
+    Sensors are made distinct first: a distinct count beside a sketch would keep a sketch for every sensor.
+    """
+    exact, sketch = F.count("sensor_sk"), F.approx_count_distinct("sensor_sk", 0.01)
+    return _hot(wh, as_of, above, hours).select("sensor_sk").distinct().agg(exact.alias("sensors"), (F.abs(sketch - exact) <= 0.03 * exact).alias("sketch_is_close"))
 
 
 def tree_counts(wh: Warehouse) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +177,21 @@ def test_sketches_answer_without_readings(spark, sample, tmp_path):
     assert {r.sensor_type for r in days.collect()} == {"Temperature", "Vibration", "Pressure"}
 
 
+def test_one_sketch_for_all_hot_sensors(spark):
+    """Not one for each sensor; sensors and readings repeat or lack their number, and no table is broadcast."""
+    readings = [(i, i % 40, T0, 60.0 + i % 40) for i in range(200)] + [(200, None, T0, 90.0), (201, 5, T0 - dt.timedelta(days=9), 90.0), (202, 39, T0, None)]
+    columns = "telemetry_id long, asset_id long, recorded_at timestamp_ntz, temperature_c double"
+    telemetry = spark.createDataFrame(readings, columns).selectExpr("*", "cast(NULL AS double) AS vibration_mm_s", "cast(NULL AS double) AS pressure_psi")
+    sensors = [(a * 3 if a != 30 else None, a, "Temperature") for a in [*range(39), 20]] + [(a * 3 + 1, a, "Pressure") for a in range(39)]
+    wh = Warehouse(spark, {TELEMETRY: telemetry, "dim_sensor": spark.createDataFrame(sensors, "sensor_sk long, asset_id long, sensor_type string")})
+    compared = assets.hot_sensors_compared(wh, T0)
+    plan = plan_of(compared)
+    assert "approx_count_distinct" in plan and not re.search(r"keys=\[[^\]\n]+\][^\n]*approx_count_distinct", plan)
+    assert "Broadcast" not in plan
+    assert [tuple(r) for r in compared.collect()] == [(27, True)] and [tuple(r) for r in assets.hot_sensors(wh, T0).collect()] == [(27,)]
+    assert [tuple(r) for r in assets.hot_sensors_compared(wh, T0, above=500).collect()] == [(0, True)]
+
+
 def _feed(spark, folder, batches):
     kind = "telemetry_id long, asset_id long, recorded_at timestamp_ntz"
     for rows in batches:
